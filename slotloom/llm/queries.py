@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import mixing, sharding
+from slotloom.llm import mixing, pieces, quality, sharding, toxicity
 from slotloom.llm.shared import table
 
 
+def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode_documents(table(spark, sf_dir, "documents"))
+    ids = F.array_join("piece_ids", " ")
+    return rows.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), ids.alias("piece_ids"), F.crc32(ids).alias("ids_crc32"),
+        F.crc32("decoded").alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,8 +64,19 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_mix_sources": op5_mix_sources, "op6_shard": op6_shard}
+    return {
+        "op1_piece_sampling": op1_piece_sampling,
+        "op2_quality": op2_quality,
+        "op5_mix_sources": op5_mix_sources,
+        "op6_shard": op6_shard,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
