@@ -22,17 +22,19 @@ FIT_ROWS = 20_000
 VOCABULARY = 4_096
 CHI_SQUARE = 24.0
 GRADES = 4
+#: Probability of any grade over 0 from which a document counts as toxic.
+THRESHOLD = 0.35
 _HELD_OUT = 5
 _CACHE = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """The features of one lower-case word: itself, and its first 4, 5 and 6 letters if it is longer."""
+    """The features of one lower-case word: itself, and its first 4 to 7 letters if it is longer."""
     bare = word.strip(_EDGES)
     if len(bare) < 3:
         return ()
-    return (bare, *(f"{bare[:n]}*" for n in (4, 5, 6) if len(bare) > n))
+    return (bare, *(f"{bare[:n]}*" for n in (4, 5, 6, 7) if len(bare) > n))
 
 
 def _words(text: bytes) -> Counter:
@@ -75,7 +77,7 @@ class Model:
         return p @ np.arange(p.shape[1]), 1 - p[:, 0]
 
 
-def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, width: int, levels: int, ridge: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, width: int, levels: int, ridge: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the proportional-odds model, by Adam on the penalised likelihood.
 
     Thresholds are a first one plus positive gaps, so they stay ordered.
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     return Model(index, weights, thresholds)
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, severity (expected grade), p_toxic, toxic; null texts count as empty."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> Da
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, severity double, p_toxic double, toxic boolean")
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with all their columns."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
