@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import mixing, pieces, quality, sharding, toxicity
+from slotloom.llm import media, mixing, pieces, quality, sharding, tokenfile, toxicity
 from slotloom.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +68,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -73,8 +81,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_piece_sampling": op1_piece_sampling,
         "op2_quality": op2_quality,
+        "op3_media": op3_media,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
+        "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
     }
 
