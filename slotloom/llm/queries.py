@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import media, mixing, pieces, quality, sharding, tokenfile, toxicity
+from slotloom.llm import media, mixing, ngrams, pieces, quality, sharding, tokenfile, toxicity
 from slotloom.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_piece_sampling": op1_piece_sampling,
         "op2_quality": op2_quality,
         "op3_media": op3_media,
+        "op4_ngram_scores": op4_ngram_scores,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
         "op9_token_files": op9_token_files,
