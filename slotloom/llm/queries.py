@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import media, mixing, ngrams, pieces, quality, sharding, tokenfile, toxicity
+from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity
 from slotloom.llm.shared import table
 
 
@@ -72,6 +72,28 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked_components(table(spark, sf_dir, "documents"))
+
+
+def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digests(table(spark, sf_dir, "documents"))
 
@@ -89,10 +111,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_scores": op4_ngram_scores,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
+        "op7_shingle_join": op7_shingle_join,
+        "op8_inner_products": op8_inner_products,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op8_inner_products": OP8_SQL}
