@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_inner_products": op8_inner_products,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.components import components
@@ -243,7 +243,7 @@ class Forest:
 
 
 def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """Write the sets to the shared folder; per row doc_id, n_shingles, class key, and place (slice and row).
+    """Write the sets to the shared folder; per row doc_id, text_hash, n_shingles, class key, and place (slice and row).
 
     Null texts count as empty.
     """
@@ -258,11 +258,13 @@ def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
                 _write_sets(folder, number, features, offsets)
                 places = (number << 20) + np.arange(piece.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(keys.view(np.int64)), pa.array(places)], ["doc_id", "n_shingles", "class", "place"]
+                    [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(offsets)), pa.array(keys.view(np.int64)), pa.array(places)],
+                    ["doc_id", "text_hash", "n_shingles", "class", "place"],
                 )
                 number += 1
 
-    return stored(docs.select("doc_id", "text").mapInArrow(shingled, f"doc_id {kind}, n_shingles long, class long, place long"), "shingles")
+    inputs = docs.select("doc_id", "text", text_hash().alias("text_hash"))
+    return stored(inputs.mapInArrow(shingled, f"doc_id {kind}, text_hash long, n_shingles long, class long, place long"), "shingles")
 
 
 def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
@@ -344,6 +346,23 @@ def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
     return packed.repartitionById(shards, F.col("shard")).mapInArrow(joined, "u long, v long")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _settled(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class, and per class of non-empty sets the first member (doc_id, text_hash) of its component."""
+    folder = work_dir(docs.sparkSession, "sets")
+    rows = shingle_classes(docs, words, folder)
+    member = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
+    full = rows.where("n_shingles > 0")
+    classes = stored(full.groupBy("class").agg(F.min("place").alias("place"), F.min(member).alias("least"), F.first("n_shingles").alias("n_shingles")), "classes")
+    roots = components(class_links(classes.select("place", "n_shingles"), folder, threshold))
+    rooted = classes.join(roots, classes.place == roots.node, "left").select("class", "least", F.coalesce("root", "place").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "its_root")
+    return rows, stored(rooted.join(first, rooted.root == first.its_root).select(F.col("class").alias("its_class"), "first"), "components")
+
+
 def linked_components(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -351,15 +370,34 @@ def linked_components(docs: DataFrame, words: int = 4, threshold: int = 85) -> D
     shingles (the whole text, if shorter).  component_id is the smallest doc_id that links reach.  Empty
     sets link with nothing and keep their own doc_id; null ids take part, but are never the smallest.
     """
-    folder = work_dir(docs.sparkSession, "sets")
-    rows = shingle_classes(docs, words, folder)
+    rows, settled = _settled(docs, words, threshold)
     full = rows.where("n_shingles > 0")
-    classes = stored(full.groupBy("class").agg(F.min("place").alias("place"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles")), "classes")
-    roots = components(class_links(classes.select("place", "n_shingles"), folder, threshold))
-    rooted = classes.join(roots, classes.place == roots.node, "left").select("class", "least", F.coalesce("root", "place").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "its_root")
-    settled = stored(
-        rooted.join(smallest, rooted.root == smallest.its_root).select(F.col("class").alias("its_class"), "component_id"), "components"
-    )
-    joined = full.join(settled, F.col("class") == F.col("its_class")).select("doc_id", "n_shingles", "component_id")
+    joined = full.join(settled, F.col("class") == F.col("its_class")).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     return joined.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+#: Keys of rows to drop up to which they are broadcast (16 bytes each); beyond, the join is by shuffle.
+BROADCAST_KEYS = 300_000
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """One row of each group of linked documents, with all columns of ``docs``: the one with the smallest doc_id.
+
+    Documents without words link with nothing and all stay.  Repeated rows (one id and text) count as
+    copies of each other.
+    """
+    rows, settled = _settled(docs, words, threshold)
+    full = rows.where("n_shingles > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    judged = full.join(settled, F.col("class") == F.col("its_class")).select("doc_id", "text_hash", same.alias("stays"))
+    keys = stored(judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "judged")
+    dropped = keys.where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    n_dropped, repeated = keys.agg(F.count(F.when(~F.col("stays"), 1)), F.count(F.when(F.col("stays") & (F.col("n") > 1), 1))).first()
+    hashed = docs.withColumn("__text_hash", text_hash())
+    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    kept = hashed.join(F.broadcast(dropped) if n_dropped <= BROADCAST_KEYS else dropped, here, "left_anti")
+    if repeated:  # rows that repeat a kept row, words or none: only those with words are copies
+        bare = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", "")) == 0
+        once = kept.where(~bare).dropDuplicates(["doc_id", "__text_hash"])
+        kept = once.unionByName(kept.where(bare))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

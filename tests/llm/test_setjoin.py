@@ -76,3 +76,13 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (5, 5)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 102: 100}
+
+
+def test_keeps_one_of_each(spark):
+    rows = list(enumerate(near_texts(4, 120))) + [(500, "a b c d e f"), (500, "a b c d e f"), (501, "A b c d e f"), (502, ""), (503, ""), (502, ""), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, place string").repartition(3)
+    got = setjoin.keep_one_of_each(docs, 5, 80)
+    assert got.columns == docs.columns
+    groups = brute(rows, 5, 80)
+    expected = [*{c for _, n, c in groups if n}, *(k for k, n, _ in groups if not n)]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(expected)
