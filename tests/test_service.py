@@ -76,3 +76,15 @@ def test_migration_once_and_failed_write(spark, tmp_path):
     except Exception:
         pass
     assert engine.store.state() == before and contents(engine, "lore") == ["a", "b"]
+
+
+def test_edit_stream(spark, tmp_path):
+    from slotloom.streaming.edits import apply_edit_stream
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.save("lore", "a\n\nb", NOW)
+    source = str(tmp_path / "edits")
+    spark.createDataFrame([(1, " A "), (2, " ")], "id long, content string").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("id long, content string").parquet(source)
+    apply_edit_stream(engine, stream, str(tmp_path / "check"), NOW, once=True).awaitTermination()
+    assert engine.text("lore") == "A\n\nb"
