@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from slotloom.llm import setjoin
@@ -86,3 +87,49 @@ def test_keeps_one_of_each(spark):
     groups = brute(rows, 5, 80)
     expected = [*{c for _, n, c in groups if n}, *(k for k, n, _ in groups if not n)]
     assert sorted(r.doc_id for r in got.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("crowd", [2, 5, 1000])
+def test_forest_settles_all_pairs(monkeypatch, crowd):
+    monkeypatch.setattr(setjoin, "CROWD", crowd)
+    rng = np.random.default_rng(crowd)
+    base = [rng.choice(5000, 120, replace=False) for _ in range(3)]
+    parts = []
+    for k in range(90):
+        own = base[k % 3].copy()
+        own[rng.choice(120, rng.integers(0, 22), replace=False)] = rng.integers(5000, 10**6)
+        parts.append(np.unique(own).astype(np.uint64))
+
+    class Held:
+        def take(self, _, local):
+            return parts[local]
+
+    forest = setjoin.Forest(Held(), 85)
+    groups = [sorted(rng.choice(90, rng.integers(2, 40), replace=False).tolist()) for _ in range(40)]
+    for group in groups:
+        forest.group(group)
+    parent = list(range(90))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for group in groups:
+        for i, x in enumerate(group):
+            for y in group[:i]:
+                if setjoin.linked(parts[x], parts[y], 85):
+                    parent[find(x)] = find(y)
+    assert all(setjoin.linked(parts[x], parts[y], 85) for x, y in forest.edges) and len(forest.edges) == 90 - len({find(x) for x in range(90)})
+    assert all((forest.find(x) == forest.find(y)) == (find(x) == find(y)) for x in range(90) for y in range(x))
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        a = np.unique(rng.integers(0, 2**48, rng.integers(1, 400), dtype=np.uint64))
+        keep = a[rng.random(len(a)) < rng.uniform(0.85, 1)]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**48, rng.integers(0, 1 + len(a) // 10), dtype=np.uint64)]))
+        if len(b) and setjoin.linked(a, b, 85):
+            signature, of = setjoin.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85)
+            assert set(signature[of == 0].tolist()) & set(signature[of == 1].tolist())
