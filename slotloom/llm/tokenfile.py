@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +39,52 @@ def public_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space, so that words between blanks are independent."""
+    """Ids of whole texts by a tokenizer that drops white space, so that words between blanks are independent.
+
+    A new word of Latin letters, with stops at its end or not, is two parts at most, and the library's model
+    is asked once for each part.  The library encodes all other new words as texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, all_texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         known = self.known
         if len(known) > _CACHE_WORDS:
             known.clear()
+        if len(self.parts) > _CACHE_WORDS:
+            self.parts.clear()
         split = [t.split() for t in all_texts]
         if new := [w for w in set().union(*split) if w not in known]:
-            for begin in range(0, len(new), 50_000):
-                part = new[begin : begin + 50_000]
-                found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            self._learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    def _learn(self, new: list[bytes]) -> None:
+        known, others = self.known, []
+        for word in new:
+            # letters below U+0180 in lower case stay as they are in the normaliser, and are one part
+            bare = word.rstrip(b".,;:!?")
+            letters = bare.decode("utf-8", "replace")
+            if letters.isalpha() and letters.islower() and max(letters) < "\u0180" and letters == letters.lower():
+                known[word] = self._part(letters) + self._part(word[len(bare) :].decode())
+            else:
+                others.append(word)
+        found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            plain = part.isascii() and part.isalpha()
+            spelled = [part] if plain else [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            ids = self.parts[part] = np.array([t.id for p in spelled for t in self.library.model.tokenize(p)], "<u4").tobytes()
+        return ids
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -197,72 +223,43 @@ class TokenFile:
         return found[begin - first * self.block : end - first * self.block]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2) -> list[tuple[int, str, int, int]]:
-    """Write all documents' ids to files in ascending order of doc_id; (bucket, path, documents, ids) of each.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2) -> list[tuple[str, int, int]]:
+    """Write all documents' ids to files in ascending order of doc_id; (path, documents, ids) of each, in that order.
 
     Null texts are empty; every document ends with ``end_id``.  Null ids come first; rows of one id stand
-    together, ordered by their ids.  Documents are dealt to as many ranges of ids as there are shuffle partitions; a
-    range holds that share of the rows, and its ids pass through a sort that can spill.
+    together, by text.  Texts are dealt to as many ranges of ids as there are shuffle partitions and pass
+    through a sort that can spill; packed data leaves the tokenizer as blocks fill up.
     """
     tokenizer = tokenizer or public_tokenizer()
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).first().cuts if parts > 1 else []
-    bounds = sorted(set(cuts or []))
     end = np.array([end_id], "<u4").tobytes()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first()]
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _tokenizer(tokenizer)
-        edges = np.array(bounds, np.int64)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, writer = _tokenizer(tokenizer), TokenFileWriter()
         for batch in batches:
             for piece in slices(batch, "text"):
-                keys = piece.column("doc_id")
-                known = np.asarray(keys.is_valid())
-                bucket = np.where(known, np.searchsorted(edges, np.asarray(keys.fill_null(0)), side="left"), 0).astype(np.int32)
-                ids = [x + end for x in words.encode(texts(piece.column("text")))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), keys, pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+                writer.add(piece.column("doc_id").to_pylist(), [x + end for x in words.encode([t.lower() for t in texts(piece.column("text"))])])
+        if writer.keys:
+            path = f"{folder}/ids-{TaskContext.get().partitionId():06d}.pfor"
+            put_file(path, writer.pieces())
+            row = {"first": writer.keys[0], "path": path, "n_docs": len(writer.keys), "n_ids": writer.total}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("first", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = (
-        docs.select("doc_id", "text").mapInArrow(encoded, f"bucket int, doc_id {kind}, ids binary")
-        .repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
-    )
+    rows = ordered.mapInArrow(write, "first long, path string, n_docs long, n_ids long").collect()
+    rows.sort(key=lambda r: (r["first"] is not None, r["first"] or 0))
+    return [(r["path"], r["n_docs"], r["n_ids"]) for r in rows]
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(bucket: int, writer: TokenFileWriter) -> pa.RecordBatch:
-            path = f"{folder}/ids-{bucket:06d}.pfor"
-            put_file(path, writer.pieces())
-            return pa.RecordBatch.from_pylist([{"bucket": bucket, "path": path, "n_docs": len(writer.keys), "n_ids": writer.total}], schema)
 
-        schema = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-        current, writer = -1, TokenFileWriter()
-        for batch in batches:
-            buckets = np.asarray(batch.column("bucket"))
-            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if buckets[a] != current:
-                    if current >= 0:
-                        yield finish(current, writer)
-                    current, writer = int(buckets[a]), TokenFileWriter()
-                part = batch.slice(a, b - a)
-                writer.add(part.column("doc_id").to_pylist(), part.column("ids").to_pylist())
-        if current >= 0:
-            yield finish(current, writer)
-
-    rows = ordered.mapInArrow(write, "bucket int, path string, n_docs long, n_ids long").collect()
-    return sorted((r.bucket, r.path, r.n_docs, r.n_ids) for r in rows)
-
-
-def read_token_files(docs_kind: str, files: list[tuple[int, str, int, int]], spark) -> DataFrame:
+def read_token_files(docs_kind: str, files: list[tuple[str, int, int]], spark) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens and ids_crc32, a task for each file."""
-    starts = np.cumsum([0, *(f[3] for f in files)])
+    starts = np.cumsum([0, *(f[2] for f in files)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                found = TokenFile(get_file(files[k][1]))
+                found = TokenFile(get_file(files[k][0]))
                 ends = found.ends
                 begins = np.concatenate([[0], ends[:-1]])
                 low = 0
