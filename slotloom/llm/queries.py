@@ -73,6 +73,35 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of one byte by the polynomial of crc32."""
+    found = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        found.append(value)
+    return found
+
+
+OP6_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents
+), summed AS (
+  SELECT doc_id, key, CAST(strlen(t) + 8 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(range(0, strlen(t)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+      lambda c, x: xor(c >> 8, CAST({_crc_table()}[(xor(c, x) & 255) + 1] AS BIGINT))), 4294967295) AS text_crc32
+  FROM texts
+), drawn AS (
+  SELECT *, list_transform(range(0, 25), lambda s: CAST('0x' || substr(md5(key || '/' || CAST(s AS VARCHAR)), 1, 13) AS BIGINT)) AS d,
+         CAST('0x' || substr(md5(key || ':' || CAST(text_crc32 AS VARCHAR)), 1, 13) AS BIGINT) AS place FROM summed
+), dealt AS (
+  SELECT *, CAST(list_position(d[1:24], list_max(d[1:24])) - 1 AS INTEGER) AS shard, CAST(list_position(d, list_max(d)) - 1 AS INTEGER) AS grown_shard FROM drawn
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM dealt
+"""
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked_components(table(spark, sf_dir, "documents"))
 
@@ -121,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op8_inner_products": OP8_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_shard": OP6_SQL, "op8_inner_products": OP8_SQL}
