@@ -5,7 +5,7 @@ Writes compute a new state as DataFrames and commit it as one version.  The time
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 from datetime import datetime
 from enum import Enum
 
