@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from slotloom.llm.jpeg import Frame, encode_payload
-from slotloom.llm.shared import slices, texts
+from slotloom.llm.shared import arrow_map, slices, texts
 
 SIDE = 64
 FRAME_MICROSECONDS = 40_000
@@ -170,7 +170,7 @@ def clip_rows(media: DataFrame, key: str, column: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([piece.schema.field(key), *((n, pa.int64()) for n in names), ("error", pa.string())]))
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInArrow(cut, f"`{key}` {kind}, clip long, first_frame long, last_frame long, start_ms long, end_ms long, error string")
+    return media.select(key, column).transform(arrow_map, cut, f"`{key}` {kind}, clip long, first_frame long, last_frame long, start_ms long, end_ms long, error string")
 
 
 def describe(text: bytes, side: int = SIDE) -> tuple:
@@ -198,6 +198,5 @@ def text_media_digests(docs: DataFrame, side: int = SIDE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return docs.select("doc_id", "text").transform(arrow_map, described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

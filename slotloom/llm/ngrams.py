@@ -20,15 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import key_crc, mapped, mix64, put_file, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, key_crc, mapped, mix64, put_file, slices, stored, texts, work_dir
 
 #: Hash of the end of a text, which counts as a word, and the id that stands before its first word.
 END = 1
 #: About so many words, and pairs before they are summed, per shard.
 SHARD_WORDS = 131_072
-SHARD_PAIRS = 4_000_000
-_CACHE_WORDS = 300_000
-_BATCH_TOKENS = 3_000_000
+SHARD_PAIRS = 3_000_000
+_CACHE_WORDS = 250_000
+_BATCH_TOKENS = 2_000_000
 HELD_OUT = 10
 
 
@@ -182,12 +182,12 @@ def _count_words(train: DataFrame, folder: str) -> tuple[int, list[WordShard | N
                 for text in texts(piece.column("text")):
                     held.update(words_of(text))
                 ends += piece.num_rows
-                if len(held) > 500_000:
+                if len(held) > 400_000:
                     yield out(0)
                     held.clear()
         yield out(ends)
 
-    words = stored(train.mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = stored(train.transform(arrow_map, counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     vocabulary, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     bits = max(0, int(np.ceil(np.log2(max(vocabulary, 1) / SHARD_WORDS)))) if vocabulary > SHARD_WORDS else 0
     shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
@@ -208,7 +208,7 @@ def _count_words(train: DataFrame, folder: str) -> tuple[int, list[WordShard | N
 
     shards: list[WordShard | None] = [None] * (1 << bits)
     offset = 0
-    for r in sorted(dealt.mapInArrow(write, "shard int, path string, n long").collect()):
+    for r in sorted(dealt.transform(arrow_map, write, "shard int, path string, n long").collect()):
         shards[r.shard] = WordShard(r.path, r.n, offset)
         offset += r.n
     return bits, shards, vocabulary, tokens
@@ -292,8 +292,8 @@ def train_model(train: DataFrame) -> Model:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    blocks = train.mapInArrow(paired, "shard int, n int, block binary").repartitionById(pair_shards, F.col("shard"))
-    merged = stored(blocks.mapInArrow(merge, "kind int, shard int, a long, b long, path string, block binary"), "pairs")
+    blocks = train.transform(arrow_map, paired, "shard int, n int, block binary").repartitionById(pair_shards, F.col("shard"))
+    merged = stored(blocks.transform(arrow_map, merge, "kind int, shard int, a long, b long, path string, block binary"), "pairs")
     pairs: list[PairShard | None] = [None] * pair_shards
     kinds, first_kinds = np.zeros(4, np.int64), np.zeros(3, np.int64)
     for r in merged.where("kind = 0").collect():
@@ -322,7 +322,7 @@ def train_model(train: DataFrame) -> Model:
     dealt = merged.where("kind > 0").repartitionById(len(words), F.col("shard"))
     stats: dict[int, str] = {}
     word_kinds, more, types = np.zeros(4, np.int64), 0, 0
-    for r in dealt.mapInArrow(gather, "shard int, path string, kinds binary, more long, total long").collect():
+    for r in dealt.transform(arrow_map, gather, "shard int, path string, kinds binary, more long, total long").collect():
         stats[r.shard] = r.path
         word_kinds = word_kinds + np.frombuffer(r.kinds, "<i8")
         more, types = more + r.more, types + r.total
@@ -422,7 +422,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 3 << 20):
                 n, known, base, score = scorer.score(texts(piece.column("text")))
                 columns = [pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / n))]
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
@@ -430,8 +430,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = docs.select("doc_id", "text", (key_crc("doc_id") % HELD_OUT == 0).alias("held_out"))
-    return inputs.mapInArrow(
-        scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+    return inputs.transform(arrow_map, scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     )
 
 

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import mix64, slices, texts, unit
+from slotloom.llm.shared import arrow_map, mix64, slices, texts, unit
 
 #: Lattice nodes that one worker keeps; beyond, it starts over with an empty cache.
-CACHE_NODES = 3_000_000
+CACHE_NODES = 1_000_000
 _BLANK = "▁"
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,10 +90,10 @@ class PieceSampler:
         return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
 
     def _learn(self, new: list[str]) -> None:
-        """Forward filtering of new chunks, some 200,000 characters at a time."""
+        """Forward filtering of new chunks, some 100,000 characters at a time."""
         begin, held = 0, 0
         for k, chunk in enumerate(new):
-            if held and held + len(chunk) > 200_000:
+            if held and held + len(chunk) > 100_000:
                 self._filter(new[begin:k])
                 begin, held = k, 0
             held += len(chunk)
@@ -228,16 +228,16 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, alpha: floa
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_file, alpha, seed)
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 2 << 20):
                 raw = texts(piece.column("text"))
                 ids, offsets = sampler.encode([t.decode("utf-8", "surrogatepass") for t in raw], np.asarray(piece.column("key")))
                 decoded = [sampler.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(raw, pa.binary()).cast(pa.string()), lists, pa.array(decoded, pa.binary()).cast(pa.string())],
+                    [piece.column("doc_id"), piece.column("text"), lists, pa.array(decoded, pa.binary()).cast(pa.string())],
                     ["doc_id", "text", "piece_ids", "decoded"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
-    return inputs.mapInArrow(sampled, f"doc_id {kind}, text string, piece_ids array<int>, decoded string")
+    return inputs.transform(arrow_map, sampled, f"doc_id {kind}, text string, piece_ids array<int>, decoded string")

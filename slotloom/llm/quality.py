@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import key_crc, labelled_sample, slices, stored, texts
+from slotloom.llm.shared import arrow_map, key_crc, labelled_sample, slices, stored, texts
 
 #: At most about so many labelled rows are learned from.
 FIT_ROWS = 20_000
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
                 rows = [x.tobytes() for x in _matrix(piece.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), piece.column("fold"), piece.column("y")], ["x", "fold", "y"])
 
-    train = stored(inputs.mapInArrow(measure, "x binary, fold int, y int"), "quality")
+    train = stored(inputs.transform(arrow_map, measure, "x binary, fold int, y int"), "quality")
 
     def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, len(STATISTICS))
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([rows], pa.int64())], ["sums", "n"])
 
-    parts = train.coalesce(16).mapInArrow(moments, "sums binary, n long").collect()
+    parts = train.coalesce(16).transform(arrow_map, moments, "sums binary, n long").collect()
     width = len(STATISTICS)
     rng = np.random.default_rng(seed)
     frequencies = rng.normal(0, 1 / np.sqrt(width), (width, fourier))
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
             yield pa.RecordBatch.from_arrays(packed, ["fold", "gram", "moment", "n"])
 
     folds: dict[int, list] = {}
-    for p in train.coalesce(16).mapInArrow(equations, "fold int, gram binary, moment binary, n long").collect():
+    for p in train.coalesce(16).transform(arrow_map, equations, "fold int, gram binary, moment binary, n long").collect():
         folds.setdefault(p.fold, []).append((np.frombuffer(p.gram).reshape(fourier + 1, -1), np.frombuffer(p.moment), p.n))
     weights = _solve([s for own in folds.values() for s in own], ridge)
     others = {f: _solve([s for g, own in folds.items() if g != f for s in own], ridge) if len(folds) > 1 else weights for f in folds}
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
             bins = np.floor(np.clip(raw, -0.5, 1.5) * _BINS).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(y)], ["bin", "y"])
 
-    seen = train.mapInArrow(apart, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
+    seen = train.transform(arrow_map, apart, "bin long, y double").groupBy("bin").agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
     knots, levels = pool_adjacent(
         np.array([(r.bin + 0.5) / _BINS for r in seen]), np.array([r.y for r in seen]), np.array([float(r.n) for r in seen])
     )
@@ -204,7 +204,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = docs.select("doc_id", "text", (key_crc("doc_id") % _FOLDS == 0).alias("held_out"))
-    return inputs.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return inputs.transform(arrow_map, scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,4 +215,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             for piece in slices(batch, "text"):
                 yield piece.filter(pa.array(model.score(_matrix(piece.column("text"))) >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.transform(arrow_map, kept, docs.schema)

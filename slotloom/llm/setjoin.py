@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.components import components
 from slotloom.llm.ngrams import word_hash, words_of
-from slotloom.llm.shared import mapped, mix64, put_file, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, mapped, mix64, put_file, slices, stored, texts, work_dir
 
 CELLS = 3
+#: Classes with one signature from which they are compared one against all.
+CROWD = 12
 #: Signatures per shard, about, and signatures in a block before it is sent off.
 SHARD_SIGNATURES = 2_500_000
 _BLOCK_SIGNATURES = 2_000_000
@@ -122,7 +124,7 @@ def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int) -> tup
         tag = mix64(band[row_owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
         for left_out in range(CELLS):
             kept = [rows[:, c] for c in range(CELLS) if c != left_out]
-            whole = tag + np.uint64(left_out + 1) * _STEP
+            whole = tag + np.uint64((left_out + 1) * int(_STEP) % 2**64)
             for values in kept:
                 whole = mix64(whole + values)
             out.append(whole & _LOW)
@@ -220,26 +222,46 @@ class Forest:
         return False
 
     def group(self, members: list[int]) -> None:
-        """Settle all pairs of classes that share a signature.
-
-        Members join one at a time; against each tree among those before, comparisons stop at the first link.
+        """Settle all pairs of classes that share a signature."""
+        if len({self.find(x) for x in members}) == 1:
+            return
+        if len(members) >= CROWD:
+            self._crowd(members)
+            return
+        for i, x in enumerate(members):
+            for y in members[:i]:
+                if self.find(x) != self.find(y):
+                    self.link(x, y)
+
+    def _crowd(self, members: list[int]) -> None:
+        """As ``group``, with one class against all others in one pass over their features.
+
+        Once all classes but those of the largest tree have been compared with everyone, no pair of
+        classes in two trees is left.
         """
-        trees: dict[int, list[int]] = {}
-        for x in members:
-            root = self.find(x)
-            for other in list(trees):
-                if other == root:
-                    continue
-                for y in reversed(trees[other]):
-                    if self.link(x, y):
-                        break
-            merged: dict[int, list[int]] = {}
-            for other, own in trees.items():
-                into = merged.setdefault(self.find(other), own)
-                if into is not own:
-                    into += own
-            merged.setdefault(self.find(x), []).append(x)
-            trees = merged
+        parts = [self.sets.take(x >> 20, x & 0xFFFFF) for x in members]
+        sizes = np.array([len(p) for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        names, local = np.unique(np.concatenate(parts), return_inverse=True)
+        local = local.astype(np.int32)
+        mark = np.zeros(len(names), np.int32)
+        tree = np.unique([self.find(x) for x in members], return_inverse=True)[1]
+        open_ = np.ones(len(members), bool)
+        while True:
+            left = np.flatnonzero(open_ & (tree != np.bincount(tree).argmax()))
+            if not len(left):
+                return
+            x = int(left[0])
+            open_[x] = False
+            own = local[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            common = np.add.reduceat(mark[local], starts)
+            mark[own] = 0
+            near = np.flatnonzero((100 * common >= self.threshold * (sizes + sizes[x] - common)) & (tree != tree[x]))
+            for y in near[np.unique(tree[near], return_index=True)[1]].tolist():
+                self.edges.append((members[x], members[y]))
+                self.parent[self.find(members[x])] = self.find(members[y])
+                tree[tree == tree[y]] = tree[x]
 
 
 def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
@@ -264,7 +286,7 @@ def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
                 number += 1
 
     inputs = docs.select("doc_id", "text", text_hash().alias("text_hash"))
-    return stored(inputs.mapInArrow(shingled, f"doc_id {kind}, text_hash long, n_shingles long, class long, place long"), "shingles")
+    return stored(inputs.transform(arrow_map, shingled, f"doc_id {kind}, text_hash long, n_shingles long, class long, place long"), "shingles")
 
 
 def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
@@ -342,8 +364,9 @@ def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    packed = by_slice.repartition(parts, "slice").mapInArrow(signed, "shard int, n int, m int, block binary")
-    return packed.repartitionById(shards, F.col("shard")).mapInArrow(joined, "u long, v long")
+    dealt = by_slice.repartitionById(parts, F.pmod(F.xxhash64("slice"), F.lit(parts)).cast("int"))
+    packed = dealt.transform(arrow_map, signed, "shard int, n int, m int, block binary")
+    return packed.repartitionById(shards, F.col("shard")).transform(arrow_map, joined, "u long, v long")
 
 
 def text_hash() -> Column:

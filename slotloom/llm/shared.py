@@ -8,10 +8,13 @@ where that setting is absent (tests, a laptop) is a local temporary folder used.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -142,6 +145,35 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         yield batch.slice(begin)
 
 
+#: Rows of an Arrow batch; a batch of ten thousand long texts would not fit beside the worker's own data.
+BATCH_ROWS = 2_000
+
+
+def _release() -> None:
+    """Give freed memory back to the system: workers live on and would keep it from the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a setting of the session) and memory released after each task."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(released, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import get_file, put_file, slices, texts, work_dir
+from slotloom.llm.shared import arrow_map, get_file, put_file, slices, texts, work_dir
 
 BLOCK = 256
 PERCENTILE = 0.9
@@ -50,25 +50,28 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def encode(self, all_texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
+        if len(known) > _CACHE_WORDS:  # the words of the last round stay at hand once more
+            self.before, known = known, {}
+            self.known = known
         if len(self.parts) > _CACHE_WORDS:
             self.parts.clear()
         split = [t.split() for t in all_texts]
         if new := [w for w in set().union(*split) if w not in known]:
-            self._learn(new)
+            known.update((w, self.before[w]) for w in new if w in self.before)
+            self._learn([w for w in new if w not in known])
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def _learn(self, new: list[bytes]) -> None:
         known, others = self.known, []
         for word in new:
             # letters below U+0180 in lower case stay as they are in the normaliser, and are one part
-            bare = word.rstrip(b".,;:!?")
+            bare = word.rstrip(b".,;:!?%&*#$")
             letters = bare.decode("utf-8", "replace")
             if letters.isalpha() and letters.islower() and max(letters) < "\u0180" and letters == letters.lower():
                 known[word] = self._part(letters) + self._part(word[len(bare) :].decode())
@@ -247,7 +250,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             row = {"first": writer.keys[0], "path": path, "n_docs": len(writer.keys), "n_ids": writer.total}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("first", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = ordered.mapInArrow(write, "first long, path string, n_docs long, n_ids long").collect()
+    rows = ordered.transform(arrow_map, write, "first long, path string, n_docs long, n_ids long").collect()
     rows.sort(key=lambda r: (r["first"] is not None, r["first"] or 0))
     return [(r["path"], r["n_docs"], r["n_ids"]) for r in rows]
 
@@ -275,7 +278,7 @@ def read_token_files(docs_kind: str, files: list[tuple[str, int, int]], spark) -
                     )
                     low = high
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(read, f"doc_id {docs_kind}, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(files), 1, max(1, len(files))).transform(arrow_map, read, f"doc_id {docs_kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import get_file, put_file, stored, work_dir
+from slotloom.llm.shared import arrow_map, get_file, put_file, stored, work_dir
 
 #: Vectors that the rotation is fitted on, at most about, and longest vectors that give first thresholds.
 FIT_ROWS = 20_000
@@ -60,7 +60,7 @@ def _rotation(rows: DataFrame, width: int, total: int, fit_rows: int) -> np.ndar
             gram += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["gram"])
 
-    parts = sample.coalesce(8).mapInArrow(moments, "gram binary").collect()
+    parts = sample.coalesce(8).transform(arrow_map, moments, "gram binary").collect()
     return np.linalg.svd(sum((np.frombuffer(p.gram).reshape(width, width) for p in parts), np.zeros((width, width))))[0]
 
 
@@ -155,7 +155,7 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
                 number += 1
 
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = [(r.path, r.n) for r in asked.mapInArrow(queries, "path string, n long").collect()]
+    blocks = [(r.path, r.n) for r in asked.transform(arrow_map, queries, "path string, n long").collect()]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_ = [(np.asarray(b.column("vec_id")), _stack(b.column("v"), width), np.asarray(b.column("norm"))) for b in batches if b.num_rows]
@@ -179,6 +179,6 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
 
     longest_first = [F.desc("norm"), F.col("vec_id")]
     dealt = rows.repartitionByRange(parts, *longest_first).sortWithinPartitions(*longest_first)
-    found = dealt.select("vec_id", "v", "norm").mapInArrow(compared, result)
+    found = dealt.select("vec_id", "v", "norm").transform(arrow_map, compared, result)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import labelled_sample, slices, stored, texts
+from slotloom.llm.shared import arrow_map, labelled_sample, slices, stored, texts
 
 #: At most about so many labelled rows are learned from, and so many features kept.
 FIT_ROWS = 20_000
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     a, n = F.col("toxic").cast("double"), F.col("docs").cast("double")
     cross = a * F.lit(total) - n * F.lit(pos)
     chi = cross * cross * F.lit(total) / (F.lit(pos * (total - pos)) * n * (F.lit(total) - n))
-    sums = train.mapInArrow(counted, "feature string, toxic long, docs long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
+    sums = train.transform(arrow_map, counted, "feature string, toxic long, docs long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     top = sums.where((F.col("docs") >= 3) & (n < total)).withColumn("chi", chi).where(F.col("chi") >= min(CHI_SQUARE, 0.3 * total)).orderBy(F.desc("chi"), "feature").limit(vocabulary).collect()
     index = {r.feature: i for i, r in enumerate(top)}
     raised = np.array([r.toxic * total > r.docs * pos for r in top], dtype=bool)
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
             packed = [pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float64())), batch.column("grade")]
             yield pa.RecordBatch.from_arrays(packed, ["at", "value", "grade"])
 
-    seen = train.mapInArrow(vectors, "at array<int>, value array<double>, grade int").collect()
+    seen = train.transform(arrow_map, vectors, "at array<int>, value array<double>, grade int").collect()
     rows = [dict(zip(r["at"], r["value"], strict=True)) for r in seen]
     given = np.array([r["grade"] for r in seen])
     if given.max() > 1:
@@ -179,7 +179,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, severity double, p_toxic double, toxic boolean")
+    return docs.select("doc_id", "text").transform(arrow_map, scored, f"doc_id {kind}, severity double, p_toxic double, toxic boolean")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,4 +190,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
             for piece in slices(batch, "text"):
                 yield piece.filter(pa.array(model.severity(texts(piece.column("text")))[1] < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.transform(arrow_map, kept, docs.schema)
