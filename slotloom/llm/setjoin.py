@@ -30,9 +30,9 @@ CELLS = 3
 #: Classes with one signature from which they are compared one against all.
 CROWD = 12
 #: Signatures per shard, about, and signatures in a block before it is sent off.
-SHARD_SIGNATURES = 2_500_000
-_BLOCK_SIGNATURES = 2_000_000
-_CACHE_WORDS = 300_000
+SHARD_SIGNATURES = 1_500_000
+_BLOCK_SIGNATURES = 1_000_000
+_CACHE_WORDS = 200_000
 _LOW = np.uint64(0xFFFFFFFFFFFF)  # features and signatures keep 48 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
