@@ -42,13 +42,15 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer that drops white space, so that words between blanks are independent.
 
     A new word of Latin letters, with stops at its end or not, is two parts at most, and the library's model
-    is asked once for each part.  The library encodes all other new words as texts.
+    is asked once for each part.  The library encodes all other new words as texts, and as they came: it looks
+    for its added tokens and composes marks before it turns to lower case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.added = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -61,19 +63,24 @@ class WordTokenizer:
             self.known = known
         if len(self.parts) > _CACHE_WORDS:
             self.parts.clear()
-        split = [t.split() for t in all_texts]
+        split = [self._folded(t).split() for t in all_texts]
         if new := [w for w in set().union(*split) if w not in known]:
             known.update((w, self.before[w]) for w in new if w in self.before)
             self._learn([w for w in new if w not in known])
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    def _folded(self, text: bytes) -> bytes:
+        """The text in lower case where no id depends on case: all ASCII, and no added token in any case."""
+        low = text.lower()
+        return low if text.isascii() and not any(a in low for a in self.added) else text
+
     def _learn(self, new: list[bytes]) -> None:
         known, others = self.known, []
         for word in new:
-            # letters below U+0180 in lower case stay as they are in the normaliser, and are one part
+            # letters below U+0180 only change to lower case in the normaliser, and are one part; U+0130 becomes two characters
             bare = word.rstrip(b".,;:!?%&*#$")
             letters = bare.decode("utf-8", "replace")
-            if letters.isalpha() and letters.islower() and max(letters) < "\u0180" and letters == letters.lower():
+            if letters.isalpha() and max(letters) < "\u0180" and (letters := letters.lower()).isalpha() and letters.islower():
                 known[word] = self._part(letters) + self._part(word[len(bare) :].decode())
             else:
                 others.append(word)
@@ -243,7 +250,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         words, writer = _tokenizer(tokenizer), TokenFileWriter()
         for batch in batches:
             for piece in slices(batch, "text"):
-                writer.add(piece.column("doc_id").to_pylist(), [x + end for x in words.encode([t.lower() for t in texts(piece.column("text"))])])
+                writer.add(piece.column("doc_id").to_pylist(), [x + end for x in words.encode(texts(piece.column("text")))])
         if writer.keys:
             path = f"{folder}/ids-{TaskContext.get().partitionId():06d}.pfor"
             put_file(path, writer.pieces())

@@ -42,5 +42,19 @@ def test_documents_match_the_library(spark):
     assert got == want
 
 
+def test_case_and_marks_are_left_to_the_library(spark):
+    texts = [
+        "<|ENDOFTEXT|>", "a<|EndOfText|>B <|endoftext|> <|STARTOFTEXT|>", "H\u0331allo", "T\u0308 W\u030a J\u030c, w\u030a", "É<|ENDOFTEXT|> THE The the.",
+        "Straße STRASSE ÀÉÎ Ÿ, İx ŠĐŽ; \u212a \u212b \u1e9e", "NAÏVE Naïve naïve! E\u0301 I\u0307", "Don'T É I'LL X-Ray 3D", "Plain ASCII text, With Don'T I'LL A1b2.",
+    ]
+    texts += [f"x{chr(c)}Y {chr(c)} {chr(c)}." for c in range(0x80, 0x250)]
+    library = Tokenizer.from_file(T.public_tokenizer())
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    starts = np.cumsum([0, *map(len, ids)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, T.token_file_digests(docs).collect()))
+    assert got == [(k, starts[k], len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids)]
+
+
 def test_empty_table(spark):
     assert T.token_file_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
