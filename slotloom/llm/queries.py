@@ -107,7 +107,7 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_products(table(spark, sf_dir, "embeddings"))
+    return topk.top_products(table(spark, sf_dir, "embeddings"), all_lengths=True)
 
 
 OP8_SQL = """

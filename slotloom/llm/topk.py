@@ -33,12 +33,11 @@ LARGEST = float(1 << 25)
 def whole_vectors(table: DataFrame) -> DataFrame:
     """vec_id, v (floor of 256 x per component) and norm of the rows that take part.
 
-    Null ids, null or empty vectors, null, non-finite or (256 x) over 2^25 components, and vectors of
-    another length than the longest take no part.
+    Null ids, null vectors, and vectors with null, non-finite or (256 x) over 2^25 components take no part.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     fit = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) <= F.lit(LARGEST / 256)))
-    rows = table.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.coalesce(fit, F.lit(False)))
+    rows = table.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fit, F.lit(False)))
     v = F.transform("x", lambda e: F.floor(e * 256.0))
     rows = rows.select("vec_id", v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))))
@@ -116,22 +115,54 @@ class Block:
         return bool(self.norms.max(initial=0) * norms[0] < 2**52)
 
 
-def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _first_rows(rows: DataFrame, k: int) -> DataFrame:
+    """The rows of smallest vec_id, enough of them that k remain without those of any one id."""
+    numbered = rows.select("vec_id").withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("vec_id")))
+    return numbered.where(F.col("copy") <= k).orderBy("vec_id").limit(2 * k).select("vec_id")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _with_empty(found: DataFrame, rows: DataFrame, k: int, every: int) -> DataFrame:
+    """Add products with empty vectors: they have no score and come after all others, by vec_id."""
+    full = F.size("v") > 0
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.max(full).alias("full"))
+    pairs = [
+        asked.where(wanted).crossJoin(F.broadcast(_first_rows(candidates, k))).where("query_id <> vec_id")
+        for wanted, candidates in ((F.col("full"), rows.where(~full)), (~F.col("full"), rows))
+    ]
+    return found.unionByName(pairs[0].unionByName(pairs[1]).select("query_id", "vec_id", F.lit(None).cast("long").alias("score")))
+
+
+def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int = FIT_ROWS, all_lengths: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` highest inner products.
 
     Queries are rows whose vec_id is divisible by ``every`` (of repeated ids the smallest vector);
     candidates all rows with another id, repeated rows once each.  No vectors or queries give no rows.
+    With ``all_lengths`` a missing component counts as zero and a product with an empty vector is null, as
+    in the query's SQL; without, vectors of another length than the longest take no part.
     """
     spark = table.sparkSession
     folder = work_dir(spark, "topk")
     result = "query_id long, vec_id long, score long"
     rows = whole_vectors(table)
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    rows = stored(rows.where(F.size("v") == width), "vectors")
+    size = F.size("v")
+    width, empty = rows.agg(F.coalesce(F.max(size), F.lit(0)), F.count_if(size == 0)).first()
+    if not all_lengths:
+        rows, empty = rows.where((size == width) & (size > 0)), 0
+    every_row = rows
+    rows = rows.where(size > 0)
+    if all_lengths:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - size)))
+    rows = stored(rows, "vectors")
     total = rows.count()
     parts = max(1, -(-total // PART_ROWS))
     if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        none = spark.createDataFrame([], result)
+        return _ranked(_with_empty(none, every_row, k, every) if empty else none, k)
     rotation = _rotation(rows, width, total, fit_rows)
     head = max(1, width // 4)
     longest = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").collect()
@@ -180,5 +211,4 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
     longest_first = [F.desc("norm"), F.col("vec_id")]
     dealt = rows.repartitionByRange(parts, *longest_first).sortWithinPartitions(*longest_first)
     found = dealt.select("vec_id", "v", "norm").transform(arrow_map, compared, result)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _ranked(_with_empty(found, every_row, k, every) if empty else found, k)

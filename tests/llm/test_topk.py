@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from slotloom.llm import topk
+from slotloom.llm import queries, topk
 
 
 def brute(rows, k=5, every=50):
@@ -47,3 +47,31 @@ def test_few_and_none(spark):
     assert topk.top_products(spark.createDataFrame([(1, [1.0]), (2, [2.0])], kind)).count() == 0
     two = topk.top_products(spark.createDataFrame([(0, [1.0, 2.0]), (2, [2.0, 0.5]), (3, [-1.0, 0.0])], kind))
     assert sorted((r["rank"], r.vec_id, r.score) for r in two.collect()) == [(1, 2, 256 * 512 + 512 * 128), (2, 3, -256 * 256)]
+
+
+def by_sql(folder):
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+        return sorted(db.sql(queries.OP8_SQL).fetchall())
+
+
+def by_query(spark, folder):
+    return sorted(map(tuple, queries.op8_inner_products(spark, str(folder)).collect()))
+
+
+@pytest.mark.parametrize("kind", ["one longer", "mixed", "with empty", "only empty"])
+def test_lengths_as_in_sql(spark, tmp_path, kind):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(150)] + [(200, None), (250, [1.0, None]), (300, [float("inf")]), (None, [2.0] * 9)]
+    if kind == "one longer":
+        rows.append((7_001, [0.5] * 9))
+    elif kind == "mixed":
+        rows += [(350, [4.0]), (400, [1.0, -2.0, 3.0]), (401, [9.0]), (450, [1.0] * 12)]
+    elif kind == "with empty":
+        rows = [(0, [1.0, 2.0]), (50, []), (51, []), (3, [-1.0]), (4, []), (100, [3.0] * 3), (52, [])]
+    else:
+        rows = [(0, []), (50, []), (7, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = by_sql(tmp_path)
+    assert want and by_query(spark, tmp_path) == want
