@@ -1,6 +1,6 @@
 """Exact top-k inner products: norm-sorted vectors, rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are whole numbers.  Ranges of norms become partitions; within one, vectors come by descending
+Vectors are whole numbers, kept as 256ths.  Ranges of norms become partitions; within one, vectors come by descending
 length.  A rotation from the singular vectors of a sample gathers most of the length in the first
 components, so a product over those plus the product of the remaining lengths bounds the score closely.
 Queries are a stated set; they wait in the shared folder in blocks, with a first threshold each from the
@@ -10,11 +10,12 @@ longest vectors, and every partition of candidates meets the blocks one by one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.llm.shared import arrow_map, get_file, put_file, stored, work_dir
@@ -26,21 +27,26 @@ QUERY_BLOCK = 256
 #: Candidates per partition, about, and per step.
 PART_ROWS = 50_000
 _STEP_ROWS = 2_048
-#: Greatest size of a component, so that products of 4,096 of them are exact in 64 bits.
-LARGEST = float(1 << 25)
+#: Greatest norm of 256 times a vector for products in 64 bits: by Cauchy-Schwarz no sum exceeds the product of two norms.
+LARGEST = float((1 << 31) - 1)
 
 
 def whole_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, v (floor of 256 x per component) and norm of the rows that take part.
+    """vec_id, w (floor of 256 x per component, as 256ths) and norm of 256 w of the rows that take part.
 
-    Null ids, null vectors, and vectors with null, non-finite or (256 x) over 2^25 components take no part.
+    Null ids, null vectors, and vectors with null or non-finite components take no part.  Doubles hold w exactly.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
-    fit = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) <= F.lit(LARGEST / 256)))
+    fit = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = table.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fit, F.lit(False)))
-    v = F.transform("x", lambda e: F.floor(e * 256.0))
-    rows = rows.select("vec_id", v.alias("v"))
-    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))))
+    # doubles of 2^50 and more are whole 256ths
+    w = F.transform("x", lambda e: F.when(F.abs(e) < float(1 << 50), F.floor(e * 256.0).cast("double") / 256.0).otherwise(e))
+    rows = rows.select("vec_id", w.alias("w"))
+    return rows.withColumn("norm", _norm())
+
+
+def _norm() -> Column:
+    return F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, e: s + (e * 256.0) * (e * 256.0)))
 
 
 def _stack(column: pa.Array, width: int) -> np.ndarray:
@@ -50,12 +56,12 @@ def _stack(column: pa.Array, width: int) -> np.ndarray:
 def _rotation(rows: DataFrame, width: int, total: int, fit_rows: int) -> np.ndarray:
     """Singular vectors of the sample's second moments, summed per partition, as columns by falling value."""
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    sample = rows.where(share < int((1 << 30) * min(1.0, fit_rows / max(total, 1)))).select("v")
+    sample = rows.where(share < int((1 << 30) * min(1.0, fit_rows / max(total, 1)))).select("w")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((width, width))
         for batch in batches:
-            x = _stack(batch.column("v"), width).astype(np.float64)
+            x = _stack(batch.column("w"), width) * 256.0
             gram += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["gram"])
 
@@ -122,19 +128,97 @@ def _first_rows(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best_first = Window.partitionBy("query_id").orderBy(*([F.desc("side")] if "side" in found.columns else []), F.desc_nulls_last("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    if "side" in found.columns:
+        beyond = F.raise_error(F.concat(F.lit("score beyond 64 bits: "), F.col("query_id"), F.lit(" x "), F.col("vec_id"))).cast("long")
+        best = best.withColumn("score", F.when(F.col("side").isin(1, -1), beyond).otherwise(F.col("score")))
+    return best.select("query_id", "rank", "vec_id", "score")
 
 
 def _with_empty(found: DataFrame, rows: DataFrame, k: int, every: int) -> DataFrame:
     """Add products with empty vectors: they have no score and come after all others, by vec_id."""
-    full = F.size("v") > 0
+    full = F.size("w") > 0
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.max(full).alias("full"))
     pairs = [
         asked.where(wanted).crossJoin(F.broadcast(_first_rows(candidates, k))).where("query_id <> vec_id")
         for wanted, candidates in ((F.col("full"), rows.where(~full)), (~F.col("full"), rows))
     ]
-    return found.unionByName(pairs[0].unionByName(pairs[1]).select("query_id", "vec_id", F.lit(None).cast("long").alias("score")))
+    none = pairs[0].unionByName(pairs[1]).select("query_id", "vec_id", F.lit(None).cast("long").alias("score"))
+    return found.unionByName(none.withColumn("side", F.lit(-2)) if "side" in found.columns else none)
+
+
+def _integers(w: np.ndarray) -> list[int]:
+    return [n * 256 // d for n, d in map(float.as_integer_ratio, w.tolist())]
+
+
+def _scaled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with components of 1 at most, by powers of two, the powers, and the norms of what is left."""
+    powers = np.frexp(np.abs(w).max(axis=1))[1]
+    rows = np.ldexp(w, -powers[:, None])
+    return rows, powers, np.sqrt((rows**2).sum(axis=1))
+
+
+def _exact_best(own: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Query, candidate and exact score of each query's k best: doubles choose, within their error, whom integers score."""
+    fine, of = np.unique(vectors, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    whole: dict[int, list[int]] = {}
+    a, _, a_norms = _scaled(asked)
+    best: list[list[tuple[int, int]]] = [[] for _ in own]
+    mine = [_integers(w) for w in asked]
+    for begin in range(0, len(ids), _STEP_ROWS):
+        at = np.arange(begin, min(begin + _STEP_ROWS, len(ids)))
+        b, powers, b_norms = _scaled(vectors[at])
+        shift = powers - powers.max()
+        score = np.ldexp(a @ b.T, shift)
+        error = np.ldexp(np.outer(a_norms, b_norms) * (2.0**-50 * vectors.shape[1]), shift) + 1e-300
+        for q in range(len(own)):
+            other = np.flatnonzero(ids[at] != own[q])
+            if len(other) > k:
+                least = np.partition(score[q, other] - error[q, other], -k)[-k]
+                other = other[score[q, other] + error[q, other] >= least]
+            exact: dict[int, int] = {}
+            for c in at[other].tolist():
+                d = int(of[c])
+                if d not in exact:
+                    if d not in whole:
+                        whole[d] = _integers(fine[d])
+                    exact[d] = sum(map(mul, mine[q], whole[d]))
+                best[q].append((-exact[d], int(ids[c])))
+            best[q] = sorted(best[q])[:k]
+    return [(int(i), c, -s) for i, found in zip(own, best, strict=True) for s, c in found]
+
+
+def _exact_products(asked: DataFrame, candidates: DataFrame, width: int, k: int, folder: str) -> DataFrame:
+    """query_id, vec_id, score and side of each query's best candidates in each part; side is 1 or -1 beyond 64 bits."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                piece = batch.slice(at, QUERY_BLOCK)
+                path = f"{folder}-{TaskContext.get().partitionId()}-{number}"
+                put_file(path, [np.asarray(piece.column("vec_id")).astype("<i8").tobytes(), _stack(piece.column("w"), width).tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([piece.num_rows], pa.int64())], ["path", "n"])
+                number += 1
+
+    blocks = [(r.path, r.n) for r in asked.select("vec_id", "w").transform(arrow_map, write, "path string, n long").collect()]
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column("vec_id")), _stack(b.column("w"), width)) for b in batches if b.num_rows]
+        if not parts:
+            return
+        ids, vectors = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for path, n in blocks:
+            blob = get_file(path)
+            found = _exact_best(np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<f8", n * width, 8 * n).reshape(n, width), ids, vectors, k)
+            inside = [-(1 << 63) <= s < 1 << 63 for _, _, s in found]
+            columns = [[q for q, _, _ in found], [c for _, c, _ in found], [s if i else 0 for (_, _, s), i in zip(found, inside, strict=True)]]
+            sides = [0 if i else 1 if s > 0 else -1 for (_, _, s), i in zip(found, inside, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(sides, pa.int32())], ["query_id", "vec_id", "score", "side"])
+
+    return candidates.select("vec_id", "w").transform(arrow_map, compared, "query_id long, vec_id long, score long, side int")
 
 
 def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int = FIT_ROWS, all_lengths: bool = False) -> DataFrame:
@@ -149,32 +233,40 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
     folder = work_dir(spark, "topk")
     result = "query_id long, vec_id long, score long"
     rows = whole_vectors(table)
-    size = F.size("v")
-    width, empty = rows.agg(F.coalesce(F.max(size), F.lit(0)), F.count_if(size == 0)).first()
+    size = F.size("w")
+    width, empty, long = rows.agg(F.coalesce(F.max(size), F.lit(0)), F.count_if(size == 0), F.count_if(F.col("norm") > LARGEST)).first()
     if not all_lengths:
         rows, empty = rows.where((size == width) & (size > 0)), 0
     every_row = rows
     rows = rows.where(size > 0)
     if all_lengths:
-        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - size)))
+        rows = rows.withColumn("w", F.concat("w", F.array_repeat(F.lit(0.0), F.lit(width) - size)))
     rows = stored(rows, "vectors")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("w").alias("w"))
+    beyond = None
+    if long:  # some norms are too long for 64 bits: all products with those vectors are made apart
+        asked = stored(asked.withColumn("norm", _norm()), "asked")
+        every_full, ordinary = rows, F.col("norm") <= LARGEST
+        beyond = _exact_products(asked.where(ordinary), every_full.where(~ordinary), width, k, f"{folder}/long")
+        beyond = beyond.unionByName(_exact_products(asked.where(~ordinary), every_full, width, k, f"{folder}/all"))
+        asked, rows = asked.where(ordinary), rows.where(ordinary)
     total = rows.count()
     parts = max(1, -(-total // PART_ROWS))
     if not total:
-        none = spark.createDataFrame([], result)
+        none = beyond if long else spark.createDataFrame([], result)
         return _ranked(_with_empty(none, every_row, k, every) if empty else none, k)
     rotation = _rotation(rows, width, total, fit_rows)
     head = max(1, width // 4)
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").collect()
+    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "w").collect()
     top_ids = np.array([r.vec_id for r in longest], np.int64)
-    top = np.array([r.v for r in longest], np.float64).reshape(-1, width)
+    top = np.array([r.w for r in longest], np.float64).reshape(-1, width) * 256.0
 
     def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 piece = batch.slice(at, QUERY_BLOCK)
-                ids, vectors = np.asarray(piece.column("vec_id")), _stack(piece.column("v"), width).astype(np.float64)
+                ids, vectors = np.asarray(piece.column("vec_id")), _stack(piece.column("w"), width) * 256.0
                 # sums of another order may differ by a hair; 1 less is below any of them
                 scores = vectors @ top.T
                 scores[ids[:, None] == top_ids[None, :]] = -np.inf
@@ -185,15 +277,14 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(ids)], pa.int64())], ["path", "n"])
                 number += 1
 
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = [(r.path, r.n) for r in asked.transform(arrow_map, queries, "path string, n long").collect()]
+    blocks = [(r.path, r.n) for r in asked.select("vec_id", "w").transform(arrow_map, queries, "path string, n long").collect()]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_ = [(np.asarray(b.column("vec_id")), _stack(b.column("v"), width), np.asarray(b.column("norm"))) for b in batches if b.num_rows]
+        parts_ = [(np.asarray(b.column("vec_id")), _stack(b.column("w"), width), np.asarray(b.column("norm"))) for b in batches if b.num_rows]
         if not parts_:
             return
         ids, vectors, norms = (np.concatenate(x) for x in zip(*parts_, strict=True))
-        vectors = vectors.astype(np.float64)
+        vectors = vectors * 256.0
         turned = vectors @ rotation
         front, rest = np.ascontiguousarray(turned[:, :head]), np.sqrt((turned[:, head:] ** 2).sum(axis=1))
         for path, n in blocks:
@@ -210,5 +301,7 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
 
     longest_first = [F.desc("norm"), F.col("vec_id")]
     dealt = rows.repartitionByRange(parts, *longest_first).sortWithinPartitions(*longest_first)
-    found = dealt.select("vec_id", "v", "norm").transform(arrow_map, compared, result)
+    found = dealt.select("vec_id", "w", "norm").transform(arrow_map, compared, result)
+    if long:
+        found = found.withColumn("side", F.lit(0)).unionByName(beyond)
     return _ranked(_with_empty(found, every_row, k, every) if empty else found, k)

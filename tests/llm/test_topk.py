@@ -75,3 +75,28 @@ def test_lengths_as_in_sql(spark, tmp_path, kind):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     want = by_sql(tmp_path)
     assert want and by_query(spark, tmp_path) == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_great_components_as_in_sql(spark, tmp_path, kind):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3)]) for i in range(120)]
+    rows += [(150, [140_000.0, 1.0, -2.5]), (151, [-3.0e6, 140_000.25, 0.0]), (200, [9.0e6, -1.0, 3.0]), (201, [9.0e6, -1.0, 3.0]), (202, [1.1e7, 0.0, 1.0]), (250, [0.0, 0.0, 1.5e7])]
+    spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = by_sql(tmp_path)
+    assert max(r[3] for r in want) > 2**61 and by_query(spark, tmp_path) == want
+
+
+def test_only_great_components(spark):
+    rows = [(0, [2.0**23, 1.0]), (1, [2.0**23, 2.0]), (2, [2.0**23, 2.0]), (50, [-(2.0**23), 3.0])]
+    got = topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, all_lengths=True)
+    assert sorted(map(tuple, got.collect())) == brute(rows, k=3)
+
+
+def test_scores_beyond_64_bits(spark):
+    kind = "vec_id long, embedding array<double>"
+    far = [(0, [1e300, 0.0]), (1, [-1e300, 1.0]), (2, [0.0, 4.0]), (3, [-0.0, -5.0])]
+    two = topk.top_products(spark.createDataFrame(far, kind), k=2)  # the product beyond comes after both others
+    assert sorted(map(tuple, two.collect())) == [(0, 1, 2, 0), (0, 2, 3, 0)]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_products(spark.createDataFrame(far, kind), k=3).collect()
