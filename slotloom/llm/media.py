@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +77,10 @@ def _walk(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, bytes, int
 
 
 def read_avi(data: bytes) -> Avi:
-    """Parse a RIFF AVI file; frames come from its index, or from the stream itself if that has none."""
+    """Parse a RIFF AVI file; frames come from its index, or from the stream where that has none.
+
+    An OpenDML file goes on in further RIFF parts, of which idx1 says nothing: their lists are walked.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     width = height = 0
@@ -104,18 +108,22 @@ def read_avi(data: bytes) -> Avi:
             index += [struct.unpack_from("<4s4xII", data, at + 16 * k) for k in range(size // 16)]
     own = {b"%02ddc" % (video or 0), b"%02ddb" % (video or 0)}
     spans: list[tuple[int, int]] = []
+    listed: list[list[tuple[bytes, tuple[int, int]]]] = [[] for _ in movies]
     if index and movies:
         first = index[0][1]
         base = movies[0][0] - 4 if data[movies[0][0] - 4 + first : movies[0][0] + first] == index[0][0] else 0
-        spans = [(base + place + 8, size) for name, place, size in index if name in own]
-    else:
-        todo = [x for at, size in movies for x in _walk(data, at, at + size)]
+        begins = [at for at, _ in movies]
+        for name, place, size in index:
+            listed[max(bisect_right(begins, base + place) - 1, 0)].append((name, (base + place + 8, size)))
+    for (at, size), entries in zip(movies, listed, strict=True):
+        spans += [span for name, span in entries if name in own]
+        todo = [] if entries else [*_walk(data, at, at + size)]
         while todo:
-            name, kind, at, size = todo.pop(0)
+            name, kind, begin, n = todo.pop(0)
             if kind == b"rec ":
-                todo = [*_walk(data, at, at + size), *todo]
+                todo = [*_walk(data, begin, begin + n), *todo]
             elif name in own:
-                spans.append((at, size))
+                spans.append((begin, n))
     return Avi(data, width, height, frame_us, comment, spans)
 
 

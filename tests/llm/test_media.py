@@ -122,6 +122,19 @@ def test_clips_with_and_without_index(spark):
     assert {r.k for r in got if r.error} >= {3, 4} and not [r for r in got if r.k == 2]
 
 
+def test_further_riff_parts():
+    frames = [flat(40)] * 6 + [flat(200)] * 5 + [flat(90)] * 4
+    chunks = [media._chunk(b"00dc", f) for f in frames]
+    part = lambda *lists: media._chunk(b"RIFF", b"AVIX" + b"".join(lists))
+    first = media.write_avi(frames[:4], 16, 16, 100_000)
+    data = first + part(media._list(b"movi", media._chunk(b"ix00", b"\0" * 24), *chunks[4:9])) + part(media._list(b"movi", media._list(b"rec ", *chunks[9:12]), *chunks[12:]))
+    whole = media.read_avi(media.write_avi(frames, 16, 16, 100_000))
+    for found in (media.read_avi(data), media.read_avi(data.replace(b"idx1", b"JUNK"))):
+        assert [found.data[a : a + n] for a, n in found.spans] == frames
+        assert media.clips(found) == media.clips(whole) == [(0, 0, 5, 0, 600), (1, 6, 10, 600, 1100), (2, 11, 14, 1100, 1500)]
+    assert media.read_avi(first).spans == found.spans[:4]
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None), (None, "abc")], "doc_id long, text string")
     got = {r.doc_id: r for r in media.text_media_digests(docs).collect()}
