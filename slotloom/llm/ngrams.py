@@ -1,11 +1,12 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney model of order 2 or 3.
 
 Counting happens in Spark in three passes.  Words are counted by hash; their places in the sorted hash
 arrays are their ids.  Adjacent ids are counted per shard of a hash of the pair, so no frequent word or
 pair meets in one task, and travel as sorted, compressed blocks.  Every shard then holds the whole count of
 its pairs, so what each word needs (how often and how variously it is followed, after how many words it
-comes) is a sum of the shards' parts, gathered per range of ids.  The model is a set of sorted hash arrays
-and arrays by id in the shared folder, which workers memory-map.
+comes) is a sum of the shards' parts, gathered per range of ids.  Order 3 first counts triples, per shard of a
+hash of their first two words, and a pair then counts as many words as come before it.  The model is a set of
+sorted hash arrays and arrays by id in the shared folder, which workers memory-map.
 """
 
 from __future__ import annotations
@@ -55,6 +56,16 @@ class PairShard:
     large: int
 
 
+@dataclass(frozen=True)
+class TripleShard:
+    path: str
+    triples: int
+    large: int
+    contexts: str
+    single: int
+    more: int
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the handful of numbers that belong to the whole corpus."""
@@ -72,6 +83,8 @@ class Model:
     discounts: np.ndarray
     word_discounts: np.ndarray
     lower_weight: float
+    triples: list[TripleShard | None] | None = None
+    triple_discounts: np.ndarray | None = None
 
 
 class Vocabulary:
@@ -129,6 +142,121 @@ def pair_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return before << np.uint64(32) | ids.astype(np.uint64)
 
 
+def triple_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the two ids before it in 64 bits; of a text's first word both are the mark, of its second the first."""
+    before = np.full(len(ids), _FIRST, np.uint64)
+    before[1:] = ids[:-1]
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    before[starts] = _FIRST
+    second = np.full(len(ids), _FIRST, np.uint64)
+    second[1:] = before[:-1]
+    second[starts] = _FIRST
+    return second << np.uint64(32) | before
+
+
+def _triple_hash(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix64(mix64(contexts) ^ ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _packed_triples(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+    left = np.diff(contexts >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
+    parts = (left, (contexts & _FIRST).astype("<u4"), ids.astype("<u4"), counts.astype("<u4"))
+    return pa.compress(np.concatenate([x.view(np.uint8).reshape(-1, 4).T.reshape(-1) for x in parts]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked_triples(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, 16 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, 4, n)
+    left, right, ids, counts = (np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes)
+    return np.cumsum(left, dtype=np.uint64) << np.uint64(32) | right.astype(np.uint64), ids, counts
+
+
+def _summed_triples(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((ids, contexts))
+    contexts, ids = contexts[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])]))
+    return contexts[first], ids[first], np.add.reduceat(counts[order].astype(np.int64), first)
+
+
+def _put_counts(path: str, hashes: np.ndarray, counts: np.ndarray) -> int:
+    """Write sorted hashes with counts of one byte, and the greater counts apart; the number of those."""
+    order = np.argsort(hashes)
+    by_hash = counts[order]
+    large = np.flatnonzero(by_hash >= 255)
+    put_file(path, [hashes[order].astype("<u8").tobytes(), large.astype("<i8").tobytes(), by_hash[large].astype("<i8").tobytes(), np.minimum(by_hash, 255).astype(np.uint8).tobytes()])
+    return len(large)
+
+
+def _by_shard(of: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(of, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(of[order].astype(np.int64))) + 1).tolist(), len(of)]
+    return [(int(of[order[a]]), order[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def _triple_blocks(train: DataFrame, folder: str, bits: int, words: list[WordShard | None], shards: int) -> DataFrame:
+    """Count triples by shards of the two words before, write their files, and give blocks of pairs for the level below.
+
+    A pair counts there as many as different words come before it, and at the start of a text as often as it is.
+    Rows whose n is -1 describe the files.
+    """
+
+    def tripled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(bits, words)
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            contexts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            contexts, ids, counts = _summed_triples(contexts, ids, np.ones(len(ids), np.int64))
+            # all texts share the context of their first words, so those are dealt by word
+            spread = np.where(contexts & _FIRST == _FIRST, contexts ^ ids.astype(np.uint64), contexts)
+            found = _by_shard(mix64(spread) % np.uint64(shards))
+            rows = [(k, len(at), _packed_triples(contexts[at], ids[at], counts[at])) for k, at in found]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "block"])
+
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                ids, ends = vocabulary.encode(texts(piece.column("text")))
+                held.append((triple_keys(ids, ends), ids.astype(np.uint32)))
+                size += len(ids)
+                if size > _BATCH_TOKENS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for shard, n, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), strict=True):
+                own = held.setdefault(shard, [[], 0])
+                own[0].append(_unpacked_triples(block, n))
+                own[1] += n
+                if own[1] > 2 * SHARD_PAIRS and len(own[0]) > 1:
+                    own[0], own[1] = [_summed_triples(*(np.concatenate(x) for x in zip(*own[0], strict=True)))], 0
+        schema = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("path", pa.string())])
+        for shard in list(held):
+            contexts, ids, counts = _summed_triples(*(np.concatenate(x) for x in zip(*held.pop(shard)[0], strict=True)))
+            first = contexts & _FIRST == _FIRST
+            keys, n = _summed((contexts & _FIRST) << np.uint64(32) | ids.astype(np.uint64), np.where(first, counts, 1))
+            rows = [{"shard": k, "n": len(at), "block": _packed(keys[at], n[at]), "path": None} for k, at in _by_shard(mix64(keys) % np.uint64(shards))]
+            contexts, ids, counts = contexts[~first], ids[~first], counts[~first]
+            path = f"{folder}/triples-{shard:06d}"
+            large = _put_counts(path, _triple_hash(contexts, ids), counts)
+            at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
+            sums = [np.add.reduceat(x.astype(np.int64), at) if len(at) else at for x in (counts, counts == 1, counts == 2, counts >= 3)]
+            hashes = mix64(contexts[at])
+            one = sums[0] == 1
+            order = np.argsort(hashes[~one])
+            put_file(f"{path}-c", [np.sort(hashes[one]).astype("<u8").tobytes(), hashes[~one][order].astype("<u8").tobytes(), *(x[~one][order].astype("<u4").tobytes() for x in sums)])
+            kinds = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+            numbers = np.array([shard, len(ids), large, int(one.sum()), int((~one).sum()), *kinds], "<i8")
+            rows.append({"shard": shard, "n": -1, "block": numbers.tobytes(), "path": path})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    blocks = train.transform(arrow_map, tripled, "shard int, n int, block binary").repartitionById(shards, F.col("shard"))
+    return blocks.transform(arrow_map, merge, "shard int, n int, block binary, path string").repartitionById(shards, F.col("shard"))
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys with counts, by bytes of equal weight, compressed."""
     left = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
@@ -214,8 +342,8 @@ def _count_words(train: DataFrame, folder: str) -> tuple[int, list[WordShard | N
     return bits, shards, vocabulary, tokens
 
 
-def train_model(train: DataFrame) -> Model:
-    """Count all texts of ``train`` (null: empty) and write the model to the shared folder."""
+def train_model(train: DataFrame, order: int = 2) -> Model:
+    """Count all texts of ``train`` (null: empty) and write the model of order 2 or 3 to the shared folder."""
     spark = train.sparkSession
     folder = work_dir(spark, "ngrams")
     train = train.select("text")
@@ -251,8 +379,13 @@ def train_model(train: DataFrame) -> Model:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[list]] = {}
+        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("path", pa.string()), ("block", pa.binary())])
         for batch in batches:
-            for shard, n, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), strict=True):
+            places = batch.column("path").to_pylist() if order == 3 else [None] * batch.num_rows
+            for shard, n, block, path in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), places, strict=True):
+                if n < 0:  # the files of a shard of triples
+                    yield pa.RecordBatch.from_pylist([{"kind": -1, "shard": shard, "a": 0, "b": 0, "path": path, "block": block}], schema)
+                    continue
                 own = held.setdefault(shard, [[], [], 0])
                 keys, counts = _unpacked(block, n)
                 own[0].append(keys)
@@ -261,26 +394,22 @@ def train_model(train: DataFrame) -> Model:
                 if own[2] > 2 * SHARD_PAIRS and len(own[0]) > 1:  # what repeats is summed before more comes
                     keys, counts = _summed(np.concatenate(own[0]), np.concatenate(own[1]))
                     own[0], own[1], own[2] = [keys], [counts], 0
-        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("path", pa.string()), ("block", pa.binary())])
         for shard, (keys, counts, _) in held.items():
             keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
-            hashes = mix64(keys)
-            order = np.argsort(hashes)
-            by_hash = counts[order]
-            large = np.flatnonzero(by_hash >= 255)
             path = f"{folder}/pairs-{shard:06d}"
-            put_file(path, [hashes[order].astype("<u8").tobytes(), large.astype("<i8").tobytes(), by_hash[large].astype("<i8").tobytes(), np.minimum(by_hash, 255).astype(np.uint8).tobytes()])
+            large = _put_counts(path, mix64(keys), counts)
             kinds = np.bincount(np.minimum(counts, 5), minlength=5)[1:5].astype("<i8").tobytes()
             first = keys >> np.uint64(32) == _FIRST
             starts = np.bincount(np.minimum(counts[first], 3), minlength=4)[1:4].astype("<i8").tobytes()
-            yield pa.RecordBatch.from_pylist([{"kind": 0, "shard": shard, "a": len(keys), "b": len(large), "path": path, "block": kinds + starts}], schema)
+            yield pa.RecordBatch.from_pylist([{"kind": 0, "shard": shard, "a": len(keys), "b": large, "path": path, "block": kinds + starts}], schema)
             rows = []
             left = (keys >> np.uint64(32)).astype(np.int64)
-            for kind, ids, values in ((1, left[~first], np.minimum(counts[~first], 3)), (2, (keys & _FIRST).astype(np.int64), np.ones(len(keys), np.int64))):
-                order = np.argsort(ids, kind="stable")
-                ids, values = ids[order], values[order]
+            for kind, ids, values in ((1, left[~first], counts[~first]), (2, (keys & _FIRST).astype(np.int64), np.ones(len(keys), np.int64))):
+                by_id = np.argsort(ids, kind="stable")
+                ids, values = ids[by_id], values[by_id]
                 at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-                parts = [np.add.reduceat((values == v).astype(np.int64), at) if len(at) else at for v in ((1, 2, 3) if kind == 1 else (1,))]
+                found = (values == 1, values == 2, values >= 3, values) if kind == 1 else (values,)
+                parts = [np.add.reduceat(v.astype(np.int64), at) if len(at) else at for v in found]
                 of = np.searchsorted(offsets, ids[at], side="right") - 1
                 edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -292,7 +421,10 @@ def train_model(train: DataFrame) -> Model:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    blocks = train.transform(arrow_map, paired, "shard int, n int, block binary").repartitionById(pair_shards, F.col("shard"))
+    if order == 3:
+        blocks = _triple_blocks(train, folder, bits, words, pair_shards)
+    else:
+        blocks = train.transform(arrow_map, paired, "shard int, n int, block binary").repartitionById(pair_shards, F.col("shard"))
     merged = stored(blocks.transform(arrow_map, merge, "kind int, shard int, a long, b long, path string, block binary"), "pairs")
     pairs: list[PairShard | None] = [None] * pair_shards
     kinds, first_kinds = np.zeros(4, np.int64), np.zeros(3, np.int64)
@@ -301,15 +433,22 @@ def train_model(train: DataFrame) -> Model:
         numbers = np.frombuffer(r.block, "<i8")
         kinds, first_kinds = kinds + numbers[:4], first_kinds + numbers[4:]
 
+    triples: list[TripleShard | None] = [None] * pair_shards
+    triple_kinds = np.zeros(4, np.int64)
+    for r in merged.where("kind = -1").collect():
+        shard, n, large, single, several, *found = np.frombuffer(r.block, "<i8").tolist()
+        triples[shard] = TripleShard(r.path, n, large, f"{r.path}-c", single, several)
+        triple_kinds = triple_kinds + np.array(found)
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for kind, shard, n, size, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "a", "b", "block")), strict=True):
-                table = held.setdefault(shard, np.zeros((4, words[shard].words), np.int64))
+                table = held.setdefault(shard, np.zeros((5, words[shard].words), np.int64))
                 planes = np.frombuffer(pa.decompress(block, size, codec="zstd", asbytes=True), np.uint8)
                 body = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1, n)
                 at = np.cumsum(body[0], dtype=np.int64)
-                rows = (1, 2, 3) if kind == 1 else (0,)
+                rows = (1, 2, 3, 4) if kind == 1 else (0,)
                 for row, values in zip(rows, body[1:], strict=True):
                     table[row, at] += values
         for shard, table in held.items():
@@ -329,7 +468,7 @@ def train_model(train: DataFrame) -> Model:
     word_discounts = kneser_ney_discounts(word_kinds)
     lower = float(word_discounts @ np.array([word_kinds[0], word_kinds[1], more])) / types if types else 1.0
     starts = int(train.count()) if vocabulary else 0
-    return Model(bits, words, stats, pair_shards, pairs, vocabulary, tokens, starts, first_kinds, types, kneser_ney_discounts(kinds), word_discounts, lower)
+    return Model(bits, words, stats, pair_shards, pairs, vocabulary, tokens, starts, first_kinds, types, kneser_ney_discounts(kinds), word_discounts, lower, *((triples, kneser_ney_discounts(triple_kinds)) if order == 3 else ()))
 
 
 class Scorer:
@@ -342,10 +481,12 @@ class Scorer:
         self.numbers = [k for k, w in enumerate(model.words) if w]
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.pairs: dict[int, tuple] = {}
+        self.triples: dict[int, tuple] = {}
+        self.contexts: dict[int, tuple] = {}
 
     def words(self, ids: np.ndarray) -> np.ndarray:
-        """For ascending ids, five rows: count, number of words before it, and of followers seen 1, 2, 3 or more times."""
-        out = np.zeros((5, len(ids)), np.int64)
+        """For ascending ids, six rows: count, number of words before it, of followers counted 1, 2, 3 or more times, and their sum."""
+        out = np.zeros((6, len(ids)), np.int64)
         of = np.searchsorted(self.offsets, ids, side="right") - 1
         edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -355,7 +496,7 @@ class Scorer:
             if k not in self.tables:
                 n = self.model.words[k].words
                 path = self.model.stats.get(k)
-                table = mapped(path, "<i8", 4 * n).reshape(4, n) if path else np.zeros((4, n), np.int64)
+                table = mapped(path, "<i8", 5 * n).reshape(5, n) if path else np.zeros((5, n), np.int64)
                 self.tables[k] = mapped(self.model.words[k].path, "<i8", n, 8 * n), table
             counts, table = self.tables[k]
             at = ids[a:b] - self.offsets[of[a]]
@@ -366,24 +507,56 @@ class Scorer:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of distinct pair keys; 0 if the corpus lacks one."""
         hashes = mix64(keys)
-        of = (hashes % np.uint64(self.model.pair_shards)).astype(np.int64)
+        return self._counts(hashes, hashes, [s and (s.path, s.pairs, s.large) for s in self.model.pairs], self.pairs)
+
+    def triple_counts(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Counts of triples; 0 if the corpus lacks one."""
+        return self._counts(_triple_hash(contexts, ids), mix64(contexts), [s and (s.path, s.triples, s.large) for s in self.model.triples], self.triples)
+
+    def _parts(self, hashes: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Shards of hashes dealt by others, and the places of those, by hash."""
+        of = (dealt % np.uint64(self.model.pair_shards)).astype(np.int64)
         order = np.lexsort((hashes, of))
-        out = np.zeros(len(keys), np.int64)
         edges = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b or (shard := self.model.pairs[of[order[a]]]) is None:
+            if a < b:
+                yield int(of[order[a]]), order[a:b]
+
+    def _counts(self, hashes: np.ndarray, dealt: np.ndarray, shards: list, arrays: dict[int, tuple]) -> np.ndarray:
+        out = np.zeros(len(hashes), np.int64)
+        for k, places in self._parts(hashes, dealt):
+            if shards[k] is None or not shards[k][1]:
                 continue
-            k = int(of[order[a]])
-            if k not in self.pairs:
-                n, m = shard.pairs, shard.large
-                self.pairs[k] = mapped(shard.path, "<u8", n), mapped(shard.path, "<i8", m, 8 * n), mapped(shard.path, "<i8", m, 8 * (n + m)), mapped(shard.path, "u1", n, 8 * n + 16 * m)
-            found, large, large_counts, small = self.pairs[k]
-            own = hashes[order[a:b]]
+            if k not in arrays:
+                path, n, m = shards[k]
+                arrays[k] = mapped(path, "<u8", n), mapped(path, "<i8", m, 8 * n), mapped(path, "<i8", m, 8 * (n + m)), mapped(path, "u1", n, 8 * n + 16 * m)
+            found, large, large_counts, small = arrays[k]
+            own = hashes[places]
             at = np.minimum(np.searchsorted(found, own), len(found) - 1)
             counts = np.where(found[at] == own, small[at], 0).astype(np.int64)
             full = np.flatnonzero(counts == 255)
             counts[full] = large_counts[np.searchsorted(large, at[full])]
-            out[order[a:b]] = counts
+            out[places] = counts
+        return out
+
+    def context_numbers(self, contexts: np.ndarray) -> np.ndarray:
+        """For pairs as contexts, four rows: how often they are followed, and by how many words once, twice, 3 or more times."""
+        out = np.zeros((4, len(contexts)), np.int64)
+        hashes = mix64(contexts)
+        for k, places in self._parts(hashes, hashes):
+            if (shard := self.model.triples[k]) is None:
+                continue
+            if k not in self.contexts:
+                n, m = shard.single, shard.more
+                self.contexts[k] = mapped(shard.contexts, "<u8", n), mapped(shard.contexts, "<u8", m, 8 * n), mapped(shard.contexts, "<u4", 4 * m, 8 * (n + m)).reshape(4, m)
+            single, more, numbers = self.contexts[k]
+            own = hashes[places]
+            if len(single):
+                out[:2, places] = single[np.minimum(np.searchsorted(single, own), len(single) - 1)] == own
+            if len(more):
+                at = np.minimum(np.searchsorted(more, own), len(more) - 1)
+                hit = more[at] == own
+                out[:, places[hit]] = numbers[:, at[hit]]
         return out
 
     def score(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -393,14 +566,14 @@ class Scorer:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         distinct, place = np.unique(ids, return_inverse=True)
         known = distinct >= 0
-        table = np.zeros((5, len(distinct)), np.int64)
+        table = np.zeros((6, len(distinct)), np.int64)
         table[:, known] = self.words(distinct[known])
         base = np.log10((table[0] + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
         before = table[1]
         types = max(m.pair_types, 1)
         lower = np.maximum(before - _discount(before, m.word_discounts), 0) / types + m.lower_weight / (m.vocabulary + 1)
-        count = table[0].astype(float)
-        back = np.where(count > 0, (m.discounts @ table[2:]) / np.maximum(count, 1), 1.0)
+        count = table[5].astype(float)
+        back = np.where(count > 0, (m.discounts @ table[2:5]) / np.maximum(count, 1), 1.0)
         first = np.zeros(len(ids), bool)
         first[starts] = True
         previous = np.concatenate([[0], place[:-1]])
@@ -412,10 +585,33 @@ class Scorer:
         counts = np.zeros(len(ids), np.int64)
         counts[usable] = self.pair_counts(pairs)[at]
         p = np.where(context > 0, (counts - _discount(counts, m.discounts)) / np.maximum(context, 1), 0) + weight * lower[place]
+        if m.triples is not None:
+            p = self._by_triples(ids, ends, p)
         sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         return np.diff(ends, prepend=0), sums(known[place].astype(np.int64)), sums(base[place]), sums(np.log10(p))
 
 
+    def _by_triples(self, ids: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Interpolate with the words after the two before; where those two were never seen, ``p`` stays."""
+        keys = triple_keys(ids, ends)
+        usable = keys & _FIRST != _FIRST
+        before = np.concatenate([[-1, -1], ids])
+        second = np.zeros(len(ids) + 2, bool)  # an unknown word's id has the bits of the mark, but is none
+        second[np.concatenate([[0], ends[:-1]]).astype(np.int64) + 1] = True
+        usable &= (before[1:-1] >= 0) & (second[: len(ids)] | (before[:-2] >= 0))
+        contexts, of = np.unique(keys[usable], return_inverse=True)
+        numbers = self.context_numbers(contexts)
+        discounts = self.model.triple_discounts
+        total = numbers[0][of]
+        weight = np.where(total > 0, (discounts @ numbers[1:])[of] / np.maximum(total, 1), 1.0)
+        counts = np.zeros(len(total), np.int64)
+        seen = np.flatnonzero((total > 0) & (ids[usable] >= 0))
+        counts[seen] = self.triple_counts(keys[usable][seen], ids[usable][seen])
+        out = p.copy()
+        out[usable] = np.where(total > 0, (counts - _discount(counts, discounts)) / np.maximum(total, 1), 0) + weight * p[usable]
+        return out
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
 
@@ -434,6 +630,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, order: int = 2) -> DataFrame:
     """Train on the documents that are not held out and score all of them."""
-    return score_documents(docs, train_model(docs.where(key_crc("doc_id") % HELD_OUT != 0)))
+    return score_documents(docs, train_model(docs.where(key_crc("doc_id") % HELD_OUT != 0), order))

@@ -31,7 +31,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.score_held_out(table(spark, sf_dir, "documents"))
+    return ngrams.score_held_out(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

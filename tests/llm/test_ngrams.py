@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from slotloom.llm import ngrams
+from slotloom.llm import ngrams, queries
 
 TEXTS = ["the cat sat on the mat", "The cat ate", "", None, "a b \x0b c\x1fd", "the the the", "dog on the mat\nthe cat sat", "É é", "x " * 300] * 3 + [
     "zebra unknown", "the cat", "mat mat cat on",
@@ -89,3 +89,66 @@ def test_empty_table(spark):
     only = spark.createDataFrame([(None, None)], "doc_id long, text string")
     row = ngrams.score_documents(only, ngrams.train_model(docs)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (1, 0, 0) and row.score == 0.0
+
+
+def brute3(train, docs):
+    """Scores of the interpolated model of order 3 by dictionaries: raw triples, pairs by kinds of words before, words likewise."""
+    triples, firsts, uni = Counter(), Counter(), Counter()
+    for t in train:
+        a, b = None, "start"
+        for w in words(t):
+            uni[w] += 1
+            if b == "start":
+                firsts[b, w] += 1
+            else:
+                triples[a, b, w] += 1
+            a, b = b, w
+    pairs = firsts + Counter((b, c) for _, b, c in triples)
+    before = Counter(w for _, w in pairs)
+    levels = []
+    for counts in (triples, pairs, before):
+        kinds = Counter(counts.values())
+        levels.append(ngrams.kneser_ney_discounts([kinds[k] for k in (1, 2, 3, 4)]))
+    cut = lambda c, d: d[min(c, 3) - 1] if c else 0
+    after = [defaultdict(list), defaultdict(list)]
+    for (a, b, _), c in triples.items():
+        after[0][a, b].append(c)
+    for (b, _), c in pairs.items():
+        after[1][b].append(c)
+    types = sum(before.values())
+    gamma = sum(cut(c, levels[2]) for c in before.values()) / types
+
+    def prob(a, b, w):
+        p = (before[w] - cut(before[w], levels[2])) / types + gamma / (len(uni) + 1)
+        for d, cs, c in ((levels[1], after[1].get(b), pairs[b, w]), (levels[0], after[0].get((a, b)), triples[a, b, w])):
+            if cs:
+                p = (c - cut(c, d)) / sum(cs) + sum(cut(x, d) for x in cs) / sum(cs) * p
+        return p
+
+    out = []
+    for t in docs:
+        a, b, score = None, "start", 0.0
+        for w in words(t):
+            score += math.log10(prob(a, b, w))
+            a, b = b, w
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("pairs_per_shard", [20, ngrams.SHARD_PAIRS])
+def test_query_scores_by_two_words_before(spark, monkeypatch, tmp_path, pairs_per_shard):
+    monkeypatch.setattr(ngrams, "SHARD_PAIRS", pairs_per_shard)
+    monkeypatch.setattr(ngrams, "SHARD_WORDS", 4 if pairs_per_shard == 20 else 131_072)
+    all_texts = TEXTS + [f"new{i} the cat sat on new{i} mat the the" for i in range(30)]
+    spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op4_ngram_scores(spark, str(tmp_path)).collect()}
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(all_texts))]
+    want = brute3([t for t, h in zip(all_texts, held, strict=True) if not h], all_texts)
+    assert any(held[len(TEXTS) :]) and [got[i] for i in range(len(all_texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_empty_table_of_order_3(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert ngrams.score_held_out(docs, order=3).count() == 0
+    only = spark.createDataFrame([(None, None), (1, "a b c")], "doc_id long, text string")
+    assert [r.score for r in ngrams.score_documents(only, ngrams.train_model(docs, order=3)).collect()] == [0.0, 0.0]
