@@ -20,7 +20,7 @@ def test_blocks_round_trip(kind):
     cuts = np.sort(rng.integers(0, len(ids) + 1, 40))
     parts = np.split(ids, cuts)
     for k, part in enumerate(parts):
-        writer.add([k], [part.astype("<u4").tobytes()])
+        writer.add([k], np.array([len(part)]), part)
     found = T.TokenFile(b"".join(writer.pieces()))
     assert found.total == len(ids) and (found.ids(0, len(ids)) == ids).all()
     for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ids)]])):
