@@ -4,11 +4,13 @@ Sets fall into size bands whose ratio is the threshold, so linked sets lie in on
 For each pair of neighbours the threshold bounds the symmetric difference by k.  The feature domain is
 partitioned at random in two levels; with (k + 1) / 2 parts of three cells each, some part of two sets
 within distance k differs in one feature at most, so two of its three cells agree: one signature per part
-and pair of cells, and linked sets share one.
+and pair of cells, and linked sets share one.  Two empty cells would say nothing about a set: there the sets
+are partitioned once more by other draws, and a signature counts together with one of that level.
 
 Equal sets are one class from the start.  Signatures of classes travel as sorted, compressed blocks
 dealt by their own hash.  In a shard, classes that share a signature are compared exactly unless links
-found there already connect them; what is left out is thus implied.  Sets are memory-mapped from the
+found there already connect them; what is left out is thus implied.  Where very many classes that are
+not connected share a signature, they are partitioned anew among themselves.  Sets are memory-mapped from the
 shared folder.  Each shard yields a spanning forest, and a distributed star algorithm joins the forests.
 """
 
@@ -23,67 +25,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotloom.llm.components import components
-from slotloom.llm.ngrams import word_hash, words_of
-from slotloom.llm.shared import arrow_map, mapped, mix64, put_file, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, mix64, open_arrays, put_arrays, slices, stored, texts, work_dir
+from slotloom.llm.words import Words, spread
 
 CELLS = 3
 #: Classes with one signature from which they are compared one against all.
 CROWD = 12
+#: Passes of one against all after which a crowd with so many classes left is partitioned anew, and how often.
+PASSES = 8
+BIG = 32
+LEVELS = 3
+#: Features that a crowd holds at once.
+_HELD_FEATURES = 2_000_000
 #: Signatures per shard, about, and signatures in a block before it is sent off.
 SHARD_SIGNATURES = 1_500_000
 _BLOCK_SIGNATURES = 1_000_000
-_CACHE_WORDS = 200_000
-_LOW = np.uint64(0xFFFFFFFFFFFF)  # features and signatures keep 48 bits
+_LOW = np.uint64(0xFFFFFFFFFFFF)  # signatures keep 48 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shingler:
-    """Sets of word shingles as ascending 48-bit features, and a 64-bit key of each whole set."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def sets(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features of all texts in one array, their offsets, and keys.  Texts without words have empty sets."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        parts, offsets, keys = [], [0], []
-        for text in all_texts:
-            words = words_of(text)
-            hashes = np.empty(len(words), np.uint64)
-            try:
-                hashes[:] = list(map(known.__getitem__, words))
-            except KeyError:
-                known.update((w, word_hash(w)) for w in set(words) if w not in known)
-                hashes[:] = list(map(known.__getitem__, words))
-            n = min(self.words, len(words))
-            if n:
-                rolled = np.zeros(len(words) - n + 1, np.uint64)
-                for k in range(n):
-                    rolled = mix64(rolled + hashes[k : len(words) - n + 1 + k] + _STEP)
-                full = np.unique(rolled)
-                keys.append(int(mix64(full).sum(dtype=np.uint64)))
-                found = np.unique(full & _LOW)
-                if len(found) < len(full):  # two features share 48 bits: a value near by keeps the set's size
-                    found = _apart(full)
-            else:
-                found = np.empty(0, np.uint64)
-                keys.append(0)
-            parts.append(found)
-            offsets.append(offsets[-1] + len(found))
-        return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.array(offsets), np.array(keys, np.uint64)
-
-
-def _apart(full: np.ndarray) -> np.ndarray:
-    low, seen = [], set()
-    for x in (full & _LOW).tolist():
-        while x in seen:
-            x = (x + 1) & int(_LOW)
-        seen.add(x)
-        low.append(x)
-    return np.sort(np.array(low, np.uint64))
+def shingle_sets(all_texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of word shingles as ascending 64-bit features, their offsets, and two 64-bit sums of each whole set.
+
+    A text of fewer words is one shingle; texts without words have empty sets.
+    """
+    found = Words(all_texts)
+    begins = np.cumsum(found.counts) - found.counts
+    rolled: dict[int, np.ndarray] = {}
+    for n in np.unique(np.minimum(found.counts, words)).tolist():
+        own = np.zeros(max(len(found.hashes) - n + 1, 0), np.uint64)
+        for k in range(n):
+            own = mix64(own + found.hashes[k : k + len(own)] + _STEP)
+        rolled[n] = own
+    parts, offsets = [], np.zeros(len(all_texts) + 1, np.int64)
+    for i, (a, count) in enumerate(zip(begins.tolist(), found.counts.tolist(), strict=True)):
+        if count:
+            n = min(words, count)
+            own = np.sort(rolled[n][a : a + count - n + 1])
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] != own[:-1]
+            parts.append(own[new])
+            offsets[i + 1] = len(parts[-1])
+    offsets = np.cumsum(offsets)
+    features = np.concatenate([np.empty(0, np.uint64), *parts])
+    sums = np.zeros((2, len(all_texts)), np.uint64)
+    full = np.flatnonzero(np.diff(offsets))
+    for row, salt in enumerate((0, 0x2545F4914F6CDD1D)):
+        if len(full):
+            sums[row, full] = np.add.reduceat(mix64(features ^ np.uint64(salt)), offsets[full])
+    return features, offsets, sums
 
 
 def size_bands(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,37 +88,68 @@ def size_bands(sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarra
     return edges, np.searchsorted(edges, sizes, side="right") - 1
 
 
-def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit signatures of all (non-empty) sets and the set that each belongs to.
+def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of all (non-empty) sets and the set that each belongs to, by the draws of a level.
 
-    A set takes part in the join of its band with the one below and with the one above.
+    A set takes part in the join of its band with the one below and with the one above.  Where only equal sets
+    can link, the whole set is the signature.
     """
     sizes = np.diff(offsets)
     edges, bands = size_bands(sizes, threshold)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    out, of = [], []
+    out, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for above in (0, 1):
-        band = bands + above
-        largest = edges[band + 1] - 1
+        largest = edges[bands + above + 1] - 1
         distance = 2 * largest * (100 - threshold) // (100 + threshold)
-        parts = (distance + 2) // 2
-        start = np.cumsum(parts * CELLS) - parts * CELLS
-        draw = mix64(features + (band[owner].astype(np.uint64) + np.uint64(1)) * _STEP)
-        part = (draw >> np.uint64(34)).astype(np.int64) % parts[owner]
-        cell = ((draw & np.uint64(0xFFFFFF)) % np.uint64(CELLS)).astype(np.int64)
-        sums = np.zeros(int((parts * CELLS).sum()), np.uint64)
-        np.add.at(sums, start[owner] + part * CELLS + cell, mix64(features + np.uint64(0x51ED270B)))
-        rows = sums.reshape(-1, CELLS)
-        row_owner = np.repeat(np.arange(len(sizes)), parts)
-        number = np.arange(len(rows)) - (start // CELLS)[row_owner]
-        tag = mix64(band[row_owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64))
-        for left_out in range(CELLS):
-            kept = [rows[:, c] for c in range(CELLS) if c != left_out]
-            whole = tag + np.uint64((left_out + 1) * int(_STEP) % 2**64)
-            for values in kept:
-                whole = mix64(whole + values)
-            out.append(whole & _LOW)
-            of.append(row_owner)
+        some = np.flatnonzero(distance)
+        own = features[spread(offsets[:-1][some], sizes[some])]
+        signature, who = _signatures(own, sizes[some], (bands + above)[some], distance[some], level)
+        out.append(signature)
+        of.append(some[who])
+        same = np.flatnonzero(distance == 0)
+        if len(same) and not above:
+            own = mix64(features[spread(offsets[:-1][same], sizes[same])])
+            out.append(mix64(np.add.reduceat(own, np.cumsum(sizes[same]) - sizes[same])))
+            of.append(same)
+    return np.concatenate(out), np.concatenate(of)
+
+
+def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets within given distances, one of a pair of empty cells being the pairs of it and one of the next level."""
+    parts = (distances + 2) // 2
+    start = np.cumsum(parts) - parts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    draw = mix64(features + (bands[owner].astype(np.uint64) + np.uint64((level << 40) + 1)) * _STEP)
+    part = (draw >> np.uint64(34)).astype(np.int64) % parts[owner]
+    cell = ((draw & np.uint64(0xFFFFFF)) % np.uint64(CELLS)).astype(np.int64)
+    at = (start[owner] + part) * CELLS + cell
+    rows = int(parts.sum())
+    sums = np.zeros(rows * CELLS, np.uint64)
+    np.add.at(sums, at, mix64(features + np.uint64(0x51ED270B)))
+    sums = sums.reshape(rows, CELLS)
+    empty = np.bincount(at, minlength=rows * CELLS).reshape(rows, CELLS) == 0
+    row_owner = np.repeat(np.arange(len(sizes)), parts)
+    number = np.arange(rows) - start[row_owner]
+    tag = mix64((bands[row_owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)) + np.uint64(level << 56))
+    out, of, bare = [], [], []
+    for left_out in range(CELLS):
+        kept = [c for c in range(CELLS) if c != left_out]
+        whole = tag + np.uint64((left_out + 1) * int(_STEP) % 2**64)
+        for c in kept:
+            whole = mix64(whole + sums[:, c])
+        nothing = empty[:, kept].all(axis=1) if level < LEVELS - 1 else np.zeros(rows, bool)
+        out.append(whole[~nothing])
+        of.append(row_owner[~nothing])
+        bare.append((whole[nothing], row_owner[nothing]))
+    first, who = (np.concatenate(x) for x in zip(*bare, strict=True))
+    if len(who):
+        again, of_again = np.unique(who, return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        deeper, theirs = _signatures(features[spread(begins[again], sizes[again])], sizes[again], bands[again], distances[again], level + 1)
+        order = np.argsort(theirs, kind="stable")
+        n = np.bincount(theirs, minlength=len(again))
+        pairs = order[spread((np.cumsum(n) - n)[of_again], n[of_again])]
+        out.append(mix64(np.repeat(first, n[of_again]) ^ deeper[pairs]))
+        of.append(np.repeat(who, n[of_again]))
     return np.concatenate(out), np.concatenate(of)
 
 
@@ -148,34 +169,20 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Sets:
-    """Sets of the slices, memory-mapped on first use and read per set."""
+    """Sets of the slices, memory-mapped and read per set."""
 
     def __init__(self, folder: str):
         self.folder = folder
-        self.slices: dict[int, tuple] = {}
 
-    def offsets(self, number: int) -> np.ndarray:
-        return self._slice(number)[2]
+    def _slice(self, number: int) -> list[np.ndarray]:
+        return open_arrays(f"{self.folder}/sets-{number}")
 
-    def _slice(self, number: int) -> tuple:
-        if number not in self.slices:
-            path = f"{self.folder}/sets-{number}"
-            n, total = mapped(path, "<i8", 2).tolist()
-            offsets = np.array(mapped(path, "<i8", n + 1, 16))
-            at = 16 + 8 * (n + 1)
-            self.slices[number] = mapped(path, "<u4", total, at), mapped(path, "<u2", total, at + 4 * total), offsets
-        return self.slices[number]
+    def offsets(self, number: int) -> np.ndarray:
+        return self._slice(number)[0]
 
     def take(self, number: int, local: int) -> np.ndarray:
-        low, high, offsets = self._slice(number)
-        a, b = offsets[local], offsets[local + 1]
-        return low[a:b].astype(np.uint64) | high[a:b].astype(np.uint64) << np.uint64(32)
-
-
-def _write_sets(folder: str, number: int, features: np.ndarray, offsets: np.ndarray) -> None:
-    head = np.array([len(offsets) - 1, len(features)], "<i8").tobytes()
-    low, high = (features & np.uint64(0xFFFFFFFF)).astype("<u4"), (features >> np.uint64(32)).astype("<u2")
-    put_file(f"{folder}/sets-{number}", [head, offsets.astype("<i8").tobytes(), low.tobytes(), high.tobytes()])
+        offsets, features = self._slice(number)
+        return features[offsets[local] : offsets[local + 1]]
 
 
 class Forest:
@@ -198,13 +205,16 @@ class Forest:
             parent[x], x = root, parent.get(x, x)
         return root
 
+    def _set(self, x: int) -> np.ndarray:
+        return self.sets.take(x >> 20, x & 0xFFFFF)
+
     def features(self, x: int) -> np.ndarray:
         found = self.held.get(x)
         if found is None:
             if self.size > 4_000_000:
                 self.held.clear()
                 self.size = 0
-            found = self.held[x] = self.sets.take(x >> 20, x & 0xFFFFF)
+            found = self.held[x] = np.array(self._set(x))
             self.size += len(found)
         return found
 
@@ -221,72 +231,100 @@ class Forest:
             self.apart.add(pair)
         return False
 
-    def group(self, members: list[int]) -> None:
+    def group(self, members: list[int], level: int = 0) -> None:
         """Settle all pairs of classes that share a signature."""
         if len({self.find(x) for x in members}) == 1:
             return
         if len(members) >= CROWD:
-            self._crowd(members)
+            self._crowd(members, level)
             return
         for i, x in enumerate(members):
             for y in members[:i]:
                 if self.find(x) != self.find(y):
                     self.link(x, y)
 
-    def _crowd(self, members: list[int]) -> None:
-        """As ``group``, with one class against all others in one pass over their features.
+    def _crowd(self, members: list[int], level: int) -> None:
+        """As ``group``, with one class against all others in one pass over their features, some at a time.
 
         Once all classes but those of the largest tree have been compared with everyone, no pair of
-        classes in two trees is left.
+        classes in two trees is left.  If very many are left after some passes, those that can link share a
+        signature of the next level too.
         """
-        parts = [self.sets.take(x >> 20, x & 0xFFFFF) for x in members]
-        sizes = np.array([len(p) for p in parts])
-        starts = np.cumsum(sizes) - sizes
-        names, local = np.unique(np.concatenate(parts), return_inverse=True)
-        local = local.astype(np.int32)
-        mark = np.zeros(len(names), np.int32)
+        sizes = np.array([len(self._set(x)) for x in members])
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // _HELD_FEATURES)) + 1
+        spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(members)], strict=True))
+        held = None
         tree = np.unique([self.find(x) for x in members], return_inverse=True)[1]
         open_ = np.ones(len(members), bool)
+        passes = 0
         while True:
             left = np.flatnonzero(open_ & (tree != np.bincount(tree).argmax()))
             if not len(left):
                 return
+            if passes >= PASSES and len(left) > BIG and level < LEVELS:
+                self._anew(members, spans, level + 1)
+                return
+            passes += 1
             x = int(left[0])
             open_[x] = False
-            own = local[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[local], starts)
-            mark[own] = 0
+            own = np.array(self._set(members[x]))
+            common = np.empty(len(members), np.int64)
+            for a, b in spans:
+                if held is None or len(spans) > 1:
+                    held = np.concatenate([self._set(y) for y in members[a:b]])
+                at = np.searchsorted(own, held)
+                at[at == len(own)] = 0
+                common[a:b] = np.add.reduceat((own[at] == held).astype(np.int64), np.cumsum(sizes[a:b]) - sizes[a:b])
             near = np.flatnonzero((100 * common >= self.threshold * (sizes + sizes[x] - common)) & (tree != tree[x]))
             for y in near[np.unique(tree[near], return_index=True)[1]].tolist():
                 self.edges.append((members[x], members[y]))
                 self.parent[self.find(members[x])] = self.find(members[y])
                 tree[tree == tree[y]] = tree[x]
 
+    def _anew(self, members: list[int], spans: list[tuple[int, int]], level: int) -> None:
+        """Partition members by the draws of another level and settle the groups that this gives."""
+        found = []
+        for a, b in spans:
+            own = [self._set(y) for y in members[a:b]]
+            signature, of = signatures(np.concatenate(own), np.cumsum([0, *map(len, own)]), self.threshold, level)
+            found.append((signature, of + a))
+        signature, of = (np.concatenate(x) for x in zip(*found, strict=True))
+        for own in _groups(signature, of):
+            self.group([members[k] for k in own.tolist()], level)
+
+
+def _groups(signature: np.ndarray, of: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct owners of each signature that has more than one."""
+    order = np.argsort(signature)
+    ordered = signature[order]
+    same = np.concatenate([[False], ordered[1:] == ordered[:-1], [False]]) if len(ordered) else np.zeros(1, bool)
+    begins, ends = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:]) + 1
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        yield np.unique(of[order[a:b]])
+
 
 def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """Write the sets to the shared folder; per row doc_id, text_hash, n_shingles, class key, and place (slice and row).
+    """Write the sets to the shared folder; per row doc_id, text_hash, n_shingles, class key and its second part, and place (slice and row).
 
     Null texts count as empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         number = TaskContext.get().partitionId() << 20
         for batch in batches:
             for piece in slices(batch, "text"):
-                features, offsets, keys = shingler.sets(texts(piece.column("text")))
-                _write_sets(folder, number, features, offsets)
+                features, offsets, sums = shingle_sets(texts(piece.column("text")), words)
+                put_arrays(f"{folder}/sets-{number}", [offsets.astype("<i8"), features.astype("<u8")])
                 places = (number << 20) + np.arange(piece.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(offsets)), pa.array(keys.view(np.int64)), pa.array(places)],
-                    ["doc_id", "text_hash", "n_shingles", "class", "place"],
+                    [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.diff(offsets)), *(pa.array(x.view(np.int64)) for x in sums), pa.array(places)],
+                    ["doc_id", "text_hash", "n_shingles", "class", "class_2", "place"],
                 )
                 number += 1
 
     inputs = docs.select("doc_id", "text", text_hash().alias("text_hash"))
-    return stored(inputs.transform(arrow_map, shingled, f"doc_id {kind}, text_hash long, n_shingles long, class long, place long"), "shingles")
+    return stored(inputs.transform(arrow_map, shingled, f"doc_id {kind}, text_hash long, n_shingles long, class long, class_2 long, place long"), "shingles")
 
 
 def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
@@ -331,13 +369,12 @@ def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
                     end = begin + max(1, int(np.searchsorted(np.cumsum(sizes), 1_000_000)))
                     own = [sets.take(number, int(r)) for r in rows[begin:end]]
                     signature, of = signatures(np.concatenate(own), np.cumsum([0, *map(len, own)]), threshold)
-                    held.append((signature, (number << 20) + rows[begin:end][of]))
+                    held.append((signature & _LOW, (number << 20) + rows[begin:end][of]))
                     size += len(signature)
                     begin = end
                     if size > _BLOCK_SIGNATURES:
                         yield out()
                         held, size = [], 0
-                sets.slices.pop(number, None)
         if size:
             yield out()
 
@@ -354,13 +391,9 @@ def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
         for own in blocks.values():
             signature, place = np.concatenate([b[0] for b in own]), np.concatenate([b[1] for b in own])
             own.clear()
-            order = np.argsort(signature)
-            signature = signature[order]
-            same = np.concatenate([[False], signature[1:] == signature[:-1], [False]]) if len(signature) else np.zeros(1, bool)
-            begins, ends = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:]) + 1
             forest = Forest(Sets(folder), threshold)
-            for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                forest.group(np.unique(place[order[a:b]]).tolist())
+            for members in _groups(signature, place):
+                forest.group(members.tolist())
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in forest.edges], pa.int64()) for k in (0, 1)], ["u", "v"])
 
@@ -379,11 +412,22 @@ def _settled(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, Da
     rows = shingle_classes(docs, words, folder)
     member = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_hash"))
     full = rows.where("n_shingles > 0")
-    classes = stored(full.groupBy("class").agg(F.min("place").alias("place"), F.min(member).alias("least"), F.first("n_shingles").alias("n_shingles")), "classes")
+    classes = stored(full.groupBy(*CLASS).agg(F.min("place").alias("place"), F.min(member).alias("least")), "classes")
     roots = components(class_links(classes.select("place", "n_shingles"), folder, threshold))
-    rooted = classes.join(roots, classes.place == roots.node, "left").select("class", "least", F.coalesce("root", "place").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "its_root")
-    return rows, stored(rooted.join(first, rooted.root == first.its_root).select(F.col("class").alias("its_class"), "first"), "components")
+    rooted = stored(classes.join(roots, classes.place == roots.node, "left").select(*CLASS, "least", F.coalesce("root", "place").alias("root")), "rooted")
+    # written on its own, so that the join's rows of one large component can be split
+    first = stored(rooted.groupBy("root").agg(F.min("least").alias("first")).withColumnRenamed("root", "its_root"), "firsts")
+    return rows, stored(rooted.join(first, rooted.root == first.its_root).select(*(F.col(c).alias(f"its_{c}") for c in CLASS), "first"), "components")
+
+
+#: Equal sets are one class: by number of shingles and 128 bits of sums.
+CLASS = ("class", "class_2", "n_shingles")
+
+
+def _with_first(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Rows of non-empty sets with the first member of their component."""
+    same = [F.col(c) == F.col(f"its_{c}") for c in CLASS]
+    return rows.where("n_shingles > 0").join(settled, same[0] & same[1] & same[2])
 
 
 def linked_components(docs: DataFrame, words: int = 4, threshold: int = 85) -> DataFrame:
@@ -394,8 +438,7 @@ def linked_components(docs: DataFrame, words: int = 4, threshold: int = 85) -> D
     sets link with nothing and keep their own doc_id; null ids take part, but are never the smallest.
     """
     rows, settled = _settled(docs, words, threshold)
-    full = rows.where("n_shingles > 0")
-    joined = full.join(settled, F.col("class") == F.col("its_class")).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+    joined = _with_first(rows, settled).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     return joined.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -410,9 +453,8 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> Da
     copies of each other.
     """
     rows, settled = _settled(docs, words, threshold)
-    full = rows.where("n_shingles > 0")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    judged = full.join(settled, F.col("class") == F.col("its_class")).select("doc_id", "text_hash", same.alias("stays"))
+    judged = _with_first(rows, settled).select("doc_id", "text_hash", same.alias("stays"))
     keys = stored(judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "judged")
     dropped = keys.where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     n_dropped, repeated = keys.agg(F.count(F.when(~F.col("stays"), 1)), F.count(F.when(F.col("stays") & (F.col("n") > 1), 1))).first()

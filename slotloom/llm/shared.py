@@ -93,6 +93,56 @@ def put_file(path: str, pieces) -> int:
     return size
 
 
+_KINDS = ("u1", "<u2", "<u4", "<u8", "<i8", "<f8")
+_opened: dict[str, np.ndarray | None] = {}
+
+
+def put_arrays(path: str, arrays: list[np.ndarray]) -> None:
+    """Write arrays one after another, each from a place that is a multiple of 8, after a table of kinds and lengths."""
+    head = np.array([len(arrays), *(n for x in arrays for n in (_KINDS.index(x.dtype.str.lstrip("|")), len(x)))], "<i8")
+    put_file(path, [head.tobytes(), *(x.tobytes() + bytes(-x.nbytes % 8) for x in arrays)])
+
+
+def open_arrays(path: str) -> list[np.ndarray]:
+    """The arrays of a file, memory-mapped; none if there is no such file.
+
+    A worker maps each file once, and fetches a remote one once, into a copy without a name; it lets go of them
+    when it opens files of another folder.
+    """
+    if _opened and path.rpartition("/")[0] != next(iter(_opened)).rpartition("/")[0]:
+        _opened.clear()
+    if path not in _opened:
+        try:
+            _opened[path] = _mapped(path)
+        except FileNotFoundError:
+            _opened[path] = None
+    data = _opened[path]
+    if data is None:
+        return []
+    head = data[8 : 8 + 16 * int(data[:8].view("<i8")[0])].view("<i8").reshape(-1, 2).tolist()
+    at, found = 8 + 16 * len(head), []
+    for kind, n in head:
+        size = n * np.dtype(_KINDS[kind]).itemsize
+        found.append(data[at : at + size].view(_KINDS[kind]))
+        at += size + -size % 8
+    return found
+
+
+def _mapped(path: str) -> np.ndarray:
+    if is_local(path):
+        return np.memmap(local_path(path), np.uint8, "r")
+    from pyarrow import fs
+
+    store, target = fs.FileSystem.from_uri(path)
+    handle, copy = tempfile.mkstemp()
+    try:
+        with os.fdopen(handle, "wb") as out, store.open_input_stream(target) as source:
+            shutil.copyfileobj(source, out)
+        return np.memmap(copy, np.uint8, "r")
+    finally:
+        os.unlink(copy)
+
+
 def mapped(path: str, dtype, count: int, offset: int = 0) -> np.ndarray:
     """Memory-map ``count`` items of a shared file; a remote file is first copied, mapped and unlinked."""
     if count == 0:

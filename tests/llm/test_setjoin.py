@@ -133,3 +133,46 @@ def test_linked_sets_share_a_signature():
         if len(b) and setjoin.linked(a, b, 85):
             signature, of = setjoin.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85)
             assert set(signature[of == 0].tolist()) & set(signature[of == 1].tolist())
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_small_sets_against_all_pairs(threshold):
+    """Sets of 1 to 14 features: every linked pair shares a signature, and no signature is shared by very many sets."""
+    rng = np.random.default_rng(threshold)
+    parts = [np.unique(rng.integers(0, 2**63, rng.integers(1, 15)).astype(np.uint64)) for _ in range(3000)]
+    near = []
+    for own in parts[:600]:
+        more = rng.integers(0, 2**63, rng.integers(0, 2)).astype(np.uint64)
+        near.append(np.unique(np.concatenate([own[rng.integers(0, 2) :], more])))
+    parts += [x for x in near if len(x)]
+    features, offsets = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    signature, of = setjoin.signatures(features, offsets, threshold)
+    own = [set() for _ in parts]
+    for s, k in zip(signature.tolist(), of.tolist()):
+        own[k].add(s)
+    links = 0
+    for k, x in enumerate(near):
+        if len(x) and setjoin.linked(x, parts[k], threshold):
+            links += 1
+            assert own[k] & own[3000 + sum(len(y) > 0 for y in near[:k])]
+    assert links > 100
+    assert np.unique(signature, return_counts=True)[1].max() < 30
+
+
+def test_crowds_that_are_not_connected(monkeypatch):
+    monkeypatch.setattr(setjoin, "_HELD_FEATURES", 3_000)
+    rng = np.random.default_rng(12)
+    parts = [np.sort(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(300)]
+    for k in range(0, 300, 10):
+        parts.append(np.unique(np.concatenate([parts[k][:57], rng.integers(0, 2**63, 2).astype(np.uint64)])))
+    mapped = []
+
+    class Held:
+        def take(self, _, local):
+            mapped.append(local)
+            return parts[local]
+
+    forest = setjoin.Forest(Held(), 85)
+    forest.group(list(range(len(parts))))
+    assert sorted(tuple(sorted(e)) for e in forest.edges) == [(k, 300 + k // 10) for k in range(0, 300, 10)]
+    assert len(mapped) < 20 * len(parts)
