@@ -1,149 +1,298 @@
 """LM scoring with an interpolated modified Kneser-Ney model of order 2 or 3.
 
-Counting happens in Spark in three passes.  Words are counted by hash; their places in the sorted hash
-arrays are their ids.  Adjacent ids are counted per shard of a hash of the pair, so no frequent word or
-pair meets in one task, and travel as sorted, compressed blocks.  Every shard then holds the whole count of
-its pairs, so what each word needs (how often and how variously it is followed, after how many words it
-comes) is a sum of the shards' parts, gathered per range of ids.  Order 3 first counts triples, per shard of a
-hash of their first two words, and a pair then counts as many words as come before it.  The model is a set of
-sorted hash arrays and arrays by id in the shared folder, which workers memory-map.
+Counting happens in Spark in three passes.  Words are counted by hash; in a shard of hashes the more
+frequent word has the smaller id, so that ids pack well.  Triples of ids are counted per shard of a hash of
+their first two words, and pairs per shard of a hash of the pair, so no frequent word or pair meets in one
+task; counts travel as sorted, compressed blocks.  In order 3 a pair counts as many words as come before it.
+Every shard then holds the whole count of its pairs, so what each word needs (how often and how variously it
+is followed, after how many words it comes) is a sum of the shards' parts, gathered per shard of words.
+
+The model is a set of sorted hash arrays and arrays by id in the shared folder, which workers memory-map.
+A hash array keeps 32 bits of each hash and an index by the bits before them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import arrow_map, key_crc, mapped, mix64, put_file, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, key_crc, mix64, open_arrays, put_arrays, slices, stored, texts, work_dir
+from slotloom.llm.words import Words, distinct, spread
 
 #: Hash of the end of a text, which counts as a word, and the id that stands before its first word.
 END = 1
-#: About so many words, and pairs before they are summed, per shard.
-SHARD_WORDS = 131_072
+#: About so many words of text per shard of words, and words of text per shard of pairs or triples.
+SHARD_WORDS = 8_000_000
 SHARD_PAIRS = 3_000_000
-_CACHE_WORDS = 250_000
 _BATCH_TOKENS = 2_000_000
+_BATCH_WORDS = 1_500_000
+_SLICE_BYTES = 6 << 20
 HELD_OUT = 10
+_FIRST = np.uint64(0xFFFFFFFF)
+_HALF = np.uint64(32)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text: A-Z in lower case, cut at ASCII white space."""
-    return text.lower().split()
+@dataclass
+class Model:
+    """Where the arrays are, and the handful of numbers that belong to the whole corpus.
 
+    Files are named by the number of their shard; a shard without words or pairs has none.
+    """
 
-def word_hash(word: bytes) -> int:
-    return max(xxhash.xxh3_64_intdigest(word), 16)
+    folder: str
+    bits: int
+    shards: int
+    order: int
+    vocabulary: int
+    tokens: int
+    texts: int
+    first_kinds: np.ndarray
+    pair_types: int
+    word_discounts: np.ndarray
+    pair_discounts: np.ndarray
+    triple_discounts: np.ndarray
+    lower_weight: float
 
 
-@dataclass(frozen=True)
-class WordShard:
-    path: str
-    words: int
-    offset: int
+# sorted hash arrays
 
 
-@dataclass(frozen=True)
-class PairShard:
-    path: str
-    pairs: int
-    large: int
+def place_in_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each hash by its upper half, and what is left of it, in 64 bits and the same order."""
+    product = (hashes >> _HALF) * np.uint64(shards)
+    return (product >> _HALF).astype(np.int64), product << _HALF | hashes & _FIRST
 
 
-@dataclass(frozen=True)
-class TripleShard:
-    path: str
-    triples: int
-    large: int
-    contexts: str
-    single: int
-    more: int
+def index_of(places: np.ndarray) -> list[np.ndarray]:
+    """Starts of buckets by the first bits of ascending places, and the 32 bits after those of each place."""
+    bits = max(0, int(len(places) // 8).bit_length() - 1)
+    bucket = (places >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(places), np.int64)
+    starts = np.zeros((1 << bits) + 1, "<u4")
+    starts[1:] = np.cumsum(np.bincount(bucket, minlength=1 << bits))
+    return [starts, (places >> np.uint64(32 - bits) & _FIRST).astype("<u4")]
 
 
-@dataclass
-class Model:
-    """Where the arrays are, and the handful of numbers that belong to the whole corpus."""
+def find_places(index: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+    """Where each place stands in an index; -1 where it does not."""
+    starts, marks = index
+    if not len(marks):
+        return np.full(len(places), -1, np.int64)
+    bits = (len(starts) - 1).bit_length() - 1
+    bucket = (places >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(places), np.int64)
+    wanted = (places >> np.uint64(32 - bits) & _FIRST).astype(np.uint32)
+    return _bisect(marks, starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64), wanted)
 
-    word_bits: int
-    words: list[WordShard | None]
-    stats: dict[int, str]
-    pair_shards: int
-    pairs: list[PairShard | None]
-    vocabulary: int
-    tokens: int
-    texts: int
-    first_kinds: np.ndarray
-    pair_types: int
-    discounts: np.ndarray
-    word_discounts: np.ndarray
-    lower_weight: float
-    triples: list[TripleShard | None] | None = None
-    triple_discounts: np.ndarray | None = None
+
+def _bisect(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in its own ascending stretch of ``values``; -1 where it does not."""
+    last = len(values) - 1
+    ends = high.copy()
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (values[np.minimum(middle, last)] < wanted) & (middle < high)
+        low = np.where(less, middle + 1, low)
+        high = np.where(less, high, np.minimum(middle, high))
+    return np.where((low < ends) & (values[np.minimum(low, last)] == wanted), low, -1)
+
+
+def _small(counts: np.ndarray) -> list[np.ndarray]:
+    """Counts in a byte each, with 255 for greater ones, which follow with their positions."""
+    large = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype("u1"), large.astype("<u4"), counts[large].astype("<i8")]
+
+
+def _counts_at(small: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The counts at some positions; 0 at -1."""
+    counts, large, values = small
+    if not len(counts):
+        return np.zeros(len(at), np.int64)
+    found = np.where(at >= 0, counts[np.maximum(at, 0)], 0).astype(np.int64)
+    full = np.flatnonzero(found == 255)
+    found[full] = values[np.searchsorted(large, at[full])]
+    return found
+
+
+# blocks of counts on their way
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """32-bit columns by bytes of equal weight, compressed."""
+    return pa.compress(np.concatenate([x.astype("<u4").view(np.uint8).reshape(-1, 4).T.reshape(-1) for x in columns]).tobytes(), codec="zstd", asbytes=True)
+
+
+def _columns(blob: bytes, k: int, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(blob, 4 * k * n, codec="zstd", asbytes=True), np.uint8).reshape(k, 4, n)
+    return [np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes]
+
+
+def _apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending 64-bit keys as steps of their upper halves, and their lower halves."""
+    return np.diff(keys >> _HALF, prepend=np.uint64(0)), keys & _FIRST
+
+
+def _together(steps: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64) << _HALF | lower.astype(np.uint64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _firsts(keys)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
+def _firsts(*ascending: np.ndarray) -> np.ndarray:
+    """Where a run of equal items begins."""
+    new = np.zeros(len(ascending[0]), bool)
+    new[:1] = True
+    for x in ascending:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed_triples(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples by context and id, with the sums of their counts (1 each, if none are given)."""
+    order = np.argsort(contexts)
+    contexts = contexts[order]
+    first = _firsts(contexts)
+    rank = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(first, append=len(contexts)))
+    keys = rank << _HALF | ids[order].astype(np.uint64)
+    if counts is None:
+        keys.sort()
+        at = _firsts(keys)
+        sums = np.diff(at, append=len(keys))
+        keys = keys[at]
+    else:
+        keys, sums = _summed(keys, counts[order])
+    return contexts[first][(keys >> _HALF).astype(np.int64)], (keys & _FIRST).astype(np.uint32), sums
+
+
+def _by_shard(of: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(of.astype(np.uint16) if shards <= 1 << 16 else of, kind="stable")
+    edges = [*_firsts(of[order]).tolist(), len(of)]
+    return [(int(of[order[a]]), order[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+_BLOCK_SCHEMA = "shard int, n int, block binary"
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "block"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), strict=True)
+
+
+# words
+
+
+def _word_shard(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
 class Vocabulary:
     """Ids of words, from memory-mapped sorted hashes; -1 for words that the corpus lacks."""
 
-    def __init__(self, bits: int, shards: list[WordShard | None]):
-        self.bits, self.shards = bits, shards
-        self.arrays: dict[int, np.ndarray] = {}
-        self.known: dict[bytes, int] = {}
-        self.end = int(self.ids(np.array([END], np.uint64))[0])
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits = folder, bits
+        self.end = self.ids(np.array([END], np.uint64))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         order = np.argsort(hashes)
         ordered = hashes[order]
         found = np.full(len(hashes), -1, np.int64)
-        of = (ordered >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(ordered), np.int64)
-        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        of = _word_shard(ordered, self.bits)
+        edges = [*_firsts(of).tolist(), len(of)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b or (shard := self.shards[of[a]]) is None:
-                continue
-            if of[a] not in self.arrays:
-                self.arrays[int(of[a])] = mapped(shard.path, "<u8", shard.words)
-            keys = self.arrays[int(of[a])]
-            at = np.minimum(np.searchsorted(keys, ordered[a:b]), len(keys) - 1)
-            found[order[a:b]] = np.where(keys[at] == ordered[a:b], at + shard.offset, -1)
+            k = int(of[a])
+            if arrays := open_arrays(f"{self.folder}/words-{k:06d}"):
+                keys, ranks, _ = arrays
+                at = np.minimum(np.searchsorted(keys, ordered[a:b]), len(keys) - 1)
+                found[order[a:b]] = np.where(keys[at] == ordered[a:b], ranks[at].astype(np.int64) << self.bits | k, -1)
         return found
 
-    def encode(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts' words, each text followed by the end, and the place after each text's last."""
-        if len(self.known) > _CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        split = [words_of(t) for t in all_texts]
-        if new := [w for w in set().union(*split) if w not in known]:
-            known.update(zip(new, self.ids(np.array([word_hash(w) for w in new], np.uint64)).tolist(), strict=True))
-        lengths = np.array([len(w) + 1 for w in split], np.int64)
-        ends = np.cumsum(lengths)
-        ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        begin = 0
-        for own in split:
-            ids[begin : begin + len(own)] = list(map(known.__getitem__, own))
-            begin += len(own) + 1
-        ids[ends - 1] = self.end
-        return ids, ends
+    def encode(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct words, with the end as the last; which of them each word is, the end after each text; and the place after each text's last."""
+        words = Words(all_texts)
+        keys, of = distinct(words.hashes)
+        ends = np.cumsum(words.counts + 1)
+        chain = np.full(int(ends[-1]) if len(ends) else 0, len(keys))
+        inner = np.ones(len(chain), bool)
+        inner[ends - 1] = False
+        chain[inner] = of
+        return np.concatenate([self.ids(keys), self.end]), chain, ends
 
 
-_FIRST = np.uint64(0xFFFFFFFF)
+def _count_words(train: DataFrame, folder: str) -> tuple[int, int, int, int]:
+    """Write the shards of words; bits of their number, distinct words, words, and texts."""
+    n_texts, size = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = (size // (6 * SHARD_WORDS)).bit_length()  # six bytes a word, about
+    shards = 1 << bits
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = ends = 0
 
-def pair_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word the id before it and its own in 64 bits; the first of a text follows a mark of its own."""
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], ends[:-1]]).astype(np.int64)] = _FIRST
-    return before << np.uint64(32) | ids.astype(np.uint64)
+        def out() -> pa.RecordBatch:
+            hashes, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            of = _word_shard(hashes, bits)
+            edges = [*_firsts(of).tolist(), len(of)]
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                steps = np.diff(hashes[a:b], prepend=np.uint64(0))
+                rows.append((int(of[a]), b - a, _planes(steps >> _HALF, steps & _FIRST, counts[a:b] >> 32, counts[a:b] & 0xFFFFFFFF)))
+            return _batch(rows)
 
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                ends += piece.num_rows
+                keys, of = distinct(Words(texts(piece.column("text"))).hashes)
+                held.append((keys, np.bincount(of, minlength=len(keys))))
+                size += len(keys)
+                if size > 2 * _BATCH_WORDS:
+                    held = [_summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > _BATCH_WORDS:
+                        yield out()
+                        held, size = [], 0
+        if ends:
+            held.append((np.array([END], np.uint64), np.array([ends])))
+            yield out()
 
-def triple_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each word the two ids before it in 64 bits; of a text's first word both are the mark, of its second the first."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for shard, n, block in _blocks(batches):
+            upper, lower, more, less = (x.astype(np.uint64) for x in _columns(block, 4, n))
+            own = held.setdefault(shard, [[], 0])
+            own[0].append((np.cumsum(upper << _HALF | lower, dtype=np.uint64), (more << _HALF | less).astype(np.int64)))
+            own[1] += n
+            if own[1] > 2 * _BATCH_WORDS and len(own[0]) > 1:
+                own[0], own[1] = [_summed(*(np.concatenate(x) for x in zip(*own[0], strict=True)))], 0
+        for shard in list(held):
+            hashes, counts = _summed(*(np.concatenate(x) for x in zip(*held.pop(shard)[0], strict=True)))
+            by_count = np.argsort(-counts, kind="stable")
+            ranks = np.empty(len(hashes), "<u4")
+            ranks[by_count] = np.arange(len(hashes))
+            put_arrays(f"{folder}/words-{shard:06d}", [hashes.astype("<u8"), ranks, counts[by_count].astype("<i8")])
+            yield pa.RecordBatch.from_pylist([{"words": len(hashes), "tokens": int(counts.sum())}])
+
+    blocks = train.transform(arrow_map, counted, _BLOCK_SCHEMA).repartitionById(shards, F.col("shard"))
+    sizes = blocks.transform(arrow_map, write, "words long, tokens long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "tokens"))).first()
+    return bits, *sizes, n_texts
+
+
+# pairs and triples
+
+
+def _contexts(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The id before each word and the one before that; the first of a text follows a mark, as does the mark."""
     before = np.full(len(ids), _FIRST, np.uint64)
     before[1:] = ids[:-1]
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -151,131 +300,147 @@ def triple_keys(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     second = np.full(len(ids), _FIRST, np.uint64)
     second[1:] = before[:-1]
     second[starts] = _FIRST
-    return second << np.uint64(32) | before
-
-
-def _triple_hash(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix64(mix64(contexts) ^ ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
+    return before, second
 
-def _packed_triples(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
-    left = np.diff(contexts >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
-    parts = (left, (contexts & _FIRST).astype("<u4"), ids.astype("<u4"), counts.astype("<u4"))
-    return pa.compress(np.concatenate([x.view(np.uint8).reshape(-1, 4).T.reshape(-1) for x in parts]).tobytes(), codec="zstd", asbytes=True)
 
+def _pair_shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return place_in_shard(mix64(keys), shards)[0]
 
-def _unpacked_triples(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(blob, 16 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, 4, n)
-    left, right, ids, counts = (np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes)
-    return np.cumsum(left, dtype=np.uint64) << np.uint64(32) | right.astype(np.uint64), ids, counts
 
+def _pair_rows(keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[int, int, bytes]]:
+    return [(k, len(at), _planes(*_apart(keys[at]), counts[at] >> 32, counts[at] & 0xFFFFFFFF)) for k, at in _by_shard(_pair_shard(keys, shards), shards)]
 
-def _summed_triples(contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, contexts))
-    contexts, ids = contexts[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (ids[1:] != ids[:-1])]))
-    return contexts[first], ids[first], np.add.reduceat(counts[order].astype(np.int64), first)
 
+def _counted(train: DataFrame, folder: str, bits: int, shards: int, order: int) -> DataFrame:
+    """Blocks of pairs (order 2) or of triples (order 3), by shards."""
 
-def _put_counts(path: str, hashes: np.ndarray, counts: np.ndarray) -> int:
-    """Write sorted hashes with counts of one byte, and the greater counts apart; the number of those."""
-    order = np.argsort(hashes)
-    by_hash = counts[order]
-    large = np.flatnonzero(by_hash >= 255)
-    put_file(path, [hashes[order].astype("<u8").tobytes(), large.astype("<i8").tobytes(), by_hash[large].astype("<i8").tobytes(), np.minimum(by_hash, 255).astype(np.uint8).tobytes()])
-    return len(large)
-
-
-def _by_shard(of: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(of, kind="stable")
-    edges = [0, *(np.flatnonzero(np.diff(of[order].astype(np.int64))) + 1).tolist(), len(of)]
-    return [(int(of[order[a]]), order[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-
-
-def _triple_blocks(train: DataFrame, folder: str, bits: int, words: list[WordShard | None], shards: int) -> DataFrame:
-    """Count triples by shards of the two words before, write their files, and give blocks of pairs for the level below.
-
-    A pair counts there as many as different words come before it, and at the start of a text as often as it is.
-    Rows whose n is -1 describe the files.
-    """
-
-    def tripled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(bits, words)
-        held: list[tuple] = []
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(folder, bits)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             contexts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            contexts, ids, counts = _summed_triples(contexts, ids, np.ones(len(ids), np.int64))
+            held.clear()
+            if order == 2:
+                return _batch(_pair_rows(*_summed(contexts << _HALF | ids, np.ones(len(ids), np.int64)), shards))
+            contexts, ids, counts = _summed_triples(contexts, ids, None)
             # all texts share the context of their first words, so those are dealt by word
-            spread = np.where(contexts & _FIRST == _FIRST, contexts ^ ids.astype(np.uint64), contexts)
-            found = _by_shard(mix64(spread) % np.uint64(shards))
-            rows = [(k, len(at), _packed_triples(contexts[at], ids[at], counts[at])) for k, at in found]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "block"])
+            spread_ = np.where(contexts & _FIRST == _FIRST, contexts ^ ids.astype(np.uint64), contexts)
+            found = _by_shard(_pair_shard(spread_, shards), shards)
+            return _batch([(k, len(at), _planes(*_apart(contexts[at]), ids[at], counts[at])) for k, at in found])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, ends = vocabulary.encode(texts(piece.column("text")))
-                held.append((triple_keys(ids, ends), ids.astype(np.uint32)))
+            for piece in slices(batch, "text", _SLICE_BYTES):
+                keys, of, ends = vocabulary.encode(texts(piece.column("text")))
+                ids = keys[of].astype(np.uint32)
+                before, second = _contexts(ids, ends)
+                held.append((before if order == 2 else second << _HALF | before, ids))
                 size += len(ids)
                 if size > _BATCH_TOKENS:
                     yield out()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield out()
 
+    return train.transform(arrow_map, counted, _BLOCK_SCHEMA).repartitionById(shards, F.col("shard"))
+
+
+def _merge_triples(blocks: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Write what follows each context, and give blocks of pairs for the level below.
+
+    A pair counts there as many as different words come before it, and at the start of a text as often as it is.
+    Rows whose n is -1 have the numbers of triples counted 1, 2, 3 and 4 times.
+    """
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for batch in batches:
-            for shard, n, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), strict=True):
-                own = held.setdefault(shard, [[], 0])
-                own[0].append(_unpacked_triples(block, n))
-                own[1] += n
-                if own[1] > 2 * SHARD_PAIRS and len(own[0]) > 1:
-                    own[0], own[1] = [_summed_triples(*(np.concatenate(x) for x in zip(*own[0], strict=True)))], 0
-        schema = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("path", pa.string())])
+        for shard, n, block in _blocks(batches):
+            steps, lower, ids, counts = _columns(block, 4, n)
+            own = held.setdefault(shard, [[], 0])
+            own[0].append((_together(steps, lower), ids, counts))
+            own[1] += n
+            if own[1] > 2 * SHARD_PAIRS and len(own[0]) > 1:
+                own[0], own[1] = [_summed_triples(*(np.concatenate(x) for x in zip(*own[0], strict=True)))], 0
         for shard in list(held):
             contexts, ids, counts = _summed_triples(*(np.concatenate(x) for x in zip(*held.pop(shard)[0], strict=True)))
             first = contexts & _FIRST == _FIRST
-            keys, n = _summed((contexts & _FIRST) << np.uint64(32) | ids.astype(np.uint64), np.where(first, counts, 1))
-            rows = [{"shard": k, "n": len(at), "block": _packed(keys[at], n[at]), "path": None} for k, at in _by_shard(mix64(keys) % np.uint64(shards))]
+            pairs = _summed((contexts & _FIRST) << _HALF | ids, np.where(first, counts, 1))
+            yield _batch(_pair_rows(*pairs, shards))
             contexts, ids, counts = contexts[~first], ids[~first], counts[~first]
-            path = f"{folder}/triples-{shard:06d}"
-            large = _put_counts(path, _triple_hash(contexts, ids), counts)
-            at = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
-            sums = [np.add.reduceat(x.astype(np.int64), at) if len(at) else at for x in (counts, counts == 1, counts == 2, counts >= 3)]
-            hashes = mix64(contexts[at])
-            one = sums[0] == 1
-            order = np.argsort(hashes[~one])
-            put_file(f"{path}-c", [np.sort(hashes[one]).astype("<u8").tobytes(), hashes[~one][order].astype("<u8").tobytes(), *(x[~one][order].astype("<u4").tobytes() for x in sums)])
             kinds = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-            numbers = np.array([shard, len(ids), large, int(one.sum()), int((~one).sum()), *kinds], "<i8")
-            rows.append({"shard": shard, "n": -1, "block": numbers.tobytes(), "path": path})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-    blocks = train.transform(arrow_map, tripled, "shard int, n int, block binary").repartitionById(shards, F.col("shard"))
-    return blocks.transform(arrow_map, merge, "shard int, n int, block binary, path string").repartitionById(shards, F.col("shard"))
-
-
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending keys with counts, by bytes of equal weight, compressed."""
-    left = np.diff(keys >> np.uint64(32), prepend=np.uint64(0)).astype("<u4")
-    right = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-    planes = np.concatenate([x.view(np.uint8).reshape(-1, 4).T.reshape(-1) for x in (left, right, counts.astype("<u4"))])
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+            _write_contexts(f"{folder}/after-{shard:06d}", contexts, ids, counts, shards)
+            yield _batch([(shard, -1, kinds.astype("<i8").tobytes())])
+
+    return blocks.transform(arrow_map, merge, _BLOCK_SCHEMA).repartitionById(shards, F.col("shard"))
+
+
+def _write_contexts(path: str, contexts: np.ndarray, ids: np.ndarray, counts: np.ndarray, shards: int) -> None:
+    """Contexts seen once with the word after them; and the others with their four numbers and all words after them."""
+    at = _firsts(contexts)
+    size = np.diff(at, append=len(contexts))
+    sums = [np.add.reduceat(x.astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts >= 3)]
+    places = place_in_shard(mix64(contexts[at]), shards)[1]
+    order = np.argsort(places)
+    once = sums[0][order] == 1
+    one, more = order[once], order[~once]
+    after = spread(at[more], size[more])
+    put_arrays(path, [
+        *index_of(places[one]), ids[at[one]].astype("<u4"), *index_of(places[more]), *(a for x in sums for a in _small(x[more])),
+        np.concatenate([[0], np.cumsum(size[more])]).astype("<u4"), ids[after].astype("<u4"), *_small(counts[after]),
+    ])
+
+
+def _by_word(ids: np.ndarray, columns: list[np.ndarray], kind: int, bits: int) -> list[dict]:
+    """Sums of columns by id as blocks for the shards of words."""
+    turned = (ids & ((1 << bits) - 1)) << 32 | ids >> bits
+    order = np.argsort(turned)
+    turned = turned[order]
+    at = _firsts(turned)
+    if not len(at):
+        return []
+    sums = [np.add.reduceat(x[order].astype(np.int64), at) for x in columns]
+    of, local = turned[at] >> 32, turned[at] & 0xFFFFFFFF
+    edges = [*_firsts(of).tolist(), len(of)]
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        halves = [h for x in sums for h in (x[a:b] >> 32, x[a:b] & 0xFFFFFFFF)]
+        rows.append({"kind": kind, "shard": int(of[a]), "n": b - a, "block": _planes(np.diff(local[a:b], prepend=0), *halves)})
+    return rows
+
+
+def _merge_pairs(blocks: DataFrame, folder: str, bits: int, shards: int) -> DataFrame:
+    """Write the pairs' counts, and give each word's parts of them (kinds 1 and 2), numbers of pairs (0) and of triples (-1)."""
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("block", pa.binary()), ("numbers", pa.list_(pa.int64()))])
+        for shard, n, block in _blocks(batches):
+            if n < 0:
+                yield pa.RecordBatch.from_pylist([{"kind": -1, "numbers": np.frombuffer(block, "<i8").tolist()}], schema)
+                continue
+            steps, lower, more, less = _columns(block, 4, n)
+            own = held.setdefault(shard, [[], 0])
+            own[0].append((_together(steps, lower), more.astype(np.int64) << 32 | less))
+            own[1] += n
+            if own[1] > 2 * SHARD_PAIRS and len(own[0]) > 1:  # what repeats is summed before more comes
+                own[0], own[1] = [_summed(*(np.concatenate(x) for x in zip(*own[0], strict=True)))], 0
+        for shard in list(held):
+            keys, counts = _summed(*(np.concatenate(x) for x in zip(*held.pop(shard)[0], strict=True)))
+            places = place_in_shard(mix64(keys), shards)[1]
+            order = np.argsort(places)
+            put_arrays(f"{folder}/pairs-{shard:06d}", [*index_of(places[order]), *_small(counts[order])])
+            left, right = (keys >> _HALF).astype(np.int64), (keys & _FIRST).astype(np.int64)
+            first = left == int(_FIRST)
+            kinds = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+            starts = np.bincount(np.minimum(counts[first], 3), minlength=4)[1:4]
+            rows = [{"kind": 0, "numbers": [*kinds.tolist(), *starts.tolist()]}]
+            inner = counts[~first]
+            rows += _by_word(left[~first], [inner == 1, inner == 2, inner >= 3, inner], 1, bits)
+            rows += _by_word(right, [np.ones(len(keys), np.int64)], 2, bits)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-def _unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(blob, 12 * n, codec="zstd", asbytes=True), np.uint8).reshape(3, 4, n)
-    left, right, counts = (np.ascontiguousarray(p.T).view("<u4").reshape(-1) for p in planes)
-    return np.cumsum(left, dtype=np.uint64) << np.uint64(32) | right.astype(np.uint64), counts
-
-
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return blocks.transform(arrow_map, merge, "kind int, shard int, n int, block binary, numbers array<long>")
 
 
 def kneser_ney_discounts(kinds: np.ndarray) -> np.ndarray:
@@ -295,180 +460,49 @@ def _discount(counts: np.ndarray, discounts: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], discounts])[np.minimum(counts, 3)]
 
 
-def _count_words(train: DataFrame, folder: str) -> tuple[int, list[WordShard | None], int, int]:
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        ends = 0
-
-        def out(end: int) -> pa.RecordBatch:
-            hashes = np.array([END, *map(word_hash, held)] if end else [*map(word_hash, held)], np.uint64)
-            counts = np.array([end, *held.values()] if end else [*held.values()], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["word", "n"])
-
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                for text in texts(piece.column("text")):
-                    held.update(words_of(text))
-                ends += piece.num_rows
-                if len(held) > 400_000:
-                    yield out(0)
-                    held.clear()
-        yield out(ends)
-
-    words = stored(train.transform(arrow_map, counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    vocabulary, tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = max(0, int(np.ceil(np.log2(max(vocabulary, 1) / SHARD_WORDS)))) if vocabulary > SHARD_WORDS else 0
-    shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
-    # signed order flips the halves of the range, so the shard comes first and the halves of one shard never mix
-    dealt = words.withColumn("shard", shard).repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", (F.col("word") < 0), "word")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            of, word, n = (np.asarray(batch.column(c)) for c in ("shard", "word", "n"))
-            for k in np.unique(of):
-                parts.setdefault(int(k), []).append((word[of == k].view(np.uint64), n[of == k]))
-        for k, own in parts.items():
-            keys, counts = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-            path = f"{folder}/words-{k:06d}"
-            put_file(path, [keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()])
-            yield pa.RecordBatch.from_pylist([{"shard": k, "path": path, "n": len(keys)}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n", pa.int64())]))
-
-    shards: list[WordShard | None] = [None] * (1 << bits)
-    offset = 0
-    for r in sorted(dealt.transform(arrow_map, write, "shard int, path string, n long").collect()):
-        shards[r.shard] = WordShard(r.path, r.n, offset)
-        offset += r.n
-    return bits, shards, vocabulary, tokens
-
-
 def train_model(train: DataFrame, order: int = 2) -> Model:
-    """Count all texts of ``train`` (null: empty) and write the model of order 2 or 3 to the shared folder."""
-    spark = train.sparkSession
-    folder = work_dir(spark, "ngrams")
-    train = train.select("text")
-    bits, words, vocabulary, tokens = _count_words(train, folder)
-    offsets = np.array([w.offset for w in words if w], np.int64)
-    shard_numbers = [k for k, w in enumerate(words) if w]
-    pair_shards = max(1, -(-tokens // SHARD_PAIRS))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary_ = Vocabulary(bits, words)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            of = mix64(keys) % np.uint64(pair_shards)
-            order = np.argsort(of, kind="stable")
-            keys, counts, of = keys[order], counts[order], of[order].astype(np.int64)
-            edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            rows = [(int(of[a]), b - a, _packed(keys[a:b], counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["shard", "n", "block"])
-
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, ends = vocabulary_.encode(texts(piece.column("text")))
-                held.append(pair_keys(ids, ends))
-                size += len(ids)
-                if size > _BATCH_TOKENS:
-                    yield out()
-                    held, size = [], 0
-        if size:
-            yield out()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[list]] = {}
-        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("path", pa.string()), ("block", pa.binary())])
-        for batch in batches:
-            places = batch.column("path").to_pylist() if order == 3 else [None] * batch.num_rows
-            for shard, n, block, path in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "block")), places, strict=True):
-                if n < 0:  # the files of a shard of triples
-                    yield pa.RecordBatch.from_pylist([{"kind": -1, "shard": shard, "a": 0, "b": 0, "path": path, "block": block}], schema)
-                    continue
-                own = held.setdefault(shard, [[], [], 0])
-                keys, counts = _unpacked(block, n)
-                own[0].append(keys)
-                own[1].append(counts)
-                own[2] += n
-                if own[2] > 2 * SHARD_PAIRS and len(own[0]) > 1:  # what repeats is summed before more comes
-                    keys, counts = _summed(np.concatenate(own[0]), np.concatenate(own[1]))
-                    own[0], own[1], own[2] = [keys], [counts], 0
-        for shard, (keys, counts, _) in held.items():
-            keys, counts = _summed(np.concatenate(keys), np.concatenate(counts))
-            path = f"{folder}/pairs-{shard:06d}"
-            large = _put_counts(path, mix64(keys), counts)
-            kinds = np.bincount(np.minimum(counts, 5), minlength=5)[1:5].astype("<i8").tobytes()
-            first = keys >> np.uint64(32) == _FIRST
-            starts = np.bincount(np.minimum(counts[first], 3), minlength=4)[1:4].astype("<i8").tobytes()
-            yield pa.RecordBatch.from_pylist([{"kind": 0, "shard": shard, "a": len(keys), "b": large, "path": path, "block": kinds + starts}], schema)
-            rows = []
-            left = (keys >> np.uint64(32)).astype(np.int64)
-            for kind, ids, values in ((1, left[~first], counts[~first]), (2, (keys & _FIRST).astype(np.int64), np.ones(len(keys), np.int64))):
-                by_id = np.argsort(ids, kind="stable")
-                ids, values = ids[by_id], values[by_id]
-                at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-                found = (values == 1, values == 2, values >= 3, values) if kind == 1 else (values,)
-                parts = [np.add.reduceat(v.astype(np.int64), at) if len(at) else at for v in found]
-                of = np.searchsorted(offsets, ids[at], side="right") - 1
-                edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    if b > a:
-                        local = (ids[at][a:b] - offsets[of[a]]).astype("<u4")
-                        body = np.concatenate([np.diff(local, prepend=np.uint32(0)).astype("<u4"), *(p[a:b].astype("<u4") for p in parts)])
-                        packed = pa.compress(body.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-                        rows.append({"kind": kind, "shard": shard_numbers[of[a]], "a": b - a, "b": len(body) * 4, "path": None, "block": packed})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+    """Count all texts of ``train`` and write the model of order 2 or 3 to the shared folder.
 
+    Null texts are empty and count one end each; repeated rows count as often as they come; a table without
+    rows gives a model that knows no word.  Texts may be of any length.
+    """
+    folder = work_dir(train.sparkSession, "ngrams")
+    train = train.select("text")
+    bits, vocabulary, tokens, n_texts = _count_words(train, folder)
+    shards = max(1, -(-tokens // SHARD_PAIRS))
+    blocks = _counted(train, folder, bits, shards, order)
     if order == 3:
-        blocks = _triple_blocks(train, folder, bits, words, pair_shards)
-    else:
-        blocks = train.transform(arrow_map, paired, "shard int, n int, block binary").repartitionById(pair_shards, F.col("shard"))
-    merged = stored(blocks.transform(arrow_map, merge, "kind int, shard int, a long, b long, path string, block binary"), "pairs")
-    pairs: list[PairShard | None] = [None] * pair_shards
-    kinds, first_kinds = np.zeros(4, np.int64), np.zeros(3, np.int64)
-    for r in merged.where("kind = 0").collect():
-        pairs[r.shard] = PairShard(r.path, r.a, r.b)
-        numbers = np.frombuffer(r.block, "<i8")
-        kinds, first_kinds = kinds + numbers[:4], first_kinds + numbers[4:]
-
-    triples: list[TripleShard | None] = [None] * pair_shards
-    triple_kinds = np.zeros(4, np.int64)
-    for r in merged.where("kind = -1").collect():
-        shard, n, large, single, several, *found = np.frombuffer(r.block, "<i8").tolist()
-        triples[shard] = TripleShard(r.path, n, large, f"{r.path}-c", single, several)
-        triple_kinds = triple_kinds + np.array(found)
+        blocks = _merge_triples(blocks, folder, shards)
+    merged = stored(_merge_pairs(blocks, folder, bits, shards), "pairs")
+    summed = merged.where("kind <= 0").groupBy("kind").agg(*(F.sum(F.try_element_at("numbers", F.lit(k))) for k in range(1, 8))).collect()
+    numbers = {0: np.zeros(7, np.int64), -1: np.zeros(4, np.int64)} | {kind: np.array([x for x in found if x is not None]) for kind, *found in summed}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for kind, shard, n, size, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "a", "b", "block")), strict=True):
-                table = held.setdefault(shard, np.zeros((5, words[shard].words), np.int64))
-                planes = np.frombuffer(pa.decompress(block, size, codec="zstd", asbytes=True), np.uint8)
-                body = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1, n)
-                at = np.cumsum(body[0], dtype=np.int64)
-                rows = (1, 2, 3, 4) if kind == 1 else (0,)
-                for row, values in zip(rows, body[1:], strict=True):
-                    table[row, at] += values
+            for kind, shard, n, block in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "n", "block")), strict=True):
+                if shard not in held:
+                    held[shard] = np.zeros((5, len(open_arrays(f"{folder}/words-{shard:06d}")[0])), np.int64)
+                steps, *halves = (x.astype(np.int64) for x in _columns(block, 9 if kind == 1 else 3, n))
+                at = np.cumsum(steps)
+                for row, upper, lower in zip((1, 2, 3, 4) if kind == 1 else (0,), halves[::2], halves[1::2], strict=True):
+                    held[shard][row, at] += upper << 32 | lower
         for shard, table in held.items():
-            path = f"{folder}/stats-{shard:06d}"
-            put_file(path, [table.astype("<i8").tobytes()])
-            seen = np.bincount(np.minimum(table[0], 5), minlength=6)
-            row = {"shard": shard, "path": path, "kinds": seen[1:5].astype("<i8").tobytes(), "more": int((table[0] >= 3).sum()), "total": int(table[0].sum())}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("kinds", pa.binary()), ("more", pa.int64()), ("total", pa.int64())]))
-
-    dealt = merged.where("kind > 0").repartitionById(len(words), F.col("shard"))
-    stats: dict[int, str] = {}
+            put_arrays(f"{folder}/stats-{shard:06d}", [x.astype("<i8" if x.max(initial=0) > 0xFFFFFFFF else "<u4") for x in table])
+            kinds = np.bincount(np.minimum(table[0], 5), minlength=6)[1:5]
+            row = {"kinds": kinds.astype("<i8").tobytes(), "more": int((table[0] >= 3).sum()), "total": int(table[0].sum())}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("kinds", pa.binary()), ("more", pa.int64()), ("total", pa.int64())]))
+
+    dealt = merged.where("kind > 0").repartitionById(1 << bits, F.col("shard"))
     word_kinds, more, types = np.zeros(4, np.int64), 0, 0
-    for r in dealt.transform(arrow_map, gather, "shard int, path string, kinds binary, more long, total long").collect():
-        stats[r.shard] = r.path
-        word_kinds = word_kinds + np.frombuffer(r.kinds, "<i8")
-        more, types = more + r.more, types + r.total
-    word_discounts = kneser_ney_discounts(word_kinds)
-    lower = float(word_discounts @ np.array([word_kinds[0], word_kinds[1], more])) / types if types else 1.0
-    starts = int(train.count()) if vocabulary else 0
-    return Model(bits, words, stats, pair_shards, pairs, vocabulary, tokens, starts, first_kinds, types, kneser_ney_discounts(kinds), word_discounts, lower, *((triples, kneser_ney_discounts(triple_kinds)) if order == 3 else ()))
+    for r in dealt.transform(arrow_map, gather, "kinds binary, more long, total long").collect():
+        word_kinds, more, types = word_kinds + np.frombuffer(r.kinds, "<i8"), more + r.more, types + r.total
+    discounts = kneser_ney_discounts(word_kinds)
+    lower = float(discounts @ np.array([word_kinds[0], word_kinds[1], more])) / types if types else 1.0
+    return Model(
+        folder, bits, shards, order, vocabulary, tokens, n_texts, numbers[0][4:], types,
+        discounts, kneser_ney_discounts(numbers[0][:4]), kneser_ney_discounts(numbers[-1]), lower,
+    )
 
 
 class Scorer:
@@ -476,149 +510,101 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.vocabulary = Vocabulary(model.word_bits, model.words)
-        self.offsets = np.array([w.offset for w in model.words if w], np.int64)
-        self.numbers = [k for k, w in enumerate(model.words) if w]
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.pairs: dict[int, tuple] = {}
-        self.triples: dict[int, tuple] = {}
-        self.contexts: dict[int, tuple] = {}
+        self.vocabulary = Vocabulary(model.folder, model.bits)
 
     def words(self, ids: np.ndarray) -> np.ndarray:
-        """For ascending ids, six rows: count, number of words before it, of followers counted 1, 2, 3 or more times, and their sum."""
+        """For ids, six rows: count, number of words before it, of followers counted 1, 2, 3 or more times, and their sum; zeros for -1."""
         out = np.zeros((6, len(ids)), np.int64)
-        of = np.searchsorted(self.offsets, ids, side="right") - 1
-        edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            k = self.numbers[of[a]]
-            if k not in self.tables:
-                n = self.model.words[k].words
-                path = self.model.stats.get(k)
-                table = mapped(path, "<i8", 5 * n).reshape(5, n) if path else np.zeros((5, n), np.int64)
-                self.tables[k] = mapped(self.model.words[k].path, "<i8", n, 8 * n), table
-            counts, table = self.tables[k]
-            at = ids[a:b] - self.offsets[of[a]]
-            out[0, a:b] = counts[at]
-            out[1:, a:b] = table[:, at]
+        known = np.flatnonzero(ids >= 0)
+        bits = self.model.bits
+        for k, at in _by_shard(ids[known] & ((1 << bits) - 1), 1 << bits):
+            own, local = known[at], ids[known[at]] >> bits
+            out[0, own] = open_arrays(f"{self.model.folder}/words-{k:06d}")[2][local]
+            for row, values in enumerate(open_arrays(f"{self.model.folder}/stats-{k:06d}"), 1):
+                out[row, own] = values[local]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct pair keys; 0 if the corpus lacks one."""
+    def _parts(self, keys: np.ndarray, name: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Keys by shards: where they stand among ``keys``, their places in the shard, and the shard's arrays."""
         hashes = mix64(keys)
-        return self._counts(hashes, hashes, [s and (s.path, s.pairs, s.large) for s in self.model.pairs], self.pairs)
-
-    def triple_counts(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Counts of triples; 0 if the corpus lacks one."""
-        return self._counts(_triple_hash(contexts, ids), mix64(contexts), [s and (s.path, s.triples, s.large) for s in self.model.triples], self.triples)
-
-    def _parts(self, hashes: np.ndarray, dealt: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Shards of hashes dealt by others, and the places of those, by hash."""
-        of = (dealt % np.uint64(self.model.pair_shards)).astype(np.int64)
-        order = np.lexsort((hashes, of))
-        edges = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
+        order = np.argsort(hashes)
+        of, places = place_in_shard(hashes[order], self.model.shards)
+        edges = [*_firsts(of).tolist(), len(of)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a < b:
-                yield int(of[order[a]]), order[a:b]
+            if arrays := open_arrays(f"{self.model.folder}/{name}-{int(of[a]):06d}"):
+                yield order[a:b], places[a:b], arrays
 
-    def _counts(self, hashes: np.ndarray, dealt: np.ndarray, shards: list, arrays: dict[int, tuple]) -> np.ndarray:
-        out = np.zeros(len(hashes), np.int64)
-        for k, places in self._parts(hashes, dealt):
-            if shards[k] is None or not shards[k][1]:
-                continue
-            if k not in arrays:
-                path, n, m = shards[k]
-                arrays[k] = mapped(path, "<u8", n), mapped(path, "<i8", m, 8 * n), mapped(path, "<i8", m, 8 * (n + m)), mapped(path, "u1", n, 8 * n + 16 * m)
-            found, large, large_counts, small = arrays[k]
-            own = hashes[places]
-            at = np.minimum(np.searchsorted(found, own), len(found) - 1)
-            counts = np.where(found[at] == own, small[at], 0).astype(np.int64)
-            full = np.flatnonzero(counts == 255)
-            counts[full] = large_counts[np.searchsorted(large, at[full])]
-            out[places] = counts
+    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of pair keys; 0 if the corpus lacks one."""
+        out = np.zeros(len(keys), np.int64)
+        for at, places, (*index, small, large, values) in self._parts(keys, "pairs"):
+            out[at] = _counts_at([small, large, values], find_places(index, places))
         return out
 
-    def context_numbers(self, contexts: np.ndarray) -> np.ndarray:
-        """For pairs as contexts, four rows: how often they are followed, and by how many words once, twice, 3 or more times."""
-        out = np.zeros((4, len(contexts)), np.int64)
-        hashes = mix64(contexts)
-        for k, places in self._parts(hashes, hashes):
-            if (shard := self.model.triples[k]) is None:
-                continue
-            if k not in self.contexts:
-                n, m = shard.single, shard.more
-                self.contexts[k] = mapped(shard.contexts, "<u8", n), mapped(shard.contexts, "<u8", m, 8 * n), mapped(shard.contexts, "<u4", 4 * m, 8 * (n + m)).reshape(4, m)
-            single, more, numbers = self.contexts[k]
-            own = hashes[places]
-            if len(single):
-                out[:2, places] = single[np.minimum(np.searchsorted(single, own), len(single) - 1)] == own
-            if len(more):
-                at = np.minimum(np.searchsorted(more, own), len(more) - 1)
-                hit = more[at] == own
-                out[:, places[hit]] = numbers[:, at[hit]]
+    def after(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For contexts of two words, five rows: how often they are followed, by how many words once, twice, 3 or more times, and how often by ``ids``."""
+        out = np.zeros((5, len(contexts)), np.int64)
+        for at, places, arrays in self._parts(contexts, "after"):
+            found = find_places(arrays[:2], places)
+            once = found >= 0
+            out[:2, at[once]] = 1
+            out[4, at[once]] = arrays[2][found[once]] == ids[at[once]]
+            at, places = at[~once], places[~once]
+            found = find_places(arrays[3:5], places)
+            at, found = at[found >= 0], found[found >= 0]
+            for row in range(4):
+                out[row, at] = _counts_at(arrays[5 + 3 * row : 8 + 3 * row], found)
+            starts, followers = arrays[17], arrays[18]
+            own = _bisect(followers, starts[found].astype(np.int64), starts[found + 1].astype(np.int64), ids[at].astype(np.uint32)) if len(found) else found
+            out[4, at] = _counts_at(arrays[19:22], own)
         return out
 
     def score(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: words with the end, known ones, base score, and log10 probability by the model."""
         m = self.model
-        ids, ends = self.vocabulary.encode(all_texts)
+        distinct_, of, ends = self.vocabulary.encode(all_texts)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        distinct, place = np.unique(ids, return_inverse=True)
-        known = distinct >= 0
-        table = np.zeros((6, len(distinct)), np.int64)
-        table[:, known] = self.words(distinct[known])
+        table = self.words(distinct_)
         base = np.log10((table[0] + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        before = table[1]
-        types = max(m.pair_types, 1)
-        lower = np.maximum(before - _discount(before, m.word_discounts), 0) / types + m.lower_weight / (m.vocabulary + 1)
-        count = table[5].astype(float)
-        back = np.where(count > 0, (m.discounts @ table[2:5]) / np.maximum(count, 1), 1.0)
+        lower = np.maximum(table[1] - _discount(table[1], m.word_discounts), 0) / max(m.pair_types, 1) + m.lower_weight / (m.vocabulary + 1)
+        total = table[5].astype(float)
+        back = np.where(total > 0, (m.pair_discounts @ table[2:5]) / np.maximum(total, 1), 1.0)
+        ids = distinct_[of]
         first = np.zeros(len(ids), bool)
         first[starts] = True
-        previous = np.concatenate([[0], place[:-1]])
-        context = np.where(first, float(m.texts), count[previous])
-        weight = np.where(first, float(m.discounts @ m.first_kinds) / m.texts if m.texts else 1.0, back[previous])
-        keys = pair_keys(ids, ends)
-        usable = (ids >= 0) & (first | (distinct[previous] >= 0))
-        pairs, at = np.unique(keys[usable], return_inverse=True)
+        previous = np.concatenate([of[:1], of[:-1]])
+        context = np.where(first, float(m.texts), total[previous])
+        weight = np.where(first, float(m.pair_discounts @ m.first_kinds) / m.texts if m.texts else 1.0, back[previous])
+        before, second = _contexts(ids.astype(np.uint32), ends)
+        known = ids >= 0
+        known_before = first | np.concatenate([[False], known[:-1]])
+        at = np.flatnonzero(known & known_before)
         counts = np.zeros(len(ids), np.int64)
-        counts[usable] = self.pair_counts(pairs)[at]
-        p = np.where(context > 0, (counts - _discount(counts, m.discounts)) / np.maximum(context, 1), 0) + weight * lower[place]
-        if m.triples is not None:
-            p = self._by_triples(ids, ends, p)
+        counts[at] = self.pair_counts(before[at] << _HALF | ids[at].astype(np.uint64))
+        p = np.where(context > 0, (counts - _discount(counts, m.pair_discounts)) / np.maximum(context, 1), 0) + weight * lower[of]
+        if m.order == 3:
+            second_known = np.concatenate([[False], known_before[:-1]])
+            at = np.flatnonzero(~first & known_before & second_known)
+            found = self.after(second[at] << _HALF | before[at], ids[at])
+            d = m.triple_discounts
+            seen = np.maximum(found[0], 1)
+            by_pair = np.where(found[0] > 0, (d @ found[1:4]) / seen, 1.0)
+            p[at] = np.where(found[0] > 0, (found[4] - _discount(found[4], d)) / seen, 0) + by_pair * p[at]
         sums = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
-        return np.diff(ends, prepend=0), sums(known[place].astype(np.int64)), sums(base[place]), sums(np.log10(p))
-
-
-    def _by_triples(self, ids: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Interpolate with the words after the two before; where those two were never seen, ``p`` stays."""
-        keys = triple_keys(ids, ends)
-        usable = keys & _FIRST != _FIRST
-        before = np.concatenate([[-1, -1], ids])
-        second = np.zeros(len(ids) + 2, bool)  # an unknown word's id has the bits of the mark, but is none
-        second[np.concatenate([[0], ends[:-1]]).astype(np.int64) + 1] = True
-        usable &= (before[1:-1] >= 0) & (second[: len(ids)] | (before[:-2] >= 0))
-        contexts, of = np.unique(keys[usable], return_inverse=True)
-        numbers = self.context_numbers(contexts)
-        discounts = self.model.triple_discounts
-        total = numbers[0][of]
-        weight = np.where(total > 0, (discounts @ numbers[1:])[of] / np.maximum(total, 1), 1.0)
-        counts = np.zeros(len(total), np.int64)
-        seen = np.flatnonzero((total > 0) & (ids[usable] >= 0))
-        counts[seen] = self.triple_counts(keys[usable][seen], ids[usable][seen])
-        out = p.copy()
-        out[usable] = np.where(total > 0, (counts - _discount(counts, discounts)) / np.maximum(total, 1), 0) + weight * p[usable]
-        return out
+        return np.diff(ends, prepend=0), sums(known.astype(np.int64)), sums(base[of]), sums(np.log10(p))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Null texts are empty: one end.  Repeated rows score alike, an empty table gives no rows, and a text of any
+    length has one score.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for piece in slices(batch, "text", 3 << 20):
+            for piece in slices(batch, "text", _SLICE_BYTES):
                 n, known, base, score = scorer.score(texts(piece.column("text")))
                 columns = [pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / n))]
                 names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
@@ -626,8 +612,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     inputs = docs.select("doc_id", "text", (key_crc("doc_id") % HELD_OUT == 0).alias("held_out"))
-    return inputs.transform(arrow_map, scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    )
+    return inputs.transform(arrow_map, scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_held_out(docs: DataFrame, order: int = 2) -> DataFrame:

@@ -143,24 +143,6 @@ def _mapped(path: str) -> np.ndarray:
         os.unlink(copy)
 
 
-def mapped(path: str, dtype, count: int, offset: int = 0) -> np.ndarray:
-    """Memory-map ``count`` items of a shared file; a remote file is first copied, mapped and unlinked."""
-    if count == 0:
-        return np.empty(0, dtype)
-    if is_local(path):
-        return np.memmap(local_path(path), dtype=dtype, mode="r", shape=(count,), offset=offset)
-    from pyarrow import fs
-
-    store, target = fs.FileSystem.from_uri(path)
-    handle, copy = tempfile.mkstemp()
-    with os.fdopen(handle, "wb") as out, store.open_input_stream(target) as source:
-        shutil.copyfileobj(source, out)
-    try:
-        return np.memmap(copy, dtype=dtype, mode="r", shape=(count,), offset=offset)
-    finally:
-        os.unlink(copy)
-
-
 def get_file(path: str) -> bytes:
     if is_local(path):
         with open(local_path(path), "rb") as source:
