@@ -4,8 +4,10 @@ Sets fall into size bands whose ratio is the threshold, so linked sets lie in on
 For each pair of neighbours the threshold bounds the symmetric difference by k.  The feature domain is
 partitioned at random in two levels; with (k + 1) / 2 parts of three cells each, some part of two sets
 within distance k differs in one feature at most, so two of its three cells agree: one signature per part
-and pair of cells, and linked sets share one.  Two empty cells would say nothing about a set: there the sets
-are partitioned once more by other draws, and a signature counts together with one of that level.
+and pair of cells, and linked sets share one.  Two empty cells say nothing about a set.  Spare parts make up
+for them: with m parts more, m + 1 parts differ in one feature at most, so a set with such cells in m parts or
+fewer needs no signature of them.  Other sets are partitioned once more by other draws, and a signature of
+empty cells counts together with one of that level.
 
 Equal sets are one class from the start.  Signatures of classes travel as sorted, compressed blocks
 dealt by their own hash.  In a shard, classes that share a signature are compared exactly unless links
@@ -31,6 +33,8 @@ from slotloom.llm.words import Words, spread
 CELLS = 3
 #: Classes with one signature from which they are compared one against all.
 CROWD = 12
+#: Parts below which a set has no spare ones.
+FEW_PARTS = 12
 #: Passes of one against all after which a crowd with so many classes left is partitioned anew, and how often.
 PASSES = 8
 BIG = 32
@@ -114,8 +118,10 @@ def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int, level:
 
 
 def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets within given distances, one of a pair of empty cells being the pairs of it and one of the next level."""
+    """Signatures of sets within given distances, but none of empty cells alone."""
     parts = (distances + 2) // 2
+    spare = np.where(parts < FEW_PARTS, 0, 1 + parts // 32)
+    parts = parts + spare
     start = np.cumsum(parts) - parts
     owner = np.repeat(np.arange(len(sizes)), sizes)
     draw = mix64(features + (bands[owner].astype(np.uint64) + np.uint64((level << 40) + 1)) * _STEP)
@@ -130,15 +136,18 @@ def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, dist
     row_owner = np.repeat(np.arange(len(sizes)), parts)
     number = np.arange(rows) - start[row_owner]
     tag = mix64((bands[row_owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)) + np.uint64(level << 56))
+    sparse = np.bincount(row_owner, empty.sum(axis=1) >= CELLS - 1, len(sizes)) > spare
     out, of, bare = [], [], []
     for left_out in range(CELLS):
         kept = [c for c in range(CELLS) if c != left_out]
         whole = tag + np.uint64((left_out + 1) * int(_STEP) % 2**64)
         for c in kept:
             whole = mix64(whole + sums[:, c])
-        nothing = empty[:, kept].all(axis=1) if level < LEVELS - 1 else np.zeros(rows, bool)
-        out.append(whole[~nothing])
-        of.append(row_owner[~nothing])
+        nothing = empty[:, kept].all(axis=1)
+        said = ~nothing if level < LEVELS - 1 else ~nothing | sparse[row_owner]
+        out.append(whole[said])
+        of.append(row_owner[said])
+        nothing &= ~said & sparse[row_owner]
         bare.append((whole[nothing], row_owner[nothing]))
     first, who = (np.concatenate(x) for x in zip(*bare, strict=True))
     if len(who):
