@@ -18,7 +18,7 @@ shared folder.  Each shard yields a spanning forest, and a distributed star algo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ CROWD = 12
 FEW_PARTS = 12
 #: Passes of one against all after which a crowd with so many classes left is partitioned anew, and how often.
 PASSES = 8
-BIG = 32
+BIG = 1_000
 LEVELS = 3
 #: Features that a crowd holds at once.
-_HELD_FEATURES = 2_000_000
+_HELD_FEATURES = 3_000_000
 #: Signatures per shard, about, and signatures in a block before it is sent off.
 SHARD_SIGNATURES = 1_500_000
 _BLOCK_SIGNATURES = 1_000_000
@@ -182,9 +182,12 @@ class Sets:
 
     def __init__(self, folder: str):
         self.folder = folder
+        self.slices: dict[int, list[np.ndarray]] = {}
 
     def _slice(self, number: int) -> list[np.ndarray]:
-        return open_arrays(f"{self.folder}/sets-{number}")
+        if number not in self.slices:
+            self.slices[number] = open_arrays(f"{self.folder}/sets-{number}")
+        return self.slices[number]
 
     def offsets(self, number: int) -> np.ndarray:
         return self._slice(number)[0]
@@ -259,10 +262,11 @@ class Forest:
         classes in two trees is left.  If very many are left after some passes, those that can link share a
         signature of the next level too.
         """
-        sizes = np.array([len(self._set(x)) for x in members])
+        parts = [self._set(x) for x in members]
+        sizes = np.array([len(p) for p in parts])
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // _HELD_FEATURES)) + 1
         spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(members)], strict=True))
-        held = None
+        common = self._common_at_once(parts, sizes) if len(spans) == 1 else self._common_by_spans(parts, sizes, spans)
         tree = np.unique([self.find(x) for x in members], return_inverse=True)[1]
         open_ = np.ones(len(members), bool)
         passes = 0
@@ -276,20 +280,45 @@ class Forest:
             passes += 1
             x = int(left[0])
             open_[x] = False
-            own = np.array(self._set(members[x]))
-            common = np.empty(len(members), np.int64)
-            for a, b in spans:
-                if held is None or len(spans) > 1:
-                    held = np.concatenate([self._set(y) for y in members[a:b]])
-                at = np.searchsorted(own, held)
-                at[at == len(own)] = 0
-                common[a:b] = np.add.reduceat((own[at] == held).astype(np.int64), np.cumsum(sizes[a:b]) - sizes[a:b])
-            near = np.flatnonzero((100 * common >= self.threshold * (sizes + sizes[x] - common)) & (tree != tree[x]))
+            shared = common(x)
+            near = np.flatnonzero((100 * shared >= self.threshold * (sizes + sizes[x] - shared)) & (tree != tree[x]))
             for y in near[np.unique(tree[near], return_index=True)[1]].tolist():
                 self.edges.append((members[x], members[y]))
                 self.parent[self.find(members[x])] = self.find(members[y])
                 tree[tree == tree[y]] = tree[x]
 
+    @staticmethod
+    def _common_at_once(parts: list[np.ndarray], sizes: np.ndarray) -> Callable[[int], np.ndarray]:
+        """How many features one part has in common with each; all features are numbered once."""
+        starts = np.cumsum(sizes) - sizes
+        names, local = np.unique(np.concatenate(parts), return_inverse=True)
+        local = local.astype(np.int32)
+        mark = np.zeros(len(names), np.int32)
+
+        def common(x: int) -> np.ndarray:
+            own = local[starts[x] : starts[x] + sizes[x]]
+            mark[own] = 1
+            found = np.add.reduceat(mark[local], starts)
+            mark[own] = 0
+            return found
+
+        return common
+
+    @staticmethod
+    def _common_by_spans(parts: list[np.ndarray], sizes: np.ndarray, spans: list[tuple[int, int]]) -> Callable[[int], np.ndarray]:
+        """As ``_common_at_once`` for more features than are held at once: they are read anew for each part."""
+
+        def common(x: int) -> np.ndarray:
+            own, found = np.array(parts[x]), np.empty(len(parts), np.int64)
+            for a, b in spans:
+                held = np.concatenate(parts[a:b])
+                at = np.searchsorted(own, held)
+                at[at == len(own)] = 0
+                found[a:b] = np.add.reduceat((own[at] == held).astype(np.int64), np.cumsum(sizes[a:b]) - sizes[a:b])
+            return found
+
+        return common
+
     def _anew(self, members: list[int], spans: list[tuple[int, int]], level: int) -> None:
         """Partition members by the draws of another level and settle the groups that this gives."""
         found = []

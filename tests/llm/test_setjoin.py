@@ -161,6 +161,7 @@ def test_small_sets_against_all_pairs(threshold):
 
 def test_crowds_that_are_not_connected(monkeypatch):
     monkeypatch.setattr(setjoin, "_HELD_FEATURES", 3_000)
+    monkeypatch.setattr(setjoin, "BIG", 32)
     rng = np.random.default_rng(12)
     parts = [np.sort(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(300)]
     for k in range(0, 300, 10):
