@@ -34,7 +34,7 @@ CELLS = 3
 #: Classes with one signature from which they are compared one against all.
 CROWD = 12
 #: Parts below which a set has no spare ones.
-FEW_PARTS = 12
+FEW_PARTS = 4
 #: Passes of one against all after which a crowd with so many classes left is partitioned anew, and how often.
 PASSES = 8
 BIG = 1_000
@@ -43,7 +43,10 @@ LEVELS = 3
 _HELD_FEATURES = 3_000_000
 #: Signatures per shard, about, and signatures in a block before it is sent off.
 SHARD_SIGNATURES = 1_500_000
-_BLOCK_SIGNATURES = 1_000_000
+_BLOCK_SIGNATURES = 500_000
+#: Bytes of text, and features, that a task works on at once.
+_SLICE_BYTES = 4 << 20
+_SIGNED_FEATURES = 400_000
 _LOW = np.uint64(0xFFFFFFFFFFFF)  # signatures keep 48 bits
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +109,8 @@ def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int, level:
         distance = 2 * largest * (100 - threshold) // (100 + threshold)
         some = np.flatnonzero(distance)
         own = features[spread(offsets[:-1][some], sizes[some])]
-        signature, who = _signatures(own, sizes[some], (bands + above)[some], distance[some], level)
+        smallest = edges[np.maximum(bands + above - 1, 0)]
+        signature, who = _signatures(own, sizes[some], (bands + above)[some], distance[some], smallest[some], level)
         out.append(signature)
         of.append(some[who])
         same = np.flatnonzero(distance == 0)
@@ -117,10 +121,17 @@ def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int, level:
     return np.concatenate(out), np.concatenate(of)
 
 
-def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+def _spare_parts(parts: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """Parts to add so that few sets of a band, down to its smallest ones, have more parts with two empty cells than that."""
+    expected = 3.0 * parts * np.exp(-2 / 3 * smallest / parts)
+    apart = np.where(parts < 16, 1.5, np.where(parts < 48, 2.0, 3.0))
+    return np.where(parts < FEW_PARTS, 0, np.ceil(expected + apart * np.sqrt(expected))).astype(np.int64)
+
+
+def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, smallest: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of sets within given distances, but none of empty cells alone."""
     parts = (distances + 2) // 2
-    spare = np.where(parts < FEW_PARTS, 0, 1 + parts // 32)
+    spare = _spare_parts(parts, smallest)
     parts = parts + spare
     start = np.cumsum(parts) - parts
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -153,7 +164,7 @@ def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, dist
     if len(who):
         again, of_again = np.unique(who, return_inverse=True)
         begins = np.cumsum(sizes) - sizes
-        deeper, theirs = _signatures(features[spread(begins[again], sizes[again])], sizes[again], bands[again], distances[again], level + 1)
+        deeper, theirs = _signatures(features[spread(begins[again], sizes[again])], sizes[again], bands[again], distances[again], smallest[again], level + 1)
         order = np.argsort(theirs, kind="stable")
         n = np.bincount(theirs, minlength=len(again))
         pairs = order[spread((np.cumsum(n) - n)[of_again], n[of_again])]
@@ -351,7 +362,7 @@ def shingle_classes(docs: DataFrame, words: int, folder: str) -> DataFrame:
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", _SLICE_BYTES):
                 features, offsets, sums = shingle_sets(texts(piece.column("text")), words)
                 put_arrays(f"{folder}/sets-{number}", [offsets.astype("<i8"), features.astype("<u8")])
                 places = (number << 20) + np.arange(piece.num_rows)
@@ -404,7 +415,7 @@ def class_links(classes: DataFrame, folder: str, threshold: int) -> DataFrame:
                 begin = 0
                 while begin < len(rows):
                     sizes = np.diff(sets.offsets(number))[rows[begin:]]
-                    end = begin + max(1, int(np.searchsorted(np.cumsum(sizes), 1_000_000)))
+                    end = begin + max(1, int(np.searchsorted(np.cumsum(sizes), _SIGNED_FEATURES)))
                     own = [sets.take(number, int(r)) for r in rows[begin:end]]
                     signature, of = signatures(np.concatenate(own), np.cumsum([0, *map(len, own)]), threshold)
                     held.append((signature & _LOW, (number << 20) + rows[begin:end][of]))
