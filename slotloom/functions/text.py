@@ -12,8 +12,8 @@ from slotloom.plans.schema import DEFAULT, Registry
 
 #: The six characters that count as blank at the edges of a text; form feeds and no-break spaces stay.
 BLANKS = " \n\r\t\x0b\x00"
-#: Digits to which a run of digits is padded in natural order.
-DIGITS = 20
+_SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE = r" \t\n\x0b\f\r"
 
 
 def trim(c: Column) -> Column:
@@ -48,21 +48,35 @@ def equivalent(a: Column, b: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """A sort key for natural order without case: runs of digits compare as numbers of up to 20 digits."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d") & (F.length(x) < DIGITS), F.lpad(x, DIGITS, "0")).otherwise(x)), "")
+    """A sort key for natural order, in which A-Z count as a-z and white space does not count.
+
+    Runs of digits compare as numbers of any size, but runs that begin with 0 compare digit by digit like
+    fractions, before all others; zeros before a digit at the very start do not count.
+    """
+    folded = F.regexp_replace(F.translate(c, _SMALL, _LARGE), "^0+([0-9])", "$1")
+    runs = F.regexp_extract_all(folded, F.lit(f"([0-9]+|[{_SPACE}]+|[^0-9{_SPACE}]+)"), 1)
+
+    def key(run: Column) -> Column:
+        size = F.length(run).cast("string")
+        number = F.concat(F.length(size).cast("string"), size, run)  # of two numbers the longer is greater
+        return F.when(run.rlike("^[1-9]"), number).when(run.startswith("0"), F.concat(run, F.lit("\x01"))).when(run.rlike(f"^[{_SPACE}]"), "").otherwise(run)
+
+    return F.array_join(F.transform(runs, key), "")
 
 
 def parse_terms(c: Column) -> Column:
     """Terms of a list: cut at commas and line ends, first spelling of each in natural order.
 
-    Case does not tell terms apart.  Equal keys keep the order in which they came.
+    Case does not tell terms apart.  Equal keys keep the order in which they came.  Sorting brings the
+    spellings of a term together, so the cost is that of sorting.
     """
-    terms = _trimmed_parts(c, "[\n,]+")
-    lowered = F.transform(terms, F.lower)
-    first = F.filter(terms, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    keyed = F.transform(first, lambda x, i: F.struct(natural_key(x).alias("key"), i.alias("at"), x.alias("term")))
-    return F.transform(F.array_sort(keyed), lambda s: s["term"])
+    placed = F.array_sort(F.transform(_trimmed_parts(c, "[\n,]+"), lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("term"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(placed, lambda s: s["low"]))
+
+    def first(s: Column, low: Column) -> Column:
+        return F.when(s.isNotNull() & (low.isNull() | (low != s["low"])), F.struct(natural_key(s["term"]).alias("key"), s["at"].alias("at"), s["term"].alias("term")))
+
+    return F.transform(F.array_sort(F.array_compact(F.zip_with(placed, before, first))), lambda s: s["term"])
 
 
 def normal_terms(c: Column) -> Column:
