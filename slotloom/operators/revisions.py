@@ -15,7 +15,13 @@ from slotloom.operators.entries import compose, slots_of
 from slotloom.plans.schema import DEFAULT, Registry
 
 
+#: Sequence numbers of a log without keys that are compared in one task.
+RUN = 65_536
+
+
 def _ring(log: DataFrame, key: list[str], seq: str, identity: Column, limit: int) -> DataFrame:
+    if not key:
+        return _one_ring(log, seq, identity, limit)
     ahead = Window.partitionBy(*key).orderBy(seq)
     back = Window.partitionBy(*key).orderBy(F.desc(seq))
     marked = log.withColumn("__identity", identity).withColumn("__before", F.lag("__identity").over(ahead))
@@ -24,6 +30,18 @@ def _ring(log: DataFrame, key: list[str], seq: str, identity: Column, limit: int
     return kept.drop("__identity", "__before")
 
 
+def _one_ring(log: DataFrame, seq: str, identity: Column, limit: int) -> DataFrame:
+    """The ring of a log that is all one: runs of it are compared apart, and each run's first text with the last before it."""
+    marked = log.withColumn("__identity", identity).withColumn("__run", F.floor(F.col(seq) / RUN))
+    lasts = marked.groupBy(F.col("__run").alias("__of")).agg(F.max_by("__identity", seq).alias("__last"))
+    earlier = lasts.select("__of", F.lag("__last").over(Window.orderBy("__of")).alias("__earlier"))
+    within = F.lag("__identity").over(Window.partitionBy("__run").orderBy(seq))
+    joined = marked.withColumn("__before", within).join(earlier, F.col("__run") == F.col("__of"))
+    before = F.coalesce("__before", "__earlier")
+    newest = joined.where(before.isNull() | (F.col("__identity") != before)).orderBy(F.desc(seq)).limit(limit)
+    return newest.select(*log.columns, F.row_number().over(Window.orderBy(F.desc(seq))).cast("long").alias("position"))
+
+
 def ring(log: DataFrame, key: str = "file_key", seq: str = "seq", content: str = "content", registry: Registry = DEFAULT) -> DataFrame:
     """The revisions that a log of candidates leaves, with position 1 for the newest.
 
@@ -39,9 +57,7 @@ def list_ring(log: DataFrame, lists: str = "lists", seq: str = "seq", group: str
     entries = [x for i, t in enumerate(texts, 1) for x in (F.lit(i), t)]
     normal = log.withColumn(lists, F.create_map(*entries))
     some = F.exists(F.map_values(lists), lambda t: t != "")
-    one = normal.where(some) if group else normal.where(some).withColumn("__all", F.lit(0))
-    found = _ring(one, [group or "__all"], seq, F.array_join(F.map_values(lists), "\x00"), registry.revision_limit)
-    return found if group else found.drop("__all")
+    return _ring(normal.where(some), [group] if group else [], seq, F.array_join(F.map_values(lists), "\x00"), registry.revision_limit)
 
 
 def stored_revisions(revisions: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
@@ -56,6 +72,8 @@ def stored_list_revisions(revisions: DataFrame, group: str | None = None, regist
     """position, text_1.., saved_at of the newest term-list revisions; missing lists are empty."""
     sound = revisions.where(F.col("lists").isNotNull() & F.col("saved_at").isNotNull())
     newest = Window.partitionBy(F.col(group) if group else F.lit(0)).orderBy(F.desc("seq"))
+    if not group:  # a top-k of each partition before the rest meets in one window
+        sound = sound.orderBy(F.desc("seq")).limit(registry.revision_limit)
     numbered = sound.withColumn("position", F.row_number().over(newest).cast("long")).where(F.col("position") <= registry.revision_limit)
     texts = [F.coalesce(F.element_at("lists", i), F.lit("")).alias(f"text_{i}") for i in range(1, len(registry.term_lists) + 1)]
     return numbered.select(*([group] if group else []), "position", *texts, "saved_at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import parse_terms, trim
@@ -49,13 +49,16 @@ def page_count(hits: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
 def page(hits: DataFrame, number: int, registry: Registry = DEFAULT) -> DataFrame:
     """One page of hits in order, the number clamped to the pages there are.
 
-    Numbers within the pages cost one top-k pass; whether the number needs clamping is one count.
+    One top-k pass: if the number is beyond the last page, the rows up to it are all hits, and their count tells
+    which page is the last.
     """
-    size = registry.page_size
-    number = max(1, number)
-    if number > 1:
-        number = min(number, max(1, -(-hits.count() // size)))
-    return hits.orderBy(*ORDER).limit(number * size).offset((number - 1) * size)
+    size, number = registry.page_size, max(1, number)
+    top = hits.orderBy(*ORDER).limit(number * size)
+    if number == 1:
+        return top
+    placed = top.withColumn("__at", F.row_number().over(Window.orderBy(*ORDER))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    real = F.least(F.lit(number), F.ceil(F.col("__n") / F.lit(size)))
+    return placed.where(F.ceil(F.col("__at") / F.lit(size)) == real).select(*hits.columns)
 
 
 #: Characters of the piece by which many needles are looked up; shorter needles are their own piece.
@@ -70,7 +73,9 @@ def search_many(rows: DataFrame, wanted: DataFrame, row_id: str, text: str, need
 
     Texts give their distinct pieces of ``GRAM`` characters (or fewer, where needles are shorter), an
     equality join with the needles' first characters brings candidates together, and ``contains``
-    decides.  Few needles filter the pieces before they become rows.  Null and empty needles match nothing.
+    decides.  Few needles filter the pieces before they become rows, where they are.  Of many, hashes of the
+    pieces meet those of the needles, and only the candidates get their texts back, by row_id (which must
+    tell rows apart).  Null and empty needles match nothing.
     """
     asked = wanted.select(F.col(needle_id).alias("__n"), F.lower(F.col(needle)).alias("__needle")).where("__needle <> ''")
     asked = asked.withColumn("__gram", F.substring("__needle", 1, GRAM))
@@ -84,8 +89,14 @@ def search_many(rows: DataFrame, wanted: DataFrame, row_id: str, text: str, need
         if few:
             first = [r[0] for r in own.select("__gram").distinct().collect()]
             grams = F.array_intersect(grams, F.array(*map(F.lit, first)))
-        pieces = kept.where(F.length("__text") >= size).select("__r", "__text", F.explode(grams).alias("__gram"))
-        hits = pieces.join(F.broadcast(own) if few else own, "__gram").where(F.contains("__text", "__needle")).select("__r", "__n")
+        long = kept.where(F.length("__text") >= size)
+        if few:
+            hits = long.select("__r", "__text", F.explode(grams).alias("__gram")).join(F.broadcast(own), "__gram")
+        else:
+            pieces = long.select("__r", F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("__hash"))
+            met = pieces.join(own.withColumn("__hash", F.xxhash64("__gram")), "__hash").select("__r", "__n", "__needle").distinct()
+            hits = kept.join(met, "__r")
+        hits = hits.where(F.contains("__text", "__needle")).select("__r", "__n")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = kept.join(asked, F.lit(False)).select("__r", "__n")

@@ -75,6 +75,19 @@ def test_replace(spark, content, find, new, expected):
     assert after == {1: expected[0] if expected and expected[0] else content, 2: content}
 
 
+def test_ring_of_one_log(spark, monkeypatch):
+    monkeypatch.setattr(revisions, "RUN", 4)
+    rng = random.Random(8)
+    log = [(k, {1: rng.choice(["", "a", "b", "b,B"]), 2: rng.choice(["", "x"])}, k) for k in range(1, 60) if rng.random() < 0.7]
+    found = revisions.list_ring(spark.createDataFrame(log, "seq long, lists map<int,string>, saved_at long")).orderBy("position").collect()
+    kept = []
+    for k, lists, _ in log:
+        plain = ({"b,B": "b"}.get(lists[1], lists[1]), lists[2])
+        if any(plain) and (not kept or kept[-1][1] != plain):
+            kept.append((k, plain))
+    assert [(r.position, r.seq, (r.lists[1], r.lists[2])) for r in found] == [(i, *x) for i, x in enumerate(kept[:-4:-1], 1)]
+
+
 @pytest.mark.parametrize(("old", "new", "text"), [("a\n", " b ", "a\n\nb"), (" ", "b", "b"), ("a", " ", "a")])
 def test_append(spark, old, new, text):
     assert spark.createDataFrame([(old, new)], "a string, b string").select(appended(F.col("a"), F.col("b")).alias("t")).first().t == text
