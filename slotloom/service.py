@@ -5,11 +5,12 @@ Writes compute a new state as DataFrames and commit it as one version.  The time
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import appended, equivalent, is_blank
@@ -23,6 +24,7 @@ from slotloom.sources.store import Store
 class Outcome(Enum):
     """What became of a request."""
 
+    # fixed values: codes that clients rely on
     SAVED = "saved"
     UPLOADED = "uploaded"
     CLEARED = "cleared"
@@ -75,11 +77,17 @@ class Engine:
 
     def save(self, slot: str, text: str, now: datetime, outcome: Outcome = Outcome.SAVED) -> Outcome:
         """Save a slot whole; its old text becomes a revision if the new one differs in any entry."""
+        return self._save(slot, lambda old: F.lit(text), now, outcome)
+
+    def _save(self, slot: str, new: Callable[[Column], Column], now: datetime, outcome: Outcome) -> Outcome:
+        """Save what ``new`` makes of the slot's old text; neither text passes through the driver."""
         key = E._normal(slot, self.registry)
-        pair = self.spark.createDataFrame([(self.text(slot), text)], "old string, new string")
-        old = pair.where(~equivalent(F.col("old"), F.col("new"))).select(F.lit(key).alias("file_key"), F.col("old").alias("content"))
-        new = self.spark.createDataFrame([(key, text)], "file_key string, content string")
-        self._commit(E.with_entries(new), now, self._snapshot(old, now), self.entries().where(F.col("file_key") != key))
+        rows = self.entries()
+        composed = E.compose(rows.where(F.col("file_key") == key), self.registry).where(F.col("file_key") == key)
+        pair = composed.select("file_key", F.col("content").alias("old"), new(F.col("content")).alias("new"))
+        old = pair.where(~equivalent(F.col("old"), F.col("new"))).select("file_key", F.col("old").alias("content"))
+        entries = E.with_entries(pair.select("file_key", F.col("new").alias("content")))
+        self._commit(entries, now, self._snapshot(old, now), rows.where(F.col("file_key") != key))
         return outcome
 
     def clear(self, slot: str, now: datetime) -> Outcome:
@@ -92,10 +100,9 @@ class Engine:
             return Outcome.UPLOAD_INVALID
         try:
             found = files.read_uploads(self.spark, path).select("content").first()
-        except Exception:
+        except PySparkException:  # what Spark says of files that are not there or cannot be read
             return Outcome.UPLOAD_UNREADABLE
-        pair = self.spark.createDataFrame([(self.text(slot), found.content if found else "")], "old string, new string")
-        return self.save(slot, pair.select(appended(F.col("old"), F.col("new")).alias("t")).first().t, now, Outcome.UPLOADED)
+        return self._save(slot, lambda old: appended(old, F.lit(found.content if found else "")), now, Outcome.UPLOADED)
 
     def apply_edits(self, edits: Mapping[int, str], now: datetime) -> Outcome:
         saved = self._edit(edits, now)
@@ -146,12 +153,16 @@ class Engine:
 
     def _edit(self, edits: Mapping[int, str], now: datetime) -> int:
         frame = self.spark.createDataFrame(list(edits.items()), "id long, content string")
-        rows = self.entries()
-        candidates = revisions.candidates_for_ids(rows, frame, self.registry)
-        new = E.apply_edits(rows, frame, F.lit(now).cast("timestamp_ntz"))
-        self.store.commit({"entries": new} | self._snapshot(candidates, now), next_seq=self._next_seq)
+        self.edit_all(frame, now)
         return E.saved_count(frame).first().saved_count
 
+    def edit_all(self, edits: DataFrame, now: datetime, streams: Mapping[str, int] | None = None) -> None:
+        """Apply edits (id, content), after the texts of the slots they touch became revisions, as one version."""
+        rows = self.entries()
+        candidates = revisions.candidates_for_ids(rows, edits, self.registry)
+        new = E.apply_edits(rows, edits, F.lit(now).cast("timestamp_ntz"))
+        self.store.commit({"entries": new} | self._snapshot(candidates, now), next_seq=self._next_seq, streams=dict(streams or {}))
+
     def _snapshot(self, candidates: DataFrame, now: datetime) -> dict[str, DataFrame]:
         """New revisions with ``candidates`` (file_key, content) at their end."""
         seq = self.store.state()["next_seq"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,26 @@ def downloads(entries: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
 
 
 def write_downloads(entries: DataFrame, folder: str, registry: Registry = DEFAULT) -> None:
-    """Write each slot's text below ``folder``, one folder per slot; slots are written in parallel.
+    """Write each slot's text to the file below ``folder`` that its download names, byte for byte.
 
-    Spark's text sink ends every file with a line end, which an upload trims again.
+    Slots are composed and written in parallel to a folder beside; from there each file is moved, without the
+    line end that Spark's text sink adds, through a buffer of fixed size.  Slots whose names are equal share a
+    file: the last one in the registry's order stays.
     """
-    rows = downloads(entries, registry).select("file_key", F.col("content").alias("value"))
-    rows.repartition("file_key").write.mode("overwrite").partitionBy("file_key").text(folder)
+    spark = entries.sparkSession
+    rows = downloads(entries, registry).select(F.col("file_key").alias("key"), F.col("content").alias("value"))
+    aside = f"{folder.rstrip('/')}/.writing-{uuid.uuid4().hex}"
+    rows.repartition("key").write.partitionBy("key").text(aside)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = registry.frame(spark).select("file_key", download_name(F.col("label")).alias("name")).orderBy("ordinal").collect()
+    try:
+        for slot in named:
+            (part,) = [f for f in store.listStatus(path(f"{aside}/key={slot.file_key}")) if f.getPath().getName().startswith("part-")]
+            source, target = store.open(part.getPath()), store.create(path(f"{folder.rstrip('/')}/{slot.name}"), True)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, part.getLen() - 1)
+            source.close()
+            target.close()
+    finally:
+        store.delete(path(aside), True)

@@ -31,10 +31,10 @@ class Store:
         self._bytes = jvm.java.io.ByteArrayOutputStream
 
     def state(self) -> dict:
-        """Folders of the current version, the id mark and the revision sequence."""
+        """Folders of the current version, the id mark, the revision sequence, and the last batch of each stream of edits."""
         pointer = self._path(f"{self.path}/current.json")
         if not self._fs.exists(pointer):
-            return {"tables": {}, "next_id": 1, "next_seq": 1}
+            return {"tables": {}, "next_id": 1, "next_seq": 1, "streams": {}}
         source, held = self._fs.open(pointer), self._bytes()
         self._reader.copyBytes(source, held, 4096, True)
         return json.loads(held.toString(self._utf8))
@@ -45,9 +45,10 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(folder)
 
-    def commit(self, tables: dict[str, DataFrame], next_id: int | None = None, next_seq: int | None = None) -> None:
+    def commit(self, tables: dict[str, DataFrame], next_id: int | None = None, next_seq: int | None = None, streams: dict[str, int] | None = None) -> None:
         """Write new versions of some tables and make all of them current together."""
         state = self.state()
+        state["streams"] = state.get("streams", {}) | (streams or {})
         for name, df in tables.items():
             folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
             columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name]]
@@ -69,11 +70,10 @@ class Store:
     def with_ids(self, rows: DataFrame, first: int) -> tuple[DataFrame, int]:
         """``rows`` (file_key, entry_index, ...) with ids from ``first`` on, and the first id not used.
 
-        Numbers are given within each slot; the slots' starts come from their counts.
+        Places are numbered from 1 without gaps in each slot, so an id is its slot's start and the place; the
+        slots' starts come from their counts, one row for each slot.
         """
         counts = rows.groupBy("file_key").agg(F.count(F.lit(1)).alias("n"))
         starts = counts.select("file_key", (F.sum("n").over(Window.orderBy("file_key")) - F.col("n") + first).alias("start"))
-        within = F.row_number().over(Window.partitionBy("file_key").orderBy("entry_index"))
-        numbered = rows.withColumn("at", within).join(starts, "file_key")
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        return numbered.withColumn("id", F.col("start") + F.col("at") - 1).drop("start", "at"), first + total
+        return rows.join(starts, "file_key").withColumn("id", F.col("start") + F.col("entry_index") - 1).drop("start"), first + total

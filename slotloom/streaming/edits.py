@@ -5,23 +5,22 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slotloom.operators.entries import apply_edits
 from slotloom.service import Engine
 
 
 def apply_edit_stream(engine: Engine, edits: DataFrame, checkpoint: str, now: datetime | None = None, once: bool = False) -> StreamingQuery:
     """Apply a stream of edits (id, content) to the engine's entries.
 
-    A batch that runs again after a failure writes the same texts again, so the result is the same.
+    As with any edit of many entries, the texts of the slots that a batch touches become revisions first.  The
+    store's version holds the number of the stream's last batch (streams are told apart by their checkpoint),
+    so a batch that runs again after it was applied changes nothing, not even times and revisions.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            stamp = F.lit(now or datetime.now()).cast("timestamp_ntz")
-            engine.store.commit({"entries": apply_edits(engine.entries(), batch.select("id", "content"), stamp)})
+    def apply(batch: DataFrame, number: int) -> None:
+        if engine.store.state().get("streams", {}).get(checkpoint, -1) < number and not batch.isEmpty():
+            engine.edit_all(batch.select("id", "content"), now or datetime.now(), {checkpoint: number})
 
     writer = edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

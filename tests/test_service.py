@@ -1,8 +1,10 @@
 """The engine over a store: saving, history, files, and crash safety."""
 
+import shutil
 from datetime import datetime
 
 from slotloom.service import Engine, Outcome
+from slotloom.sources import files
 
 NOW = datetime(2024, 1, 2, 3, 4, 5)
 
@@ -59,8 +61,10 @@ def test_files(spark, tmp_path):
     assert engine.append_file("lore", str(tmp_path / "a.TXT"), NOW) is Outcome.UPLOADED
     assert contents(engine, "lore") == ["﻿x", "y"]
     engine.export(str(tmp_path / "out"))
-    written = b"".join(p.read_bytes() for p in (tmp_path / "out" / "file_key=lore").glob("*.txt"))
-    assert written.decode() == "﻿x\n\ny\n"
+    written = {p.name: p.read_bytes().decode() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")}
+    assert written == {"lore.txt": "﻿x\n\ny"} | {f"{n}.txt": "" for n in ("writing-style", "reminders", "user-profile", "notes")}
+    named = files.downloads(engine.entries()).collect()
+    assert {r.file_name: r.byte_length for r in named} == {n: len(t.encode()) for n, t in written.items()}
 
 
 def test_migration_once_and_failed_write(spark, tmp_path):
@@ -88,3 +92,8 @@ def test_edit_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long, content string").parquet(source)
     apply_edit_stream(engine, stream, str(tmp_path / "check"), NOW, once=True).awaitTermination()
     assert engine.text("lore") == "A\n\nb"
+    assert [r.content for r in engine.history("lore").collect()] == ["a\n\nb"]
+    state = engine.store.state()
+    shutil.rmtree(tmp_path / "check" / "commits")  # as if the driver was lost after the version was written
+    apply_edit_stream(engine, stream, str(tmp_path / "check"), NOW, once=True).awaitTermination()
+    assert engine.store.state() == state
