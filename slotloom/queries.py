@@ -39,7 +39,13 @@ def _split(x: str) -> str:
     return f"list_filter(list_transform({parts}, lambda e: {_trim('e')}), lambda e: e <> '')"
 
 
-_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') AND length(r) < 20 THEN lpad(r, 20, '0') ELSE r END), '')"
+_SPACE = r" \t\n\x0B\f\r"
+_NATURAL = (
+    "array_to_string(list_transform(regexp_extract_all(regexp_replace(translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '^0+([0-9])', '\\1'), "
+    f"'[0-9]+|[{_SPACE}]+|[^0-9{_SPACE}]+'), lambda r: CASE WHEN regexp_matches(r, '^[1-9]') THEN "
+    "CAST(length(CAST(length(r) AS VARCHAR)) AS VARCHAR) || CAST(length(r) AS VARCHAR) || r "
+    f"WHEN regexp_matches(r, '^0') THEN r || chr(1) WHEN regexp_matches(r, '^[{_SPACE}]') THEN '' ELSE r END), '')"
+)
 _LISTS = """lists AS (
   SELECT p_brand AS list_index, string_agg(CASE WHEN p_partkey % 3 = 0 THEN upper(p_name || ' ' || p_size) ELSE p_name || ' ' || p_size END, ', ' ORDER BY p_partkey) AS text
   FROM part GROUP BY p_brand)"""
@@ -305,7 +311,8 @@ def upload_append(spark, folder):
     return _texts(spark, folder).select("file_key", X.appended(existing, upload).alias("content"))
 
 
-@_add("upload_read", None)
+@_add("upload_read", """SELECT r_name || chr(13) || chr(10) || chr(13) || chr(10) || CAST(r_regionkey AS VARCHAR) || chr(13) || chr(10) AS content,
+CAST(strlen(r_name || CAST(r_regionkey AS VARCHAR)) + 6 AS BIGINT) AS byte_length FROM region""")
 def upload_read(spark, folder):
     """Regions written as text files with line ends of another system, read back as uploads."""
     target = f"{spark.conf.get('spark.checkpoint.dir', None) or gettempdir()}/uploads-{uuid.uuid4().hex}"
