@@ -6,8 +6,8 @@ partitioned at random in two levels; with (k + 1) / 2 parts of three cells each,
 within distance k differs in one feature at most, so two of its three cells agree: one signature per part
 and pair of cells, and linked sets share one.  Two empty cells say nothing about a set.  Spare parts make up
 for them: with m parts more, m + 1 parts differ in one feature at most, so a set with such cells in m parts or
-fewer needs no signature of them.  Other sets are partitioned once more by other draws, and a signature of
-empty cells counts together with one of that level.
+fewer needs no signature of them.  Other sets, if they are small, are partitioned once more by other draws, and a
+signature of empty cells counts together with one of that level.
 
 Equal sets are one class from the start.  Signatures of classes travel as sorted, compressed blocks
 dealt by their own hash.  In a shard, classes that share a signature are compared exactly unless links
@@ -33,8 +33,9 @@ from slotloom.llm.words import Words, spread
 CELLS = 3
 #: Classes with one signature from which they are compared one against all.
 CROWD = 12
-#: Parts below which a set has no spare ones.
+#: Parts below which a set has no spare ones, and from which it is not partitioned once more.
 FEW_PARTS = 4
+MANY_PARTS = 24
 #: Passes of one against all after which a crowd with so many classes left is partitioned anew, and how often.
 PASSES = 8
 BIG = 1_000
@@ -123,13 +124,16 @@ def signatures(features: np.ndarray, offsets: np.ndarray, threshold: int, level:
 
 def _spare_parts(parts: np.ndarray, smallest: np.ndarray) -> np.ndarray:
     """Parts to add so that few sets of a band, down to its smallest ones, have more parts with two empty cells than that."""
-    expected = 3.0 * parts * np.exp(-2 / 3 * smallest / parts)
     apart = np.where(parts < 16, 1.5, np.where(parts < 48, 2.0, 3.0))
-    return np.where(parts < FEW_PARTS, 0, np.ceil(expected + apart * np.sqrt(expected))).astype(np.int64)
+    spare = np.zeros(len(parts))
+    for _ in range(2):  # spare parts make all of them sparser
+        expected = 3.0 * (parts + spare) * np.exp(-2 / 3 * smallest / (parts + spare))
+        spare = np.where(parts < FEW_PARTS, 0, np.ceil(expected + apart * np.sqrt(expected)))
+    return spare.astype(np.int64)
 
 
-def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, smallest: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets within given distances, but none of empty cells alone."""
+def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, distances: np.ndarray, smallest: np.ndarray, level: int, again: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets within given distances; those of empty cells alone only of large sets, of which few have too many."""
     parts = (distances + 2) // 2
     spare = _spare_parts(parts, smallest)
     parts = parts + spare
@@ -147,6 +151,7 @@ def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, dist
     row_owner = np.repeat(np.arange(len(sizes)), parts)
     number = np.arange(rows) - start[row_owner]
     tag = mix64((bands[row_owner].astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)) + np.uint64(level << 56))
+    plain = (parts >= MANY_PARTS) | again
     sparse = np.bincount(row_owner, empty.sum(axis=1) >= CELLS - 1, len(sizes)) > spare
     out, of, bare = [], [], []
     for left_out in range(CELLS):
@@ -155,21 +160,21 @@ def _signatures(features: np.ndarray, sizes: np.ndarray, bands: np.ndarray, dist
         for c in kept:
             whole = mix64(whole + sums[:, c])
         nothing = empty[:, kept].all(axis=1)
-        said = ~nothing if level < LEVELS - 1 else ~nothing | sparse[row_owner]
+        said = ~nothing | (sparse & plain)[row_owner]
         out.append(whole[said])
         of.append(row_owner[said])
         nothing &= ~said & sparse[row_owner]
         bare.append((whole[nothing], row_owner[nothing]))
     first, who = (np.concatenate(x) for x in zip(*bare, strict=True))
     if len(who):
-        again, of_again = np.unique(who, return_inverse=True)
+        few, of_few = np.unique(who, return_inverse=True)
         begins = np.cumsum(sizes) - sizes
-        deeper, theirs = _signatures(features[spread(begins[again], sizes[again])], sizes[again], bands[again], distances[again], smallest[again], level + 1)
+        deeper, theirs = _signatures(features[spread(begins[few], sizes[few])], sizes[few], bands[few], distances[few], smallest[few], level + 1, True)
         order = np.argsort(theirs, kind="stable")
-        n = np.bincount(theirs, minlength=len(again))
-        pairs = order[spread((np.cumsum(n) - n)[of_again], n[of_again])]
-        out.append(mix64(np.repeat(first, n[of_again]) ^ deeper[pairs]))
-        of.append(np.repeat(who, n[of_again]))
+        n = np.bincount(theirs, minlength=len(few))
+        pairs = order[spread((np.cumsum(n) - n)[of_few], n[of_few])]
+        out.append(mix64(np.repeat(first, n[of_few]) ^ deeper[pairs]))
+        of.append(np.repeat(who, n[of_few]))
     return np.concatenate(out), np.concatenate(of)
 
 
