@@ -4,7 +4,8 @@ Vectors are whole numbers, kept as 256ths.  Ranges of norms become partitions; w
 length.  A rotation from the singular vectors of a sample gathers most of the length in the first
 components, so a product over those plus the product of the remaining lengths bounds the score closely.
 Queries are a stated set; they wait in the shared folder in blocks, with a first threshold each from the
-longest vectors, and every partition of candidates meets the blocks one by one.
+longest vectors.  Blocks hold queries that candidates of like norms can still matter to, so a partition of
+candidates reads only the blocks that its longest vector can reach.
 """
 
 from __future__ import annotations
@@ -140,10 +141,11 @@ def _with_empty(found: DataFrame, rows: DataFrame, k: int, every: int) -> DataFr
     """Add products with empty vectors: they have no score and come after all others, by vec_id."""
     full = F.size("w") > 0
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.max(full).alias("full"))
-    pairs = [
-        asked.where(wanted).crossJoin(F.broadcast(_first_rows(candidates, k))).where("query_id <> vec_id")
-        for wanted, candidates in ((F.col("full"), rows.where(~full)), (~F.col("full"), rows))
-    ]
+    pairs = []
+    for wanted, candidates in ((F.col("full"), rows.where(~full)), (~F.col("full"), rows)):
+        first = [F.lit(r.vec_id).cast("long") for r in _first_rows(candidates, k).collect()]  # 2 k ids at most
+        listed = F.array(*first) if first else F.array().cast("array<long>")
+        pairs.append(asked.where(wanted).select("query_id", F.explode(listed).alias("vec_id")).where("query_id <> vec_id"))
     none = pairs[0].unionByName(pairs[1]).select("query_id", "vec_id", F.lit(None).cast("long").alias("score"))
     return found.unionByName(none.withColumn("side", F.lit(-2)) if "side" in found.columns else none)
 
@@ -261,8 +263,7 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
     top_ids = np.array([r.vec_id for r in longest], np.int64)
     top = np.array([r.w for r in longest], np.float64).reshape(-1, width) * 256.0
 
-    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+    def limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 piece = batch.slice(at, QUERY_BLOCK)
@@ -272,12 +273,26 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
                 scores[ids[:, None] == top_ids[None, :]] = -np.inf
                 limits = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
                 limits = np.where(np.isfinite(limits), np.floor(limits) - 1 - 1e-12 * np.abs(limits), -(2.0**62)).astype(np.int64)
+                # a shorter candidate's product stays below the limit
+                norms = np.sqrt((vectors**2).sum(axis=1))
+                reach = np.where(limits > 1, (limits - 1.0) / np.maximum(norms * (1 + 1e-8), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([piece.column("vec_id"), piece.column("w"), pa.array(limits), pa.array(reach)], ["vec_id", "w", "limit", "reach"])
+
+    def queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                piece = batch.slice(at, QUERY_BLOCK)
+                ids, limits, vectors = np.asarray(piece.column("vec_id")), np.asarray(piece.column("limit")), _stack(piece.column("w"), width) * 256.0
                 path = f"{folder}/queries-{TaskContext.get().partitionId()}-{number}"
                 put_file(path, [ids.astype("<i8").tobytes(), limits.astype("<i8").tobytes(), vectors.tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(ids)], pa.int64())], ["path", "n"])
+                least = pa.array([float(np.asarray(piece.column("reach")).min())])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(ids)], pa.int64()), least], ["path", "n", "least"])
                 number += 1
 
-    blocks = [(r.path, r.n) for r in asked.select("vec_id", "w").transform(arrow_map, queries, "path string, n long").collect()]
+    by_reach = asked.select("vec_id", "w").transform(arrow_map, limited, "vec_id long, w array<double>, limit long, reach double")
+    by_reach = by_reach.repartitionByRange(max(1, total // (every * QUERY_BLOCK * 16)), "reach").sortWithinPartitions("reach")
+    blocks = [(r.path, r.n, r.least) for r in by_reach.transform(arrow_map, queries, "path string, n long, least double").collect()]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts_ = [(np.asarray(b.column("vec_id")), _stack(b.column("w"), width), np.asarray(b.column("norm"))) for b in batches if b.num_rows]
@@ -287,7 +302,9 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
         vectors = vectors * 256.0
         turned = vectors @ rotation
         front, rest = np.ascontiguousarray(turned[:, :head]), np.sqrt((turned[:, head:] ** 2).sum(axis=1))
-        for path, n in blocks:
+        for path, n, least in blocks:
+            if norms[0] < least:
+                continue
             blob = get_file(path)
             own, limits = np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i8", n, 8 * n).copy()
             block = Block(own, np.frombuffer(blob, "<f8", n * width, 16 * n).reshape(n, width), limits, rotation, head, k)
