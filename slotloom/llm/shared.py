@@ -44,14 +44,38 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root
 
 
+_work: set[str] = set()
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder; local ones are removed when the driver ends."""
+    """A fresh folder name below the shared folder; the folder is removed when the driver ends, or by ``clean_up``."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    if is_local(path):
-        atexit.register(shutil.rmtree, local_path(path), True)
+    _work.add(path)
     return path
 
 
+def remove(path: str) -> None:
+    """Remove a work folder, on any file system; one that is not there, or cannot be reached any more, is left."""
+    _work.discard(path)
+    if is_local(path):
+        shutil.rmtree(local_path(path), True)
+        return
+    from pyarrow import fs
+
+    try:
+        store, target = fs.FileSystem.from_uri(path)
+        store.delete_dir(target)
+    except (OSError, pa.ArrowException):
+        pass
+
+
+@atexit.register
+def clean_up() -> None:
+    """Remove all work folders of this driver; results that have not been written yet can then not be read."""
+    for path in list(_work):
+        remove(path)
+
+
 def is_local(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
@@ -62,10 +86,15 @@ def local_path(path: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and survives lost executors."""
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the folder, for tables that are removed once the next one is written."""
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def put_file(path: str, pieces) -> int:
