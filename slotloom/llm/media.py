@@ -153,18 +153,25 @@ def shots(shares: np.ndarray) -> list[tuple[int, int]]:
 
 def clips(avi: Avi, frames: list[Frame] | None = None) -> list[tuple[int, int, int, int, int]]:
     """Timed clips of a file: number, first and last frame, begin and end in milliseconds."""
-    found = shots(histograms(frames if frames is not None else list(avi.frames())))
+    return _timed(avi, shots(histograms(frames if frames is not None else list(avi.frames()))))
+
+
+def _timed(avi: Avi, found: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     return [(k, a, b, round(a * avi.frame_us / 1000), round((b + 1) * avi.frame_us / 1000)) for k, (a, b) in enumerate(found)]
 
 
+_CLIP = ("clip", "first_frame", "last_frame", "start_ms", "end_ms")
+
+
 def clip_rows(media: DataFrame, key: str, column: str) -> DataFrame:
     """Clips of each row's AVI file: key, clip, first_frame, last_frame, start_ms, end_ms, error.
 
-    Null media have no rows; media that cannot be read have one with the reason as ``error``.
+    Null media have no rows; media that cannot be read have one with the reason as ``error``.  Repeated rows
+    have their clips as often as they come; an empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["clip", "first_frame", "last_frame", "start_ms", "end_ms"]
+        names = _CLIP
         for batch in batches:
             for piece in slices(batch, column, 4 << 20):
                 rows = []
@@ -191,20 +198,28 @@ def describe(text: bytes, side: int = SIDE) -> tuple:
     cuts = shots(shares)
     levels = shares.mean(axis=0) * 1e6
     feature = f"frames={len(frames)};shots={len(cuts)};cuts={zlib.crc32(repr(cuts).encode()):08x};levels={','.join(f'{x:.0f}' for x in levels)}"
-    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, _timed(avi, cuts)
 
 
 def text_media_digests(docs: DataFrame, side: int = SIDE) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): what ``describe`` says of the text; null texts are empty."""
+    """Per row of ``docs`` (doc_id, text): what ``describe`` says of the text, with its timed clips.
+
+    Null texts are empty and have one padded frame, as empty ones do.  Repeated rows and equal texts give equal
+    values; an empty table gives no rows.  The frames of one text are held at once: about 12 times its length.
+    """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    clip = pa.list_(pa.struct([(n, pa.int64()) for n in _CLIP]))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                columns = zip(*(describe(t, side) for t in texts(piece.column("text"))), strict=True)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
+                *columns, found = zip(*(describe(t, side) for t in texts(piece.column("text"))), strict=True)
+                cut = pa.array([[dict(zip(_CLIP, c, strict=True)) for c in own] for own in found], clip)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), cut], ["doc_id", *names, "clips"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(arrow_map, described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return docs.select("doc_id", "text").transform(
+        arrow_map, described, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        f"clips array<struct<{', '.join(f'{n}: bigint' for n in _CLIP)}>>"
     )

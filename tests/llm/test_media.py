@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 
@@ -140,3 +141,70 @@ def test_rows(spark):
     got = {r.doc_id: r for r in media.text_media_digests(docs).collect()}
     assert got[1][1:] == got[None][1:] == media.describe(b"abc") and got[2][1:] == media.describe(b"")
     assert media.text_media_digests(docs.limit(0)).count() == 0
+
+
+def plain_reader(data):
+    """Payload, shots' histograms and clip times of a stored file, by bits and the standard's definitions only."""
+    at, frames, seconds, length = 12, [], None, None
+    stack = [(12, len(data))]
+    while stack:
+        at, end = stack.pop(0)
+        while at + 8 <= end:
+            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            if name == b"LIST":
+                stack.append((at + 12, at + 8 + size))
+            elif name == b"00dc":
+                frames.append(data[at + 8 : at + 8 + size])
+            elif name == b"strh":
+                seconds = int.from_bytes(data[at + 28 : at + 32], "little") / int.from_bytes(data[at + 32 : at + 36], "little")
+            elif name == b"ICMT":
+                length = int(data[at + 8 : at + 8 + size].rstrip(b"\0").split(b"=")[1])
+            at += 8 + size + size % 2
+    payload, shares = b"", []
+    cosine = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.125**0.5 if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+    for frame in frames:
+        at, tables = 2, {}
+        while frame[at + 1] != 0xDA:
+            marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+            body = frame[at + 4 : at + 2 + size]
+            if marker == 0xC4:
+                tables[body[0]] = {v: k for k, v in codes(list(body[1:17]), list(body[17:])).items()}
+            elif marker == 0xC0:
+                height, width = struct.unpack(">HH", body[1:5])
+            elif marker == 0xDB:
+                quant = list(body[1:65])
+            at += 2 + size
+        coded = frame[at + 2 + int.from_bytes(frame[at + 2 : at + 4], "big") : -2]
+        plane = np.zeros((height, width))
+        for k, part in enumerate(re.split(rb"\xff[\xd0-\xd7]", coded)):
+            bits = "".join(f"{b:08b}" for b in part.replace(b"\xff\x00", b"\xff"))
+            values, place = [], 0
+            while len(values) < 64:
+                n = next(n for n in range(1, 17) if bits[place : place + n] in tables[0x10 if values else 0])
+                symbol = tables[0x10 if values else 0][bits[place : place + n]]
+                assert symbol >> 4 == 0
+                size = symbol & 15
+                own = int(bits[place + n : place + n + size], 2)
+                payload += bytes([own])
+                values.append(own if own >> (size - 1) else own - (1 << size) + 1)
+                place += n + size
+            block = np.zeros(64)
+            block[jpeg.ZIGZAG] = np.array(values) * quant
+            y, x = divmod(k, width // 8)
+            plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = cosine.T @ block.reshape(8, 8) @ cosine
+        level = np.clip(np.rint(plane + 128), 0, 255).astype(int)
+        shares.append(np.bincount((level // 8).reshape(-1), minlength=32) / level.size)
+    return payload[:length], np.array(shares), 1000 * seconds
+
+
+@pytest.mark.parametrize("text", [b"", b"plain text", os.urandom(5_000), b"ab" * 3_000 + b"\xff" * 4_096])
+def test_stored_files_against_a_plain_reader(text):
+    payload = text + b"\0" * (-len(text) % 64 or (0 if text else 64))
+    stored = media.store_payload(payload)
+    found, shares, ms = plain_reader(stored)
+    assert found == payload
+    frames = list(media.read_avi(stored).frames())
+    assert np.abs(media.histograms(frames) - shares).max() < 2e-3  # samples at the edge between two levels may round apart
+    clips = media.clips(media.read_avi(stored))
+    assert clips == [(k, a, b, round(a * ms), round((b + 1) * ms)) for k, (a, b) in enumerate(media.shots(media.histograms(frames)))]
+    assert clips[0][1] == 0 and clips[-1][2] == len(frames) - 1 and all(x[2] + 1 == y[1] for x, y in zip(clips, clips[1:]))
