@@ -114,8 +114,8 @@ def _solve(sums: list[tuple[np.ndarray, np.ndarray, float]], ridge: float) -> np
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: int = FOURIER, ridge: float = RIDGE, seed: int = SEED) -> Model:
     """Learn from labelled documents that are not held out.
 
-    ``fit_rows`` bounds the labelled ids that are used, and so the broadcast of them.  With no labelled
-    rows the model scores 0.5 throughout.
+    ``fit_rows`` bounds the labelled ids that are used, and so the broadcast of them.  Null texts are empty and
+    repeated rows count as often as they come.  With no labelled rows the model scores 0.5 throughout.
     """
     sample = labelled_sample(labels, "quality", fit_rows, _FOLDS)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
@@ -191,7 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fourier: i
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted; null texts score as empty ones."""
+    """Per row of ``docs`` (doc_id, text): doc_id, held_out, score and predicted.
+
+    Null texts score as empty ones, repeated rows alike, texts of any length count whole, and an empty table gives
+    no rows.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +212,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, repeated ones too, with all their columns; null texts score as empty ones."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from slotloom.llm.shared import arrow_map, labelled_sample, slices, stored, texts
 
-#: At most about so many labelled rows are learned from, and so many features kept.
+#: At most about so many labelled rows are learned from.  That bounds the features too: all that pass the test are kept.
 FIT_ROWS = 20_000
-VOCABULARY = 4_096
+#: A feature is kept if its chi-square shows that it is no accident, or its square of phi that it all but decides.
 CHI_SQUARE = 24.0
+PHI_SQUARE = 0.3
 GRADES = 4
 #: Probability of any grade over 0 from which a document counts as toxic.
 THRESHOLD = 0.35
@@ -43,7 +44,7 @@ def _words(text: bytes) -> Counter:
 
 @dataclass
 class Model:
-    """Selected features with weights, and ascending thresholds; bounded by ``VOCABULARY``."""
+    """Selected features with weights, and ascending thresholds; bounded by the rows that were learned from."""
 
     index: dict[str, int]
     weights: np.ndarray
@@ -109,13 +110,14 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, width: int, le
     return p[:width], p[width] + np.concatenate([[0], np.cumsum(np.exp(p[width + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: int = VOCABULARY, grades: int = GRADES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, grades: int = GRADES) -> Model:
     """Learn from labelled documents whose crc32 of the id modulo 5 is not 0.
 
     Labels say toxic or not; grade 0 is not toxic, and toxic documents are graded 1 to ``grades`` - 1 by
     quantiles of the number of words that carry features over-represented in toxic documents.  Labels
     that already hold grades up to ``grades`` - 1 are used as they are.  ``fit_rows`` bounds the labelled
-    ids and so their broadcast.  Without labelled rows of both kinds nothing is toxic.
+    ids and so their broadcast.  Null texts are empty, repeated rows count as often as they come, and texts of any
+    length count whole.  Without labelled rows of both kinds, as in an empty table, nothing is toxic.
     """
     sample = labelled_sample(labels, "toxic", fit_rows, _HELD_OUT)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
     cross = a * F.lit(total) - n * F.lit(pos)
     chi = cross * cross * F.lit(total) / (F.lit(pos * (total - pos)) * n * (F.lit(total) - n))
     sums = train.transform(arrow_map, counted, "feature string, toxic long, docs long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    top = sums.where((F.col("docs") >= 3) & (n < total)).withColumn("chi", chi).where(F.col("chi") >= min(CHI_SQUARE, 0.3 * total)).orderBy(F.desc("chi"), "feature").limit(vocabulary).collect()
+    top = sums.where((F.col("docs") >= 3) & (n < total)).withColumn("chi", chi).where((F.col("chi") >= CHI_SQUARE) | (F.col("chi") >= PHI_SQUARE * total)).orderBy(F.desc("chi"), "feature").collect()
     index = {r.feature: i for i, r in enumerate(top)}
     raised = np.array([r.toxic * total > r.docs * pos for r in top], dtype=bool)
     bare = Model(index, np.zeros(len(index)), np.zeros(grades - 1))
@@ -168,7 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, vocabulary
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of ``docs``: doc_id, severity (expected grade), p_toxic, toxic; null texts count as empty."""
+    """Per row of ``docs``: doc_id, severity (expected grade), p_toxic, toxic.
+
+    Null texts count as empty, repeated rows score alike, texts of any length count whole, and an empty table gives
+    no rows.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +189,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that are not toxic, repeated ones too, with all their columns; null texts count as empty."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -87,3 +88,89 @@ def test_ordinal_gradient_and_order():
     grades = (eta[:, None] + rng.logistic(size=600)[:, None] > np.array([-1.0, 0.5, 2.0])).sum(1)
     weights, thresholds = toxicity.fit_ordinal(rows, grades, 6, 4)
     assert (np.diff(thresholds) > 0).all() and np.corrcoef(weights, true)[0, 1] > 0.95
+
+
+def known_rows(data, grade):
+    """Texts, grades and folds of the labelled rows that a fit may see, by plain Python."""
+    docs, labels, _ = data
+    best = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r[grade] is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            best[r.doc_id] = max(best.get(r.doc_id, 0), r[grade])
+    return [((r.text or "").encode(), best[r.doc_id], zlib.crc32(str(r.doc_id).encode()) % 5) for r in docs.collect() if r.doc_id in best]
+
+
+def test_quality_query_against_one_matrix(data):
+    docs, labels, _ = data
+    known = known_rows(data, "quality")
+    x = np.array([quality.statistics(t) for t, _, _ in known])
+    y, fold = np.array([float(g > 0) for _, g, _ in known]), np.array([f for _, _, f in known])
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    rng = np.random.default_rng(quality.SEED)
+    width = x.shape[1]
+    frequencies, phases = rng.normal(0, 1 / np.sqrt(width), (width, quality.FOURIER)), rng.uniform(0, 2 * np.pi, quality.FOURIER)
+    waves = lambda v: np.hstack([np.cos(np.clip((v - mean) / scale, -8, 8) @ frequencies + phases) * np.sqrt(2 / quality.FOURIER), np.ones((len(v), 1))])
+    z = waves(x)
+
+    def ridge(rows):
+        penalty = np.full(z.shape[1], quality.RIDGE * np.sqrt(rows.sum()) * 0.01)
+        penalty[-1] = 1e-9 * rows.sum()
+        return np.linalg.solve(z[rows].T @ z[rows] + np.diag(penalty), z[rows].T @ y[rows])
+
+    apart = np.zeros(len(y))
+    for f in np.unique(fold):
+        apart[fold == f] = z[fold == f] @ ridge(fold != f)
+    bins = np.floor(np.clip(apart, -0.5, 1.5) * 2000)
+    order = np.unique(bins)
+    mean_y, n = np.array([y[bins == b].mean() for b in order]), np.array([(bins == b).sum() for b in order])
+    level = [max(min((mean_y * n)[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(order))) for a in range(i + 1)) for i in range(0, len(order), max(1, len(order) // 40))]
+    model = quality.fit(docs, labels)
+    assert np.allclose(model.weights, ridge(np.ones(len(y), bool)), rtol=1e-5, atol=1e-6)
+    for b, want in zip(order[:: max(1, len(order) // 40)], level, strict=True):
+        block = np.argmin(np.abs(model.knots - (b + 0.5) / 2000))
+        assert min(abs(model.levels[max(block - 1, 0) : block + 2] - want)) < 0.02 or want in model.levels
+    some = docs.limit(300).collect()
+    raw = waves(np.array([quality.statistics((r.text or "").encode()) for r in some])) @ model.weights
+    want = np.clip(0.999 * np.interp(raw, model.knots, model.levels) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    assert np.allclose([got[r.doc_id] for r in some], want, atol=1e-9)
+
+
+def test_toxicity_query_against_a_plain_fit(data):
+    docs, labels, _ = data
+    known = known_rows(data, "toxic")
+    model = toxicity.fit(docs, labels)
+    bags = [Counter(f for w, n in toxicity._words(t).items() for f in toxicity.word_features(w) for _ in range(n)) for t, _, _ in known]
+    toxic = np.array([g > 0 for _, g, _ in known])
+    total, pos = len(toxic), toxic.sum()
+    seen, hits = Counter(f for b in bags for f in b), Counter(f for b, g in zip(bags, toxic) for f in b if g)
+    chosen = set()
+    for f, n in seen.items():
+        table = np.array([[hits[f], n - hits[f]], [pos - hits[f], total - n - pos + hits[f]]], float)
+        expected = table.sum(1, keepdims=True) @ table.sum(0, keepdims=True) / total
+        if 3 <= n < total:
+            chi = ((table - expected) ** 2 / expected).sum()
+            if chi >= 24 - 1e-9 or chi >= 0.3 * total:
+                chosen.add(f)
+    assert set(model.index) == chosen
+    raised = {f for f in chosen if hits[f] / seen[f] > pos / total}
+    count = np.array([sum(n for f, n in b.items() if f in raised) for b in bags], float)
+    cuts = np.quantile(count[toxic], [1 / 3, 2 / 3])
+    grades = np.where(toxic, 1 + (count[:, None] > cuts).sum(1), 0)
+    x = np.zeros((total, len(model.index)))
+    for i, b in enumerate(bags):
+        for f in chosen & set(b):
+            x[i, model.index[f]] = np.log1p(b[f])
+
+    def loss(weights, thresholds):
+        below = 1 / (1 + np.exp(-np.clip(np.append(thresholds, np.inf) - (x @ weights)[:, None], -40, 40)))
+        p = np.diff(np.hstack([np.zeros((total, 1)), below]), axis=1)[np.arange(total), grades]
+        return -np.log(np.maximum(p, 1e-12)).mean() + 0.5e-4 * (weights**2).sum()
+
+    found = loss(model.weights, model.thresholds)
+    # a plain search along coordinates and at random finds nothing that is better by more than a hair
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        step = rng.normal(size=len(model.weights)) * rng.choice([1e-3, 1e-2, 1e-1]) * (rng.random(len(model.weights)) < 0.1)
+        assert loss(model.weights + step, np.sort(model.thresholds + rng.normal(size=3) * 1e-2)) > found - 2e-4
+    assert found < loss(np.zeros_like(model.weights), np.log([0.9, 0.94, 0.97]) - np.log([0.1, 0.06, 0.03]))
