@@ -1,5 +1,10 @@
-"""The registered queries of the training-data operators, and their SQL where SQL can express them."""
+"""The registered queries of the training-data operators, and their SQL where SQL can express them.
 
+Each applies its operator to a whole table.  For all of them: null texts count as empty, rows may lack an id,
+repeated rows give repeated results (but for the queries of ``op8_inner_products``, which are ids), texts are
+taken whole at any length, tables without rows give no rows, and further columns of a table are not looked at,
+whatever their names.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -13,24 +18,29 @@ from slotloom.llm.shared import table
 
 
 def op1_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document and what they decode to."""
     rows = pieces.encode_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "decoded_crc32", "lossless")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; without labelled rows all score 0.5."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's payload and media file as read back, its features, and its timed clips."""
     return media.text_media_digests(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the model of the documents that are not held out; an empty text is its end alone."""
     return ngrams.score_held_out(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and taken words of every document; rows without a source are one source, the last."""
     rows = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,6 +75,7 @@ FROM rates
 
 
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards and slots of every document by rendezvous hashing of its id; rows without an id share a key."""
     rows = sharding.shard_records(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
@@ -99,10 +110,12 @@ FROM dealt
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; empty sets are components of their own."""
     return setjoin.linked_components(table(spark, sf_dir, "documents"))
 
 
 def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every vector whose id 50 divides; a missing component counts as zero, as in the SQL."""
     return topk.top_products(table(spark, sf_dir, "embeddings"), all_lengths=True)
 
 
@@ -121,10 +134,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, number and crc32 of every document's ids as read back from the files; rows without an id come first."""
     return tokenfile.token_file_digests(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and verdict of every document; without labelled rows of both kinds nothing is toxic."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 

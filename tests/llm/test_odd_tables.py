@@ -1,10 +1,13 @@
 """Every operator and stage on odd tables: nulls in any column, clashing extra columns, repeats, long texts, no rows."""
 
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, toxicity
+from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity
 from slotloom.llm.shared import DOCUMENT_COLUMNS
 
 CLASHES = ["score", "key", "text_hash", "class", "place", "held_out", "shard", "slot", "copies", "size", "target", "grade", "toxic", "fold", "x", "bucket"]
@@ -49,6 +52,50 @@ def test_operators(spark, docs, folder):
         assert sorted(str(r.doc_id) for r in found.select("doc_id").collect()) == want
 
 
+def rows_of(found):
+    return sorted(repr(tuple(sorted(r.asDict(recursive=True).items()))) for r in found.collect())
+
+
+def test_values_do_not_depend_on_clashing_columns_order_or_parts(spark, docs, folder):
+    """The clashing table's results are those of a bare table in another order and other partitions."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    bare = docs.select(*DOCUMENT_COLUMNS).orderBy(F.desc("text")).repartition(5)
+    for k, (found, want) in enumerate(zip(apply_all(docs, labels), apply_all(bare, labels), strict=True)):
+        assert rows_of(found) == rows_of(want), k
+
+
+def test_values(spark, docs, folder):
+    """Defined results of the odd rows."""
+    by = lambda df, *columns: Counter((r.doc_id, *(r[c] for c in columns)) for r in df.collect())
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    words = lambda t: len(t.encode().split())
+    pieces_ = pieces.encode_documents(docs).collect()
+    assert Counter((r.doc_id, r.decoded_crc32) for r in pieces_) == Counter((i, zlib.crc32(t.encode())) for i, t in texts)
+    assert all(r.lossless and bool(r.piece_ids) == (r.decoded_crc32 != 0) for r in pieces_)
+    scores = ngrams.score_held_out(docs)
+    assert by(scores, "n_tokens", "held_out") == Counter((i, words(t) + 1, zlib.crc32(str("" if i is None else i).encode()) % 10 == 0) for i, t in texts)
+    assert by(mixing.mixed_sizes(docs), "size") == Counter((i, words(t)) for i, t in texts)
+    shards = sharding.shard_records(docs)
+    assert by(shards, "size", "text_crc32") == Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts)
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in [[r for r in shards.collect() if r.shard == s] for s in range(24)])
+    sizes = {"plain words in a row": 2, "no id at all here": 2, "same text twice over": 1, "stupid idiot": 1, "é" * 200: 1, "word " * 30_000: 1}
+    first = {"same text twice over": 5}
+    assert by(setjoin.linked_components(docs), "n_shingles", "component_id") == Counter((i, sizes.get(t, 0), first.get(t, i)) for i, t in texts)
+    tokens = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokenfile.token_file_digests(docs).collect()))
+    assert [i for _, i, _ in tokens] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i)) and tokens[0][0] == 0
+    assert all(a[0] + a[2] == b[0] for a, b in zip(tokens, tokens[1:])) and Counter(n for _, _, n in tokens)[1] == 4
+    media_ = media.text_media_digests(docs)
+    assert by(media_, "n_bytes", "tail_crc32") == Counter((i, len(t.encode()), zlib.crc32((t.encode() + b"\0" * (-len(t.encode()) % 64 or 64 * (not t)))[-64:])) for i, t in texts)
+
+
+def test_inner_products_with_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, None), (100, [None, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (None, [9.0, 9.0]), (3, []), (150, [float("nan"), 1.0]), (4, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("w", "norm", "score", "rank", "query_id", "side")})
+    found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_products(df, all_lengths=True).orderBy("query_id", "rank").collect()]
+    assert found == [(0, 1, 1, 256 * 128 * 3), (0, 2, 2, 256 * 128 * 3), (0, 3, 4, 65536), (0, 4, 3, None)]
+    assert topk.top_products(df.limit(0), all_lengths=True).count() == 0
+
+
 def test_pipeline(spark, docs, folder):
     now = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
