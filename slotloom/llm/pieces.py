@@ -25,7 +25,7 @@ from slotloom.llm.shared import arrow_map, mix64, slices, texts, unit
 from slotloom.llm.words import Slots, distinct, first_places, hash_spans, spread
 
 #: Lattice nodes that one worker keeps, and as many of the round before.
-CACHE_NODES = 1_500_000
+CACHE_NODES = 600_000
 #: Characters from which a chunk is cut, characters of a block, and blocks whose matrices are made at once.
 LONG_CHUNK = 2_048
 BLOCK = 512
@@ -388,7 +388,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, alpha: floa
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(model_file, alpha, seed)
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 2 << 20):
                 raw = texts(piece.column("text"))
                 ids, offsets = sampler.encode(raw, np.asarray(piece.column("key")))
                 decoded = sampler.decode(ids, offsets)
