@@ -13,7 +13,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity
+from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
 from slotloom.llm.shared import table
 
 
@@ -144,6 +144,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector by codebooks of 64 entries for 16 parts, after two rounds; shorter vectors end in zeros."""
+    return veccodes.code_table(table(spark, sf_dir, "embeddings"))
+
+
+_ROUND = """, near{0} AS (
+  SELECT r, x.p, min({{'d': coalesce(list_sum(list_transform(list_zip(x.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0), 'e': e}}) AS m
+  FROM parts x JOIN book{0} b ON x.p = b.p GROUP BY r, x.p
+), sums{0} AS (
+  SELECT p, e, i, sum(c) AS s, count(*) AS n
+  FROM (SELECT x.p, m.e AS e, unnest(part) AS c, generate_subscripts(part, 1) AS i FROM near{0} JOIN parts x USING (r, p)) GROUP BY p, e, i
+), means{0} AS (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS part FROM sums{0} GROUP BY p, e
+), book{1} AS (
+  SELECT b.p, b.e, coalesce(m.part, b.part) AS part FROM book{0} b LEFT JOIN means{0} m ON b.p = m.p AND b.e = m.e
+)"""
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+         row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), sized AS (
+  SELECT CAST(ceil(max(len(v)) / 16.0) AS BIGINT) AS size FROM kept
+), parts AS (
+  SELECT r, p, list_transform(range(0, size), lambda i: coalesce(v[p * size + i + 1], 0)) AS part FROM kept, sized, range(16) AS t(p)
+), book0 AS (
+  SELECT p, r - 1 AS e, part FROM parts WHERE r <= 64
+){_ROUND.format(0, 1)}{_ROUND.format(1, 2)}, last AS (
+  SELECT r, x.p, min({{'d': coalesce(list_sum(list_transform(list_zip(x.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0), 'e': e}}) AS m
+  FROM parts x JOIN book2 b ON x.p = b.p GROUP BY r, x.p
+), coded AS (
+  SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM last GROUP BY r
+), digest AS (
+  SELECT sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i), '')) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(part) AS c, generate_subscripts(part, 1) AS i FROM book2)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_piece_sampling": op1_piece_sampling,
@@ -156,9 +197,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_inner_products": op8_inner_products,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_shard": OP6_SQL, "op8_inner_products": OP8_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_shard": OP6_SQL, "op8_inner_products": OP8_SQL, "op13_vector_codes": OP13_SQL}
