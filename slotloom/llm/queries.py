@@ -13,7 +13,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
+from slotloom.llm import alignment, media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
 from slotloom.llm.shared import table
 
 
@@ -144,6 +144,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of both tokenizers' tokens for every document; texts without tokens have zeros and an empty digest."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every vector by codebooks of 64 entries for 16 parts, after two rounds; shorter vectors end in zeros."""
     return veccodes.code_table(table(spark, sf_dir, "embeddings"))
@@ -197,6 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_inner_products": op8_inner_products,
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
+        "op11_token_alignment": op11_token_alignment,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }

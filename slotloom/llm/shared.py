@@ -146,8 +146,15 @@ def open_arrays(path: str) -> list[np.ndarray]:
         except FileNotFoundError:
             _opened[path] = None
     data = _opened[path]
-    if data is None:
-        return []
+    return [] if data is None else _parted(data)
+
+
+def read_arrays(path: str) -> list[np.ndarray]:
+    """The arrays of a file that is read once, whole."""
+    return _parted(np.frombuffer(get_file(path), np.uint8))
+
+
+def _parted(data: np.ndarray) -> list[np.ndarray]:
     head = data[8 : 8 + 16 * int(data[:8].view("<i8")[0])].view("<i8").reshape(-1, 2).tolist()
     at, found = 8 + 16 * len(head), []
     for kind, n in head:
