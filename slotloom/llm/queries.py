@@ -13,7 +13,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.llm import alignment, media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
+from slotloom.llm import alignment, identifiers, identifiers_sql, media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
 from slotloom.llm.shared import table
 
 
@@ -149,6 +149,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans by kind, their digest, all spans, and the number of added ones, of every document; null texts have none."""
+    return identifiers.find_identifiers(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and error of every vector by codebooks of 64 entries for 16 parts, after two rounds; shorter vectors end in zeros."""
     return veccodes.code_table(table(spark, sf_dir, "embeddings"))
@@ -203,10 +208,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_files": op9_token_files,
         "op10_toxicity": op10_toxicity,
         "op11_token_alignment": op11_token_alignment,
+        "op12_identifiers": op12_identifiers,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_shard": OP6_SQL, "op8_inner_products": OP8_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_shard": OP6_SQL, "op8_inner_products": OP8_SQL, "op12_identifiers": identifiers_sql.SQL, "op13_vector_codes": OP13_SQL}
