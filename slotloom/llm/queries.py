@@ -115,7 +115,11 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best products of every vector whose id 50 divides; a missing component counts as zero, as in the SQL."""
+    """The five best products of every vector whose id 50 divides, as in the SQL: a missing component counts as zero.
+
+    A product with an empty vector has no terms, is null, and comes last.  A repeated query id is one query, with the
+    smallest of its vectors that are not empty.
+    """
     return topk.top_products(table(spark, sf_dir, "embeddings"), all_lengths=True)
 
 
@@ -123,9 +127,13 @@ OP8_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), widest AS (
+  SELECT max(len(v)) AS width FROM whole
+), asked AS (
+  SELECT vec_id, coalesce(min(list_resize(v, width, 0)) FILTER (len(v) > 0), []) AS v FROM whole, widest WHERE vec_id % 50 = 0 GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
-  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  FROM asked q JOIN whole c ON q.vec_id <> c.vec_id
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM scored
 )

@@ -10,6 +10,7 @@ candidates reads only the blocks that its longest vector can reach.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from operator import mul
 
@@ -79,6 +80,11 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
+def _rounding(width: int) -> float:
+    """What a product of ``width`` doubles, rotated or not, can be off by, as a share of the product of the norms."""
+    return (16 * width + 64) * 2.0**-52
+
+
 class Block:
     """Some queries with their rotated vectors, thresholds, and best candidates so far."""
 
@@ -92,7 +98,7 @@ class Block:
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray, front: np.ndarray, rest: np.ndarray, norms: np.ndarray) -> bool:
         """Compare with candidates by falling norm; False once no later ones can matter."""
-        slack = 0.5 + 1e-9 * self.norms * (norms[0] if len(norms) else 0.0)
+        slack = 0.5 + _rounding(self.vectors.shape[1]) * self.norms * (norms[0] if len(norms) else 0.0)
         live = np.flatnonzero(self.norms * norms[0] + slack >= self.limits)
         if not len(live):
             return False
@@ -106,7 +112,9 @@ class Block:
             scores = scores[np.searchsorted(live, query), candidate].astype(np.int64)
         else:
             kind = np.float64 if self._exact(norms) else np.int64
-            scores = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", self.vectors[query[a : a + 65_536]].astype(kind), vectors[candidate[a : a + 65_536]].astype(kind)) for a in range(0, len(query), 65_536))]).astype(np.int64)
+            parts = (slice(a, a + 65_536) for a in range(0, len(query), 65_536))
+            scores = [np.einsum("ij,ij->i", self.vectors[query[p]].astype(kind), vectors[candidate[p]].astype(kind)) for p in parts]
+            scores = np.concatenate([np.empty(0, kind), *scores]).astype(np.int64)  # whole numbers of 64 bits stay such
         keep = scores >= self.limits[query]
         joined = tuple(np.concatenate([a, b[keep]]) for a, b in zip(self.found, (query, ids[candidate], scores), strict=True))
         best = _best(*joined, self.k)
@@ -161,8 +169,28 @@ def _scaled(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, powers, np.sqrt((rows**2).sum(axis=1))
 
 
+def _log_norms(w: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the norms of 256 times the rows, not below the true ones; -inf for zeros."""
+    _, powers, norms = _scaled(w)
+    with np.errstate(divide="ignore"):
+        return np.log2(norms) + powers + 8 + 1e-9
+
+
+def _log(n: int) -> float:
+    """The binary logarithm of a positive integer, not above the true one."""
+    shift = max(n.bit_length() - 60, 0)
+    return math.log2(n >> shift) + shift - 1e-9
+
+
 def _exact_best(own: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Query, candidate and exact score of each query's k best: doubles choose, within their error, whom integers score."""
+    """Query, candidate and exact score of each query's k best: doubles choose, within their error, whom integers score.
+
+    Candidates come by falling norm; once no product of norms reaches a query's k-th score, the rest is left out.
+    """
+    size = _log_norms(vectors)
+    order = np.lexsort((ids, -size))
+    ids, vectors, size = ids[order], vectors[order], size[order]
+    reach = _log_norms(asked)
     fine, of = np.unique(vectors, axis=0, return_inverse=True)
     of = of.reshape(-1)
     whole: dict[int, list[int]] = {}
@@ -171,11 +199,14 @@ def _exact_best(own: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np
     mine = [_integers(w) for w in asked]
     for begin in range(0, len(ids), _STEP_ROWS):
         at = np.arange(begin, min(begin + _STEP_ROWS, len(ids)))
+        live = [q for q, b in enumerate(best) if len(b) < k or b[-1][0] >= 0 or reach[q] + size[begin] >= _log(-b[-1][0])]
+        if not live:
+            break
         b, powers, b_norms = _scaled(vectors[at])
         shift = powers - powers.max()
         score = np.ldexp(a @ b.T, shift)
         error = np.ldexp(np.outer(a_norms, b_norms) * (2.0**-50 * vectors.shape[1]), shift) + 1e-300
-        for q in range(len(own)):
+        for q in live:
             other = np.flatnonzero(ids[at] != own[q])
             if len(other) > k:
                 least = np.partition(score[q, other] - error[q, other], -k)[-k]
@@ -228,8 +259,10 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
 
     Queries are rows whose vec_id is divisible by ``every`` (of repeated ids the smallest vector);
     candidates all rows with another id, repeated rows once each.  No vectors or queries give no rows.
-    With ``all_lengths`` a missing component counts as zero and a product with an empty vector is null, as
-    in the query's SQL; without, vectors of another length than the longest take no part.
+    With ``all_lengths`` a missing component counts as zero, but a product with an empty vector has no terms
+    and is null, after all others, as in the query's SQL; without, vectors of another length than the longest take no
+    part.  A repeated query id keeps the smallest of its vectors that are not empty, in the order of their components
+    with missing ones as zero.
     """
     spark = table.sparkSession
     folder = work_dir(spark, "topk")
@@ -268,11 +301,12 @@ def top_products(table: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
             for at in range(0, batch.num_rows, QUERY_BLOCK):
                 piece = batch.slice(at, QUERY_BLOCK)
                 ids, vectors = np.asarray(piece.column("vec_id")), _stack(piece.column("w"), width) * 256.0
-                # sums of another order may differ by a hair; 1 less is below any of them
-                scores = vectors @ top.T
+                # by how much a sum of doubles is off depends on the norms, however small the sum
+                error = _rounding(width) * np.outer(np.sqrt((vectors**2).sum(axis=1)), np.sqrt((top**2).sum(axis=1)))
+                scores = vectors @ top.T - error
                 scores[ids[:, None] == top_ids[None, :]] = -np.inf
                 limits = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
-                limits = np.where(np.isfinite(limits), np.floor(limits) - 1 - 1e-12 * np.abs(limits), -(2.0**62)).astype(np.int64)
+                limits = np.where(np.isfinite(limits), np.floor(limits) - 1, -(2.0**62)).astype(np.int64)
                 # a shorter candidate's product stays below the limit
                 norms = np.sqrt((vectors**2).sum(axis=1))
                 reach = np.where(limits > 1, (limits - 1.0) / np.maximum(norms * (1 + 1e-8), 1e-300), 0.0)

@@ -100,3 +100,57 @@ def test_scores_beyond_64_bits(spark):
     assert sorted(map(tuple, two.collect())) == [(0, 1, 2, 0), (0, 2, 3, 0)]
     with pytest.raises(Exception, match="beyond 64 bits"):
         topk.top_products(spark.createDataFrame(far, kind), k=3).collect()
+
+
+def as_written(spark, rows, kind="double", **more):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
+    return sorted(map(tuple, topk.top_products(df, all_lengths=True, **more).collect()))
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_whole_numbers_above_the_doubles(spark, dense):
+    """Thousands of long vectors, whose scores have more than 53 bits, on both ways of multiplying."""
+    rng = np.random.default_rng(11)
+    whole = rng.integers(-(2**20), 2**20, size=(4_000, 8)) if dense else np.where(rng.random((4_000, 8)) < 0.3, rng.integers(-(2**22), 2**22, size=(4_000, 8)), rng.integers(-9, 9, size=(4_000, 8)))
+    rows = [(i, [float(x) + float(f) / 256 for x, f in zip(v, rng.integers(0, 256, 8))]) for i, v in enumerate(whole)]
+    got = as_written(spark, rows)
+    assert got == brute(rows) and any(abs(r[3]) > 2**53 and r[3] % 2 for r in got)
+
+
+def test_long_vectors_that_nearly_cancel(spark):
+    """A query of great norm with candidates at right angles: scores are far below what doubles' rounding leaves certain."""
+    rng = np.random.default_rng(12)
+    rows = [(0, [float(2**21)] * 4 + [-float(2**21)] * 4)]
+    for i in range(1, 900):
+        half = rng.integers(-(2**20), 2**20, 4)
+        rows.append((i, [float(x) for x in half] + [float(x) + float(e) / 256 for x, e in zip(rng.permutation(half), rng.integers(0, 9, 4))]))
+    assert as_written(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("scale", [1.3 * 2.0**22, 2.0**40])
+def test_norms_at_and_beyond_the_bound(spark, scale):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) * (scale if i % 7 == 0 else 1.0) for x in v]) for i, v in enumerate(rng.uniform(-1, 1, size=(400, 3)))] + [(700, [scale] * 3), (701, [-scale] * 3)]
+    if scale < 2**30:
+        assert as_written(spark, rows) == brute(rows)
+    else:  # scores among the best have more than 64 bits, which a long cannot hold
+        with pytest.raises(Exception, match="beyond 64 bits"):
+            as_written(spark, rows)
+
+
+def test_exact_products_stop_at_short_candidates():
+    rng = np.random.default_rng(14)
+    vectors = rng.normal(size=(9_000, 4)) * np.exp2(rng.integers(0, 60, (9_000, 1)))
+    ids, own, asked = np.arange(9_000), np.array([3, 8]), vectors[[3, 8]]
+    got = topk._exact_best(own, asked, ids, vectors, 5)
+    whole = [topk._integers(v) for v in vectors]
+    for q in own.tolist():
+        want = sorted((-sum(a * b for a, b in zip(whole[q], w)), c) for c, w in enumerate(whole) if c != q)[:5]
+        assert [(c, s) for i, c, s in got if i == q] == [(c, -s) for s, c in want]
+
+
+def test_repeated_query_ids_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    rows = [(i % 120, [float(x) for x in rng.normal(size=4)]) for i in range(300)] + [(0, []), (50, [0.5]), (50, [-9.0, 1.0]), (100, []), (250, []), (250, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert by_query(spark, tmp_path) == by_sql(tmp_path)
