@@ -7,7 +7,8 @@ checked when the files are read).  A token ends at every cut, so what holds for
 Documents come in blocks.  A block keeps its distinct segments as rows and its texts as numbers of them, in a file
 of the shared folder.  Rows of equal segments meet, are tokenised and aligned once, links are counted over the
 corpus, and a second join takes the alignments back to the blocks, which compose their documents.  What is
-shuffled are distinct segments of blocks, never words of texts.
+shuffled are distinct segments of blocks, never words of texts.  Counted pairs of ids, of which there are no more than
+the vocabularies have, are sorted arrays in the shared folder, which workers map into memory.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import arrow_map, put_arrays, read_arrays, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, open_arrays, put_arrays, read_arrays, slices, stored, texts, work_dir
 
 #: Bytes of text of a block (one document at least), rows of a result batch, and segments that are composed at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 _ROWS = 50_000
 _STRETCH = 1 << 20
 #: White space at which texts may be cut, where the vocabularies allow it.
@@ -37,6 +38,8 @@ _PAIRS, _TRIPLES = (np.array([int.from_bytes(c.encode()) for c in _SPACES if len
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _PAIR_SHIFT = 32
+#: Files of counted pairs.
+_SHARDS = 32
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -132,7 +135,7 @@ class Pair:
         return np.array([b"".join(raw[i] for i in own) == s for own, s in zip(ids, segments, strict=True)], bool)
 
     def aligned(self, segments: list[bytes]) -> tuple[np.ndarray, dict[str, list | np.ndarray]]:
-        """Which segments both tokenizers give back, and of those numbers, links (a pair of ids each) and groups."""
+        """Which segments both tokenizers give back; of those, A's tokens, links (a pair of ids each) and groups with ``;`` before each."""
         a, b = self.tokens(segments)
         good = self._same(a, segments, self.a_raw, self.a_arrow) & self._same(b, segments, self.b_raw, self.b_arrow)
         kept = np.flatnonzero(good).tolist()
@@ -153,10 +156,10 @@ class Pair:
         link_ends, group_ends = np.searchsorted(both, ends, "right"), np.searchsorted(common, ends, "right")
         parts = zip([0, *group_ends.tolist()], group_ends.tolist())
         return good, {
-            "n_a": [len(x) for x in a], "n_b": [len(x) for x in b], "n_groups": np.diff(group_ends, prepend=0), "n_links": np.diff(link_ends, prepend=0),
+            "n_a": pa.array([len(x) for x in a], pa.int64()),
             "links": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], link_ends]), pa.int32()), pa.array(links)),
-            "groups": ["".join(groups[x:y]).encode() for x, y in parts],
-        }
+            "groups": pa.array(["".join(groups[x:y]).encode() for x, y in parts], pa.binary()),
+        }
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -178,13 +181,31 @@ def _block(pair: Pair, ids: list[pa.Array], contents: list[bytes], path: str) ->
     segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     coded = segments.dictionary_encode()
     codes = np.asarray(coded.indices)
+    counts = np.bincount(codes, minlength=len(coded.dictionary))
+    order = np.argsort(-counts, kind="stable")  # frequent segments get small numbers
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order))
     names = pa.chunked_array(ids).combine_chunks()
     numbers = np.asarray(pc.fill_null(names, 0)).astype("<i8")
     put_arrays(path, [
-        numbers, np.asarray(names.is_null()).astype("u1"), np.diff(np.searchsorted(cuts, ends), prepend=0).astype("<u4"),
-        codes.astype("<u2" if len(coded.dictionary) < 1 << 16 else "<u4"),
+        numbers, np.asarray(names.is_null()).astype("u1"), np.diff(np.searchsorted(cuts, ends), prepend=0).astype("<u4"), *_packed(rank[codes]),
     ])
-    return pa.StructArray.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(np.bincount(codes, minlength=len(coded.dictionary)), pa.int64())], ["segment", "n"])
+    return pa.StructArray.from_arrays([coded.dictionary.take(pa.array(order)).cast(pa.binary()), pa.array(counts[order])], ["segment", "n"])
+
+
+def _packed(codes: np.ndarray) -> list[np.ndarray]:
+    """Numbers below 2^32 as compressed planes of their bytes; high planes are mostly zeros."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return [np.frombuffer(pa.compress(np.ascontiguousarray(p).tobytes(), "zstd", asbytes=True), np.uint8) for p in planes]
+
+
+def _read_block(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, which of them are null, numbers of segments, and the segments of a block's documents."""
+    names, missing, sizes, *planes = read_arrays(f"{folder}/{block}")
+    codes = np.empty((int(sizes.sum()), 4), np.uint8)
+    for k, plane in enumerate(planes):
+        codes[:, k] = np.frombuffer(pa.decompress(plane.tobytes(), len(codes), "zstd", asbytes=True), np.uint8) if len(codes) else 0
+    return names, missing, sizes, codes.view("<u4")[:, 0]
 
 
 def _split(docs: DataFrame, files: tuple[str, str], folder: str, block_bytes: int) -> DataFrame:
@@ -222,20 +243,17 @@ def _split(docs: DataFrame, files: tuple[str, str], folder: str, block_bytes: in
 
 
 def _align(distinct: DataFrame, files: tuple[str, str]) -> DataFrame:
-    """Distinct segments (segment, n) with their numbers, links and groups, which are null where the bytes differ."""
-    schema = pa.schema([("segment", pa.binary()), ("n", pa.int64()), *((c, pa.int64()) for c in _NUMBERS[:4]), ("links", pa.list_(pa.int64())), ("groups", pa.binary())])
+    """Distinct segments (segment, n) with n_a, links and groups, which are null where the bytes differ."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(files)
         for batch in batches:
             for piece in slices(batch, "segment", 4 << 20):
                 good, found = pair.aligned(piece.column("segment").to_pylist())
-                at = pa.array(np.where(good, np.cumsum(good) - 1, -1), pa.int64())
-                at = pc.if_else(pa.array(good), at, pa.scalar(None, pa.int64()))
-                columns = [pa.array(x, schema.field(c).type) if not isinstance(x, pa.Array) else x for c, x in found.items()]
-                yield pa.RecordBatch.from_arrays([piece.column("segment"), piece.column("n"), *(c.take(at) for c in columns)], ["segment", "n", *found]).select(schema.names)
+                at = pa.array(np.cumsum(good) - 1, mask=~good)
+                yield pa.RecordBatch.from_arrays([piece.column("segment"), piece.column("n"), *(c.take(at) for c in found.values())], ["segment", "n", *found])
 
-    return distinct.transform(arrow_map, align, "segment binary, n long, n_a long, n_b long, n_groups long, n_links long, links array<long>, groups binary")
+    return distinct.transform(arrow_map, align, "segment binary, n long, n_a long, links array<long>, groups binary")
 
 
 def _lost(rows: DataFrame, failed: DataFrame, folder: str) -> DataFrame:
@@ -243,7 +261,7 @@ def _lost(rows: DataFrame, failed: DataFrame, folder: str) -> DataFrame:
 
     def count(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        _, _, sizes, codes = read_arrays(f"{folder}/{block}")
+        _, _, sizes, codes = _read_block(folder, block)
         bad = np.isin(codes, np.asarray(group.column("place")))
         of = np.repeat(np.arange(len(sizes)), sizes)
         ill = np.zeros(len(sizes), bool)
@@ -267,14 +285,63 @@ def _counted(aligned: DataFrame) -> DataFrame:
     return counts.select("pair", "count", (F.col("count") == F.max("count").over(own)).cast("long").alias("best"))
 
 
+def _shard(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs >> _PAIR_SHIFT) * 7 + (pairs & ((1 << _PAIR_SHIFT) - 1))) % _SHARDS
+
+
+def _put_pairs(pairs: DataFrame, folder: str) -> None:
+    """Write the counted pairs as sorted arrays: pairs, counts, and which are best."""
+
+    def put(group: pa.Table) -> pa.Table:
+        own = group.sort_by("pair")
+        number = int(own.column("shard")[0].as_py())
+        put_arrays(f"{folder}/{number}", [np.asarray(own.column(c)).astype(kind) for c, kind in (("pair", "<i8"), ("count", "<i8"), ("best", "u1"))])
+        return pa.table([pa.array([number], pa.int32())], ["shard"])
+
+    low = F.col("pair").bitwiseAND((1 << _PAIR_SHIFT) - 1)
+    shard = ((F.shiftright("pair", _PAIR_SHIFT) * 7 + low) % _SHARDS).cast("int")
+    pairs.withColumn("shard", shard).groupBy("shard").applyInArrow(put, "shard int").collect()
+
+
+def _values(aligned: DataFrame, folder: str) -> DataFrame:
+    """segment, tokens (of A, and best links in the low 32 bits), count_sum and groups of each aligned segment."""
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = batch.column("links")
+            pairs = np.asarray(links.flatten())
+            begins = np.cumsum(np.asarray(links.value_lengths())) - np.asarray(links.value_lengths())
+            found, shards = np.zeros((2, len(pairs)), np.int64), _shard(pairs)
+            order = np.argsort(shards, kind="stable")
+            stops = np.searchsorted(shards[order], np.arange(_SHARDS + 1))
+            for k, (low, high) in enumerate(zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)):
+                own = order[low:high]
+                if len(own) and (arrays := open_arrays(f"{folder}/{k}")):
+                    keys, counts, best = arrays
+                    at = np.minimum(np.searchsorted(keys, pairs[own]), len(keys) - 1)
+                    hit = keys[at] == pairs[own]  # pairs of documents without tokens are not counted
+                    found[0, own], found[1, own] = np.where(hit, counts[at], 0), hit & (best[at] != 0)
+            sums, best = np.add.reduceat(found, begins, axis=1) if len(begins) else found
+            tokens = np.asarray(batch.column("n_a")) << 32 | best
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(tokens), pa.array(sums), batch.column("groups")], ["segment", "tokens", "count_sum", "groups"])
+
+    good = aligned.where("n_a IS NOT NULL").select("segment", "n_a", "links", "groups")
+    return good.transform(arrow_map, value, "segment binary, tokens long, count_sum long, groups binary")
+
+
 def _composed(values: DataFrame, folder: str, with_groups: bool) -> DataFrame:
     def compose(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
-        names, missing, sizes, codes = read_arrays(f"{folder}/{group.column('block')[0].as_py()}")
-        good = np.asarray(group.column("n_a").combine_chunks().is_valid())
-        numbers = np.stack([np.asarray(pc.fill_null(group.column(c), 0)).astype(np.int64) for c in _NUMBERS])
+        names, missing, sizes, codes = _read_block(folder, group.column("block")[0].as_py())
+        tokens, sums = (group.column(c).combine_chunks() for c in ("tokens", "count_sum"))
+        good = np.asarray(tokens.is_valid())
         parts = group.column("groups").combine_chunks().cast(pa.large_binary())
-        sums, digests, whole = np.zeros((len(names), len(_NUMBERS)), np.int64), [""] * len(names), [""] * len(names)
+        tokens = np.asarray(pc.fill_null(tokens, 0))
+        n_a, n_groups = tokens >> 32, np.asarray(pc.fill_null(pc.count_substring(parts, ";"), 0)).astype(np.int64)
+        n_b = 2 * n_groups + np.asarray(pc.fill_null(pc.count_substring(parts, ","), 0)) - n_a
+        # each end of a token ends a link, and ends that both have are the groups'
+        numbers = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, tokens & 0xFFFFFFFF, np.asarray(pc.fill_null(sums, 0))]).T
+        total, digests, whole = np.zeros((len(names), len(_NUMBERS)), np.int64), [""] * len(names), [""] * len(names)
         end = 0
         for d, n in enumerate(sizes.tolist()):
             begin, end = end, end + n
@@ -283,7 +350,7 @@ def _composed(values: DataFrame, folder: str, with_groups: bool) -> DataFrame:
             state, held, skip = hashlib.sha256(), [], 1
             for at in range(begin, end, _STRETCH):
                 own = codes[at : min(at + _STRETCH, end)]
-                sums[d] += numbers[:, own].sum(axis=1)
+                total[d] += numbers[own].sum(axis=0)
                 taken = parts.take(pa.array(own))
                 last = np.frombuffer(taken.buffers()[1], np.int64)[len(own)]
                 text = memoryview(taken.buffers()[2])[skip:last]
@@ -294,7 +361,7 @@ def _composed(values: DataFrame, folder: str, with_groups: bool) -> DataFrame:
             digests[d], whole[d] = state.hexdigest(), b"".join(held).decode()
         ids = pa.array(names, pa.int64(), mask=missing.astype(bool))
         more = {"groups": pa.array(whole, pa.string())} if with_groups else {}
-        return pa.table({"doc_id": ids} | {c: sums[:, k] for k, c in enumerate(_NUMBERS)} | {"groups_sha256": pa.array(digests, pa.string())} | more)
+        return pa.table({"doc_id": ids} | {c: total[:, k] for k, c in enumerate(_NUMBERS)} | {"groups_sha256": pa.array(digests, pa.string())} | more)
 
     return values.groupBy("block").applyInArrow(compose, SCHEMA + ", groups string" * with_groups)
 
@@ -304,9 +371,9 @@ def _prepared(docs: DataFrame, files: tuple[str, str] | None, block_bytes: int)
     files = files or public_files()
     _pair(files)  # files that do not fit fail here
     folder = work_dir(docs.sparkSession, "blocks")
-    rows = stored(_split(docs, files, folder, block_bytes), "segments")
+    rows = stored(_split(docs, files, folder, block_bytes), "segments", "zstd")
     distinct = rows.where("segment IS NOT NULL").groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = stored(_align(distinct, files), "aligned")
+    aligned = stored(_align(distinct, files), "aligned", "zstd")
     failed = aligned.where("n_a IS NULL").select("segment")
     counted = aligned.where("n_a IS NOT NULL")
     if not failed.isEmpty():
@@ -331,7 +398,7 @@ def align_documents(docs: DataFrame, files: tuple[str, str] | None = None, with_
     stretches.  No rows give no rows.
     """
     rows, aligned, pairs, folder = _prepared(docs, files, block_bytes)
-    links = aligned.select("segment", F.explode("links").alias("pair")).join(pairs, "pair")
-    sums = links.groupBy("segment").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = aligned.drop("n", "links").join(sums, "segment", "left")
-    return _composed(rows.select("block", "place", "segment").join(values, "segment", "left").drop("segment"), folder, with_groups)
+    counted = work_dir(docs.sparkSession, "counted")
+    _put_pairs(pairs, counted)
+    values = rows.select("block", "place", "segment").join(_values(aligned, counted), "segment", "left").drop("segment")
+    return _composed(values, folder, with_groups)

@@ -84,16 +84,16 @@ def local_path(path: str) -> str:
     return urlparse(path).path if path.startswith("file:") else path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and survives lost executors."""
-    return stored_at(df, label)[0]
+    return stored_at(df, label, compression)[0]
 
 
-def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, label: str, compression: str | None = None) -> tuple[DataFrame, str]:
     """As ``stored``, with the folder, for tables that are removed once the next one is written."""
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 
