@@ -107,5 +107,19 @@ def occurrences(c: Column, find: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(find), F.lit("")))) / F.lit(len(find))).cast("long")
 
 
+# fixed values: letters that file names lose
+_NOT_IN_NAMES = "?[]/\\=<>:;,'\"&$#*()|~`!{}%+’«»”“\x00"
+
+
+def clean_file_name(name: Column) -> Column:
+    """A file name without letters that shells and browsers read otherwise; blanks and hyphens in a row become one hyphen.
+
+    Dots, hyphens and underscores at either end go too.
+    """
+    spaced = F.replace(F.replace(F.replace(name, F.lit("\u00a0"), F.lit(" ")), F.lit("%20"), F.lit("-")), F.lit("+"), F.lit("-"))
+    kept = F.translate(spaced, _NOT_IN_NAMES, "")
+    return F.btrim(F.regexp_replace(kept, r"[\r\n\t -]+", "-"), F.lit(".-_"))
+
+
 def download_name(label: Column) -> Column:
-    return F.concat(F.lower(F.replace(label, F.lit(" "), F.lit("-"))), F.lit(".txt"))
+    return clean_file_name(F.concat(F.lower(F.replace(label, F.lit(" "), F.lit("-"))), F.lit(".txt")))

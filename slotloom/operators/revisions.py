@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import is_blank, normal_terms, split_entries
-from slotloom.operators.entries import compose, slots_of
+from slotloom.operators.entries import compose_groups, slots_of
 from slotloom.plans.schema import DEFAULT, Registry
 
 
@@ -88,7 +88,7 @@ def restore(revisions: DataFrame, index: int, registry: Registry = DEFAULT) -> D
 def candidates_for_ids(entries: DataFrame, ids: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """file_key, content that a change of ``ids`` puts up as candidates: the owning slots' texts, blank ones left out."""
     owned = slots_of(entries, ids, registry)
-    return compose(entries, registry).join(owned, "file_key", "left_semi").where(~is_blank(F.col("content")))
+    return compose_groups(entries.join(owned, "file_key", "left_semi"), "file_key").where(~is_blank(F.col("content")))
 
 
 def display_time(saved_at: Column) -> Column:

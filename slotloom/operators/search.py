@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotloom.functions.text import parse_terms, trim
@@ -61,43 +61,84 @@ def page(hits: DataFrame, number: int, registry: Registry = DEFAULT) -> DataFram
     return placed.where(F.ceil(F.col("__at") / F.lit(size)) == real).select(*hits.columns)
 
 
+#: Places of a slot whose hits are counted together when a page is sought by rank.
+RANK_RUN = 65_536
+
+
+def page_by_rank(hits: DataFrame, number: int, registry: Registry = DEFAULT) -> DataFrame:
+    """One page of hits in order, as ``page``, at a cost that does not grow with its number.
+
+    Hits are counted by runs of places; the counts' running sum tells which runs the page lies in, and only hits of those
+    (two, where runs hold a page's hits or more) are put in order.  The runs become predicates on the scan.
+    """
+    size, number = registry.page_size, max(1, number)
+    run = F.floor(F.col("entry_index") / RANK_RUN)
+    counted = hits.groupBy("file_key", run.alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("file_key", "run")
+    placed = counted.select("*", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    start = (F.least(F.lit(number), F.ceil(F.col("total") / size)) - 1) * size
+    held = placed.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).select("file_key", "run", "before", start.alias("start"))
+    own = held.orderBy("before").collect()  # no more runs than a page has rows
+    if not own:
+        return hits.limit(0)
+    near = F.lit(False)
+    for r in own:
+        near = near | ((F.col("file_key") == r.file_key) & (F.col("entry_index") >= r.run * RANK_RUN) & (F.col("entry_index") < (r.run + 1) * RANK_RUN))
+    skip = own[0].start - own[0].before
+    return hits.where(near).orderBy(*ORDER).limit(skip + size).offset(skip)
+
+
+#: Needles up to which each text is searched for all of them, and their bytes; needles of one expression.
+FEW_NEEDLES = 512
+FEW_BYTES = 4 << 20
+_AT_ONCE = 64
 #: Characters of the piece by which many needles are looked up; shorter needles are their own piece.
 GRAM = 6
-#: Needles, and their bytes, up to which their list is broadcast and their pieces filter texts early.
-BROADCAST_NEEDLES = 5_000
-BROADCAST_BYTES = 4 << 20
 
 
 def search_many(rows: DataFrame, wanted: DataFrame, row_id: str, text: str, needle_id: str, needle: str) -> DataFrame:
     """row_id, needle_id of every text that holds a needle, case aside.
 
-    Texts give their distinct pieces of ``GRAM`` characters (or fewer, where needles are shorter), an
-    equality join with the needles' first characters brings candidates together, and ``contains``
-    decides.  Few needles filter the pieces before they become rows, where they are.  Of many, hashes of the
-    pieces meet those of the needles, and only the candidates get their texts back, by row_id (which must
-    tell rows apart).  Null and empty needles match nothing.
+    Few needles are predicates on each text, in one pass and without a shuffle.  Many are looked up: of each needle's
+    pieces of ``GRAM`` characters (or fewer, where it is shorter) the one that the fewest needles have meets the
+    pieces of texts in an equality join of hashes, candidates get their texts back by row_id (which must tell
+    rows apart), and ``contains`` decides.  Null and empty needles match nothing.
     """
     asked = wanted.select(F.col(needle_id).alias("__n"), F.lower(F.col(needle)).alias("__needle")).where("__needle <> ''")
-    asked = asked.withColumn("__gram", F.substring("__needle", 1, GRAM))
     kept = rows.select(F.col(row_id).alias("__r"), F.lower(F.col(text)).alias("__text"))
-    measured = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("__needle")), F.collect_set(F.length("__gram"))).first()
-    few = measured[0] <= BROADCAST_NEEDLES and (measured[1] or 0) <= BROADCAST_BYTES
+    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("__needle"))).first()
+    if n <= FEW_NEEDLES and (size or 0) <= FEW_BYTES:
+        found = _unrolled(kept, asked)
+    else:
+        found = _looked_up(kept, asked)
+    return found.select(F.col("__r").alias(row_id), F.col("__n").alias(needle_id))
+
+
+def _unrolled(kept: DataFrame, asked: DataFrame) -> DataFrame:
+    kind = asked.schema["__n"].dataType
+    own = asked.distinct().collect()
+    hits = [F.when(F.contains("__text", F.lit(r["__needle"])), F.lit(r["__n"]).cast(kind)) for r in own]
+    groups = [F.array_compact(F.array(*hits[k : k + _AT_ONCE])) for k in range(0, len(hits), _AT_ONCE)]
+    found = F.array_distinct(F.concat(*groups)) if groups else F.array().cast("array<string>")
+    return kept.select("__r", F.explode(found).alias("__n")).distinct()
+
+
+def _pieces(text: Column, size: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _looked_up(kept: DataFrame, asked: DataFrame) -> DataFrame:
+    sizes = sorted(r[0] for r in asked.select(F.least(F.length("__needle"), F.lit(GRAM))).distinct().collect())  # GRAM at most
     found = None
-    for size in sorted(measured[2]):
-        own = asked.where(F.length("__gram") == size)
-        grams = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
-        if few:
-            first = [r[0] for r in own.select("__gram").distinct().collect()]
-            grams = F.array_intersect(grams, F.array(*map(F.lit, first)))
-        long = kept.where(F.length("__text") >= size)
-        if few:
-            hits = long.select("__r", "__text", F.explode(grams).alias("__gram")).join(F.broadcast(own), "__gram")
-        else:
-            pieces = long.select("__r", F.explode(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).alias("__hash"))
-            met = pieces.join(own.withColumn("__hash", F.xxhash64("__gram")), "__hash").select("__r", "__n", "__needle").distinct()
-            hits = kept.join(met, "__r")
-        hits = hits.where(F.contains("__text", "__needle")).select("__r", "__n")
+    for size in sizes:
+        own = asked.where(F.least(F.length("__needle"), F.lit(GRAM)) == size).select("*", F.explode(_pieces(F.col("__needle"), size)).alias("__gram"))
+        shared = own.groupBy("__gram").agg(F.count(F.lit(1)).alias("__shared"))
+        first = Window.partitionBy("__n", "__needle").orderBy("__shared", "__gram")
+        chosen = own.join(shared, "__gram").withColumn("__at", F.row_number().over(first)).where("__at = 1")
+        chosen = chosen.select("__n", "__needle", F.xxhash64("__gram").alias("__hash"))
+        grams = F.transform(_pieces(F.col("__text"), size), lambda g: F.xxhash64(g))
+        pieces = kept.where(F.length("__text") >= size).select("__r", F.explode(F.array_distinct(grams)).alias("__hash"))
+        met = pieces.join(chosen, "__hash").select("__r", "__n", "__needle").distinct()
+        hits = kept.join(met, "__r").where(F.contains("__text", "__needle")).select("__r", "__n")
         found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = kept.join(asked, F.lit(False)).select("__r", "__n")
-    return found.distinct().select(F.col("__r").alias(row_id), F.col("__n").alias(needle_id))
+    return found.distinct()

@@ -19,6 +19,9 @@ LEGACY = _struct(("file_key", T.StringType()), ("content", T.StringType()))
 TERM_LISTS = _struct(("list_index", T.IntegerType()), ("text", T.StringType()))
 REVISIONS = _struct(("file_key", T.StringType()), ("seq", T.LongType()), ("content", T.StringType()), ("saved_at", T.LongType()))
 LIST_REVISIONS = _struct(("seq", T.LongType()), ("lists", T.MapType(T.IntegerType(), T.StringType())), ("saved_at", T.LongType()))
+UPLOADS = _struct(("file_key", T.StringType()), ("name", T.StringType()), ("place", T.TimestampType()), ("byte_length", T.LongType()), ("state", T.LongType()))
+GRAMS = _struct(("bucket", T.IntegerType()), ("gram", T.StringType()), ("block", T.LongType()))
+GRAM_COUNTS = _struct(("bucket", T.IntegerType()), ("gram", T.StringType()), ("n", T.LongType()))
 
 
 @dataclass(frozen=True)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from tempfile import gettempdir
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotloom.functions import text as X
+from slotloom.operators import chunks, digests, gramindex, migration, replacing, revisions, search, terms
 from slotloom.operators import entries as E
-from slotloom.operators import migration, replacing, revisions, search, terms
+from slotloom.service import Engine
 from slotloom.sources import files
 from slotloom.sources import tables as S
+from slotloom.sources.scratch import scratch
+from slotloom.sources.store import Change
+from slotloom.streaming import rings, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +215,24 @@ def search_many_needles(spark, folder):
     return search.search_many(S.table(spark, folder, "documents"), S.table(spark, folder, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@_add("search_many_indexed", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE length(lower(b.text)) >= 3")
+def search_many_indexed(spark, folder):
+    """As search_many_needles, by way of a stored index of the documents' grams."""
+    docs = S.table(spark, folder, "documents")
+    at = scratch(spark, "index")
+    gramindex.postings(docs, "doc_id", "text").write.parquet(f"{at}/grams")
+    postings = spark.read.parquet(f"{at}/grams")
+    gramindex.counts(postings).write.parquet(f"{at}/counts")
+    return gramindex.search_many(docs, postings, spark.read.parquet(f"{at}/counts"), S.table(spark, folder, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@_add("search_page_by_rank", f"""SELECT id, file_key, entry_index, content, matched_terms FROM (
+  SELECT *, row_number() OVER (ORDER BY file_key, entry_index, id) AS at_row, count(*) OVER () AS total FROM ({_search_sql(_COMBINED)}))
+WHERE at_row > (least(30, ceil(total / 25.0)) - 1) * 25 AND at_row <= least(30, ceil(total / 25.0)) * 25""")
+def search_page_by_rank(spark, folder):
+    return _flat(search.page_by_rank(_combined(spark, folder), 30))
+
+
 # Search and replace
 
 _PREVIEW = f"""{_ENTRIES}, preview AS (
@@ -311,14 +332,18 @@ def upload_append(spark, folder):
     return _texts(spark, folder).select("file_key", X.appended(existing, upload).alias("content"))
 
 
+def _region_files(spark, folder) -> str:
+    target = scratch(spark, "uploads")
+    rows = S.table(spark, folder, "region").select(F.concat("r_name", F.lit("\r\n\r\n"), F.col("r_regionkey").cast("string")).alias("value"))
+    rows.repartitionByRange(5, "value").write.option("lineSep", "\r\n").text(target)
+    return target
+
+
 @_add("upload_read", """SELECT r_name || chr(13) || chr(10) || chr(13) || chr(10) || CAST(r_regionkey AS VARCHAR) || chr(13) || chr(10) AS content,
 CAST(strlen(r_name || CAST(r_regionkey AS VARCHAR)) + 6 AS BIGINT) AS byte_length FROM region""")
 def upload_read(spark, folder):
     """Regions written as text files with line ends of another system, read back as uploads."""
-    target = f"{spark.conf.get('spark.checkpoint.dir', None) or gettempdir()}/uploads-{uuid.uuid4().hex}"
-    rows = S.table(spark, folder, "region").select(F.concat("r_name", F.lit("\r\n\r\n"), F.col("r_regionkey").cast("string")).alias("value"))
-    rows.repartitionByRange(5, "value").write.option("lineSep", "\r\n").text(target)
-    found = files.read_uploads(spark, target)
+    found = files.read_uploads(spark, _region_files(spark, folder))
     return found.select("content", F.octet_length("content").cast("long").alias("byte_length"))
 
 
@@ -450,3 +475,132 @@ def legacy_migrate(spark, folder):
     content = F.when(key == 1, F.lit(" ")).otherwise(F.concat(name, F.lit("\n\n "), F.col("n_regionkey").cast("string")))
     legacy = S.table(spark, folder, "nation").select(F.when(key < 5, S.slot_of(key)).otherwise(name).alias("file_key"), content.alias("content"))
     return migration.migrate(legacy, S.entries(spark, folder).where("file_key = 'reminders'"))
+
+
+# Texts beyond one string
+
+_CHUNK = 4_096
+
+
+@_add("slot_chunks", f"""WITH {_ENTRIES}, {_SLOT_TEXTS}, sized AS (SELECT file_key, hex(encode(content)) AS h, strlen(content) AS n FROM slot_texts)
+SELECT file_key, CAST(k AS BIGINT) AS chunk, CAST(least({_CHUNK}, n - k * {_CHUNK}) AS BIGINT) AS byte_length, md5(unhex(substr(h, k * {2 * _CHUNK} + 1, {2 * _CHUNK}))) AS digest
+FROM sized, LATERAL (SELECT unnest(range(0, CAST(ceil(n / {float(_CHUNK)}) AS BIGINT))) AS k)""")
+def slot_chunks(spark, folder):
+    rows = chunks.chunks(S.entries(spark, folder), limit=_CHUNK)
+    return rows.select("file_key", "chunk", F.octet_length("bytes").cast("long").alias("byte_length"), F.md5("bytes").alias("digest"))
+
+
+@_add("slot_digest_equivalence", f"""WITH {_TURNS}, {_COMPOSED}
+SELECT file_key, {_split('content')} = {_split("content || CASE WHEN CAST(substr(file_key, 2) AS BIGINT) % 3 = 0 THEN chr(10) || chr(10) || 'x' ELSE chr(10) || ' ' || chr(10) END")} AS equivalent FROM composed""")
+def slot_digest_equivalence(spark, folder):
+    """Entries against texts to be saved, by digests; no slot is composed on the entries' side."""
+    tail = F.when(_numbered(3) == 0, F.lit("\n\nx")).otherwise(F.lit("\n \n"))
+    texts = _texts(spark, folder).select("file_key", F.concat("content", tail).alias("content"))
+    return digests.equal(digests.digest(S.turns(spark, folder)), digests.of_texts(texts))
+
+
+# The engine over a store of the documents
+
+_NOW = datetime(2024, 1, 2, 3, 4, 5)
+
+
+def _engine(spark, folder) -> Engine:
+    engine = Engine(spark, scratch(spark, "store"))
+    rows = S.entries(spark, folder).withColumn("updated_at", F.lit(_NOW).cast("timestamp_ntz"))
+    after = rows.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+    engine.store.commit(engine.store.state(), {"entries": Change(rows)}, next_id=after)
+    return engine
+
+
+def _kept(engine: Engine) -> DataFrame:
+    return engine.entries().select("id", "file_key", "entry_index", "content")
+
+
+def _ring_of(engine: Engine) -> DataFrame:
+    rows = revisions.stored_revisions(engine.store.read("revisions"))
+    return rows.select("file_key", "position", F.octet_length("content").cast("long").alias("byte_length"), F.md5("content").alias("digest"))
+
+
+@_add("service_edit", ORACLE["entries_update"])
+def service_edit(spark, folder):
+    """Entries of a store after edits from a client."""
+    engine = _engine(spark, folder)
+    engine.edit_all(S.edits(spark, folder), _NOW)
+    return _kept(engine)
+
+
+@_add("service_delete", ORACLE["delete_entries"])
+def service_delete(spark, folder):
+    """Entries of a store after a client's deletions."""
+    engine = _engine(spark, folder)
+    engine.delete([r.id for r in S.doomed(spark, folder).collect()], _NOW)  # what a client sends is a list
+    return _kept(engine)
+
+
+@_add("service_delete_revisions", f"""WITH {_ENTRIES}, {_DOOMED}, {_SLOT_TEXTS} SELECT file_key, CAST(1 AS BIGINT) AS position, CAST(strlen(content) AS BIGINT) AS byte_length, md5(content) AS digest
+FROM slot_texts WHERE file_key IN (SELECT file_key FROM entries WHERE id IN (SELECT id FROM doomed))""")
+def service_delete_revisions(spark, folder):
+    """What a client's deletions leave as revisions."""
+    engine = _engine(spark, folder)
+    engine.delete([r.id for r in S.doomed(spark, folder).collect()], _NOW)
+    return _ring_of(engine)
+
+
+@_add("service_save_restore", f"""WITH {_ENTRIES}, {_SLOT_TEXTS}, split AS (SELECT file_key, {_split('content')} AS e FROM slot_texts WHERE file_key = 'notes')
+SELECT file_key, CAST(i AS BIGINT) AS entry_index, e[i] AS content FROM split, LATERAL (SELECT unnest(range(1, len(e) + 1)) AS i)
+UNION ALL SELECT 'lore', CAST(1 AS BIGINT), 'new text'""")
+def service_save_restore(spark, folder):
+    """Two slots of a store: one saved whole, one cleared and restored from its newest revision."""
+    engine = _engine(spark, folder)
+    engine.save("lore", " new text\n\n", _NOW)
+    engine.clear("notes", _NOW)
+    engine.restore("notes", 0, _NOW)
+    return engine.entries().where("file_key IN ('lore', 'notes')").select("file_key", "entry_index", "content")
+
+
+@_add("service_search", f"{_search_sql(['ÉOI'])}")
+def service_search(spark, folder):
+    """Hits of a client's search by the store's index."""
+    engine = _engine(spark, folder)
+    engine.build_index()
+    return _flat(engine.hits(" ÉOI "))
+
+
+@_add("service_lists", f"""WITH {_LISTS}, {_terms('lists')}, {_NORMAL}, numbered AS (
+  SELECT row_number() OVER (ORDER BY list_index) AS list_index, text FROM normal WHERE list_index IN ('Brand#11', 'Brand#12', 'Brand#13'))
+SELECT CAST(list_index AS INTEGER) AS list_index, text FROM numbered""")
+def service_lists(spark, folder):
+    """Term lists of a store that were saved, replaced and restored."""
+    engine = Engine(spark, scratch(spark, "store"))
+    own = S.part_lists(spark, folder).where(F.col("list_index").isin("Brand#11", "Brand#12", "Brand#13")).orderBy("list_index").collect()  # what a client sends
+    engine.save_lists({k: r.text for k, r in enumerate(own, 1)}, _NOW)
+    engine.save_lists({1: "other"}, _NOW)
+    engine.restore_lists(0, _NOW)
+    return engine.store.read("term_lists").where("text <> ''")
+
+
+# Streams
+
+
+@_add("upload_stream", "SELECT 'notes' AS file_key, unnest([r_name, CAST(r_regionkey AS VARCHAR)]) AS content FROM region")
+def upload_stream(spark, folder):
+    """Entries of a slot that text files were streamed into."""
+    engine = Engine(spark, scratch(spark, "store"))
+    stream = uploads.upload_stream(spark, _region_files(spark, folder), lambda name: F.lit("notes"), files_at_once=2)
+    uploads.append_upload_stream(engine, stream, scratch(spark, "uploads-check"), _NOW, once=True).awaitTermination()
+    return engine.entries().select("file_key", "content")
+
+
+@_add("revision_ring_stream", ORACLE["revision_ring"].replace("SELECT user_id AS file_key", "SELECT CAST(user_id AS VARCHAR) AS file_key"))
+def revision_ring_stream(spark, folder):
+    """Rings of users that the stream of events leaves; their state is kept in RocksDB."""
+    setting, at = "spark.sql.streaming.stateStore.providerClass", scratch(spark, "rings")
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, rings.PROVIDER)
+    try:
+        events = spark.readStream.schema(S.table(spark, folder, "events").schema).parquet(f"{folder}/event[s].parquet")  # a pattern, as a plain path has to be a folder
+        log = S.as_log(events)
+        rings.write_rings(rings.ring_stream(log), f"{at}/rings", f"{at}/check", once=True).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return rings.read_rings(spark, f"{at}/rings").select("file_key", "position", "seq", "content", "saved_at")

@@ -1,6 +1,6 @@
 """The engine: the reads and writes that a client of the slots makes, with typed outcomes.
 
-Writes compute a new state as DataFrames and commit it as one version.  The time is an argument.
+Writes compute new parts of tables as DataFrames and publish them as one state.  The time is an argument.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from datetime import datetime
 from enum import Enum
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.functions.text import appended, equivalent, is_blank
+from slotloom.functions.text import appended, equivalent, is_blank, slot_key, trim
 from slotloom.operators import entries as E
-from slotloom.operators import migration, replacing, revisions, search, terms
-from slotloom.plans.schema import DEFAULT, Registry
-from slotloom.sources import files
-from slotloom.sources.store import Store
+from slotloom.operators import gramindex, migration, replacing, revisions, search, terms
+from slotloom.plans.schema import DEFAULT, ENTRIES, Registry
+from slotloom.sources import downloads, files
+from slotloom.sources.legacy import probe
+from slotloom.sources.store import Change, Conflict, Store
 
 
 class Outcome(Enum):
@@ -40,55 +41,92 @@ class Outcome(Enum):
     UPLOAD_UNREADABLE = "upload_read_failed"
     RESTORED = "revision_restored"
     REVISION_MISSING = "revision_missing"
+    # an extension: another writer was faster, and nothing has changed
+    CONFLICT = "write_conflict"
+
+
+#: Ids up to which they are looked up by value, which lets the scan skip what cannot hold them.
+FEW_IDS = 1_000
 
 
 class Engine:
-    """Slots, term lists and their histories in one store."""
+    """Slots, term lists and their histories in one store.
+
+    Every write works on the state that it read first; where another writer was faster, the outcome is a
+    conflict and nothing has changed.  A write reads and rewrites the parts of the slots that it touches.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, registry: Registry = DEFAULT, legacy: DataFrame | None = None, now: datetime | None = None):
+    def __init__(self, spark: SparkSession, path: str, registry: Registry = DEFAULT, legacy: DataFrame | str | None = None, now: datetime | None = None):
+        """Open a store; a legacy table (or the name or folder of one, if it is there) is migrated once."""
         self.spark, self.registry, self.store = spark, registry, Store(spark, path)
         if legacy is not None:
-            moved = migration.migrate(legacy, self.entries(), registry)
-            self._commit(moved, now or datetime.now(), keep=self.entries())
+            self._migrate(legacy, now or datetime.now())
+
+    def _migrate(self, legacy: DataFrame | str, now: datetime) -> None:
+        base = self.store.state()
+        if base["marks"].get("migrated"):
+            return
+        found = probe(self.spark, legacy) if isinstance(legacy, str) else legacy
+        if found is None:
+            return
+        moved, after = self._stamped(base, migration.migrate(found, self.store.read("entries", base), self.registry), now)
+        try:
+            self.store.commit(base, {"entries": Change(moved, ())} | self._indexed(base, moved), after, marks={"migrated": True})
+        except Conflict:  # another client has opened the store meanwhile
+            self._migrate(legacy, now)
 
     # reads
 
     def entries(self) -> DataFrame:
         return self.store.read("entries")
 
+    def slot(self, slot: str) -> DataFrame:
+        """The entries of one slot in order; only its files are read."""
+        return E.of_slot(self.entries(), slot, self.registry)
+
     def text(self, slot: str) -> str:
         key = E._normal(slot, self.registry)
         return E.compose(self.entries().where(F.col("file_key") == key), self.registry).where(F.col("file_key") == key).first().content
 
     def search(self, keyword: str = "", chosen: Mapping[int, str] | None = None, page: int = 1) -> DataFrame:
         """One page of hits for a keyword and one chosen term of each list; choices that are no members are ignored."""
+        return search.page(self.hits(keyword, chosen), page, self.registry)
+
+    def hits(self, keyword: str = "", chosen: Mapping[int, str] | None = None) -> DataFrame:
+        """All hits; with an index, only entries that share rare pieces with a needle are looked at."""
+        state = self.store.state()
         rows = self.spark.createDataFrame(sorted((chosen or {}).items()), "list_index int, choice string")
-        valid = search.selected_terms(self.store.read("term_lists"), rows).orderBy("list_index").collect()
-        return search.page(search.search(self.entries(), keyword, [r.term for r in valid]), page, self.registry)
+        valid = search.selected_terms(self.store.read("term_lists", state), rows).orderBy("list_index").collect()
+        terms_, entries = [r.term for r in valid], self.store.read("entries", state)
+        if state["marks"].get("indexed"):
+            postings, counts = self.store.read("grams", state), self.store.read("gram_counts", state)
+            entries = gramindex.narrowed(entries, postings, counts, search.needles(keyword, terms_))
+        return search.search(entries, keyword, terms_)
 
     def preview(self, slot: str, find: str, replacement: str) -> DataFrame:
         return replacing.preview(self.entries(), slot, find.strip(" \n\r\t\x0b\x00"), replacement, self.registry)
 
     def history(self, slot: str) -> DataFrame:
-        key = E._normal(slot, self.registry)
-        return revisions.stored_revisions(self.store.read("revisions"), self.registry).where(F.col("file_key") == key).orderBy("position")
+        key, state = E._normal(slot, self.registry), self.store.state()
+        rows = self.store.read("revisions", state, self.store.parts("revisions", state, [key]))
+        return revisions.stored_revisions(rows, self.registry).where(F.col("file_key") == key).orderBy("position")
 
     # writes
 
     def save(self, slot: str, text: str, now: datetime, outcome: Outcome = Outcome.SAVED) -> Outcome:
         """Save a slot whole; its old text becomes a revision if the new one differs in any entry."""
-        return self._save(slot, lambda old: F.lit(text), now, outcome)
-
-    def _save(self, slot: str, new: Callable[[Column], Column], now: datetime, outcome: Outcome) -> Outcome:
-        """Save what ``new`` makes of the slot's old text; neither text passes through the driver."""
-        key = E._normal(slot, self.registry)
-        rows = self.entries()
-        composed = E.compose(rows.where(F.col("file_key") == key), self.registry).where(F.col("file_key") == key)
-        pair = composed.select("file_key", F.col("content").alias("old"), new(F.col("content")).alias("new"))
-        old = pair.where(~equivalent(F.col("old"), F.col("new"))).select("file_key", F.col("old").alias("content"))
-        entries = E.with_entries(pair.select("file_key", F.col("new").alias("content")))
-        self._commit(entries, now, self._snapshot(old, now), rows.where(F.col("file_key") != key))
-        return outcome
+        return self._save(slot, lambda old: old.withColumn("new", F.lit(text)), now, outcome)
+
+    def _save(self, slot: str, new: Callable[[DataFrame], DataFrame], now: datetime, outcome: Outcome, base: dict | None = None, **more) -> Outcome:
+        """Save what ``new`` makes of the slot's old text (file_key, content; it adds new); no text passes through the driver."""
+        key, base = E._normal(slot, self.registry), base or self.store.state()
+        parts = self.store.parts("entries", base, [key])
+        composed = E.compose(self.store.read("entries", base, parts), self.registry).where(F.col("file_key") == key)
+        pair = new(composed)
+        old = pair.where(~equivalent(F.col("content"), F.col("new"))).select("file_key", "content")
+        rows, after = self._stamped(base, E.with_entries(pair.select("file_key", F.col("new").alias("content"))), now)
+        changes = {"entries": Change(rows, parts)} | self._snapshot(base, [key], old, now) | self._indexed(base, rows) | more.pop("changes", {})
+        return self._commit(base, changes, outcome, next_id=after, **more)
 
     def clear(self, slot: str, now: datetime) -> Outcome:
         return self.save(slot, "", now, Outcome.CLEARED)
@@ -99,46 +137,80 @@ class Engine:
         if not self.spark.range(1).where(files.has_valid_extension(F.lit(path))).count():
             return Outcome.UPLOAD_INVALID
         try:
-            found = files.read_uploads(self.spark, path).select("content").first()
+            found = files.read_uploads(self.spark, path).select(F.col("content").alias("upload")).withColumn("of", F.lit(E._normal(slot, self.registry)))
         except PySparkException:  # what Spark says of files that are not there or cannot be read
             return Outcome.UPLOAD_UNREADABLE
-        return self._save(slot, lambda old: appended(old, F.lit(found.content if found else "")), now, Outcome.UPLOADED)
+        return self._save(slot, lambda old: self._appended(old, found), now, Outcome.UPLOADED)
+
+    @staticmethod
+    def _appended(old: DataFrame, uploads: DataFrame) -> DataFrame:
+        joined = old.join(uploads, F.col("file_key") == F.col("of"), "left")
+        return joined.select("file_key", "content", appended(F.col("content"), F.coalesce("upload", F.lit(""))).alias("new"))
+
+    def append_uploads(self, uploads: DataFrame, now: datetime, streams: Mapping[str, int] | None = None) -> Outcome:
+        """Append uploads (file_key, name, content, place) to their slots, in order of place and name, as one state.
+
+        What was appended where is kept in the table of uploads.
+        """
+        base = self.store.state()
+        named = uploads.select(slot_key(F.col("file_key"), self.registry).alias("file_key"), "name", "content", "place").persist()
+        try:
+            slots = [r.file_key for r in named.select("file_key").distinct().collect()]  # registered ones at most
+            parts = self.store.parts("entries", base, slots)
+            solid = named.select("file_key", trim(F.col("content")).alias("c"), "place", "name").where("c <> ''")
+            joined = solid.groupBy(F.col("file_key").alias("of")).agg(F.expr("listagg(c, '\n\n') WITHIN GROUP (ORDER BY struct(place, name))").alias("upload"))
+            old = E.compose(self.store.read("entries", base, parts), self.registry).where(F.col("file_key").isin(slots))
+            pair = self._appended(old, joined)
+            changed = pair.where(~equivalent(F.col("content"), F.col("new"))).select("file_key", "content")
+            rows, after = self._stamped(base, E.with_entries(pair.select("file_key", F.col("new").alias("content"))), now)
+            log = named.select("file_key", "name", "place", F.octet_length("content").cast("long").alias("byte_length"), F.lit(base["number"] + 1).cast("long").alias("state"))
+            changes = {"entries": Change(rows, parts), "uploads": Change(log, ())} | self._snapshot(base, slots, changed, now) | self._indexed(base, rows)
+            return self._commit(base, changes, Outcome.UPLOADED, next_id=after, streams=dict(streams or {}))
+        finally:
+            named.unpersist()
 
     def apply_edits(self, edits: Mapping[int, str], now: datetime) -> Outcome:
-        saved = self._edit(edits, now)
-        return Outcome.RESULTS_SAVED if saved else Outcome.RESULT_MISSING
+        return self._edit(edits, now, Outcome.RESULTS_SAVED, Outcome.RESULT_MISSING)
 
     def apply_replacement(self, find: str, edits: Mapping[int, str], now: datetime) -> Outcome:
         """Save previewed rows as they were sent."""
         if not find.strip(" \n\r\t\x0b\x00") or not edits:
             return Outcome.REPLACE_MISSING
-        return Outcome.REPLACED if self._edit(edits, now) else Outcome.REPLACE_NO_MATCHES
+        return self._edit(edits, now, Outcome.REPLACED, Outcome.REPLACE_NO_MATCHES)
 
     def delete(self, ids: Iterable[int], now: datetime) -> Outcome:
-        wanted = E.id_frame(self.spark, ids)
-        rows = self.entries()
-        gone = E.deleted_count(rows, wanted).first().deleted_count
-        candidates = revisions.candidates_for_ids(rows, wanted, self.registry)
-        self.store.commit({"entries": E.delete(rows, wanted, F.lit(now).cast("timestamp_ntz"))} | self._snapshot(candidates, now), next_seq=self._next_seq)
-        return Outcome.RESULTS_DELETED if gone else Outcome.RESULT_MISSING
+        """Delete entries; the slots that lose any are numbered anew, after their texts became revisions."""
+        base, wanted = self.store.state(), E.id_frame(self.spark, ids)
+        owners = sorted({p.split("/")[0] for p in self._owning(base, wanted)})
+        slots = [p.removeprefix("file_key=") for p in owners]
+        parts = self.store.parts("entries", base, slots)
+        rows = self.store.read("entries", base, parts)
+        left = E.delete(rows, wanted, F.lit(now).cast("timestamp_ntz"))
+        changes = {"entries": Change(left, parts)} | self._snapshot(base, slots, revisions.candidates_for_ids(rows, wanted, self.registry), now)
+        return self._commit(base, changes if slots else {}, Outcome.RESULTS_DELETED if slots else Outcome.RESULT_MISSING)
 
     def restore(self, slot: str, index: int, now: datetime) -> Outcome:
-        found = [r for r in self.history(slot).collect() if r.position == index + 1]
-        return self.save(slot, found[0].content, now, Outcome.RESTORED) if found else Outcome.REVISION_MISSING
+        key, base = E._normal(slot, self.registry), self.store.state()
+        kept = self.store.read("revisions", base, self.store.parts("revisions", base, [key]))
+        found = revisions.restore(kept, index, self.registry).where(F.col("file_key") == key).select(F.col("file_key").alias("of"), F.col("content").alias("new"))
+        if found.isEmpty():
+            return Outcome.REVISION_MISSING
+        return self._save(slot, lambda old: old.join(found, F.col("file_key") == F.col("of")).drop("of"), now, Outcome.RESTORED, base)
 
     def save_lists(self, lists: Mapping[int, str], now: datetime, outcome: Outcome = Outcome.LISTS_SAVED) -> Outcome:
         """Save all term lists; the old ones become a revision if any differs."""
         names = list(enumerate(self.registry.term_lists, 1))
         new = terms.saved(self.spark.createDataFrame([(i, lists.get(i, "")) for i, _ in names], "list_index int, text string"))
-        old = terms.all_lists(self.store.read("term_lists"), self.registry).select("list_index", "text")
+        base = self.store.state()
+        old = terms.all_lists(self.store.read("term_lists", base), self.registry).select("list_index", "text")
         both = old.join(new.withColumnRenamed("text", "new_text"), "list_index")
-        state, tables = self.store.state(), {"term_lists": new}
+        changes = {"term_lists": Change(new)}
         if not terms.equivalent(both, "text", "new_text").first().equivalent:
             log = old.agg(F.map_from_entries(F.collect_list(F.struct("list_index", "text"))).alias("lists"))
-            row = log.select(F.lit(state["next_seq"]).cast("long").alias("seq"), "lists", F.unix_timestamp(F.lit(now)).alias("saved_at"))
-            tables["list_revisions"] = revisions.list_ring(self.store.read("list_revisions").unionByName(row), registry=self.registry).drop("position")
-        self.store.commit(tables, next_seq=state["next_seq"] + 1)
-        return outcome
+            row = log.select(F.lit(base["next_seq"]).cast("long").alias("seq"), "lists", F.unix_timestamp(F.lit(now)).alias("saved_at"))
+            kept = revisions.list_ring(self.store.read("list_revisions", base).unionByName(row), registry=self.registry).drop("position")
+            changes["list_revisions"] = Change(kept)
+        return self._commit(base, changes, outcome)
 
     def restore_lists(self, index: int, now: datetime) -> Outcome:
         found = revisions.stored_list_revisions(self.store.read("list_revisions"), registry=self.registry).where(F.col("position") == index + 1).first()
@@ -146,35 +218,75 @@ class Engine:
             return Outcome.REVISION_MISSING
         return self.save_lists({i: found[f"text_{i}"] for i in range(1, len(self.registry.term_lists) + 1)}, now, Outcome.RESTORED)
 
+    def build_index(self) -> None:
+        """Index all entries for searches; later writes add what they write.  Building it again drops what is out of date."""
+        base = self.store.state()
+        changes = {"grams": Change(None), "gram_counts": Change(None)}
+        self.store.commit(base, changes | self._indexed({"marks": {"indexed": True}}, self.store.read("entries", base), None), marks={"indexed": True})
+
     def export(self, folder: str) -> None:
-        files.write_downloads(self.entries(), folder, self.registry)
+        downloads.write(self.entries(), folder, self.registry)
 
     # how writes are put together
 
-    def _edit(self, edits: Mapping[int, str], now: datetime) -> int:
-        frame = self.spark.createDataFrame(list(edits.items()), "id long, content string")
-        self.edit_all(frame, now)
-        return E.saved_count(frame).first().saved_count
+    def _commit(self, base: dict, changes: dict[str, Change], outcome: Outcome, **more) -> Outcome:
+        try:
+            self.store.commit(base, changes, **more)
+        except Conflict:
+            return Outcome.CONFLICT
+        return outcome
 
-    def edit_all(self, edits: DataFrame, now: datetime, streams: Mapping[str, int] | None = None) -> None:
-        """Apply edits (id, content), after the texts of the slots they touch became revisions, as one version."""
-        rows = self.entries()
-        candidates = revisions.candidates_for_ids(rows, edits, self.registry)
+    def _stamped(self, base: dict, rows: DataFrame, now: datetime) -> tuple[DataFrame, int]:
+        """New entries with ids and their time, and the first id not used."""
+        numbered, after = self.store.with_ids(rows, base["next_id"])
+        return numbered.withColumn("updated_at", F.lit(now).cast("timestamp_ntz")).select(*ENTRIES.names), after
+
+    def _indexed(self, base: Mapping, rows: DataFrame, replaces: tuple | None = ()) -> dict[str, Change]:
+        """What new contents add to the index, if there is one."""
+        if not base["marks"].get("indexed"):
+            return {}
+        postings = gramindex.postings(rows)
+        return {"grams": Change(postings, replaces), "gram_counts": Change(gramindex.counts(postings), replaces)}
+
+    def _owning(self, base: dict, ids: DataFrame) -> list[str]:
+        """The parts that hold any of ``ids``; few ids are looked up by value."""
+        wanted = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        first = [r.id for r in wanted.limit(FEW_IDS + 1).collect()]
+        rows = self.store.read("entries", base, run=True).select("id", "file_key", "run")
+        rows = rows.where(F.col("id").isin(first)) if len(first) <= FEW_IDS else rows.join(wanted, "id", "left_semi")
+        return sorted(f"file_key={r.file_key}/run={r.run}" for r in rows.select("file_key", "run").distinct().collect())
+
+    def _edit(self, edits: Mapping[int, str], now: datetime, saved: Outcome, missing: Outcome) -> Outcome:
+        frame = self.spark.createDataFrame(list(edits.items()), "id long, content string")
+        outcome = saved if E.saved_count(frame).first().saved_count else missing
+        return Outcome.CONFLICT if self.edit_all(frame, now) is Outcome.CONFLICT else outcome
+
+    def edit_all(self, edits: DataFrame, now: datetime, streams: Mapping[str, int] | None = None) -> Outcome:
+        """Apply edits (id, content), after the texts of the slots they touch became revisions, as one state.
+
+        Only parts that hold an edited entry are written.
+        """
+        base = self.store.state()
+        parts = self._owning(base, E.accepted_edits(edits))
+        slots = sorted({r.file_key for r in self._slots_of(base, edits)})
+        rows = self.store.read("entries", base, parts)
         new = E.apply_edits(rows, edits, F.lit(now).cast("timestamp_ntz"))
-        self.store.commit({"entries": new} | self._snapshot(candidates, now), next_seq=self._next_seq, streams=dict(streams or {}))
-
-    def _snapshot(self, candidates: DataFrame, now: datetime) -> dict[str, DataFrame]:
-        """New revisions with ``candidates`` (file_key, content) at their end."""
-        seq = self.store.state()["next_seq"]
-        self._next_seq = seq + 1
+        whole = self.store.read("entries", base, self.store.parts("entries", base, slots))
+        changes = self._snapshot(base, slots, revisions.candidates_for_ids(whole, edits, self.registry), now) if slots else {}
+        if parts:
+            changes["entries"] = Change(new, parts)
+            changes |= self._indexed(base, new.join(E.accepted_edits(edits).select("id").distinct(), "id", "left_semi"))
+        return self._commit(base, changes, Outcome.RESULTS_SAVED, streams=dict(streams or {}))
+
+    def _slots_of(self, base: dict, ids: DataFrame) -> list:
+        """Slots that own any of ``ids``, accepted or not: their texts become revisions."""
+        return E.slots_of(self.store.read("entries", base), ids, self.registry).collect()  # registered ones at most
+
+    def _snapshot(self, base: dict, slots: list[str], candidates: DataFrame, now: datetime) -> dict[str, Change]:
+        """The rings of ``slots`` with ``candidates`` (file_key, content) at their end."""
         rows = candidates.where(~is_blank(F.col("content"))).select(
-            "file_key", F.lit(seq).cast("long").alias("seq"), "content", F.unix_timestamp(F.lit(now)).alias("saved_at")
+            "file_key", F.lit(base["next_seq"]).cast("long").alias("seq"), "content", F.unix_timestamp(F.lit(now)).alias("saved_at")
         )
-        log = self.store.read("revisions").unionByName(rows)
-        return {"revisions": revisions.ring(log, registry=self.registry).drop("position")}
-
-    def _commit(self, rows: DataFrame, now: datetime, more: dict[str, DataFrame] | None = None, keep: DataFrame | None = None) -> None:
-        numbered, after = self.store.with_ids(rows, self.store.state()["next_id"])
-        new = numbered.withColumn("updated_at", F.lit(now).cast("timestamp_ntz")).select("id", "file_key", "entry_index", "content", "updated_at")
-        entries = new if keep is None else keep.unionByName(new)
-        self.store.commit({"entries": entries} | (more or {}), next_id=after, next_seq=getattr(self, "_next_seq", None))
+        parts = self.store.parts("revisions", base, slots)
+        log = self.store.read("revisions", base, parts).unionByName(rows)
+        return {"revisions": Change(revisions.ring(log, registry=self.registry).drop("position"), parts)}

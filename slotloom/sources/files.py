@@ -1,14 +1,13 @@
-"""Text files: upload source and download sink."""
+"""Text files: upload source, and the names and contents of downloads."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotloom.functions.text import download_name
+from slotloom.functions.text import clean_file_name, download_name
 from slotloom.operators.entries import compose
 from slotloom.plans.schema import DEFAULT, Registry
 
@@ -16,8 +15,9 @@ EXTENSIONS = ("txt", "md")
 
 
 def has_valid_extension(name: Column) -> Column:
-    """Whether a file name ends in .txt or .md, case aside."""
-    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*EXTENSIONS)
+    """Whether a file name, cleaned, ends in .txt or .md, case aside."""
+    last = F.element_at(F.split(name, "/"), -1)
+    return F.lower(F.regexp_extract(clean_file_name(last), r"\.([^.]*)$", 1)).isin(*EXTENSIONS)
 
 
 def read_uploads(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -26,35 +26,16 @@ def read_uploads(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return whole.where(has_valid_extension(F.col("name")))
 
 
+def download_names(spark: SparkSession, registry: Registry = DEFAULT) -> DataFrame:
+    """file_key, file_name of every registered slot; a name that an earlier slot has gets that slot's number after it."""
+    named = registry.frame(spark).withColumn("name", download_name(F.coalesce("label", "file_key")))
+    at = F.row_number().over(Window.partitionBy("name").orderBy("ordinal"))
+    again = F.concat(F.regexp_replace("name", r"\.txt$", ""), F.lit("-"), at.cast("string"), F.lit(".txt"))
+    return named.select("file_key", F.when(at == 1, F.col("name")).otherwise(again).alias("file_name"))
+
+
 def downloads(entries: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     """file_key, file_name, byte_length, content of every slot's download."""
-    labels = registry.frame(entries.sparkSession)
-    joined = compose(entries, registry).join(F.broadcast(labels), "file_key", "left")
-    name = download_name(F.coalesce("label", "file_key"))
-    return joined.select("file_key", name.alias("file_name"), F.octet_length("content").cast("long").alias("byte_length"), "content")
-
-
-def write_downloads(entries: DataFrame, folder: str, registry: Registry = DEFAULT) -> None:
-    """Write each slot's text to the file below ``folder`` that its download names, byte for byte.
-
-    Slots are composed and written in parallel to a folder beside; from there each file is moved, without the
-    line end that Spark's text sink adds, through a buffer of fixed size.  Slots whose names are equal share a
-    file: the last one in the registry's order stays.
-    """
-    spark = entries.sparkSession
-    rows = downloads(entries, registry).select(F.col("file_key").alias("key"), F.col("content").alias("value"))
-    aside = f"{folder.rstrip('/')}/.writing-{uuid.uuid4().hex}"
-    rows.repartition("key").write.partitionBy("key").text(aside)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    store = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    named = registry.frame(spark).select("file_key", download_name(F.col("label")).alias("name")).orderBy("ordinal").collect()
-    try:
-        for slot in named:
-            (part,) = [f for f in store.listStatus(path(f"{aside}/key={slot.file_key}")) if f.getPath().getName().startswith("part-")]
-            source, target = store.open(part.getPath()), store.create(path(f"{folder.rstrip('/')}/{slot.name}"), True)
-            jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, part.getLen() - 1)
-            source.close()
-            target.close()
-    finally:
-        store.delete(path(aside), True)
+    names = download_names(entries.sparkSession, registry)
+    joined = compose(entries, registry).join(F.broadcast(names), "file_key", "left")
+    return joined.select("file_key", "file_name", F.octet_length("content").cast("long").alias("byte_length"), "content")

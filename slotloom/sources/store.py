@@ -1,21 +1,53 @@
-"""Versioned snapshot store.
+"""Versioned store of partitioned tables: a write costs what it touches, and of two writers at once one is refused.
 
-A write goes to a new version folder; renaming a small pointer file in makes it current.  Nothing is
-written where it is read, an emptied slot really is empty, and a writer that dies leaves the old version
-in place.  One writer at a time.  Ids come from a high-water mark that only rises.
+A table's parts are folders: entries by slot and by run of places, revisions by slot, the others whole.  A write puts
+the new content of the parts that it touches into a version folder of its own and publishes a numbered state,
+which lists the versions that make up each part.  Nothing is written where it is read, and a writer that dies leaves
+the last state as it was.  A state's number can be published once: who worked on an older state gets a
+``Conflict``, and nothing of that write remains.  Parts that none of the last states lists are removed.
+Ids come from a high-water mark that only rises.
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import os
 import uuid
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slotloom.plans.schema import ENTRIES, LIST_REVISIONS, REVISIONS, TERM_LISTS
+from slotloom.plans.schema import ENTRIES, GRAM_COUNTS, GRAMS, LIST_REVISIONS, REVISIONS, TERM_LISTS, UPLOADS
 
-TABLES = {"entries": ENTRIES, "term_lists": TERM_LISTS, "revisions": REVISIONS, "list_revisions": LIST_REVISIONS}
+TABLES = {
+    "entries": ENTRIES, "term_lists": TERM_LISTS, "revisions": REVISIONS, "list_revisions": LIST_REVISIONS, "grams": GRAMS, "gram_counts": GRAM_COUNTS, "uploads": UPLOADS,
+}
+#: Columns whose values name a table's parts, from the outside in.
+PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "grams": ("bucket",), "gram_counts": ("bucket",)}
+#: What rows are ordered by within a part, so that files and their pages have narrow ranges.
+ORDER = {"entries": "id", "revisions": "seq", "grams": "gram", "gram_counts": "gram"}
+#: Places of a slot that one part holds; states whose files are kept.
+PLACES = 1 << 18
+KEEP = 2
+_NEW = {"number": 0, "tables": {}, "next_id": 1, "next_seq": 1, "streams": {}, "marks": {}}
+
+
+class Conflict(Exception):
+    """Another writer published a state first; nothing of the refused write remains."""
+
+
+@dataclass
+class Change:
+    """New rows of a table, and the parts that they stand in for: all if None; none if empty, which adds rows."""
+
+    rows: DataFrame | None
+    replaces: Iterable[str] | None = None
 
 
 class Store:
@@ -23,49 +55,141 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
-        self._reader = jvm.org.apache.hadoop.io.IOUtils
-        self._bytes = jvm.java.io.ByteArrayOutputStream
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(self._conf)
+
+    # states
+
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.path}/states")
+        if not self._fs.exists(folder):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(folder))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def _state(self, number: int) -> dict:
+        source, held = self._fs.open(self._path(f"{self.path}/states/{number}.json")), self._jvm.java.io.ByteArrayOutputStream()
+        self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, held, 4096, True)
+        return json.loads(held.toString(self._jvm.java.nio.charset.StandardCharsets.UTF_8))
 
     def state(self) -> dict:
-        """Folders of the current version, the id mark, the revision sequence, and the last batch of each stream of edits."""
-        pointer = self._path(f"{self.path}/current.json")
-        if not self._fs.exists(pointer):
-            return {"tables": {}, "next_id": 1, "next_seq": 1, "streams": {}}
-        source, held = self._fs.open(pointer), self._bytes()
-        self._reader.copyBytes(source, held, 4096, True)
-        return json.loads(held.toString(self._utf8))
-
-    def read(self, table: str) -> DataFrame:
-        folder = self.state()["tables"].get(table)
-        if folder is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(folder)
-
-    def commit(self, tables: dict[str, DataFrame], next_id: int | None = None, next_seq: int | None = None, streams: dict[str, int] | None = None) -> None:
-        """Write new versions of some tables and make all of them current together."""
-        state = self.state()
-        state["streams"] = state.get("streams", {}) | (streams or {})
-        for name, df in tables.items():
-            folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name]]
-            writer = df.select(*columns)
-            writer.write.parquet(folder)
-            state["tables"][name] = folder
-        state["next_id"] = max(state["next_id"], next_id or 1)
-        state["next_seq"] = max(state["next_seq"], next_seq or 1)
-        part, pointer = self._path(f"{self.path}/current-{uuid.uuid4().hex}"), self._path(f"{self.path}/current.json")
-        out = self._fs.create(part, True)
+        """The last state: versions of each part, the id mark, the revision sequence, each stream's last batch, and marks."""
+        numbers = self._numbers()
+        return self._state(numbers[-1]) if numbers else copy.deepcopy(_NEW)
+
+    def _publish(self, state: dict) -> None:
+        """Put a state under its number, whole and only if there is none yet."""
+        target, part = f"{self.path}/states/{state['number']}.json", f"{self.path}/states/.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(part), True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        option = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        context.rename(part, pointer, options)
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(urlparse(part).path, urlparse(target).path)  # a rename would check and act in two steps here
+            else:
+                options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                context.rename(self._path(part), self._path(target), options)
+        except FileExistsError as e:
+            raise Conflict(f"state {state['number']} is there already") from e
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                raise Conflict(f"state {state['number']} is there already") from e
+            raise
+        finally:
+            self._fs.delete(self._path(part), False)
+
+    # reading
+
+    def parts(self, table: str, state: Mapping | None = None, slots: Iterable[str] | None = None) -> list[str]:
+        """The parts of a table, or of some slots (by file_key) only."""
+        every = (state or self.state())["tables"].get(table, {})
+        if slots is None:
+            return sorted(every)
+        wanted = {f"file_key={s}" for s in slots}
+        return sorted(p for p in every if p.split("/")[0] in wanted)
+
+    def read(self, table: str, state: Mapping | None = None, parts: Iterable[str] | None = None, run: bool = False) -> DataFrame:
+        """A table, or some of its parts only; predicates on the columns that name parts reach the choice of files."""
+        state, schema = state or self.state(), TABLES[table]
+        every = state["tables"].get(table, {})
+        own = T.StructType([*schema.fields, *([T.StructField("run", T.LongType())] if table == "entries" else [])])
+        paths = [self._folder(table, p, v) for p in (every if parts is None else parts) for v in every[p]]
+        columns = [*schema.names, *(["run"] if run else [])]
+        if not paths:
+            return self.spark.createDataFrame([], own).select(*columns)
+        return self.spark.read.schema(own).option("basePath", f"{self.path}/{table}").parquet(*paths).select(*columns)
+
+    def _folder(self, table: str, part: str, version: str) -> str:
+        return f"{self.path}/{table}/version={version}" + (f"/{part}" if part else "")
+
+    def files(self, state: Mapping | None = None) -> dict[str, set[str]]:
+        """Data files by part (``table/part``)."""
+        state, found = state or self.state(), {}
+        for table, parts in state["tables"].items():
+            for part, versions in parts.items():
+                names = (f.getPath() for v in versions for f in self._fs.listStatus(self._path(self._folder(table, part, v))))
+                found[f"{table}/{part}"] = {n.toString() for n in names if n.getName().startswith("part-")}
+        return found
+
+    # writing
+
+    def commit(self, base: Mapping, changes: Mapping[str, Change], next_id: int = 1, streams: Mapping[str, int] | None = None, marks: Mapping | None = None) -> dict:
+        """Write changes of some tables and publish them together as the state after ``base``."""
+        new = copy.deepcopy(dict(base))
+        new["number"] += 1
+        new["next_id"], new["next_seq"] = max(new["next_id"], next_id), new["next_seq"] + 1
+        new["streams"] |= streams or {}
+        new["marks"] |= marks or {}
+        written = []
+        try:
+            for table, change in changes.items():
+                parts = new["tables"].setdefault(table, {})
+                for part in list(parts) if change.replaces is None else change.replaces:
+                    parts.pop(part, None)
+                if change.rows is not None:
+                    version = f"v{uuid.uuid4().hex}"
+                    written.append(f"{self.path}/{table}/version={version}")
+                    for part in self._write(table, change.rows, written[-1]):
+                        parts.setdefault(part, []).append(version)
+            self._publish(new)
+        except BaseException:
+            for folder in written:
+                self._fs.delete(self._path(folder), True)
+            raise
+        self._sweep()
+        return new
+
+    def _write(self, table: str, rows: DataFrame, folder: str) -> list[str]:
+        by = PARTS.get(table, ())
+        columns = [F.col(f.name).cast(f.dataType) for f in TABLES[table]]
+        if "run" in by:
+            columns.append(F.floor(F.col("entry_index") / PLACES).alias("run"))
+        rows = rows.select(*columns)
+        if not by:
+            rows.write.parquet(folder)
+            return [""]
+        rows.repartition(*by).sortWithinPartitions(*by, ORDER[table]).write.partitionBy(*by).parquet(folder)
+        depth = len(self._path(folder).toUri().getPath().rstrip("/")) + 1
+        found = self._fs.globStatus(self._path(folder + "/*=*" * len(by)))
+        return [f.getPath().toUri().getPath()[depth:] for f in found]
+
+    def _sweep(self) -> None:
+        """Remove states but the last ``KEEP``, and parts that only removed states list."""
+        numbers = self._numbers()
+        old, kept = numbers[:-KEEP], [self._state(n) for n in numbers[-KEEP:]]
+        listed = lambda states: {self._folder(t, p, v) for s in states for t, parts in s["tables"].items() for p, own in parts.items() for v in own}
+        needed = listed(kept)
+        for number in old:
+            for folder in listed([self._state(number)]) - needed:
+                self._fs.delete(self._path(folder), True)
+                above = self._path(folder).getParent()
+                while above.getName() not in TABLES and self._fs.exists(above) and not any(f.isDirectory() for f in self._fs.listStatus(above)):
+                    self._fs.delete(above, True)
+                    above = above.getParent()
+            self._fs.delete(self._path(f"{self.path}/states/{number}.json"), False)
 
     def with_ids(self, rows: DataFrame, first: int) -> tuple[DataFrame, int]:
         """``rows`` (file_key, entry_index, ...) with ids from ``first`` on, and the first id not used.

@@ -60,5 +60,9 @@ def doomed(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events as candidates for revisions: file_key (the user), seq, content, saved_at."""
+    return as_log(table(spark, folder, "events"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
     ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return table(spark, folder, "events").select(F.col("user_id").alias("file_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"), ts.alias("saved_at"))
+    return events.select(F.col("user_id").alias("file_key"), F.col("event_id").alias("seq"), F.col("event_type").alias("content"), ts.alias("saved_at"))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from slotloom.service import Engine
+from slotloom.service import Engine, Outcome
 
 
 def apply_edit_stream(engine: Engine, edits: DataFrame, checkpoint: str, now: datetime | None = None, once: bool = False) -> StreamingQuery:
@@ -15,12 +15,14 @@ def apply_edit_stream(engine: Engine, edits: DataFrame, checkpoint: str, now: da
 
     As with any edit of many entries, the texts of the slots that a batch touches become revisions first.  The
     store's version holds the number of the stream's last batch (streams are told apart by their checkpoint),
-    so a batch that runs again after it was applied changes nothing, not even times and revisions.
+    so a batch that runs again after it was applied changes nothing, not even times and revisions.  Where another
+    writer was faster, the batch is applied to the newer state.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if engine.store.state().get("streams", {}).get(checkpoint, -1) < number and not batch.isEmpty():
-            engine.edit_all(batch.select("id", "content"), now or datetime.now(), {checkpoint: number})
+        while engine.store.state()["streams"].get(checkpoint, -1) < number and not batch.isEmpty():
+            if engine.edit_all(batch.select("id", "content"), now or datetime.now(), {checkpoint: number}) is not Outcome.CONFLICT:
+                return
 
     writer = edits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

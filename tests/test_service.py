@@ -5,6 +5,7 @@ from datetime import datetime
 
 from slotloom.service import Engine, Outcome
 from slotloom.sources import files
+from slotloom.sources.store import Change
 
 NOW = datetime(2024, 1, 2, 3, 4, 5)
 
@@ -76,7 +77,7 @@ def test_migration_once_and_failed_write(spark, tmp_path):
     before = engine.store.state()
     bad = spark.createDataFrame([(1,)], "id long").selectExpr("id", "'lore' AS file_key", "1L AS entry_index", "raise_error('stop') AS content", "timestamp_ntz'2024-01-01' AS updated_at")
     try:
-        engine.store.commit({"entries": bad})
+        engine.store.commit(before, {"entries": Change(bad)})
     except Exception:
         pass
     assert engine.store.state() == before and contents(engine, "lore") == ["a", "b"]
