@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.llm.shared import arrow_map, open_arrays, put_arrays, read_arrays, slices, stored, texts, work_dir
+from slotloom.llm.shared import arrow_map, open_arrays, put_arrays, read_arrays, release, slices, stored, texts, work_dir
 
 #: Bytes of text of a block (one document at least), rows of a result batch, and segments that are composed at once.
 BLOCK_BYTES = 32 << 20
@@ -100,15 +100,14 @@ class Pair:
 
     def cuts(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Where segments begin in texts that follow one another, each from a blank at ``begins``."""
-        at = np.flatnonzero(self.stops[data])
-        at = at[at > 0]
-        at = at[~_IS_SPACE[data[at - 1]]]
-        high = at[data[at - 1] >= 0x80]
+        found = self.stops[data]
+        found[1:] &= ~_IS_SPACE[data[:-1]]
+        high = np.flatnonzero(found[1:] & (data[:-1] >= 0x80)) + 1
         if len(high):
             one, two, three = (data[np.maximum(high - k, 0)].astype(np.int64) for k in (1, 2, 3))
-            spaces = np.isin(two << 8 | one, _PAIRS) | np.isin(three << 16 | two << 8 | one, _TRIPLES)
-            at = np.setdiff1d(at, high[spaces], assume_unique=True)
-        return np.union1d(at, begins)
+            found[high[np.isin(two << 8 | one, _PAIRS) | np.isin(three << 16 | two << 8 | one, _TRIPLES)]] = False
+        found[begins] = True
+        return np.flatnonzero(found)
 
     def tokens(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers for segments that begin with a blank or another stop."""
@@ -174,7 +173,8 @@ def _pair(files: tuple[str, str]) -> Pair:
 def _block(pair: Pair, ids: list[pa.Array], contents: list[bytes], path: str) -> pa.Array:
     """Write a block's file; the block's distinct segments, with how often each comes (an Arrow struct array)."""
     sizes = np.fromiter((len(t) + 1 if t else 0 for t in contents), np.int64, len(contents))
-    data = np.frombuffer(b"".join(b" " + t for t in contents if t), np.uint8)
+    data = np.frombuffer(b" ".join([b"", *filter(None, contents)]), np.uint8)
+    contents.clear()  # they would only lie beside their copy
     ends = np.cumsum(sizes)
     cuts = pair.cuts(data, (ends - sizes)[sizes > 0])
     offsets = np.append(cuts, len(data)).astype(np.int64)
@@ -236,7 +236,8 @@ def _split(docs: DataFrame, files: tuple[str, str], folder: str, block_bytes: in
                 ids.append(piece.column("doc_id"))
                 contents += own
                 held += sum(map(len, own))
-        if contents:
+                del own
+        if ids:
             yield from rows(ids, contents)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(arrow_map, split, "block long, place int, segment binary, n long")
@@ -360,6 +361,8 @@ def _composed(values: DataFrame, folder: str, with_groups: bool) -> DataFrame:
                 skip = 0
             digests[d], whole[d] = state.hexdigest(), b"".join(held).decode()
         ids = pa.array(names, pa.int64(), mask=missing.astype(bool))
+        del group, parts, numbers, codes
+        release()
         more = {"groups": pa.array(whole, pa.string())} if with_groups else {}
         return pa.table({"doc_id": ids} | {c: total[:, k] for k, c in enumerate(_NUMBERS)} | {"groups_sha256": pa.array(digests, pa.string())} | more)
 

@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from slotloom.llm.jpeg import Frame, encode_payload
-from slotloom.llm.shared import arrow_map, slices, texts
+from slotloom.llm.shared import arrow_map, drop_file, mapped, put_file, slices, texts, work_dir
 
 SIDE = 64
 FRAME_MICROSECONDS = 40_000
 HISTOGRAM = 32
+#: Bytes from which a text goes through a file, and frames of it that are in memory at once.
+LONG_TEXT, GROUP = 16 << 20, 256
 #: Shots: a cut is a difference above mean + SPREAD deviations of the WINDOW differences before it, and above LEAST.
 WINDOW, SPREAD, LEAST = 12, 3.0, 0.1
 
@@ -31,28 +35,31 @@ def _list(kind: bytes, *parts: bytes) -> bytes:
     return _chunk(b"LIST", kind + b"".join(parts))
 
 
+def _around(sizes: list[int], width: int, height: int, frame_us: int, comment: bytes) -> tuple[bytes, bytes]:
+    """What comes before and after the frames' chunks in a file with frames of these sizes."""
+    longest = max(sizes, default=0)
+    main = struct.pack("<14I", frame_us, 0, 0, 0x10, len(sizes), 0, 1, longest, width, height, 0, 0, 0, 0)
+    stream = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, frame_us, 1_000_000, 0, len(sizes), longest, 0xFFFFFFFF, 0, 0, 0, width, height)
+    shape = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
+    places = np.cumsum([4, *(8 + n + n % 2 for n in sizes)]).tolist()
+    index = _chunk(b"idx1", b"".join(struct.pack("<4sIII", b"00dc", 0x10, p, n) for p, n in zip(places, sizes, strict=False)))
+    head = _list(b"hdrl", _chunk(b"avih", main), _list(b"strl", _chunk(b"strh", stream), _chunk(b"strf", shape)))
+    head += _list(b"INFO", _chunk(b"ICMT", comment + b"\0")) if comment else b""
+    head += b"LIST" + struct.pack("<I", places[-1]) + b"movi"
+    return b"RIFF" + struct.pack("<I", len(head) + places[-1] - 4 + len(index) + 4) + b"AVI " + head, index
+
+
 def write_avi(frames: list[bytes], width: int, height: int, frame_us: int = FRAME_MICROSECONDS, comment: bytes = b"") -> bytes:
     """An AVI file with one motion-JPEG stream, every frame a key frame, and an index."""
-    longest = max(map(len, frames), default=0)
-    main = struct.pack("<14I", frame_us, 0, 0, 0x10, len(frames), 0, 1, longest, width, height, 0, 0, 0, 0)
-    stream = struct.pack("<4s4sIHHIIIIIIII4H", b"vids", b"MJPG", 0, 0, 0, 0, frame_us, 1_000_000, 0, len(frames), longest, 0xFFFFFFFF, 0, 0, 0, width, height)
-    shape = struct.pack("<IiiHH4sIiiII", 40, width, height, 1, 24, b"MJPG", width * height * 3, 0, 0, 0, 0)
-    chunks = [_chunk(b"00dc", f) for f in frames]
-    places = np.cumsum([4, *map(len, chunks)])
-    index = b"".join(struct.pack("<4sIII", b"00dc", 0x10, p, len(f)) for p, f in zip(places.tolist(), frames, strict=False))
-    body = (
-        _list(b"hdrl", _chunk(b"avih", main), _list(b"strl", _chunk(b"strh", stream), _chunk(b"strf", shape)))
-        + (_list(b"INFO", _chunk(b"ICMT", comment + b"\0")) if comment else b"")
-        + _list(b"movi", *chunks) + _chunk(b"idx1", index)
-    )
-    return b"RIFF" + struct.pack("<I", len(body) + 4) + b"AVI " + body
+    before, after = _around([len(f) for f in frames], width, height, frame_us, comment)
+    return b"".join([before, *(_chunk(b"00dc", f) for f in frames), after])
 
 
 @dataclass
 class Avi:
     """What a file says of its first video stream: timing, comment, and where each frame's bytes are."""
 
-    data: bytes
+    data: bytes | memoryview
     width: int
     height: int
     frame_us: float
@@ -61,7 +68,7 @@ class Avi:
 
     def frames(self) -> Iterator[Frame]:
         for begin, size in self.spans:
-            yield Frame(self.data[begin : begin + size])
+            yield Frame(bytes(self.data[begin : begin + size]))
 
 
 def _walk(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, bytes, int, int]]:
@@ -70,7 +77,7 @@ def _walk(data: bytes, begin: int, end: int) -> Iterator[tuple[bytes, bytes, int
         name, size = struct.unpack_from("<4sI", data, begin)
         size = min(size, end - begin - 8)
         if name in (b"LIST", b"RIFF"):
-            yield name, data[begin + 8 : begin + 12], begin + 12, size - 4
+            yield name, bytes(data[begin + 8 : begin + 12]), begin + 12, size - 4
         else:
             yield name, b"", begin + 8, size
         begin += 8 + size + size % 2
@@ -103,7 +110,7 @@ def read_avi(data: bytes) -> Avi:
                 scale, rate = struct.unpack_from("<II", data, at + 20)
                 frame_us = scale * 1e6 / rate if scale and rate else frame_us
         elif name == b"ICMT":
-            comment = data[at : at + size].rstrip(b"\0")
+            comment = bytes(data[at : at + size]).rstrip(b"\0")
         elif name == b"idx1":
             index += [struct.unpack_from("<4s4xII", data, at + 16 * k) for k in range(size // 16)]
     own = {b"%02ddc" % (video or 0), b"%02ddb" % (video or 0)}
@@ -194,27 +201,64 @@ def describe(text: bytes, side: int = SIDE) -> tuple:
     avi = read_avi(media)
     frames = list(avi.frames())
     payload = b"".join(f.payload().tobytes() for f in frames)[: int(avi.comment.split(b"=")[1])]
-    shares = histograms(frames)
+    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), *_seen(avi, histograms(frames))
+
+
+def _seen(avi: Avi, shares: np.ndarray) -> tuple[str, list[tuple[int, int, int, int, int]]]:
+    """The feature and the timed clips of a file by its frames' histograms."""
     cuts = shots(shares)
     levels = shares.mean(axis=0) * 1e6
-    feature = f"frames={len(frames)};shots={len(cuts)};cuts={zlib.crc32(repr(cuts).encode()):08x};levels={','.join(f'{x:.0f}' for x in levels)}"
-    return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, _timed(avi, cuts)
+    feature = f"frames={len(shares)};shots={len(cuts)};cuts={zlib.crc32(repr(cuts).encode()):08x};levels={','.join(f'{x:.0f}' for x in levels)}"
+    return feature, _timed(avi, cuts)
+
+
+def describe_long(text: bytes, path: str, side: int = SIDE, group: int = GROUP) -> tuple:
+    """As ``describe``, by way of a file at ``path`` in the shared folder, with ``group`` frames in memory at once."""
+    size = len(text) + (-len(text) % 64 or 64 * (not text))
+    step = side * side * group
+
+    def frames() -> Iterator[bytes]:
+        for at in range(0, size, step):
+            part = text[at : at + step]
+            yield from encode_payload(np.frombuffer(part + b"\0" * (min(step, size - at) - len(part)), np.uint8), side, side)
+
+    before, after = _around([len(f) for f in frames()], side, side, FRAME_MICROSECONDS, b"bytes=%d" % size)
+    put_file(path, chain([before], (_chunk(b"00dc", f) for f in frames()), [after]))
+    try:
+        media = memoryview(mapped(path))
+        avi = read_avi(media)
+        left, shares, tail, read = int(avi.comment.split(b"=")[1]), [], b"", hashlib.sha256()
+        n = left
+        todo = avi.frames()
+        while some := list(islice(todo, group)):
+            shares.append(histograms(some))
+            payload = b"".join(f.payload().tobytes() for f in some)[:left]
+            left -= len(payload)
+            read.update(payload)
+            tail = (tail + payload[-64:])[-64:]
+        found = _seen(avi, np.concatenate(shares))
+        return len(text), n - left, read.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), *found
+    finally:
+        drop_file(path)
 
 
 def text_media_digests(docs: DataFrame, side: int = SIDE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): what ``describe`` says of the text, with its timed clips.
 
     Null texts are empty and have one padded frame, as empty ones do.  Repeated rows and equal texts give equal
-    values; an empty table gives no rows.  The frames of one text are held at once: about 12 times its length.
+    values; an empty table gives no rows.  Texts of ``LONG_TEXT`` bytes and more go through a file in the shared folder,
+    frame by frame, and take memory for little more than themselves.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     clip = pa.list_(pa.struct([(n, pa.int64()) for n in _CLIP]))
+    folder = work_dir(docs.sparkSession, "media")
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                *columns, found = zip(*(describe(t, side) for t in texts(piece.column("text"))), strict=True)
+                own = (describe(t, side) if len(t) < LONG_TEXT else describe_long(t, f"{folder}/{uuid.uuid4().hex}.avi", side) for t in texts(piece.column("text")))
+                *columns, found = zip(*own, strict=True)
                 cut = pa.array([[dict(zip(_CLIP, c, strict=True)) for c in own] for own in found], clip)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), cut], ["doc_id", *names, "clips"])
 

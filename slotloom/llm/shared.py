@@ -142,7 +142,7 @@ def open_arrays(path: str) -> list[np.ndarray]:
         _opened.clear()
     if path not in _opened:
         try:
-            _opened[path] = _mapped(path)
+            _opened[path] = mapped(path)
         except FileNotFoundError:
             _opened[path] = None
     data = _opened[path]
@@ -164,7 +164,8 @@ def _parted(data: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def _mapped(path: str) -> np.ndarray:
+def mapped(path: str) -> np.ndarray:
+    """A file's bytes, mapped into memory; of a remote one a copy without a name."""
     if is_local(path):
         return np.memmap(local_path(path), np.uint8, "r")
     from pyarrow import fs
@@ -179,6 +180,20 @@ def _mapped(path: str) -> np.ndarray:
         os.unlink(copy)
 
 
+def drop_file(path: str) -> None:
+    """Remove a file of the shared folder, if it is there."""
+    try:
+        if is_local(path):
+            os.unlink(local_path(path))
+        else:
+            from pyarrow import fs
+
+            store, target = fs.FileSystem.from_uri(path)
+            store.delete_file(target)
+    except FileNotFoundError:
+        pass
+
+
 def get_file(path: str) -> bytes:
     if is_local(path):
         with open(local_path(path), "rb") as source:
@@ -217,7 +232,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
 BATCH_ROWS = 2_000
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back to the system: workers live on and would keep it from the next stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -237,7 +252,7 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
         try:
             yield from function(batches)
         finally:
-            _release()
+            release()
 
     return df.mapInArrow(released, schema)
 

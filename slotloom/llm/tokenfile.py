@@ -326,13 +326,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Write all documents' ids to files in ascending order of doc_id; (path, ids) of each, in that order.
 
     Null texts are empty; every document ends with ``end_id``.  Null ids come first; rows of one id stand
-    together, by text, repeated rows as often as they come.  An empty table has no files.  Texts are dealt to
-    as many ranges of ids as there are shuffle partitions and pass through a sort that can spill; a range
+    together, by a hash of the text and the text, repeated rows as often as they come.  An empty table has no files.  Texts are dealt to
+    as many ranges of ids and hashes as there are shuffle partitions and pass through a sort that can spill; a range
     rolls to a new file every ``FILE_IDS`` ids, so a writer's memory does not depend on the range's size.
     """
     tokenizer = tokenizer or public_tokenizer()
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first()]
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # rows of one id, or of none, may fill several ranges
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

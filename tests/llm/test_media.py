@@ -208,3 +208,24 @@ def test_stored_files_against_a_plain_reader(text):
     clips = media.clips(media.read_avi(stored))
     assert clips == [(k, a, b, round(a * ms), round((b + 1) * ms)) for k, (a, b) in enumerate(media.shots(media.histograms(frames)))]
     assert clips[0][1] == 0 and clips[-1][2] == len(frames) - 1 and all(x[2] + 1 == y[1] for x, y in zip(clips, clips[1:]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 4_096, 4_097, 50_001])
+def test_long_texts_by_way_of_a_file(tmp_path, n):
+    text = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    path = str(tmp_path / "one.avi")
+    assert media.describe_long(text, path, group=3) == media.describe(text) and not list(tmp_path.iterdir())
+
+
+def test_a_long_text_takes_memory_for_little_more_than_itself(spark, tmp_path):
+    import tracemalloc
+
+    text = b"some words of a long text, " * 1_500_000  # 40 MB
+    tracemalloc.start()
+    found = media.describe_long(text, str(tmp_path / "one.avi"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0] == len(text) and found[2] == hashlib.sha256(text + b"\0" * (-len(text) % 64)).hexdigest()
+    assert peak < 2 * len(text)
+    rows = media.text_media_digests(spark.createDataFrame([(1, text.decode())], "doc_id long, text string")).collect()
+    assert tuple(rows[0])[1:8] == found[:7]
