@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from slotloom.llm import media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity
+from slotloom.llm import alignment, identifiers, media, mixing, ngrams, pieces, quality, setjoin, sharding, tokenfile, topk, toxicity, veccodes
 from slotloom.llm.shared import DOCUMENT_COLUMNS
 
-CLASHES = ["score", "key", "text_hash", "class", "place", "held_out", "shard", "slot", "copies", "size", "target", "grade", "toxic", "fold", "x", "bucket"]
+CLASHES = ["score", "key", "text_hash", "class", "place", "held_out", "shard", "slot", "copies", "size", "target", "grade", "toxic", "fold", "x", "bucket", "block", "segment", "uid", "kind", "base", "start", "groups"]
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +37,14 @@ def apply_all(docs, labels):
     yield pieces.encode_documents(docs)
     yield quality.score_documents(docs, quality.fit(docs, labels))
     yield media.text_media_digests(docs)
-    yield ngrams.score_held_out(docs)
+    yield ngrams.score_held_out(docs, order=3)
     yield mixing.mixed_sizes(docs)
     yield sharding.shard_records(docs)
     yield setjoin.linked_components(docs)
     yield tokenfile.token_file_digests(docs)
     yield toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    yield alignment.align_documents(docs, with_groups=True)
+    yield identifiers.find_identifiers(docs)
 
 
 def test_operators(spark, docs, folder):
@@ -72,7 +74,7 @@ def test_values(spark, docs, folder):
     pieces_ = pieces.encode_documents(docs).collect()
     assert Counter((r.doc_id, r.decoded_crc32) for r in pieces_) == Counter((i, zlib.crc32(t.encode())) for i, t in texts)
     assert all(r.lossless and bool(r.piece_ids) == (r.decoded_crc32 != 0) for r in pieces_)
-    scores = ngrams.score_held_out(docs)
+    scores = ngrams.score_held_out(docs, order=3)
     assert by(scores, "n_tokens", "held_out") == Counter((i, words(t) + 1, zlib.crc32(str("" if i is None else i).encode()) % 10 == 0) for i, t in texts)
     assert by(mixing.mixed_sizes(docs), "size") == Counter((i, words(t)) for i, t in texts)
     shards = sharding.shard_records(docs)
@@ -88,6 +90,26 @@ def test_values(spark, docs, folder):
     assert by(media_, "n_bytes", "tail_crc32") == Counter((i, len(t.encode()), zlib.crc32((t.encode() + b"\0" * (-len(t.encode()) % 64 or 64 * (not t)))[-64:])) for i, t in texts)
 
 
+def test_values_of_alignment_and_identifiers(spark, docs):
+    pair = alignment.Pair(*alignment.public_files())
+    aligned = alignment.align_documents(docs).collect()
+    want = Counter((r.doc_id, *((len(pair.a.encode(" " + r.text, add_special_tokens=False).ids), len(pair.b.encode(r.text)), True) if r.text else (0, 0, False))) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_a, r.n_b, r.groups_sha256 != "") for r in aligned) == want
+    assert all(r.n_links == r.n_a + r.n_b - r.n_groups for r in aligned)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "mail a@b.c"), (None, "mail a@b.c"), (4, "x" * 50_000 + " +1 (743) 555-3824")]
+    spans = identifiers.find_identifiers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.spans) for r in spans) == Counter((i, {"mail a@b.c": "email:5:10"}.get(t, "phone:50001:50018" if t and t.endswith("3824") else "")) for i, t in rows)
+
+
+def test_codes_of_odd_rows(spark):
+    rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], None), (None, [3.0], 1), (5, None, 1), (6, [None], 1), (7, [], None), (8, [float("inf")], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("x", "code", "of", "label_error")})
+    found = veccodes.code_table(df).collect()
+    assert sorted(((r.vec_id, r.error, r.label_error) for r in found), key=repr) == sorted([(0, 0, 0), (0, 0, 0), (None, 0, 0), (7, 0, 0)], key=repr)
+    assert len({r.codebooks_sha256 for r in found}) == 1 and all(len(r.code) == 32 for r in found)
+    assert veccodes.code_table(df.limit(0)).count() == 0
+
+
 def test_inner_products_with_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (50, None), (100, [None, 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (None, [9.0, 9.0]), (3, []), (150, [float("nan"), 1.0]), (4, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("w", "norm", "score", "rank", "query_id", "side")})
