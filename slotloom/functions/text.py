@@ -98,8 +98,10 @@ def appended(existing: Column, uploaded: Column) -> Column:
 
 
 def lenient_int(c: Column) -> Column:
-    """The integer at the start of a text, 0 if there is none."""
-    return F.coalesce(F.regexp_extract(c, r"^[ \t\n\r\x0b\f]*([+-]?\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    """The integer at the start of a text, 0 if there is none; beyond 64 bits the nearest that fits."""
+    found = F.regexp_extract(c, r"^[ \t\n\r\x0b\f]*([+-]?\d+)", 1)
+    beyond = F.when(found.startswith("-"), F.lit(-(1 << 63))).when(found != "", F.lit((1 << 63) - 1))
+    return F.coalesce(found.try_cast("long"), beyond, F.lit(0)).cast("long")
 
 
 def occurrences(c: Column, find: str) -> Column:

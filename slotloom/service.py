@@ -47,6 +47,8 @@ class Outcome(Enum):
 
 #: Ids up to which they are looked up by value, which lets the scan skip what cannot hold them.
 FEW_IDS = 1_000
+#: Pages that are taken from the top of all hits; a hundred pages of hits fit in any task.
+FIRST_PAGES = 100
 
 
 class Engine:
@@ -89,8 +91,12 @@ class Engine:
         return E.compose(self.entries().where(F.col("file_key") == key), self.registry).where(F.col("file_key") == key).first().content
 
     def search(self, keyword: str = "", chosen: Mapping[int, str] | None = None, page: int = 1) -> DataFrame:
-        """One page of hits for a keyword and one chosen term of each list; choices that are no members are ignored."""
-        return search.page(self.hits(keyword, chosen), page, self.registry)
+        """One page of hits for a keyword and one chosen term of each list; choices that are no members are ignored.
+
+        The first pages are the top of one pass; later ones are sought by rank, in two.
+        """
+        found = self.hits(keyword, chosen)
+        return search.page(found, page, self.registry) if page <= FIRST_PAGES else search.page_by_rank(found, page, self.registry)
 
     def hits(self, keyword: str = "", chosen: Mapping[int, str] | None = None) -> DataFrame:
         """All hits; with an index, only entries that share rare pieces with a needle are looked at."""

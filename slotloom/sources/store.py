@@ -13,6 +13,7 @@ from __future__ import annotations
 import copy
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ TABLES = {
 PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "grams": ("bucket",), "gram_counts": ("bucket",)}
 #: What rows are ordered by within a part, so that files and their pages have narrow ranges.
 ORDER = {"entries": "id", "revisions": "seq", "grams": "gram", "gram_counts": "gram"}
-#: Places of a slot that one part holds; states whose files are kept.
+#: Places of a slot that one part holds; last states whose files are kept, so long may a reader work on one of them.
 PLACES = 1 << 18
 KEEP = 2
 _NEW = {"number": 0, "tables": {}, "next_id": 1, "next_seq": 1, "streams": {}, "marks": {}}
@@ -152,8 +153,11 @@ class Store:
                 if change.rows is not None:
                     version = f"v{uuid.uuid4().hex}"
                     written.append(f"{self.path}/{table}/version={version}")
-                    for part in self._write(table, change.rows, written[-1]):
+                    own = self._write(table, change.rows, written[-1])
+                    for part in own:
                         parts.setdefault(part, []).append(version)
+                    if not own:  # there were no rows
+                        self._fs.delete(self._path(written[-1]), True)
             self._publish(new)
         except BaseException:
             for folder in written:
@@ -191,6 +195,19 @@ class Store:
                     above = above.getParent()
             self._fs.delete(self._path(f"{self.path}/states/{number}.json"), False)
 
+    def vacuum(self, older_than: float = 86_400.0) -> list[str]:
+        """Remove version folders that no state lists and that are older than some seconds: what writers that died left behind."""
+        states = [self._state(n) for n in self._numbers()]
+        listed = {f"{t}/version={v}" for s in states for t, parts in s["tables"].items() for own in parts.values() for v in own}
+        limit, removed = (time.time() - older_than) * 1000, []
+        for table in TABLES:
+            for folder in self._fs.globStatus(self._path(f"{self.path}/{table}/version=*")) or []:
+                name = f"{table}/{folder.getPath().getName()}"
+                if name not in listed and folder.getModificationTime() < limit:
+                    self._fs.delete(folder.getPath(), True)
+                    removed.append(name)
+        return removed
+
     def with_ids(self, rows: DataFrame, first: int) -> tuple[DataFrame, int]:
         """``rows`` (file_key, entry_index, ...) with ids from ``first`` on, and the first id not used.
 

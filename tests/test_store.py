@@ -75,6 +75,13 @@ def test_old_parts_are_removed(engine, tmp_path):
     assert engine.text("notes").startswith("text 5") and engine.text("lore") == "one\n\ntwo\n\nthree"
 
 
+def test_what_dead_writers_left_is_removed(spark, engine):
+    spark.range(3).write.parquet(f"{engine.store.path}/entries/version=vdead")
+    assert engine.store.vacuum() == []  # it may belong to a writer at work
+    assert engine.store.vacuum(older_than=-60) == ["entries/version=vdead"] and engine.store.vacuum(older_than=-60) == []
+    assert engine.text("lore") == "one\n\ntwo\n\nthree" and engine.history("lore").count() == 0
+
+
 def test_of_two_writers_one_is_refused(engine):
     base = engine.store.state()
     rows = engine.store.read("entries", base)

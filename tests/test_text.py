@@ -85,7 +85,7 @@ def test_long_term_lists_take_time_in_proportion(spark):
     assert took[1] < 30 * took[0] + 2
 
 
-@pytest.mark.parametrize(("text", "number"), [("12", 12), (" 7x", 7), ("-3", -3), ("abc", 0), ("", 0), ("99999999999999999999", 0)])
+@pytest.mark.parametrize(("text", "number"), [("12", 12), (" 7x", 7), ("-3", -3), ("abc", 0), ("", 0), ("99999999999999999999", (1 << 63) - 1)])
 def test_lenient_int(spark, text, number):
     assert evaluate(spark, text, X.lenient_int) == number
 
@@ -101,3 +101,9 @@ def test_occurrences(spark):
 def test_equivalence(spark):
     rows = spark.createDataFrame([("a\n\nb", " a \n \n\nb\n"), ("a", "A"), ("a\nb", "a\n\nb"), ("", "\f")], "a string, b string")
     assert [r.e for r in rows.select(X.equivalent(F.col("a"), F.col("b")).alias("e")).collect()] == [True, False, False, False]
+
+
+def test_integers_beyond_64_bits(spark):
+    given = {"99999999999999999999": (1 << 63) - 1, " -99999999999999999999x": -(1 << 63), "9223372036854775807": (1 << 63) - 1, "x1": 0, "": 0, "-": 0, "+7.9": 7}
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", X.lenient_int(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == given
