@@ -12,7 +12,7 @@ from slotloom.functions import text as X
 from slotloom.operators import chunks, digests, gramindex, migration, replacing, revisions, search, terms
 from slotloom.operators import entries as E
 from slotloom.service import Engine
-from slotloom.sources import files
+from slotloom.sources import downloads, files
 from slotloom.sources import tables as S
 from slotloom.sources.scratch import scratch
 from slotloom.sources.store import Change
@@ -467,14 +467,17 @@ _LEGACY = """legacy AS (
          CASE WHEN n_nationkey = 1 THEN ' ' ELSE n_name || chr(10) || chr(10) || ' ' || n_regionkey END AS content FROM nation)"""
 
 
+def _legacy(spark, folder) -> DataFrame:
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    content = F.when(key == 1, F.lit(" ")).otherwise(F.concat(name, F.lit("\n\n "), F.col("n_regionkey").cast("string")))
+    return S.table(spark, folder, "nation").select(F.when(key < 5, S.slot_of(key)).otherwise(name).alias("file_key"), content.alias("content"))
+
+
 @_add("legacy_migrate", f"""WITH {_LEGACY}, split AS (
   SELECT file_key, {_split('content')} AS e FROM legacy WHERE {_trim('content')} <> '' AND file_key IN ('lore', 'writing_style', 'user_profile', 'notes'))
 SELECT file_key, CAST(i AS BIGINT) AS entry_index, e[i] AS content FROM split, LATERAL (SELECT unnest(range(1, len(e) + 1)) AS i)""")
 def legacy_migrate(spark, folder):
-    key, name = F.col("n_nationkey"), F.col("n_name")
-    content = F.when(key == 1, F.lit(" ")).otherwise(F.concat(name, F.lit("\n\n "), F.col("n_regionkey").cast("string")))
-    legacy = S.table(spark, folder, "nation").select(F.when(key < 5, S.slot_of(key)).otherwise(name).alias("file_key"), content.alias("content"))
-    return migration.migrate(legacy, S.entries(spark, folder).where("file_key = 'reminders'"))
+    return migration.migrate(_legacy(spark, folder), S.entries(spark, folder).where("file_key = 'reminders'"))
 
 
 # Texts beyond one string
@@ -579,6 +582,31 @@ def service_lists(spark, folder):
     return engine.store.read("term_lists").where("text <> ''")
 
 
+@_add("service_slot", ORACLE["slot_entries"])
+def service_slot(spark, folder):
+    """One slot of a store; its files alone are read."""
+    return _engine(spark, folder).slot("No tes!")
+
+
+@_add("service_migrate", ORACLE["legacy_migrate"].replace("'writing_style', 'user_profile'", "'writing_style', 'reminders', 'user_profile'"))
+def service_migrate(spark, folder):
+    """Entries of a store that was opened twice beside a legacy table among files."""
+    at, legacy = scratch(spark, "store"), scratch(spark, "legacy")
+    _legacy(spark, folder).write.parquet(legacy)
+    Engine(spark, at, legacy=legacy, now=_NOW)
+    return Engine(spark, at, legacy=legacy, now=_NOW).entries().select("file_key", "entry_index", "content")
+
+
+@_add("download_files", f"""WITH {_ENTRIES}, {_SLOT_TEXTS} SELECT replace(file_key, '_', '-') || '.txt' AS file_name, CAST(strlen(content) AS BIGINT) AS byte_length, md5(content) AS digest FROM slot_texts""")
+def download_files(spark, folder):
+    """The files of all downloads, as executors wrote them."""
+    at = scratch(spark, "downloads")
+    downloads.write(S.entries(spark, folder), at)
+    found = spark.read.format("binaryFile").load(at)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select(name.alias("file_name"), F.col("length").alias("byte_length"), F.md5("content").alias("digest"))
+
+
 # Streams
 
 

@@ -156,7 +156,7 @@ def plan(df):
 
 
 #: Queries that write files or stores before they give a plan; the ring's stream runs Python, to keep its state.
-WRITING = ("upload_read", "search_many_indexed", "upload_stream", "revision_ring_stream", *(n for n in queries.QUERIES if n.startswith("service_")))
+WRITING = ("upload_read", "search_many_indexed", "upload_stream", "revision_ring_stream", "download_files", *(n for n in queries.QUERIES if n.startswith("service_")))
 
 
 def test_plans(spark):
