@@ -140,9 +140,7 @@ def contexts():
 def test_base_and_bootstrap(spark):
     rows = list(enumerate(fuzzed(1, 1_500) + contexts())) + [(None, None), (None, "write to ann@mail0.example.com now"), (3, ""), (7, "1.2.3.4"), (7, "1.2.3.4")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("uid", "kind", "base", "m", "t", "start", "hits0", "score")})
-    got = found(df.repartition(5))
-    assert got == plain(rows)
-    assert found(df.coalesce(1)) == got
+    assert found(df.repartition(5)) == plain(rows)
 
 
 def test_contexts_find_unseen_identifiers(spark):
@@ -155,9 +153,9 @@ def test_contexts_find_unseen_identifiers(spark):
 
 
 def test_scores(spark):
-    df = identifiers.mentions(spark.createDataFrame(list(enumerate(contexts())), "doc_id long, text string"))
+    df = identifiers.mentions(spark.createDataFrame(list(enumerate(contexts())), "doc_id long, text string")).cache()
     scores = {r.instance: r.score for r in identifiers.believed(df).collect()}
-    assert scores["phone:435559999"] == 8_000_000 // 10 + 0 or scores["phone:435559999"] >= 800_000
+    assert scores["phone:435559999"] >= 800_000
     assert "email:ann@mail0.example.com" in scores and scores["email:ann@mail0.example.com"] == 1_000_000
     none = {r.instance for r in identifiers.believed(df, least=1_000_000).collect()}
     assert "phone:435559999" not in none
