@@ -58,7 +58,8 @@ def rarest(asked: DataFrame, numbers: DataFrame, key: str, needle: str, most: in
 def blocks(chosen: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """key, block of the blocks that hold all chosen grams of a needle."""
     wanted = chosen.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("wanted"))
-    named = chosen.join(found.select("gram", "block").distinct(), "gram").groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"))
+    met = chosen.join(found.select("gram", "block"), "gram").select(key, "gram", "block").distinct()  # an index that grew names blocks again
+    named = met.groupBy(key, "block").agg(F.count(F.lit(1)).alias("n"))
     return named.join(wanted, (F.col(key) == F.col("of")) & (F.col("n") == F.col("wanted"))).select(key, "block")
 
 

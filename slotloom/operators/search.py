@@ -119,7 +119,7 @@ def _unrolled(kept: DataFrame, asked: DataFrame) -> DataFrame:
     own = asked.distinct().collect()
     hits = [F.when(F.contains("__text", F.lit(r["__needle"])), F.lit(r["__n"]).cast(kind)) for r in own]
     groups = [F.array_compact(F.array(*hits[k : k + _AT_ONCE])) for k in range(0, len(hits), _AT_ONCE)]
-    found = F.array_distinct(F.concat(*groups)) if groups else F.array().cast("array<string>")
+    found = F.array_distinct(F.concat(*groups)) if groups else F.array().cast(f"array<{kind.simpleString()}>")
     return kept.select("__r", F.explode(found).alias("__n")).distinct()
 
 

@@ -1,8 +1,9 @@
 """Downloads as named files: executors write them, the driver publishes or discards them.
 
 The data source takes rows (file_name, offset, bytes) that come by name and offset, as ``write`` deals them, and
-writes each name's bytes one after another to a hidden file.  Once all tasks are done, the driver renames them; a
-failed task removes what it wrote, and an aborted write what the others wrote.  No byte passes the driver.
+writes each name's bytes one after another to a hidden file.  Once all tasks are done, the driver renames them and
+removes what lost executors left; a failed task removes what it wrote, and an aborted write all of it.  No byte
+passes the driver.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ class _Folder:
     def move(self, name: str, to: str) -> None:
         self.store.move(f"{self.path}/{name}", f"{self.path}/{to}")
 
-    def remove(self, name: str) -> None:
-        try:
-            self.store.delete_file(f"{self.path}/{name}")
-        except FileNotFoundError:
-            pass
+    def clear(self, begin: str) -> None:
+        """Remove files whose names begin so."""
+        from pyarrow import fs
+
+        for found in self.store.get_file_info(fs.FileSelector(self.path, allow_not_found=True)):
+            if found.base_name.startswith(begin):
+                self.store.delete_file(found.path)
 
 
 @dataclass
@@ -53,17 +56,20 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
+    """Hidden files carry the write's name, so that what lost executors left can be told and removed."""
+
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.mark = path, f".{uuid.uuid4().hex}-"
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         folder, done, out = _Folder(self.path), [], None
+        task = f"{self.mark}{uuid.uuid4().hex}-"
         try:
             for row in rows:
                 if not done or done[-1][1] != row.file_name:
                     if out is not None:
                         out.close()
-                    done.append((f".{uuid.uuid4().hex}", row.file_name))
+                    done.append((f"{task}{len(done)}", row.file_name))
                     out = folder.open(done[-1][0])
                 out.write(bytes(row.bytes))
             if out is not None:
@@ -71,8 +77,7 @@ class _Writer(DataSourceWriter):
         except BaseException:
             if out is not None:
                 out.close()
-            for hidden, _ in done:
-                folder.remove(hidden)
+            folder.clear(task)
             raise
         return _Written(done)
 
@@ -81,12 +86,10 @@ class _Writer(DataSourceWriter):
         for message in messages:
             for hidden, name in message.files if message else []:
                 folder.move(hidden, name)
+        folder.clear(self.mark)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        folder = _Folder(self.path)
-        for message in messages:
-            for hidden, _ in message.files if message else []:
-                folder.remove(hidden)
+        _Folder(self.path).clear(self.mark)
 
 
 class Downloads(DataSource):

@@ -31,6 +31,8 @@ TABLES = {
 }
 #: Columns whose values name a table's parts, from the outside in.
 PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "grams": ("bucket",), "gram_counts": ("bucket",)}
+#: Tables whose parts are too large for a task each: columns by whose ranges their rows are dealt instead.
+RANGES = {"grams": ("bucket", "gram", "block"), "gram_counts": ("bucket", "gram")}
 #: What rows are ordered by within a part, so that files and their pages have narrow ranges.
 ORDER = {"entries": "id", "revisions": "seq", "grams": "gram", "gram_counts": "gram"}
 #: Places of a slot that one part holds; last states whose files are kept, so long may a reader work on one of them.
@@ -175,7 +177,8 @@ class Store:
         if not by:
             rows.write.parquet(folder)
             return [""]
-        rows.repartition(*by).sortWithinPartitions(*by, ORDER[table]).write.partitionBy(*by).parquet(folder)
+        dealt = rows.repartitionByRange(*RANGES[table]) if table in RANGES else rows.repartition(*by)
+        dealt.sortWithinPartitions(*by, ORDER[table]).write.partitionBy(*by).parquet(folder)
         depth = len(self._path(folder).toUri().getPath().rstrip("/")) + 1
         found = self._fs.globStatus(self._path(folder + "/*=*" * len(by)))
         return [f.getPath().toUri().getPath()[depth:] for f in found]
