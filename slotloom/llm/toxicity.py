@@ -19,7 +19,9 @@ from slotloom.llm.shared import arrow_map, labelled_sample, slices, stored, text
 
 #: At most about so many labelled rows are learned from.  That bounds the features too: all that pass the test are kept.
 FIT_ROWS = 20_000
-#: A feature is kept if its chi-square shows that it is no accident, or its square of phi that it all but decides.
+#: A feature is kept if its chi-square shows that it is no accident, or its square of phi that it all but decides.  The
+#: second holds for samples of up to 80 documents, which the first asks too much of; in larger ones it says nothing more.
+#: A feature of fewer than 3 documents is an accident in any sample.
 CHI_SQUARE = 24.0
 PHI_SQUARE = 0.3
 GRADES = 4
