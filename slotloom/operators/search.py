@@ -99,19 +99,43 @@ GRAM = 6
 def search_many(rows: DataFrame, wanted: DataFrame, row_id: str, text: str, needle_id: str, needle: str) -> DataFrame:
     """row_id, needle_id of every text that holds a needle, case aside.
 
-    Few needles are predicates on each text, in one pass and without a shuffle.  Many are looked up: of each needle's
-    pieces of ``GRAM`` characters (or fewer, where it is shorter) the one that the fewest needles have meets the
-    pieces of texts in an equality join of hashes, candidates get their texts back by row_id (which must tell
-    rows apart), and ``contains`` decides.  Null and empty needles match nothing.
+    A word that has blanks on both sides in a needle is a word of every text that holds the needle, so needles with such
+    words meet texts by one of them: the one that the fewest needles share, and of those the longest.  ``contains``
+    decides.  Few needles filter the texts' words where they are; of many, hashes of words meet in a join,
+    and candidates get their texts back by row_id (which must tell rows apart).  Of needles without such a word,
+    few are predicates on each text, and many are looked up by pieces of ``GRAM`` characters (or fewer, where they are
+    shorter).  Null and empty needles match nothing.
     """
     asked = wanted.select(F.col(needle_id).alias("__n"), F.lower(F.col(needle)).alias("__needle")).where("__needle <> ''")
     kept = rows.select(F.col(row_id).alias("__r"), F.lower(F.col(text)).alias("__text"))
-    n, size = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("__needle"))).first()
-    if n <= FEW_NEEDLES and (size or 0) <= FEW_BYTES:
-        found = _unrolled(kept, asked)
+    words = F.split("__needle", " ")
+    inner = F.when(F.size(words) > 2, F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")).otherwise(F.array())
+    asked = asked.withColumn("__inner", F.array_distinct(inner))
+    whole = F.size("__inner") > 0
+    n, size, plain = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("__needle")), F.count_if(~whole)).first()
+    few = n <= FEW_NEEDLES and (size or 0) <= FEW_BYTES
+    found = _by_words(kept, asked.where(whole), few)
+    if plain:
+        others = asked.where(~whole).drop("__inner")
+        found = found.unionByName(_unrolled(kept, others) if few else _looked_up(kept, others))
+    return found.distinct().select(F.col("__r").alias(row_id), F.col("__n").alias(needle_id))
+
+
+def _by_words(kept: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    own = asked.select("__n", "__needle", F.explode("__inner").alias("__word"))
+    shared = own.groupBy("__word").agg(F.count(F.lit(1)).alias("__shared"))
+    first = Window.partitionBy("__n", "__needle").orderBy("__shared", F.desc(F.length("__word")), "__word")
+    chosen = own.join(shared, "__word").withColumn("__at", F.row_number().over(first)).where("__at = 1").select("__n", "__needle", "__word")
+    if few:
+        listed = [F.lit(r[0]) for r in chosen.select("__word").distinct().collect()]
+        met = F.array_intersect(F.split("__text", " "), F.array(*listed)) if listed else F.array().cast("array<string>")
+        hits = kept.select("__r", "__text", F.explode(met).alias("__word")).join(F.broadcast(chosen), "__word")
     else:
-        found = _looked_up(kept, asked)
-    return found.select(F.col("__r").alias(row_id), F.col("__n").alias(needle_id))
+        hashed = F.array_distinct(F.transform(F.split("__text", " "), lambda w: F.xxhash64(w)))
+        texts = kept.select("__r", F.explode(hashed).alias("__hash"))
+        near = texts.join(chosen.withColumn("__hash", F.xxhash64("__word")), "__hash").select("__r", "__n", "__needle").distinct()
+        hits = kept.join(near, "__r")
+    return hits.where(F.contains("__text", "__needle")).select("__r", "__n")
 
 
 def _unrolled(kept: DataFrame, asked: DataFrame) -> DataFrame:
@@ -120,7 +144,7 @@ def _unrolled(kept: DataFrame, asked: DataFrame) -> DataFrame:
     hits = [F.when(F.contains("__text", F.lit(r["__needle"])), F.lit(r["__n"]).cast(kind)) for r in own]
     groups = [F.array_compact(F.array(*hits[k : k + _AT_ONCE])) for k in range(0, len(hits), _AT_ONCE)]
     found = F.array_distinct(F.concat(*groups)) if groups else F.array().cast(f"array<{kind.simpleString()}>")
-    return kept.select("__r", F.explode(found).alias("__n")).distinct()
+    return kept.select("__r", F.explode(found).alias("__n"))
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -141,4 +165,4 @@ def _looked_up(kept: DataFrame, asked: DataFrame) -> DataFrame:
         met = pieces.join(chosen, "__hash").select("__r", "__n", "__needle").distinct()
         hits = kept.join(met, "__r").where(F.contains("__text", "__needle")).select("__r", "__n")
         found = hits if found is None else found.unionByName(hits)
-    return found.distinct()
+    return found
