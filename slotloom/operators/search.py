@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -111,40 +112,40 @@ def search_many(rows: DataFrame, wanted: DataFrame, row_id: str, text: str, need
     words = F.split("__needle", " ")
     inner = F.when(F.size(words) > 2, F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")).otherwise(F.array())
     asked = asked.withColumn("__inner", F.array_distinct(inner))
-    whole = F.size("__inner") > 0
-    n, size, plain = asked.agg(F.count(F.lit(1)), F.sum(F.octet_length("__needle")), F.count_if(~whole)).first()
-    few = n <= FEW_NEEDLES and (size or 0) <= FEW_BYTES
-    found = _by_words(kept, asked.where(whole), few)
-    if plain:
-        others = asked.where(~whole).drop("__inner")
-        found = found.unionByName(_unrolled(kept, others) if few else _looked_up(kept, others))
+    own = asked.limit(FEW_NEEDLES + 1).collect()
+    if len(own) <= FEW_NEEDLES and sum(len(r["__needle"].encode()) for r in own) <= FEW_BYTES:
+        found = _few(kept, asked, own)
+    else:
+        whole = F.size("__inner") > 0
+        found = _by_words(kept, asked.where(whole)).unionByName(_looked_up(kept, asked.where(~whole).drop("__inner")))
     return found.distinct().select(F.col("__r").alias(row_id), F.col("__n").alias(needle_id))
 
 
-def _by_words(kept: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+def _few(kept: DataFrame, asked: DataFrame, own: list) -> DataFrame:
+    shared = Counter(w for r in own for w in r["__inner"])
+    chosen = [(r["__n"], r["__needle"], min(r["__inner"], key=lambda w: (shared[w], -len(w), w))) for r in own if r["__inner"]]
+    listed = sorted({word for _, _, word in chosen})
+    met = F.array_intersect(F.split("__text", " "), F.array(*map(F.lit, listed))) if listed else F.array().cast("array<string>")
+    kind = asked.schema["__n"].dataType
+    needles_ = kept.sparkSession.createDataFrame(chosen, f"__n {kind.simpleString()}, __needle string, __word string")
+    hits = kept.select("__r", "__text", F.explode(met).alias("__word")).join(F.broadcast(needles_), "__word")
+    found = hits.where(F.contains("__text", "__needle")).select("__r", "__n")
+    others = [F.when(F.contains("__text", F.lit(r["__needle"])), F.lit(r["__n"]).cast(kind)) for r in own if not r["__inner"]]
+    if others:
+        groups = [F.array_compact(F.array(*others[k : k + _AT_ONCE])) for k in range(0, len(others), _AT_ONCE)]
+        found = found.unionByName(kept.select("__r", F.explode(F.concat(*groups)).alias("__n")))
+    return found
+
+
+def _by_words(kept: DataFrame, asked: DataFrame) -> DataFrame:
     own = asked.select("__n", "__needle", F.explode("__inner").alias("__word"))
     shared = own.groupBy("__word").agg(F.count(F.lit(1)).alias("__shared"))
     first = Window.partitionBy("__n", "__needle").orderBy("__shared", F.desc(F.length("__word")), "__word")
-    chosen = own.join(shared, "__word").withColumn("__at", F.row_number().over(first)).where("__at = 1").select("__n", "__needle", "__word")
-    if few:
-        listed = [F.lit(r[0]) for r in chosen.select("__word").distinct().collect()]
-        met = F.array_intersect(F.split("__text", " "), F.array(*listed)) if listed else F.array().cast("array<string>")
-        hits = kept.select("__r", "__text", F.explode(met).alias("__word")).join(F.broadcast(chosen), "__word")
-    else:
-        hashed = F.array_distinct(F.transform(F.split("__text", " "), lambda w: F.xxhash64(w)))
-        texts = kept.select("__r", F.explode(hashed).alias("__hash"))
-        near = texts.join(chosen.withColumn("__hash", F.xxhash64("__word")), "__hash").select("__r", "__n", "__needle").distinct()
-        hits = kept.join(near, "__r")
-    return hits.where(F.contains("__text", "__needle")).select("__r", "__n")
-
-
-def _unrolled(kept: DataFrame, asked: DataFrame) -> DataFrame:
-    kind = asked.schema["__n"].dataType
-    own = asked.distinct().collect()
-    hits = [F.when(F.contains("__text", F.lit(r["__needle"])), F.lit(r["__n"]).cast(kind)) for r in own]
-    groups = [F.array_compact(F.array(*hits[k : k + _AT_ONCE])) for k in range(0, len(hits), _AT_ONCE)]
-    found = F.array_distinct(F.concat(*groups)) if groups else F.array().cast(f"array<{kind.simpleString()}>")
-    return kept.select("__r", F.explode(found).alias("__n"))
+    chosen = own.join(shared, "__word").withColumn("__at", F.row_number().over(first)).where("__at = 1")
+    chosen = chosen.select("__n", "__needle", F.xxhash64("__word").alias("__hash"))
+    hashed = F.array_distinct(F.transform(F.split("__text", " "), lambda w: F.xxhash64(w)))
+    near = kept.select("__r", F.explode(hashed).alias("__hash")).join(chosen, "__hash").select("__r", "__n", "__needle").distinct()
+    return kept.join(near, "__r").where(F.contains("__text", "__needle")).select("__r", "__n")
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -165,4 +166,4 @@ def _looked_up(kept: DataFrame, asked: DataFrame) -> DataFrame:
         met = pieces.join(chosen, "__hash").select("__r", "__n", "__needle").distinct()
         hits = kept.join(met, "__r").where(F.contains("__text", "__needle")).select("__r", "__n")
         found = hits if found is None else found.unionByName(hits)
-    return found
+    return kept.select("__r").join(asked.select("__n"), F.lit(False)) if found is None else found
