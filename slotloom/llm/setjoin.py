@@ -18,7 +18,7 @@ shared folder.  Each shard yields a spanning forest, and a distributed star algo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,9 @@ BIG = 1_000
 LEVELS = 3
 #: Features that a crowd holds at once.
 _HELD_FEATURES = 3_000_000
+#: Bits of a mark for each feature of a crowd's largest set, at least, and 64-bit words of marks that a crowd holds.
+_MARK_BITS = 8
+_HELD_MARKS = 8 << 20
 #: Signatures per shard, about, and signatures in a block before it is sent off.
 SHARD_SIGNATURES = 1_500_000
 _BLOCK_SIGNATURES = 500_000
@@ -272,18 +275,18 @@ class Forest:
                     self.link(x, y)
 
     def _crowd(self, members: list[int], level: int) -> None:
-        """As ``group``, with one class against all others in one pass over their features, some at a time.
+        """As ``group``, with one class against all others in one pass over their marks, some features at a time.
 
-        Once all classes but those of the largest tree have been compared with everyone, no pair of
-        classes in two trees is left.  If very many are left after some passes, those that can link share a
-        signature of the next level too.
+        Marks bound how far two sets are apart from below; what they leave over is compared exactly.  Once all classes
+        but those of the largest tree have been compared with everyone, no pair of classes in two trees is left.  If
+        very many are left after some passes, those that can link share a signature of the next level too.
         """
+        tree = np.unique([self.find(x) for x in members], return_inverse=True)[1]
         parts = [self._set(x) for x in members]
         sizes = np.array([len(p) for p in parts])
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // _HELD_FEATURES)) + 1
         spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(members)], strict=True))
-        common = self._common_at_once(parts, sizes) if len(spans) == 1 else self._common_by_spans(parts, sizes, spans)
-        tree = np.unique([self.find(x) for x in members], return_inverse=True)[1]
+        marks = _marks(parts, sizes, spans)
         open_ = np.ones(len(members), bool)
         passes = 0
         while True:
@@ -296,44 +299,12 @@ class Forest:
             passes += 1
             x = int(left[0])
             open_[x] = False
-            shared = common(x)
-            near = np.flatnonzero((100 * shared >= self.threshold * (sizes + sizes[x] - shared)) & (tree != tree[x]))
-            for y in near[np.unique(tree[near], return_index=True)[1]].tolist():
-                self.edges.append((members[x], members[y]))
-                self.parent[self.find(members[x])] = self.find(members[y])
-                tree[tree == tree[y]] = tree[x]
-
-    @staticmethod
-    def _common_at_once(parts: list[np.ndarray], sizes: np.ndarray) -> Callable[[int], np.ndarray]:
-        """How many features one part has in common with each; all features are numbered once."""
-        starts = np.cumsum(sizes) - sizes
-        names, local = np.unique(np.concatenate(parts), return_inverse=True)
-        local = local.astype(np.int32)
-        mark = np.zeros(len(names), np.int32)
-
-        def common(x: int) -> np.ndarray:
-            own = local[starts[x] : starts[x] + sizes[x]]
-            mark[own] = 1
-            found = np.add.reduceat(mark[local], starts)
-            mark[own] = 0
-            return found
-
-        return common
-
-    @staticmethod
-    def _common_by_spans(parts: list[np.ndarray], sizes: np.ndarray, spans: list[tuple[int, int]]) -> Callable[[int], np.ndarray]:
-        """As ``_common_at_once`` for more features than are held at once: they are read anew for each part."""
-
-        def common(x: int) -> np.ndarray:
-            own, found = np.array(parts[x]), np.empty(len(parts), np.int64)
-            for a, b in spans:
-                held = np.concatenate(parts[a:b])
-                at = np.searchsorted(own, held)
-                at[at == len(own)] = 0
-                found[a:b] = np.add.reduceat((own[at] == held).astype(np.int64), np.cumsum(sizes[a:b]) - sizes[a:b])
-            return found
-
-        return common
+            others = np.flatnonzero(tree != tree[x])
+            apart = np.bitwise_count(marks[others] ^ marks[x]).sum(axis=1, dtype=np.int64)
+            near = others[(100 + self.threshold) * apart <= (100 - self.threshold) * (sizes[others] + sizes[x])]
+            for y in near.tolist():
+                if tree[y] != tree[x] and self.link(members[x], members[y]):
+                    tree[tree == tree[y]] = tree[x]
 
     def _anew(self, members: list[int], spans: list[tuple[int, int]], level: int) -> None:
         """Partition members by the draws of another level and settle the groups that this gives."""
@@ -347,6 +318,23 @@ class Forest:
             self.group([members[k] for k in own.tolist()], level)
 
 
+def _marks(parts: list[np.ndarray], sizes: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Per part a row of bits: the parity of how many of its features fall on each bit.
+
+    Of two parts, no more bits differ than features are in one of them only.
+    """
+    words = 1 << max(3, int(_MARK_BITS * sizes.max() // 64).bit_length())
+    while words > 8 and words * len(parts) > _HELD_MARKS:
+        words //= 2
+    marks = np.zeros(len(parts) * words, np.uint64)
+    for a, b in spans:
+        held = np.concatenate(parts[a:b])
+        row = np.repeat(np.arange(a, b), sizes[a:b])
+        at = row * words + ((held >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+        np.bitwise_xor.at(marks, at, np.uint64(1) << (held & np.uint64(63)))
+    return marks.reshape(len(parts), words)
+
+
 def _groups(signature: np.ndarray, of: np.ndarray) -> Iterator[np.ndarray]:
     """The distinct owners of each signature that has more than one."""
     order = np.argsort(signature)

@@ -177,3 +177,33 @@ def test_crowds_that_are_not_connected(monkeypatch):
     forest.group(list(range(len(parts))))
     assert sorted(tuple(sorted(e)) for e in forest.edges) == [(k, 300 + k // 10) for k in range(0, 300, 10)]
     assert len(mapped) < 20 * len(parts)
+
+
+def test_crowds_compare_few_sets_in_full(monkeypatch):
+    """A cluster of near copies, most of them just too far apart to link: marks decide all but the closest pairs."""
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    parts = [np.unique(np.concatenate([base[rng.random(len(base)) < rng.choice([0.8, 0.88, 0.97])], rng.integers(0, 2**63, 30, dtype=np.uint64)])) for _ in range(120)]
+
+    class Held:
+        def take(self, _, local):
+            return parts[local]
+
+    sizes = np.array([len(p) for p in parts])
+    for words in (8 << 20, 8 * 120):
+        monkeypatch.setattr(setjoin, "_HELD_MARKS", words)
+        marks = setjoin._marks(parts, sizes, [(0, 50), (50, 120)])
+        apart = lambda x, y: len(parts[x]) + len(parts[y]) - 2 * setjoin._common(parts[x], parts[y])
+        assert all(np.bitwise_count(marks[x] ^ marks[y]).sum() <= apart(x, y) for x in range(120) for y in range(x))
+    monkeypatch.setattr(setjoin, "_HELD_MARKS", 8 << 20)
+    forest, compared = setjoin.Forest(Held(), 80), []
+    exact = setjoin.linked
+    monkeypatch.setattr(setjoin, "linked", lambda a, b, t: compared.append(1) or exact(a, b, t))
+    forest.group(list(range(120)))
+    links = {(x, y) for x in range(120) for y in range(x) if exact(parts[x], parts[y], 80)}
+    root = list(range(120))
+    for x, y in links:
+        old, new = root[x], root[y]
+        root = [new if r == old else r for r in root]
+    assert all((forest.find(x) == forest.find(y)) == (root[x] == root[y]) for x in range(120) for y in range(x))
+    assert len(set(root)) > 20 and len(compared) < 500  # of 7,140 pairs
