@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotloom.functions.text import clean_file_name, download_name
+from slotloom.functions.text import clean_file_name, download_name, trim
 from slotloom.operators.entries import compose
 from slotloom.plans.schema import DEFAULT, Registry
 
@@ -39,3 +39,11 @@ def downloads(entries: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     names = download_names(entries.sparkSession, registry)
     joined = compose(entries, registry).join(F.broadcast(names), "file_key", "left")
     return joined.select("file_key", "file_name", F.octet_length("content").cast("long").alias("byte_length"), "content")
+
+
+def manifest(entries: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
+    """As ``downloads`` without the contents: lengths are summed, and no text is composed."""
+    size = F.octet_length(trim(F.col("content"))).cast("long")
+    sums = entries.select("file_key", size.alias("n")).where("n > 0").groupBy("file_key").agg((F.sum(F.col("n") + 2) - 2).alias("n"))
+    joined = download_names(entries.sparkSession, registry).join(sums, "file_key", "left")
+    return joined.select("file_key", "file_name", F.coalesce("n", F.lit(0)).cast("long").alias("byte_length"))

@@ -45,3 +45,11 @@ def test_files_are_joined_from_parts_and_read_back(spark, tmp_path, monkeypatch)
     downloads.write_named(pieces.select("file_name", F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce("bytes", F.lit(b"")).alias("bytes")), str(folder))
     assert {n: (folder / n).read_bytes() for n in os.listdir(folder)} == want
     assert {tuple(r) for r in downloads.written(spark, str(folder)).collect()} == {(n, len(b), hashlib.md5(b).hexdigest()) for n, b in want.items()}
+
+
+def test_a_manifest_composes_nothing(spark):
+    df = spark.createDataFrame(random_rows(4), KIND).repartition(3)
+    found = files.manifest(df)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, files.downloads(df).drop("content").collect()))
+    assert "listagg" not in plan(found).lower()
+    assert {r.byte_length for r in files.manifest(df.limit(0)).collect()} == {0}
