@@ -53,3 +53,7 @@ def test_a_manifest_composes_nothing(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, files.downloads(df).drop("content").collect()))
     assert "listagg" not in plan(found).lower()
     assert {r.byte_length for r in files.manifest(df.limit(0)).collect()} == {0}
+
+
+def test_runs_of_places_are_small(spark):
+    assert chunks.RUN <= 4_096  # a run's texts are put in order in one task
