@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotloom.functions.text import split_entries, trim
+from slotloom.functions.text import split_entries
+from slotloom.operators.chunks import enclosed
 from slotloom.operators.entries import RUN
 
 
@@ -17,29 +18,26 @@ def _half(hashed: Column, begin: int) -> Column:
     return F.conv(F.substring(hashed, begin, 15), 16, 10).cast("long")
 
 
+def parts(rows: DataFrame) -> DataFrame:
+    """file_key, place (from 0), part: what splitting the composed text of each slot gives, without composing it."""
+    split = enclosed(rows).select("file_key", "entry_index", "id", split_entries(F.col("text")).alias("parts"))
+    # the parts of an entry follow one another: a part's place is that of its entry among all, and its own
+    run = F.floor(F.col("entry_index") / RUN)
+    own = split.withColumn("n_parts", F.size("parts").cast("long")).withColumn("run", run)
+    sums = own.groupBy(F.col("file_key").alias("of"), F.col("run").alias("of_run")).agg(F.sum("n_parts").alias("n"))
+    before = sums.select("of", "of_run", (F.sum("n").over(Window.partitionBy("of").orderBy("of_run")) - F.col("n")).alias("before"))
+    within = F.sum("n_parts").over(Window.partitionBy("file_key", "run").orderBy("entry_index", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_parts")
+    joined = own.withColumn("inside", within).join(before, F.col("file_key").eqNullSafe(F.col("of")) & (F.col("run") == F.col("of_run")))
+    start = F.col("before") + F.col("inside")
+    return joined.select("file_key", start.alias("start"), F.posexplode("parts").alias("within", "part")).select("file_key", (F.col("start") + F.col("within")).alias("place"), "part")
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """file_key, n, low, high: number and 120-bit digest of the entries of each slot that has any but blank ones.
 
     An entry counts as what splitting its text gives, so a text saved whole and its entries agree.
     """
-    parts = rows.select("file_key", "entry_index", "id", F.posexplode(split_entries(trim(F.col("content")))).alias("within", "part"))
-    # the parts of an entry follow one another: a part's place is that of its entry among the non-blank ones, and its own
-    first = parts.groupBy("file_key", "entry_index", "id").agg(F.count(F.lit(1)).alias("n_parts"))
-    placed = _starts(first).withColumnsRenamed({"file_key": "k", "entry_index": "e", "id": "i"})
-    same = F.col("file_key").eqNullSafe(F.col("k")) & (F.col("entry_index") == F.col("e")) & (F.col("id") == F.col("i"))
-    joined = parts.join(placed, same).select("file_key", (F.col("start") + F.col("within")).alias("place"), "part")
-    return merged(joined)
-
-
-def _starts(counted: DataFrame) -> DataFrame:
-    """Where each entry's parts begin among all parts of its slot."""
-    run = F.floor(F.col("entry_index") / RUN)
-    rows = counted.withColumn("run", run)
-    sums = rows.groupBy(F.col("file_key").alias("of"), F.col("run").alias("of_run")).agg(F.sum("n_parts").alias("n"))
-    before = sums.select("of", "of_run", (F.sum("n").over(Window.partitionBy("of").orderBy("of_run")) - F.col("n")).alias("before"))
-    within = F.sum("n_parts").over(Window.partitionBy("file_key", "run").orderBy("entry_index", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_parts")
-    joined = rows.withColumn("inside", within).join(before, F.col("file_key").eqNullSafe(F.col("of")) & (F.col("run") == F.col("of_run")))
-    return joined.select("file_key", "entry_index", "id", (F.col("before") + F.col("inside")).alias("start"))
+    return merged(parts(rows))
 
 
 def of_texts(texts: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from datetime import datetime
 from enum import Enum
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from slotloom.functions.text import appended, equivalent, is_blank, slot_key, trim
+from slotloom.functions.text import slot_key, trim
 from slotloom.operators import entries as E
-from slotloom.operators import gramindex, migration, replacing, revisions, search, terms
-from slotloom.plans.schema import DEFAULT, ENTRIES, Registry
+from slotloom.operators import chunks, digests, gramindex, migration, replacing, revisions, search, terms
+from slotloom.plans.schema import DEFAULT, ENTRIES, REVISIONS, Registry
 from slotloom.sources import downloads, files
 from slotloom.sources.legacy import probe
 from slotloom.sources.store import Change, Conflict, Store
@@ -47,6 +47,8 @@ class Outcome(Enum):
 
 #: Ids up to which they are looked up by value, which lets the scan skip what cannot hold them.
 FEW_IDS = 1_000
+#: A place behind all entries of a slot.
+_LAST = 1 << 62
 #: Pages that are taken from the top of all hits; a hundred pages of hits fit in any task.
 FIRST_PAGES = 100
 
@@ -114,24 +116,27 @@ class Engine:
 
     def history(self, slot: str) -> DataFrame:
         key, state = E._normal(slot, self.registry), self.store.state()
-        rows = self.store.read("revisions", state, self.store.parts("revisions", state, [key]))
+        heads = self.store.read("revisions", state, self.store.parts("revisions", state, [key]))
+        pieces = self.store.read("revision_pieces", state, self.store.parts("revision_pieces", state, [key]))
+        texts = pieces.groupBy("file_key", "seq").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY piece)").alias("content"))
+        rows = heads.join(texts, ["file_key", "seq"]).select("file_key", "seq", "content", "saved_at")
         return revisions.stored_revisions(rows, self.registry).where(F.col("file_key") == key).orderBy("position")
 
     # writes
 
     def save(self, slot: str, text: str, now: datetime, outcome: Outcome = Outcome.SAVED) -> Outcome:
         """Save a slot whole; its old text becomes a revision if the new one differs in any entry."""
-        return self._save(slot, lambda old: old.withColumn("new", F.lit(text)), now, outcome)
+        own = self.spark.createDataFrame([(E._normal(slot, self.registry), text)], "file_key string, content string")
+        return self._save(slot, lambda old: E.with_entries(own), now, outcome)
 
     def _save(self, slot: str, new: Callable[[DataFrame], DataFrame], now: datetime, outcome: Outcome, base: dict | None = None, **more) -> Outcome:
-        """Save what ``new`` makes of the slot's old text (file_key, content; it adds new); no text passes through the driver."""
+        """Save what ``new`` makes of the slot's old entries: its new ones (file_key, entry_index, content); no text is composed."""
         key, base = E._normal(slot, self.registry), base or self.store.state()
         parts = self.store.parts("entries", base, [key])
-        composed = E.compose(self.store.read("entries", base, parts), self.registry).where(F.col("file_key") == key)
-        pair = new(composed)
-        old = pair.where(~equivalent(F.col("content"), F.col("new"))).select("file_key", "content")
-        rows, after = self._stamped(base, E.with_entries(pair.select("file_key", F.col("new").alias("content"))), now)
-        changes = {"entries": Change(rows, parts)} | self._snapshot(base, [key], old, now) | self._indexed(base, rows) | more.pop("changes", {})
+        old = self.store.read("entries", base, parts).where(F.col("file_key") == key)
+        entries = new(old)
+        rows, after = self._stamped(base, entries, now)
+        changes = {"entries": Change(rows, parts)} | self._snapshot(base, [key], old, now, entries) | self._indexed(base, rows) | more.pop("changes", {})
         return self._commit(base, changes, outcome, next_id=after, **more)
 
     def clear(self, slot: str, now: datetime) -> Outcome:
@@ -150,8 +155,10 @@ class Engine:
 
     @staticmethod
     def _appended(old: DataFrame, uploads: DataFrame) -> DataFrame:
-        joined = old.join(uploads, F.col("file_key") == F.col("of"), "left")
-        return joined.select("file_key", "content", appended(F.col("content"), F.coalesce("upload", F.lit(""))).alias("new"))
+        """file_key, entry_index, content of the entries after uploads (of, upload) stand behind the last ones."""
+        last = uploads.select(F.col("of").alias("file_key"), F.lit(_LAST).cast("long").alias("entry_index"), F.lit(0).cast("long").alias("id"), F.col("upload").alias("content"))
+        parts = digests.parts(old.select(*last.columns).unionByName(last))
+        return parts.select("file_key", (F.col("place") + 1).cast("long").alias("entry_index"), F.col("part").alias("content"))
 
     def append_uploads(self, uploads: DataFrame, now: datetime, streams: Mapping[str, int] | None = None) -> Outcome:
         """Append uploads (file_key, name, content, place) to their slots, in order of place and name, as one state.
@@ -165,12 +172,11 @@ class Engine:
             parts = self.store.parts("entries", base, slots)
             solid = named.select("file_key", trim(F.col("content")).alias("c"), "place", "name").where("c <> ''")
             joined = solid.groupBy(F.col("file_key").alias("of")).agg(F.expr("listagg(c, '\n\n') WITHIN GROUP (ORDER BY struct(place, name))").alias("upload"))
-            old = E.compose(self.store.read("entries", base, parts), self.registry).where(F.col("file_key").isin(slots))
-            pair = self._appended(old, joined)
-            changed = pair.where(~equivalent(F.col("content"), F.col("new"))).select("file_key", "content")
-            rows, after = self._stamped(base, E.with_entries(pair.select("file_key", F.col("new").alias("content"))), now)
+            old = self.store.read("entries", base, parts)
+            entries = self._appended(old, joined)
+            rows, after = self._stamped(base, entries, now)
             log = named.select("file_key", "name", "place", F.octet_length("content").cast("long").alias("byte_length"), F.lit(base["number"] + 1).cast("long").alias("state"))
-            changes = {"entries": Change(rows, parts), "uploads": Change(log, ())} | self._snapshot(base, slots, changed, now) | self._indexed(base, rows)
+            changes = {"entries": Change(rows, parts), "uploads": Change(log, ())} | self._snapshot(base, slots, old, now, entries) | self._indexed(base, rows)
             return self._commit(base, changes, Outcome.UPLOADED, next_id=after, streams=dict(streams or {}))
         finally:
             named.unpersist()
@@ -192,16 +198,18 @@ class Engine:
         parts = self.store.parts("entries", base, slots)
         rows = self.store.read("entries", base, parts)
         left = E.delete(rows, wanted, F.lit(now).cast("timestamp_ntz"))
-        changes = {"entries": Change(left, parts)} | self._snapshot(base, slots, revisions.candidates_for_ids(rows, wanted, self.registry), now)
+        changes = {"entries": Change(left, parts)} | self._snapshot(base, slots, revisions.rows_for_ids(rows, wanted, self.registry), now)
         return self._commit(base, changes if slots else {}, Outcome.RESULTS_DELETED if slots else Outcome.RESULT_MISSING)
 
     def restore(self, slot: str, index: int, now: datetime) -> Outcome:
         key, base = E._normal(slot, self.registry), self.store.state()
-        kept = self.store.read("revisions", base, self.store.parts("revisions", base, [key]))
-        found = revisions.restore(kept, index, self.registry).where(F.col("file_key") == key).select(F.col("file_key").alias("of"), F.col("content").alias("new"))
-        if found.isEmpty():
+        ring = self._rings(base, [key]).get(key, [])
+        if not 0 <= index < len(ring):
             return Outcome.REVISION_MISSING
-        return self._save(slot, lambda old: old.join(found, F.col("file_key") == F.col("of")).drop("of"), now, Outcome.RESTORED, base)
+        kept = self.store.read("revision_pieces", base, [f"file_key={key}/seq={ring[index].seq}"])
+        found = digests.parts(kept.select("file_key", F.col("piece").alias("entry_index"), F.lit(0).cast("long").alias("id"), "content"))
+        new = found.select("file_key", (F.col("place") + 1).cast("long").alias("entry_index"), F.col("part").alias("content"))
+        return self._save(slot, lambda old: new, now, Outcome.RESTORED, base)
 
     def save_lists(self, lists: Mapping[int, str], now: datetime, outcome: Outcome = Outcome.LISTS_SAVED) -> Outcome:
         """Save all term lists; the old ones become a revision if any differs."""
@@ -278,7 +286,7 @@ class Engine:
         rows = self.store.read("entries", base, parts)
         new = E.apply_edits(rows, edits, F.lit(now).cast("timestamp_ntz"))
         whole = self.store.read("entries", base, self.store.parts("entries", base, slots))
-        changes = self._snapshot(base, slots, revisions.candidates_for_ids(whole, edits, self.registry), now) if slots else {}
+        changes = self._snapshot(base, slots, revisions.rows_for_ids(whole, edits, self.registry), now) if slots else {}
         if parts:
             changes["entries"] = Change(new, parts)
             changes |= self._indexed(base, new.join(E.accepted_edits(edits).select("id").distinct(), "id", "left_semi"))
@@ -288,11 +296,37 @@ class Engine:
         """Slots that own any of ``ids``, accepted or not: their texts become revisions."""
         return E.slots_of(self.store.read("entries", base), ids, self.registry).collect()  # registered ones at most
 
-    def _snapshot(self, base: dict, slots: list[str], candidates: DataFrame, now: datetime) -> dict[str, Change]:
-        """The rings of ``slots`` with ``candidates`` (file_key, content) at their end."""
-        rows = candidates.where(~is_blank(F.col("content"))).select(
-            "file_key", F.lit(base["next_seq"]).cast("long").alias("seq"), "content", F.unix_timestamp(F.lit(now)).alias("saved_at")
-        )
-        parts = self.store.parts("revisions", base, slots)
-        log = self.store.read("revisions", base, parts).unionByName(rows)
-        return {"revisions": Change(revisions.ring(log, registry=self.registry).drop("position"), parts)}
+    def _rings(self, base: Mapping, slots: list[str]) -> dict[str, list[Row]]:
+        """What is known of the newest revisions of some slots, newest first; texts are not read."""
+        found: dict[str, list[Row]] = {}
+        heads = self.store.read("revisions", base, self.store.parts("revisions", base, slots))
+        for row in heads.orderBy(F.desc("seq")).collect():  # a ring for each registered slot at most
+            found.setdefault(row.file_key, []).append(row)
+        return {slot: ring[: self.registry.revision_limit] for slot, ring in found.items()}
+
+    def _snapshot(self, base: dict, slots: list[str], rows: DataFrame, now: datetime, new: DataFrame | None = None) -> dict[str, Change]:
+        """The rings of ``slots`` with the texts of entries ``rows`` at their end, in pieces.
+
+        Digests of the entries tell which texts repeat the newest one, or what is saved in their stead (``new``: file_key,
+        entry_index, content).  Pieces of revisions that stay are not written again.
+        """
+        mark = lambda r: (r.n, r.low, r.high)
+        size = F.sum(F.octet_length(trim(F.col("content"))).cast("long") + 2) - 2
+        sizes = {r.file_key: r.n for r in rows.where(trim(F.col("content")) != "").groupBy("file_key").agg(size.alias("n")).collect()}
+        saved = {r.file_key: mark(r) for r in digests.merged(new.select("file_key", (F.col("entry_index") - 1).alias("place"), F.col("content").alias("part"))).collect()} if new is not None and sizes else {}
+        rings = self._rings(base, slots)
+        heads, dropped, changed = [], [], []
+        for r in digests.digest(rows).collect() if sizes else []:  # registered slots at most
+            ring = rings.get(r.file_key, [])
+            if mark(r) in (saved.get(r.file_key), mark(ring[0]) if ring else None):
+                continue
+            changed.append(r.file_key)
+            kept = ring[: self.registry.revision_limit - 1]
+            heads += [(r.file_key, base["next_seq"], None, sizes[r.file_key], *mark(r)), *map(tuple, kept)]
+            dropped += [f"file_key={r.file_key}/seq={old.seq}" for old in ring[len(kept) :]]
+        if not changed:
+            return {}
+        frame = self.spark.createDataFrame(heads, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in REVISIONS))
+        stamped = frame.withColumn("saved_at", F.coalesce("saved_at", F.unix_timestamp(F.lit(now))))
+        pieces = chunks.pieces(rows.where(F.col("file_key").isin(changed))).withColumn("seq", F.lit(base["next_seq"]).cast("long"))
+        return {"revisions": Change(stamped, self.store.parts("revisions", base, changed)), "revision_pieces": Change(pieces, dropped)}

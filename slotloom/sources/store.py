@@ -24,17 +24,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotloom.plans.schema import ENTRIES, GRAM_COUNTS, GRAMS, LIST_REVISIONS, REVISIONS, TERM_LISTS, UPLOADS
+from slotloom.plans.schema import ENTRIES, GRAM_COUNTS, GRAMS, LIST_REVISIONS, REVISION_PIECES, REVISIONS, TERM_LISTS, UPLOADS
 
 TABLES = {
-    "entries": ENTRIES, "term_lists": TERM_LISTS, "revisions": REVISIONS, "list_revisions": LIST_REVISIONS, "grams": GRAMS, "gram_counts": GRAM_COUNTS, "uploads": UPLOADS,
+    "entries": ENTRIES, "term_lists": TERM_LISTS, "revisions": REVISIONS, "revision_pieces": REVISION_PIECES, "list_revisions": LIST_REVISIONS, "grams": GRAMS, "gram_counts": GRAM_COUNTS, "uploads": UPLOADS,
 }
 #: Columns whose values name a table's parts, from the outside in.
-PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "grams": ("bucket",), "gram_counts": ("bucket",)}
+PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "revision_pieces": ("file_key", "seq"), "grams": ("bucket",), "gram_counts": ("bucket",)}
 #: Tables whose parts are too large for a task each: columns by whose ranges their rows are dealt instead.
 RANGES = {"grams": ("bucket", "gram", "block"), "gram_counts": ("bucket", "gram")}
 #: What rows are ordered by within a part, so that files and their pages have narrow ranges.
-ORDER = {"entries": "id", "revisions": "seq", "grams": "gram", "gram_counts": "gram"}
+ORDER = {"entries": "id", "revisions": "seq", "revision_pieces": "piece", "grams": "gram", "gram_counts": "gram"}
 #: Places of a slot that one part holds; last states whose files are kept, so long may a reader work on one of them.
 PLACES = 1 << 18
 KEEP = 2

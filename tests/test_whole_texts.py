@@ -3,11 +3,14 @@
 import hashlib
 import os
 import random
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from slotloom.operators import chunks, revisions
+from slotloom.functions.text import split_entries
+from slotloom.operators import chunks, digests, revisions
 from slotloom.operators import entries as E
+from slotloom.service import Engine, Outcome
 from slotloom.sources import downloads, files
 
 KIND = "id long, file_key string, entry_index long, content string"
@@ -57,3 +60,33 @@ def test_a_manifest_composes_nothing(spark):
 
 def test_runs_of_places_are_small(spark):
     assert chunks.RUN <= 4_096  # a run's texts are put in order in one task
+
+
+def test_pieces_and_parts_of_slots(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "RUN", 7)
+    monkeypatch.setattr(digests, "RUN", 5)
+    df = spark.createDataFrame(random_rows(5), KIND).repartition(3)
+    texts = {r.file_key: r for r in E.compose_groups(df, "file_key").select("file_key", "content", split_entries(F.col("content")).alias("parts")).collect()}
+    found, places = {}, {}
+    for r in chunks.pieces(df, limit=40).orderBy("file_key", "piece").collect():
+        found.setdefault(r.file_key, []).append(r.content)
+    assert {k: "".join(own) for k, own in found.items()} == {k: r.content for k, r in texts.items()} and all(len(own) > 9 for own in found.values())
+    for r in digests.parts(df).orderBy("file_key", "place").collect():
+        places.setdefault(r.file_key, []).append((r.place, r.part))
+    assert places == {k: list(enumerate(r.parts)) for k, r in texts.items()}
+
+
+def test_a_write_composes_no_slot(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.save("lore", "one\n\ntwo\n\nthree", datetime(2024, 1, 2))
+
+    def no_text(*_):
+        raise AssertionError("a slot was composed")
+
+    monkeypatch.setattr(E, "compose", no_text)
+    monkeypatch.setattr(revisions, "compose_groups", no_text)
+    engine.delete([2], datetime(2024, 1, 3))
+    engine.clear("lore", datetime(2024, 1, 4))
+    assert [r.content for r in engine.history("lore").collect()] == ["one\n\nthree", "one\n\ntwo\n\nthree"]
+    assert engine.restore("lore", 1, datetime(2024, 1, 5)) is Outcome.RESTORED
+    assert [r.content for r in engine.slot("lore").collect()] == ["one", "two", "three"]
