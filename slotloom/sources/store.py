@@ -33,6 +33,8 @@ TABLES = {
 PARTS = {"entries": ("file_key", "run"), "revisions": ("file_key",), "revision_pieces": ("file_key", "seq"), "grams": ("bucket",), "gram_counts": ("bucket",)}
 #: Tables whose parts are too large for a task each: columns by whose ranges their rows are dealt instead.
 RANGES = {"grams": ("bucket", "gram", "block"), "gram_counts": ("bucket", "gram")}
+#: Values of a column that one task has of a part, where a part is too large for a task.
+SHARES = {"entries": ("entry_index", 1 << 13), "revision_pieces": ("piece", 16)}
 #: What rows are ordered by within a part, so that files and their pages have narrow ranges.
 ORDER = {"entries": "id", "revisions": "seq", "revision_pieces": "piece", "grams": "gram", "gram_counts": "gram"}
 #: Places of a slot that one part holds; last states whose files are kept, so long may a reader work on one of them.
@@ -177,7 +179,8 @@ class Store:
         if not by:
             rows.write.parquet(folder)
             return [""]
-        dealt = rows.repartitionByRange(*RANGES[table]) if table in RANGES else rows.repartition(*by)
+        share = [F.floor(F.col(column) / size) for column, size in [SHARES[table]]] if table in SHARES else []
+        dealt = rows.repartitionByRange(*RANGES[table]) if table in RANGES else rows.repartition(*by, *share)
         dealt.sortWithinPartitions(*by, ORDER[table]).write.partitionBy(*by).parquet(folder)
         depth = len(self._path(folder).toUri().getPath().rstrip("/")) + 1
         found = self._fs.globStatus(self._path(folder + "/*=*" * len(by)))

@@ -90,3 +90,18 @@ def test_a_write_composes_no_slot(spark, tmp_path, monkeypatch):
     assert [r.content for r in engine.history("lore").collect()] == ["one\n\nthree", "one\n\ntwo\n\nthree"]
     assert engine.restore("lore", 1, datetime(2024, 1, 5)) is Outcome.RESTORED
     assert [r.content for r in engine.slot("lore").collect()] == ["one", "two", "three"]
+
+
+def test_a_part_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from slotloom.sources import store
+
+    monkeypatch.setitem(store.SHARES, "entries", ("entry_index", 8))
+    rows = spark.range(1, 65).selectExpr("id", "'lore' AS file_key", "id AS entry_index", "'x' AS content", "timestamp_ntz'2024-01-01' AS updated_at")
+    own = store.Store(spark, str(tmp_path / "store"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        own.commit(own.state(), {"entries": store.Change(rows)})
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(own.files()["entries/file_key=lore/run=0"]) > 1 and own.read("entries").count() == 64
