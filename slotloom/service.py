@@ -259,8 +259,7 @@ class Engine:
         """What new contents add to the index, if there is one."""
         if not base["marks"].get("indexed"):
             return {}
-        postings = gramindex.postings(rows)
-        return {"grams": Change(postings, replaces), "gram_counts": Change(gramindex.counts(postings), replaces)}
+        return {"grams": Change(gramindex.postings(rows), replaces), "gram_counts": Change(lambda written: gramindex.counts(written("grams")), replaces)}
 
     def _owning(self, base: dict, ids: DataFrame) -> list[str]:
         """The parts that hold any of ``ids``; few ids are looked up by value."""

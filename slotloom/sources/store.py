@@ -15,7 +15,7 @@ import json
 import os
 import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -49,9 +49,12 @@ class Conflict(Exception):
 
 @dataclass
 class Change:
-    """New rows of a table, and the parts that they stand in for: all if None; none if empty, which adds rows."""
+    """New rows of a table, and the parts that they stand in for: all if None; none if empty, which adds rows.
 
-    rows: DataFrame | None
+    Rows may be made of those that the same write has put into a table before it, which are then read and not computed again.
+    """
+
+    rows: DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame] | None
     replaces: Iterable[str] | None = None
 
 
@@ -148,7 +151,11 @@ class Store:
         new["next_id"], new["next_seq"] = max(new["next_id"], next_id), new["next_seq"] + 1
         new["streams"] |= streams or {}
         new["marks"] |= marks or {}
-        written = []
+        written, fresh = [], {}
+
+        def just_written(table: str) -> DataFrame:
+            return self.read(table, {"tables": {table: fresh[table]}})
+
         try:
             for table, change in changes.items():
                 parts = new["tables"].setdefault(table, {})
@@ -157,7 +164,9 @@ class Store:
                 if change.rows is not None:
                     version = f"v{uuid.uuid4().hex}"
                     written.append(f"{self.path}/{table}/version={version}")
-                    own = self._write(table, change.rows, written[-1])
+                    rows = change.rows if isinstance(change.rows, DataFrame) else change.rows(just_written)
+                    own = self._write(table, rows, written[-1])
+                    fresh[table] = {part: [version] for part in own}
                     for part in own:
                         parts.setdefault(part, []).append(version)
                     if not own:  # there were no rows

@@ -105,3 +105,15 @@ def test_a_part_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert len(own.files()["entries/file_key=lore/run=0"]) > 1 and own.read("entries").count() == 64
+
+
+def test_an_index_computes_its_postings_once(spark, tmp_path, monkeypatch):
+    from slotloom.operators import gramindex
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.save("lore", "one two\n\nthree", datetime(2024, 1, 2))
+    counted, counts = [], gramindex.counts
+    monkeypatch.setattr(gramindex, "counts", lambda found: counted.append(found) or counts(found))
+    engine.build_index()
+    assert "/grams/version=" in counted[0].inputFiles()[0]
+    assert [r.content for r in engine.search("HREE").collect()] == ["three"]
